@@ -57,3 +57,115 @@ def bucket_of_bin(bin_col: Column, compat: bool = True) -> Column:
                 .otherwise(F.lit("lg")))
     return (F.when(bin_col <= 1, F.lit("sm")).when(bin_col == 2, F.lit("md"))
             .otherwise(F.lit("lg")))
+
+
+# ------------------------------------------------------------- M1-M4 (per row)
+#
+# Spans, masked prompts and the nested task lists are computed inside each
+# document row with higher-order functions: no explode/regroup, so no shuffle.
+# The flat task view is `inline` of the nested array.
+
+def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: its lines and their 0-based start offsets."""
+    d = docs.select(key, text, F.split(F.col(text), "\n", -1).alias("lines"))
+    return d.withColumn("offs", line_start_offsets(F.col("lines")))
+
+
+def _line_structs(lines: Column, offs: Column) -> Column:
+    return F.transform(F.arrays_zip(lines.alias("line"), offs.alias("start")),
+                       lambda z, i: F.struct(i.cast("long").alias("line_no"),
+                                             z["start"].alias("start"),
+                                             F.length(z["line"]).cast("long").alias("span_len"),
+                                             z["line"].alias("line")))
+
+
+def line_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """M1 (line finder): every line as a span (start offset, length)."""
+    t = line_table(docs, key, text)
+    return t.select(key, F.inline(_line_structs(F.col("lines"), F.col("offs"))))
+
+
+def span_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """M2: (row, column) -> character offset = start of the row + column; the
+    column here is the first non-blank character of each line."""
+    spans = line_spans(docs, key, text)
+    col = (F.length("line") - F.length(F.ltrim("line"))).cast("long")
+    return spans.select(key, "line_no", col.alias("col"), (F.col("start") + col).alias("offset"))
+
+
+def mask_text(text: Column, start: Column, length: Column, mask: str = MASK_TOKEN) -> Column:
+    """M3: text with [start, start+length) replaced by the mask token."""
+    return F.concat(F.substr(text, F.lit(1), start), F.lit(mask), F.substr(text, start + length + 1))
+
+
+def solution_text(text: Column, start: Column, length: Column) -> Column:
+    return F.substr(text, start + 1, length)
+
+
+def nested_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                 mask: str = MASK_TOKEN, digest: bool = False) -> DataFrame:
+    """M3 + M4: per document, the list of (line_no, masked_prompt, solution)
+    for every non-empty line, in line order.  `digest=True` keeps the md5 of
+    the masked prompt instead of the prompt (each prompt is a whole document)."""
+    t = line_table(docs, key, text)
+    spans = F.filter(_line_structs(F.col("lines"), F.col("offs")), lambda s: s["span_len"] > 0)
+    tx = F.col(text)
+
+    def task(s):
+        m = mask_text(tx, s["start"], s["span_len"], mask)
+        return F.struct(s["line_no"].alias("line_no"),
+                        (F.md5(m) if digest else m).alias("masked_md5" if digest else "masked_prompt"),
+                        solution_text(tx, s["start"], s["span_len"]).alias("solution"))
+    return t.select(key, F.transform(spans, task).alias("tasks"))
+
+
+def mask_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
+               mask: str = MASK_TOKEN, digest: bool = False) -> DataFrame:
+    """M3 flat view: one row per masked line."""
+    return nested_tasks(docs, key, text, mask, digest).select(key, F.inline("tasks"))
+
+
+# ------------------------------------------------------------------ M5-M7 rows
+
+def span_token_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Non-empty line spans with their white-space token counts."""
+    from tessera.functions.text import ws_tokens
+    spans = line_spans(docs, key, text).filter(F.col("span_len") > 0)
+    return spans.select(key, "line_no", F.size(ws_tokens("line")).cast("long").alias("n_tokens"))
+
+
+# ------------------------------------------------------------------------- M8
+
+def mask_by_class_wide(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                       classes=SIZE_CLASS_AVG, mask: str = MASK_TOKEN) -> DataFrame:
+    """M8: for each size class, the non-empty line whose token count is
+    nearest to the class average (ties: the earlier line), masked.  Wide
+    layout `{size}_line_no, {size}_n_tokens, {size}_input, {size}_target`,
+    computed per row with `array_min` over structs (no shuffle)."""
+    from tessera.functions.text import ws_tokens
+    t = line_table(docs, key, text)
+    spans = F.filter(_line_structs(F.col("lines"), F.col("offs")), lambda s: s["span_len"] > 0)
+    t = t.select(key, text, F.transform(spans, lambda s: F.struct(
+        s["line_no"].alias("line_no"), s["start"].alias("start"), s["span_len"].alias("span_len"),
+        F.size(ws_tokens(s["line"])).cast("long").alias("n_tokens"))).alias("spans"))
+    def nearest(avg):
+        return lambda s: F.struct(
+            F.abs(s["n_tokens"] - F.lit(avg)).alias("d"), s["line_no"].alias("line_no"),
+            s["start"].alias("start"), s["span_len"].alias("span_len"), s["n_tokens"].alias("n_tokens"))
+    # Materialise each class's choice once, then cut the text from it.
+    t = t.select(key, text, *[F.array_min(F.transform(F.col("spans"), nearest(avg))).alias(f"_b_{name}")
+                              for name, avg in classes])
+    cols = [F.col(key)]
+    tx = F.col(text)
+    for name, _ in classes:
+        best = F.col(f"_b_{name}")
+        cols.append(F.struct(best["line_no"].alias("line_no"), best["n_tokens"].alias("n_tokens"),
+                             mask_text(tx, best["start"], best["span_len"], mask).alias("input"),
+                             solution_text(tx, best["start"], best["span_len"]).alias("target"))
+                    .alias(f"_{name}"))
+    w = t.select(*cols)
+    flat = [F.col(key)]
+    for name, _ in classes:
+        for f in ("line_no", "n_tokens", "input", "target"):
+            flat.append(F.col(f"_{name}.{f}").alias(f"{name}_{f}"))
+    return w.select(*flat)

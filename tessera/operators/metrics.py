@@ -261,3 +261,98 @@ def masked_nll(dist: DataFrame, pad_id: int | None = 0, row_col: str = "vec_id",
         lp = lp.filter(F.col("target") != pad_id)
     return lp.groupBy(*g).agg(F.avg(-F.col("logprob")).alias("nll"),
                               F.count("*").alias("n_tokens"))
+
+
+# ------------------------------------------------------------ suites
+
+SUITE_METRICS = ("bleu", "chrf", "exact_match", "leven_dist", "meteor", "rouge", "tst_loss")
+
+
+def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataFrame,
+                 pred: str = "pred", ref: str = "ref", tokenizer: Tokenizer = ws_tokens) -> DataFrame:
+    """One record of 7 named values per group (length class), long form
+    `(length, metric, name, value)` with name = metric_length.
+
+    Each metric is one grouped aggregate over the same keyed pairs; they are
+    joined on the (few) group values.  `loss` is a one-row frame with `nll`."""
+    g = [group_col]
+    parts = [
+        bleu_corpus(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("bleu").alias("v"))
+        .withColumn("metric", F.lit("bleu")),
+        chrf_corpus(pr, keys, pred, ref, group_cols=g).select(group_col, F.col("chrf").alias("v"))
+        .withColumn("metric", F.lit("chrf")),
+        exact_match(pr, pred, ref, group_cols=g).select(group_col, F.col("exact_match").alias("v"))
+        .withColumn("metric", F.lit("exact_match")),
+        edit_similarity(pr, keys, pred, ref, tokenizer, group_cols=g)
+        .select(group_col, F.col("edit_similarity").alias("v")).withColumn("metric", F.lit("leven_dist")),
+        meteor_exact(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("meteor").alias("v"))
+        .withColumn("metric", F.lit("meteor")),
+        rouge_l(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("rouge_l").alias("v"))
+        .withColumn("metric", F.lit("rouge")),
+        pr.select(group_col).distinct().crossJoin(F.broadcast(loss.select(F.col("nll").alias("v"))))
+        .withColumn("metric", F.lit("tst_loss")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(group_col, "metric", F.concat_ws("_", F.col("metric"), F.col(group_col)).alias("name"),
+                      F.col("v").cast("double").alias("value"))
+
+
+def metric_record_wide(suite: DataFrame, group_col: str) -> DataFrame:
+    """E10 wide form: one row per group, one column per metric (pivot with
+    the value list given, so no extra pass to find the columns)."""
+    return suite.groupBy(group_col).pivot("metric", list(SUITE_METRICS)).agg(F.first("value"))
+
+
+def result_rows(pr: DataFrame, keys: Sequence[str], train_type: Column, test_type: Column,
+                loss: DataFrame | None = None, pred: str = "pred", ref: str = "ref",
+                tokenizer: Tokenizer = ws_tokens) -> DataFrame:
+    """The 8-column per-row result table, joined by row key (the
+    reference zips by position).  `loss` is an optional keyed table."""
+    t = pr.select(*keys, train_type.alias("train_type"), test_type.alias("test_type"),
+                  tokenizer(F.col("input")).alias("input"), tokenizer(F.col(ref)).alias("reference"),
+                  tokenizer(F.col(pred)).alias("prediction"),
+                  (F.col(pred) == F.col(ref)).alias("exact_match"))
+    d = token_edit_distance_col(F.col("prediction"), F.col("reference"))
+    mx = F.greatest(F.size("prediction"), F.size("reference"))
+    t = t.withColumn("levenshtein_distance", F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx))
+    if loss is not None:
+        t = t.join(loss.select(*keys, "loss"), list(keys), "left")
+    else:
+        t = t.withColumn("loss", F.lit(None).cast("double"))
+    return t.select(*keys, "train_type", "test_type", "input", "reference", "prediction", "loss",
+                    "exact_match", "levenshtein_distance")
+
+
+def train_test_matrix(rows: DataFrame) -> DataFrame:
+    """Aggregate of the stacked result rows per (train_type, test_type)."""
+    return rows.groupBy("train_type", "test_type").agg(
+        F.count("*").alias("n_rows"),
+        F.avg(F.col("exact_match").cast("double")).alias("exact_match"),
+        F.avg("levenshtein_distance").alias("leven_dist"))
+
+
+# ---------------------------------------------------------- step log
+
+CHECKPOINT_LABEL = "checkpoint-{epoch:02d}-{val_loss:.2f}"
+
+
+def epoch_rollup(log: DataFrame) -> DataFrame:
+    """Per (run, epoch, metric) the batch-size-weighted mean of the step
+    values, plus the step count and the last step's value."""
+    return log.groupBy("run", "epoch", "metric").agg(
+        (F.sum(F.col("value") * F.col("batch_size")) / F.sum("batch_size")).alias("epoch_value"),
+        F.count("*").alias("n_steps"),
+        F.max_by("value", "step").alias("last_value"))
+
+
+def top_checkpoints(rollup: DataFrame, monitor: str, k: int = 5) -> DataFrame:
+    """The k epochs with the lowest monitored value per run (window group
+    limit), their labels, and which one is best."""
+    v = rollup.filter(F.col("metric") == monitor).select("run", "epoch", F.col("epoch_value").alias("val_loss"))
+    w = Window.partitionBy("run").orderBy("val_loss", "epoch")
+    top = v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    label = F.format_string("checkpoint-%02d-%.2f", F.col("epoch").cast("int"), F.col("val_loss").cast("double"))
+    return top.select("run", F.col("rank").cast("int").alias("rank"), "epoch", "val_loss",
+                      label.alias("label"), (F.col("rank") == 1).alias("is_best"))

@@ -44,6 +44,103 @@ dist AS (
   SELECT vec_id, CAST(i - 1 AS INTEGER) AS token,
          10.0 * CAST(embedding[i] AS DOUBLE) AS logit, label AS target
   FROM embeddings, range(1, len(embedding) + 1) AS t(i))""",
+    "tasks": r"""
+tasks AS (
+  SELECT task_id, ['assert easy(' || task_id || ')'] AS test_list,
+         ['assert hard(' || task_id || ')'] AS challenge_test_list
+  FROM (SELECT DISTINCT source AS task_id FROM documents
+        UNION ALL SELECT 'no_candidate_1' UNION ALL SELECT 'no_candidate_2'))""",
+    "attempts": r"""
+attempts AS (
+  SELECT d.source AS task_id, l.doc_id AS candidate, CAST(l.quality AS INTEGER) AS easy_pass,
+         CAST(1 - l.toxic AS INTEGER) AS hard_pass
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)""",
+    "vocab": r"""
+vtok AS (
+  SELECT t AS token, count(*) AS n
+  FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS t FROM corpus WHERE split = 'train')
+  GROUP BY t),
+vtop AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS token_id
+  FROM vtok QUALIFY token_id <= 32767),
+vbase AS (SELECT 0 AS token_id, '<UNK>' AS token UNION ALL SELECT token_id, token FROM vtop),
+vocab AS (
+  SELECT CAST(token_id AS INTEGER) AS token_id, token, false AS special FROM vbase
+  UNION ALL
+  SELECT CAST(m + k AS INTEGER), t, s
+  FROM (SELECT max(token_id) AS m FROM vbase),
+       (VALUES (1, '<MASK>', true), (2, '<PAD>', true), (3, '<BOS>', true), (4, '<EOS>', true),
+               (5, '<NEW_LINE>', false)) v(k, t, s)),
+sid AS (
+  SELECT max(token_id) FILTER (WHERE token = '<PAD>') AS pad_id,
+         max(token_id) FILTER (WHERE token = '<EOS>') AS eos_id FROM vocab)""",
+    "spans": r"""
+dlines AS (
+  SELECT doc_id, text, i - 1 AS line_no, ls[i] AS line
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+       range(1, len(ls) + 1) AS t(i)),
+spans AS (
+  SELECT doc_id, text, line_no, line, CAST(length(line) AS BIGINT) AS span_len,
+         CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(line) - 1 AS BIGINT) AS start
+  FROM dlines),
+span_tok AS (
+  SELECT doc_id, line_no, CAST(len(regexp_extract_all(line, '\S+')) AS BIGINT) AS n_tokens
+  FROM spans WHERE span_len > 0)""",
+    "enc_pairs": r"""
+in_tok AS (
+  SELECT conv_id, turn, i, toks[i] AS token
+  FROM (SELECT conv_id, turn, regexp_extract_all(input, '\S+')[1:512] AS toks FROM pairs),
+       range(1, len(toks) + 1) AS t(i)),
+in_ids AS (
+  SELECT a.conv_id, a.turn, list(coalesce(v.token_id, 0) ORDER BY a.i) AS ids
+  FROM in_tok a LEFT JOIN vocab v ON v.token = a.token GROUP BY a.conv_id, a.turn),
+lab_tok AS (
+  SELECT conv_id, turn, i, toks[i] AS token
+  FROM (SELECT conv_id, turn,
+               list_concat(list_concat(['<BOS>'], regexp_extract_all(target, '\S+')), ['<EOS>'])[1:128] AS toks
+        FROM pairs),
+       range(1, len(toks) + 1) AS t(i)),
+lab_ids AS (
+  SELECT a.conv_id, a.turn, list(coalesce(v.token_id, 0) ORDER BY a.i) AS ids
+  FROM lab_tok a LEFT JOIN vocab v ON v.token = a.token GROUP BY a.conv_id, a.turn),
+enc AS (
+  SELECT p.conv_id, p.turn, coalesce(i.ids, []::INTEGER[]) AS input_ids,
+         list_transform(coalesce(i.ids, []::INTEGER[]), lambda x: 1) AS attention_mask,
+         coalesce(l.ids, []::INTEGER[]) AS labels
+  FROM pairs p LEFT JOIN in_ids i USING (conv_id, turn) LEFT JOIN lab_ids l USING (conv_id, turn))""",
+    "padded": r"""
+bat AS (
+  SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 32 AS batch_id FROM enc),
+wid AS (
+  SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER) AS wi,
+         CAST(ceil(max(len(labels)) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER) AS wl
+  FROM bat),
+padded AS (
+  SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, pad_id,
+    list_concat(input_ids, list_transform(range(wi - len(input_ids)), lambda x: pad_id)) AS input_ids,
+    list_concat(attention_mask, list_transform(range(wi - len(attention_mask)), lambda x: 0)) AS attention_mask,
+    list_concat(labels, list_transform(range(wl - len(labels)), lambda x: pad_id)) AS labels
+  FROM wid, sid)""",
+    "pr_class": r"""
+pr_n AS (SELECT *, len(regexp_extract_all(ref, '\S+')) AS rn FROM pred_ref),
+pr_e AS (SELECT quantile_cont(rn, [0.25, 0.5, 0.75]) AS e FROM pr_n),
+pr_class AS (
+  SELECT pr_n.*, ['short', 'short', 'medium', 'long'][1 + (rn >= e[1])::INT + (rn >= e[2])::INT
+         + (rn >= e[3])::INT] AS length
+  FROM pr_n, pr_e)""",
+    "doc_ids": r"""
+dtok AS (
+  SELECT split, length, language, unnest(regexp_extract_all(text, '\S+')) AS token
+  FROM corpus WHERE split IN ('train', 'test')),
+doc_ids AS (
+  SELECT split, length, language, coalesce(v.token_id, 0) AS token_id
+  FROM dtok LEFT JOIN vocab v USING (token)),
+freq_sl AS (
+  SELECT g.split, g.length, v.token_id, CAST(coalesce(c.n, 0) + 1 AS BIGINT) AS n
+  FROM (SELECT DISTINCT split, length FROM doc_ids) g CROSS JOIN vocab v
+  LEFT JOIN (SELECT split, length, token_id, count(*) AS n FROM doc_ids GROUP BY ALL) c
+    ON c.split = g.split AND c.length = g.length AND c.token_id = v.token_id)""",
     "step_log": r"""
 step_log AS (
   SELECT user_id % 4 AS run, CAST(day(ts) AS INTEGER) AS epoch, event_id AS step,
@@ -57,6 +154,11 @@ DEPS = {
     "corpus_edges": ["corpus_base"],
     "pred_ref": ["pairs"],
     "pr_tok": ["pred_ref"],
+    "vocab": ["corpus"],
+    "enc_pairs": ["pairs", "vocab"],
+    "padded": ["enc_pairs"],
+    "pr_class": ["pred_ref"],
+    "doc_ids": ["corpus", "vocab"],
 }
 
 
@@ -231,3 +333,440 @@ lp AS (SELECT vec_id, target,
           max(logit) FILTER (WHERE token = target) - (max(logit) + ln(sum(exp(logit - mx)))) AS logprob
        FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM dist) GROUP BY vec_id, target)
 SELECT """ + _r("avg(-logprob)") + r""" AS nll, count(*) AS n_tokens FROM lp WHERE target <> 0""")
+
+
+# =================================================================== S1-S4, P4-P9
+_CC = "doc_id, language, length, split, n_words"
+
+oracle("scan_config", with_views("corpus") + f"""
+SELECT {_CC} FROM corpus WHERE language = 'en' AND length = 'short'""")
+
+oracle("scan_split", with_views("corpus") + f"""
+SELECT {_CC} FROM corpus WHERE split = 'test'""")
+
+oracle("corpus_scan", with_views("corpus") + """
+SELECT doc_id, text AS original_method FROM corpus WHERE split = 'train'""")
+
+oracle("scan_tasks", with_views("tasks") + """
+SELECT task_id, test_list, challenge_test_list FROM tasks""")
+
+oracle("sample_exact", with_views("corpus") + """
+SELECT doc_id, split FROM (
+  SELECT doc_id, split,
+         row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-115'), doc_id) - 1 AS r,
+         count(*) OVER () AS tot
+  FROM corpus WHERE split = 'test')
+WHERE r < floor(tot * 0.1)""")
+
+oracle("sample_aligned", with_views("corpus") + """,
+idx AS (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS row_idx FROM corpus),
+pos AS (
+  SELECT row_idx FROM (
+    SELECT row_idx, row_number() OVER (ORDER BY md5(CAST(row_idx AS VARCHAR) || '-115'), row_idx) - 1 AS r,
+           count(*) OVER () AS tot
+    FROM idx WHERE split = 'test')
+  WHERE r < floor(tot * 0.1))
+SELECT doc_id, split, row_idx FROM idx WHERE row_idx IN (SELECT row_idx FROM pos)""")
+
+oracle("sample_cap", with_views("corpus") + """
+SELECT doc_id, length FROM (
+  SELECT doc_id, length,
+         row_number() OVER (PARTITION BY length ORDER BY md5(CAST(doc_id AS VARCHAR) || '-115'), doc_id) AS r
+  FROM corpus)
+WHERE r <= 20""")
+
+oracle("limit_batches", with_views("corpus") + """,
+b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM corpus WHERE split = 'test')
+SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id FROM b
+WHERE batch_id < floor((SELECT max(batch_id) + 1 FROM b) * 0.5)""")
+
+oracle("head_rows", with_views("corpus") + f"""
+SELECT {_CC} FROM corpus ORDER BY doc_id LIMIT 10""")
+
+oracle("point_lookup", with_views("corpus") + """
+SELECT doc_id, n_words, row_idx FROM (
+  SELECT doc_id, n_words, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM corpus WHERE split = 'test')
+WHERE row_idx = 0""")
+
+_BEST = """,
+sizes AS (SELECT * FROM (VALUES ('simple', 11), ('medium', 19), ('complex', 45)) s(size, avg_len)),
+cand AS (
+  SELECT s.doc_id, s.text, s.line_no, s.start, s.span_len, t.n_tokens, z.size,
+         row_number() OVER (PARTITION BY s.doc_id, z.size ORDER BY abs(t.n_tokens - z.avg_len), s.line_no) AS r
+  FROM spans s JOIN span_tok t USING (doc_id, line_no) CROSS JOIN sizes z),
+best AS (SELECT * FROM cand WHERE r = 1)"""
+
+oracle("unpivot_sizes", with_views("spans") + _BEST + """
+SELECT d.doc_id, z.size, b.line_no, b.n_tokens,
+       substring(b.text, b.start + 1, b.span_len) AS target
+FROM documents d CROSS JOIN sizes z LEFT JOIN best b ON b.doc_id = d.doc_id AND b.size = z.size""")
+
+oracle("mask_by_class", with_views("spans") + _BEST + """
+SELECT doc_id, size, line_no, n_tokens,
+       md5(substring(text, 1, start) || '<MASK>' || substring(text, start + span_len + 1)) AS input_md5,
+       substring(text, start + 1, span_len) AS target
+FROM best""")
+
+# ======================================================================= T1-T13
+_PRETOK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+""".replace("'", "''")
+
+oracle("byte_alphabet", r"""
+WITH b AS (
+  SELECT CAST(range AS INTEGER) AS byte,
+         (range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range BETWEEN 174 AND 255) AS p
+  FROM range(256)),
+a AS (
+  SELECT byte, CASE WHEN p THEN byte ELSE 256 + CAST(coalesce(count(*) FILTER (WHERE NOT p) OVER (
+           ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) END AS code_point
+  FROM b),
+bs AS (SELECT unnest(regexp_extract_all(hex(text), '..')) AS hh FROM documents),
+cnt AS (
+  SELECT CAST((instr('0123456789ABCDEF', hh[1]) - 1) * 16 + instr('0123456789ABCDEF', hh[2]) - 1 AS INTEGER) AS byte,
+         count(*) AS n FROM bs GROUP BY 1)
+SELECT a.byte, CAST(a.code_point AS INTEGER) AS code_point, chr(a.code_point) AS symbol,
+       coalesce(cnt.n, 0) AS n_occurrences
+FROM a LEFT JOIN cnt USING (byte)""")
+
+oracle("pretokenize", f"""
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ps[i] AS piece
+FROM (SELECT doc_id, regexp_extract_all(text, '{_PRETOK}') AS ps FROM documents), range(1, len(ps) + 1) AS t(i)""")
+
+_WC = f""",
+wc AS (
+  SELECT w AS word, count(*) AS n
+  FROM (SELECT unnest(regexp_extract_all(text, '{_PRETOK}')) AS w FROM corpus WHERE split = 'train')
+  GROUP BY w)"""
+
+oracle("word_counts", with_views("corpus") + _WC + """
+SELECT word, n FROM wc""")
+
+oracle("bpe_pair_counts", with_views("corpus") + _WC + """
+SELECT c[i] AS "left", c[i + 1] AS "right", CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT n, string_split(word, '') AS c FROM wc), range(1, len(c)) AS t(i)
+GROUP BY 1, 2""")
+
+oracle("vocab_with_specials", with_views("vocab") + """
+SELECT token_id, token, special FROM vocab""")
+
+oracle("encode_input", with_views("enc_pairs") + """
+SELECT conv_id, turn, input_ids, attention_mask FROM enc""")
+
+oracle("frame_target", with_views("pairs") + """
+SELECT conv_id, turn, '<BOS>' || target || '<EOS>' AS framed FROM pairs""")
+
+oracle("encode_labels", with_views("enc_pairs") + """
+SELECT conv_id, turn, labels FROM enc""")
+
+oracle("decode_ids", with_views("enc_pairs") + """,
+dt AS (
+  SELECT e.conv_id, e.turn, i, v.token
+  FROM enc e, range(1, len(e.labels) + 1) AS t(i)
+  JOIN vocab v ON v.token_id = e.labels[i] AND NOT v.special),
+dec AS (SELECT conv_id, turn, string_agg(token, ' ' ORDER BY i) AS text FROM dt GROUP BY ALL)
+SELECT p.conv_id, p.turn, coalesce(dec.text, '') AS text FROM pairs p LEFT JOIN dec USING (conv_id, turn)""")
+
+oracle("token_lengths", with_views("pairs") + r"""
+SELECT conv_id, turn, CAST(len(regexp_extract_all(input, '\S+')) AS BIGINT) AS n_input_tokens,
+       CAST(len(regexp_extract_all(target, '\S+')) AS BIGINT) AS n_target_tokens
+FROM pairs""")
+
+# ======================================================================== B1-B7
+oracle("batch_assign", with_views("corpus") + """
+SELECT doc_id, CAST(r AS BIGINT) AS row_idx, CAST(r // 32 AS BIGINT) AS batch_id
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM corpus WHERE split = 'test')""")
+
+oracle("batch_shuffled", with_views("corpus") + """
+SELECT doc_id, CAST(r AS BIGINT) AS row_idx, CAST(r // 32 AS BIGINT) AS batch_id
+FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-115-0'), doc_id) - 1 AS r
+      FROM corpus WHERE split = 'train')""")
+
+oracle("pad_batches", with_views("padded") + """
+SELECT conv_id, turn, batch_id, input_ids, attention_mask, labels FROM padded""")
+
+oracle("nonpad_counts", with_views("padded") + """
+SELECT conv_id, turn, CAST(len(list_filter(input_ids, lambda x: x <> pad_id)) AS BIGINT) AS n_input,
+       CAST(len(list_filter(labels, lambda x: x <> pad_id)) AS BIGINT) AS n_labels,
+       CAST(len(list_filter(attention_mask, lambda x: x = 1)) AS BIGINT) AS n_mask
+FROM padded""")
+
+oracle("batch_budget", with_views("padded") + """
+SELECT batch_id, CAST(max(len(list_filter(labels, lambda x: x <> pad_id))) - 1 AS BIGINT) AS budget
+FROM padded GROUP BY batch_id""")
+
+oracle("batch_plan", with_views("corpus") + """
+SELECT split, count(*) AS n_rows, CAST(ceil(count(*) / 32) AS BIGINT) AS n_batches,
+       CAST(ceil(count(*) / 32) * 5 AS BIGINT) AS total_steps, 8 AS grad_accum
+FROM corpus GROUP BY split""")
+
+# ======================================================================== M1-M9
+oracle("line_spans", with_views("spans") + """
+SELECT doc_id, line_no, start, span_len FROM spans""")
+
+oracle("span_offsets", with_views("spans") + """
+SELECT doc_id, line_no, CAST(length(line) - length(ltrim(line)) AS BIGINT) AS col,
+       CAST(start + length(line) - length(ltrim(line)) AS BIGINT) AS "offset"
+FROM spans""")
+
+_MASKED = "md5(substring(text, 1, start) || '<MASK>' || substring(text, start + span_len + 1))"
+
+oracle("mask_spans", with_views("spans") + f"""
+SELECT doc_id, line_no, {_MASKED} AS masked_md5, substring(text, start + 1, span_len) AS solution
+FROM spans WHERE span_len > 0""")
+
+oracle("nested_tasks", with_views("spans") + f""",
+n AS (
+  SELECT doc_id, list(line_no ORDER BY line_no) AS line_nos, list({_MASKED} ORDER BY line_no) AS masked_md5s,
+         list(substring(text, start + 1, span_len) ORDER BY line_no) AS solutions
+  FROM spans WHERE span_len > 0 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(line_nos, []::BIGINT[]) AS line_nos, coalesce(masked_md5s, []::VARCHAR[]) AS masked_md5s,
+       coalesce(solutions, []::VARCHAR[]) AS solutions
+FROM documents d LEFT JOIN n USING (doc_id)""")
+
+oracle("length_quantiles", with_views("spans") + """
+SELECT quantile_cont(n_tokens, [0.25, 0.5, 0.75]) AS edges FROM span_tok""")
+
+_BINS = """,
+e AS (SELECT quantile_cont(n_tokens, [0.25, 0.5, 0.75]) AS e FROM span_tok),
+bins AS (
+  SELECT doc_id, line_no, n_tokens,
+         CAST((n_tokens >= e[1])::INT + (n_tokens >= e[2])::INT + (n_tokens >= e[3])::INT AS INTEGER) AS bin
+  FROM span_tok, e)"""
+
+oracle("length_bins", with_views("spans") + _BINS + """
+SELECT doc_id, line_no, n_tokens, bin FROM bins""")
+
+oracle("length_buckets", with_views("spans") + _BINS + """
+SELECT CASE bin WHEN 1 THEN 'sm' WHEN 2 THEN 'md' ELSE 'lg' END AS bucket, count(*) AS n_spans
+FROM bins GROUP BY 1""")
+
+oracle("mix_lengths", with_views("corpus") + """
+SELECT 'mix' AS config, length, count(*) AS n_docs FROM corpus
+WHERE length IN ('short', 'medium', 'long') GROUP BY length""")
+
+# ======================================================================= C1-C15
+_PREFIX = r""",
+pt AS (SELECT conv_id, turn, regexp_extract_all(pred, '\S+') AS p FROM pred_ref),
+pc AS (
+  SELECT conv_id, turn, CAST(k AS INTEGER) AS k, array_to_string(p[1:k], ' ') AS candidate
+  FROM pt, range(1, len(p) + 1) AS t(k))"""
+
+oracle("prefix_candidates", with_views("pred_ref") + _PREFIX + """
+SELECT conv_id, turn, k, candidate FROM pc""")
+
+oracle("fill_mask", with_views("spans") + """
+SELECT doc_id, line_no,
+       replace(substring(text, 1, start) || '<MASK>' || substring(text, start + span_len + 1), '<MASK>',
+               substring(text, start + 1, span_len)) = text AS restored
+FROM spans WHERE span_len > 0""")
+
+
+def _bal(c: str) -> str:
+    conds = []
+    for o, cl in (("(", ")"), ("[", "]"), ("{", "}")):
+        conds.append(f"length({c}) - length(replace({c}, '{o}', '')) = length({c}) - length(replace({c}, '{cl}', ''))")
+    return " AND ".join(conds)
+
+
+oracle("balanced_candidates", with_views("pred_ref") + _PREFIX + f"""
+SELECT conv_id, turn, k FROM pc WHERE {_bal('candidate')}""")
+
+oracle("first_block", with_views("pairs") + r"""
+SELECT conv_id, turn,
+       input || regexp_replace(regexp_split_to_array(replace(input || ' ' || target, input, ''), '\n\p{Lu}')[1],
+                               '\s+$', '') AS block
+FROM pairs""")
+
+oracle("fanout_candidates", with_views("pred_ref") + r""",
+s AS (SELECT * FROM (VALUES (0, 5), (1, 7), (2, 11)) v(sample, period)),
+x AS (
+  SELECT conv_id, turn, 'Q' || CAST(conv_id AS VARCHAR) || ':' AS prompt, CAST(sample AS INTEGER) AS sample,
+         list_filter(regexp_extract_all(ref, '\S+'), lambda x, i: (i - 1) % period <> 3) AS tk
+  FROM pred_ref, s),
+c AS (
+  SELECT conv_id, turn, prompt, sample, CAST(k AS INTEGER) AS k,
+         prompt || ' ' || array_to_string(tk[1:k], ' ') AS completion
+  FROM x, range(1, len(tk) + 1) AS t(k))
+SELECT conv_id, turn, sample, k,
+       md5(prompt || regexp_replace(regexp_split_to_array(replace(completion, prompt, ''), '\n\p{Lu}')[1],
+                                    '\s+$', '')) AS text_md5
+FROM c""")
+
+_CA = """,
+ta AS (
+  SELECT task_id, 'easy' AS kind, CAST(i - 1 AS INTEGER) AS assert_idx, test_list[i] AS assertion
+  FROM tasks, range(1, len(test_list) + 1) AS t(i)
+  UNION ALL
+  SELECT task_id, 'hard', CAST(i - 1 AS INTEGER), challenge_test_list[i]
+  FROM tasks, range(1, len(challenge_test_list) + 1) AS t(i)),
+ca AS (
+  SELECT a.task_id, a.candidate, t.kind, t.assert_idx, t.assertion,
+         CASE WHEN t.kind = 'easy' THEN a.easy_pass ELSE a.hard_pass END AS passed
+  FROM attempts a JOIN ta t USING (task_id)),
+per AS (
+  SELECT task_id, kind, candidate, CAST(sum(passed) AS BIGINT) AS n_passed,
+         list(passed ORDER BY assert_idx) AS asserts
+  FROM ca GROUP BY ALL),
+best AS (
+  SELECT task_id, kind, candidate AS best_candidate, n_passed, asserts FROM per
+  QUALIFY row_number() OVER (PARTITION BY task_id, kind ORDER BY n_passed DESC, candidate) = 1),
+boz AS (
+  SELECT t.task_id,
+         coalesce(e.asserts, list_transform(t.test_list, lambda x: 0)) AS easy_asserts,
+         coalesce(h.asserts, list_transform(t.challenge_test_list, lambda x: 0)) AS hard_asserts,
+         e.best_candidate AS easy_candidate, h.best_candidate AS hard_candidate
+  FROM tasks t LEFT JOIN best e ON e.task_id = t.task_id AND e.kind = 'easy'
+  LEFT JOIN best h ON h.task_id = t.task_id AND h.kind = 'hard')"""
+
+oracle("test_programs", with_views("tasks", "attempts") + _CA + """
+SELECT ca.task_id, ca.candidate, ca.kind, ca.assert_idx,
+       string_split(d.text, chr(10))[1] || chr(10) || ca.assertion AS program
+FROM ca JOIN documents d ON d.doc_id = ca.candidate""")
+
+oracle("candidate_assertions", with_views("tasks", "attempts") + _CA + """
+SELECT task_id, candidate, kind, assert_idx, passed FROM ca""")
+
+oracle("best_candidate", with_views("tasks", "attempts") + _CA + """
+SELECT task_id, kind, best_candidate, n_passed, asserts FROM best""")
+
+oracle("best_or_zero", with_views("tasks", "attempts") + _CA + """
+SELECT task_id, easy_asserts, hard_asserts, easy_candidate, hard_candidate FROM boz""")
+
+oracle("assert_accuracy", with_views("tasks", "attempts") + _CA + """,
+al AS (SELECT 'easy' AS kind, unnest(easy_asserts) AS a FROM boz
+       UNION ALL SELECT 'hard', unnest(hard_asserts) FROM boz)
+SELECT kind, """ + _r("avg(a)") + """ AS accuracy, count(*) AS n_asserts FROM al GROUP BY kind""")
+
+oracle("uncompleted_count", with_views("tasks", "attempts") + _CA + """
+SELECT count(*) FILTER (WHERE easy_candidate IS NULL) AS n_uncompleted, count(*) AS n_tasks FROM boz""")
+
+oracle("pass_at_k", with_views("attempts") + """,
+per AS (SELECT task_id, count(*) AS n, CAST(sum(easy_pass) AS BIGINT) AS c FROM attempts GROUP BY task_id),
+ks AS (SELECT CAST(k AS INTEGER) AS k FROM (VALUES (1), (5), (10), (100)) v(k)),
+est AS (
+  SELECT k, n, CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0
+                    ELSE 1.0 - (SELECT product(1.0 - k / i) FROM range(n - c + 1, n + 1) AS t(i)) END AS e
+  FROM per, ks)
+SELECT k, """ + _r("avg(e)") + """ AS pass_at_k FROM est GROUP BY k HAVING min(n) >= k""")
+
+oracle("trim_eos", with_views("enc_pairs") + """
+SELECT conv_id, turn,
+       CASE WHEN list_position(labels, eos_id) > 0 THEN labels[1:list_position(labels, eos_id) - 1]
+            ELSE labels END AS trimmed
+FROM enc, sid""")
+
+oracle("trim_length", with_views("padded", "pred_ref") + r""",
+pd_tok AS (
+  SELECT conv_id, turn, i, toks[i] AS token
+  FROM (SELECT conv_id, turn, regexp_extract_all(pred, '\S+')[1:128] AS toks FROM pred_ref),
+       range(1, len(toks) + 1) AS t(i)),
+pd_ids AS (
+  SELECT a.conv_id, a.turn, list(coalesce(v.token_id, 0) ORDER BY a.i) AS ids
+  FROM pd_tok a LEFT JOIN vocab v ON v.token = a.token GROUP BY a.conv_id, a.turn),
+j AS (
+  SELECT p.conv_id, p.turn, coalesce(d.ids, []::INTEGER[]) AS pred_ids, p.labels,
+         len(list_filter(p.labels, lambda x: x <> p.pad_id)) AS n
+  FROM padded p JOIN pred_ref r USING (conv_id, turn) LEFT JOIN pd_ids d USING (conv_id, turn))
+SELECT conv_id, turn, pred_ids[1:greatest(n - 1, 0)] AS pred_trim, labels[1:greatest(n, 0)] AS target_trim
+FROM j""")
+
+oracle("top_p_filter", with_views("dist") + """,
+pr AS (
+  SELECT vec_id, token, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM dist),
+pr2 AS (SELECT vec_id, token, e / sum(e) OVER (PARTITION BY vec_id) AS prob FROM pr),
+cum AS (
+  SELECT *, coalesce(sum(prob) OVER (PARTITION BY vec_id ORDER BY prob DESC, token
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cb FROM pr2)
+SELECT vec_id, token, """ + _r("prob") + """ AS prob FROM cum WHERE cb <= 0.9""")
+
+# ======================================================================= E10-E14
+oracle("epoch_rollup", with_views("step_log") + """
+SELECT run, epoch, metric, """ + _r("sum(value * batch_size) / sum(batch_size)") + """ AS epoch_value,
+       count(*) AS n_steps, """ + _r("arg_max(value, step)") + """ AS last_value
+FROM step_log GROUP BY run, epoch, metric""")
+
+oracle("top_checkpoints", with_views("step_log") + """,
+r AS (
+  SELECT run, epoch, sum(value * batch_size) / sum(batch_size) AS val_loss
+  FROM step_log WHERE metric = 'error' GROUP BY run, epoch),
+t AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val_loss, epoch) AS rk FROM r)
+SELECT run, CAST(rk AS INTEGER) AS rank, epoch, """ + _r("val_loss") + """ AS val_loss,
+       printf('checkpoint-%02d-%.2f', epoch, val_loss) AS label, rk = 1 AS is_best
+FROM t WHERE rk <= 5""")
+
+_RESULT = r""",
+rr AS (
+  SELECT conv_id, turn, regexp_extract_all(input, '\S+') AS input, regexp_extract_all(ref, '\S+') AS reference,
+         regexp_extract_all(pred, '\S+') AS prediction, pred = ref AS exact_match, length AS test_type
+  FROM pr_class),
+ra AS (SELECT *, list_distinct(list_concat(prediction, reference)) AS a FROM rr),
+re AS (
+  SELECT *, levenshtein(
+           array_to_string(list_transform(prediction, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), ''),
+           array_to_string(list_transform(reference, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '')) AS d,
+         greatest(len(prediction), len(reference)) AS mx
+  FROM ra)"""
+
+oracle("result_rows", with_views("pr_class") + _RESULT + """
+SELECT conv_id, turn, '7' AS train_type, test_type, input, reference, prediction, CAST(NULL AS DOUBLE) AS loss,
+       exact_match, """ + _r("CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END") + """ AS levenshtein_distance
+FROM re""")
+
+oracle("train_test_matrix", with_views("pairs") + r""",
+b AS (SELECT conv_id, turn, regexp_extract_all(target, '\S+')[1:48] AS toks FROM pairs),
+bn AS (SELECT *, len(toks) AS rn FROM b),
+be AS (SELECT quantile_cont(rn, [0.25, 0.5, 0.75]) AS e FROM bn),
+bc AS (
+  SELECT bn.*, ['short', 'short', 'medium', 'long'][1 + (rn >= e[1])::INT + (rn >= e[2])::INT
+         + (rn >= e[3])::INT] AS test_type
+  FROM bn, be),
+x AS (
+  SELECT conv_id, turn, CAST(period AS VARCHAR) AS train_type, test_type, toks AS reference,
+         list_filter(toks, lambda x, i: (i - 1) % period <> 3) AS prediction
+  FROM bc, (VALUES (5), (7), (11)) v(period)),
+xa AS (SELECT *, list_distinct(list_concat(prediction, reference)) AS a FROM x),
+xe AS (
+  SELECT *, levenshtein(
+           array_to_string(list_transform(prediction, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), ''),
+           array_to_string(list_transform(reference, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '')) AS d,
+         greatest(len(prediction), len(reference)) AS mx,
+         array_to_string(prediction, ' ') = array_to_string(reference, ' ') AS em
+  FROM xa)
+SELECT train_type, test_type, count(*) AS n_rows, """ + _r("avg(CAST(em AS DOUBLE))") + """ AS exact_match,
+       """ + _r("avg(CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END)") + """ AS leven_dist
+FROM xe GROUP BY train_type, test_type""")
+
+# ======================================================================== X1-X5
+oracle("token_freq", with_views("doc_ids") + """
+SELECT split, length, token_id, n FROM freq_sl""")
+
+oracle("token_topk", with_views("doc_ids") + """,
+t AS (SELECT *, row_number() OVER (PARTITION BY split, length ORDER BY n DESC, token_id) AS rk FROM freq_sl)
+SELECT split, length, CAST(rk AS INTEGER) AS rank, t.token_id, v.token, n
+FROM t JOIN vocab v USING (token_id) WHERE rk <= 10""")
+
+oracle("js_distance", with_views("doc_ids") + """,
+fl AS (
+  SELECT g.language, v.token_id, coalesce(c.n, 0) + 1 AS n
+  FROM (SELECT DISTINCT language FROM doc_ids) g CROSS JOIN vocab v
+  LEFT JOIN (SELECT language, token_id, count(*) AS n FROM doc_ids GROUP BY ALL) c
+    ON c.language = g.language AND c.token_id = v.token_id),
+pa AS (SELECT token_id, n / sum(n) OVER () AS p FROM fl WHERE language = 'en'),
+qa AS (SELECT token_id, n / sum(n) OVER () AS q FROM fl WHERE language = 'fr'),
+j AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM pa FULL JOIN qa USING (token_id))
+SELECT """ + _r("""sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+  + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 0))""") + """ AS js FROM j""")
+
+_JS = """,
+pr AS (SELECT split, length, token_id, n / sum(n) OVER (PARTITION BY split, length) AS p FROM freq_sl)"""
+_JSV = _r("""sqrt(greatest(sum(CASE WHEN a.p > 0 THEN a.p * ln(a.p / ((a.p + b.p) / 2)) ELSE 0 END
+  + CASE WHEN b.p > 0 THEN b.p * ln(b.p / ((a.p + b.p) / 2)) ELSE 0 END) / 2, 0))""")
+
+oracle("js_within_split", with_views("doc_ids") + _JS + """
+SELECT a.split, a.length AS size_a, b.length AS size_b, """ + _JSV + """ AS js
+FROM pr a JOIN pr b ON a.split = b.split AND a.token_id = b.token_id AND a.length < b.length
+GROUP BY ALL""")
+
+oracle("js_cross_split", with_views("doc_ids") + _JS + """
+SELECT a.split AS part_a, a.length AS size_a, b.split AS part_b, b.length AS size_b, """ + _JSV + """ AS js
+FROM pr a JOIN pr b ON a.token_id = b.token_id AND a.split = 'train' AND b.split = 'test'
+GROUP BY ALL""")

@@ -56,3 +56,515 @@ def q_rouge_l(spark, sf):
 @register("masked_nll")
 def q_masked_nll(spark, sf):
     return E.masked_nll(V.dist(spark, sf), pad_id=0)
+
+
+# =========================================================== shared plan pieces
+
+from tessera.functions.code import block_spans_col  # noqa: E402
+from tessera.functions.text import ws_tokens  # noqa: E402
+from tessera.operators import batching as B  # noqa: E402
+from tessera.operators import candidates as C  # noqa: E402
+from tessera.operators import explore as X  # noqa: E402
+from tessera.operators import masking as M  # noqa: E402
+from tessera.operators import sampling as P  # noqa: E402
+from tessera.operators import tokenize as T  # noqa: E402
+from tessera.sources.tables import read_table  # noqa: E402
+
+CORPUS_COLS = ["doc_id", "language", "length", "split", "n_words"]
+
+
+def _vocab(spark, sf):
+    """Word vocabulary (2^15 entries) from the training split + 5 added tokens."""
+    train = P.scan_split(V.corpus(spark, sf), "train")
+    return T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE))
+
+
+def _ref_class(pr):
+    """test_type / length class of each reference: quartile bins of its
+    token count (bins 0,1 short; 2 medium; 3 long)."""
+    t = pr.withColumn("_n", F.size(ws_tokens("ref")))
+    return M.length_bins(t, "_n", "_bin").withColumn("length", M.length_class_of_bin(F.col("_bin"))) \
+            .drop("_n", "_bin")
+
+
+def _encoded_pairs(spark, sf):
+    pr = V.pairs(spark, sf)
+    vocab = _vocab(spark, sf)
+    inp = T.encode_input(pr, PR_KEYS, vocab)
+    lab = T.encode_labels(pr, PR_KEYS, vocab)
+    return inp.join(lab, PR_KEYS), vocab
+
+
+def _padded(spark, sf):
+    enc, vocab = _encoded_pairs(spark, sf)
+    ids = F.broadcast(T.added_token_ids(vocab))
+    batched = B.batch_assign(enc, PR_KEYS, B.BATCH_SIZE).crossJoin(ids)
+    return B.pad_batches(batched, ["batch_id"], F.col("pad_id")), vocab
+
+
+# ================================================================ sources S1-S4
+
+@register("scan_config")
+def q_scan_config(spark, sf):
+    return P.scan_config(V.corpus(spark, sf), "en", "short").select(*CORPUS_COLS)
+
+
+@register("scan_split")
+def q_scan_split(spark, sf):
+    return P.scan_split(V.corpus(spark, sf), "test").select(*CORPUS_COLS)
+
+
+@register("corpus_scan")
+def q_corpus_scan(spark, sf):
+    return P.corpus_scan(V.corpus(spark, sf))
+
+
+@register("scan_tasks")
+def q_scan_tasks(spark, sf):
+    return V.tasks(spark, sf)
+
+
+# ============================================================== sampling P4-P9
+
+@register("sample_exact")
+def q_sample_exact(spark, sf):
+    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id", "split")
+    return P.sample_exact(test, "doc_id", P.TEST_FRACTION, P.SEED)
+
+
+@register("sample_aligned")
+def q_sample_aligned(spark, sf):
+    rows = V.corpus(spark, sf).select("doc_id", "split")
+    return P.sample_aligned(rows, "doc_id", P.TEST_FRACTION, P.SEED)
+
+
+@register("sample_cap")
+def q_sample_cap(spark, sf):
+    c = V.corpus(spark, sf).select("doc_id", "length")
+    return P.sample_cap(c, "doc_id", 20, P.SEED, ["length"])
+
+
+@register("limit_batches")
+def q_limit_batches(spark, sf):
+    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id")
+    return B.limit_batches(B.batch_assign(test, "doc_id"), 0.5).select("doc_id", "batch_id")
+
+
+@register("head_rows")
+def q_head_rows(spark, sf):
+    return P.head_rows(V.corpus(spark, sf).select(*CORPUS_COLS), "doc_id", 10)
+
+
+@register("point_lookup")
+def q_point_lookup(spark, sf):
+    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id", "n_words")
+    return P.point_lookup(test, "doc_id", 0)
+
+
+@register("unpivot_sizes")
+def q_unpivot_sizes(spark, sf):
+    wide = M.mask_by_class_wide(read_table(spark, sf, "documents"))
+    sizes = [s for s, _ in M.SIZE_CLASS_AVG]
+    return P.unpivot_sizes(wide, ["doc_id"], sizes, ["line_no", "n_tokens", "target"])
+
+
+# ============================================================ tokenization T1-T13
+
+@register("byte_alphabet")
+def q_byte_alphabet(spark, sf):
+    # The alphabet is a fixed 256-row dimension; joined with the observed
+    # bytes of the corpus it reports how often each symbol occurs.
+    docs = read_table(spark, sf, "documents")
+    bytes_seen = docs.select(F.explode(F.split(F.hex(F.encode("text", "UTF-8")), "(?<=\\G..)")).alias("h")) \
+        .filter(F.length("h") == 2).select(F.conv("h", 16, 10).cast("int").alias("byte")) \
+        .groupBy("byte").agg(F.count("*").alias("n"))
+    return T.byte_alphabet(spark).join(bytes_seen, "byte", "left").select(
+        "byte", "code_point", "symbol", F.coalesce(F.col("n"), F.lit(0)).alias("n_occurrences"))
+
+
+@register("pretokenize")
+def q_pretokenize(spark, sf):
+    return T.pretokenize(read_table(spark, sf, "documents"), ["doc_id"])
+
+
+@register("word_counts")
+def q_word_counts(spark, sf):
+    return T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+
+
+@register("bpe_pair_counts")
+def q_bpe_pair_counts(spark, sf):
+    from tessera.operators.bpe import pair_counts, word_types
+    wc = T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+    return pair_counts(word_types(wc))
+
+
+@register("vocab_with_specials")
+def q_vocab_with_specials(spark, sf):
+    return _vocab(spark, sf)
+
+
+@register("encode_input")
+def q_encode_input(spark, sf):
+    return T.encode_input(V.pairs(spark, sf), PR_KEYS, _vocab(spark, sf))
+
+
+@register("frame_target")
+def q_frame_target(spark, sf):
+    p = V.pairs(spark, sf)
+    return p.select(*PR_KEYS, F.concat(F.lit("<BOS>"), "target", F.lit("<EOS>")).alias("framed"))
+
+
+@register("encode_labels")
+def q_encode_labels(spark, sf):
+    return T.encode_labels(V.pairs(spark, sf), PR_KEYS, _vocab(spark, sf))
+
+
+@register("decode_ids")
+def q_decode_ids(spark, sf):
+    vocab = _vocab(spark, sf)
+    lab = T.encode_labels(V.pairs(spark, sf), PR_KEYS, vocab)
+    return T.decode_ids(lab, PR_KEYS, "labels", vocab)
+
+
+@register("token_lengths")
+def q_token_lengths(spark, sf):
+    return T.token_lengths(V.pairs(spark, sf), PR_KEYS, ["input", "target"])
+
+
+# =============================================================== batching B1-B7
+
+@register("batch_assign")
+def q_batch_assign(spark, sf):
+    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id")
+    return B.batch_assign(test, "doc_id")
+
+
+@register("batch_shuffled")
+def q_batch_shuffled(spark, sf):
+    train = P.scan_split(V.corpus(spark, sf), "train").select("doc_id")
+    return B.batch_shuffled(train, "doc_id", P.SEED, 0)
+
+
+@register("pad_batches")
+def q_pad_batches(spark, sf):
+    padded, _ = _padded(spark, sf)
+    return padded.select(*PR_KEYS, "batch_id", "input_ids", "attention_mask", "labels")
+
+
+@register("nonpad_counts")
+def q_nonpad_counts(spark, sf):
+    padded, _ = _padded(spark, sf)
+    return padded.select(
+        *PR_KEYS, B.nonpad_count(F.col("input_ids"), F.col("pad_id")).cast("long").alias("n_input"),
+        B.nonpad_count(F.col("labels"), F.col("pad_id")).cast("long").alias("n_labels"),
+        F.size(F.filter(B.bool_mask(F.col("attention_mask")), lambda x: x)).cast("long").alias("n_mask"))
+
+
+@register("batch_budget")
+def q_batch_budget(spark, sf):
+    padded, _ = _padded(spark, sf)
+    return padded.groupBy("batch_id").agg(
+        (F.max(B.nonpad_count(F.col("labels"), F.col("pad_id"))) - 1).cast("long").alias("budget"))
+
+
+@register("batch_plan")
+def q_batch_plan(spark, sf):
+    return B.batch_plan(V.corpus(spark, sf))
+
+
+# ================================================================ masking M1-M9
+
+@register("line_spans")
+def q_line_spans(spark, sf):
+    return M.line_spans(read_table(spark, sf, "documents")).select("doc_id", "line_no", "start", "span_len")
+
+
+@register("span_offsets")
+def q_span_offsets(spark, sf):
+    return M.span_offsets(read_table(spark, sf, "documents"))
+
+
+@register("mask_spans")
+def q_mask_spans(spark, sf):
+    return M.mask_spans(read_table(spark, sf, "documents"), digest=True)
+
+
+@register("nested_tasks")
+def q_nested_tasks(spark, sf):
+    n = M.nested_tasks(read_table(spark, sf, "documents"), digest=True)
+    return n.select("doc_id", F.transform("tasks", lambda t: t["line_no"]).alias("line_nos"),
+                    F.transform("tasks", lambda t: t["masked_md5"]).alias("masked_md5s"),
+                    F.transform("tasks", lambda t: t["solution"]).alias("solutions"))
+
+
+@register("length_quantiles")
+def q_length_quantiles(spark, sf):
+    return M.length_quantiles(M.span_token_lengths(read_table(spark, sf, "documents")), "n_tokens")
+
+
+@register("length_bins")
+def q_length_bins(spark, sf):
+    return M.length_bins(M.span_token_lengths(read_table(spark, sf, "documents")), "n_tokens")
+
+
+@register("length_buckets")
+def q_length_buckets(spark, sf):
+    b = M.length_bins(M.span_token_lengths(read_table(spark, sf, "documents")), "n_tokens")
+    return b.groupBy(M.bucket_of_bin(F.col("bin"), compat=True).alias("bucket")).agg(
+        F.count("*").alias("n_spans"))
+
+
+@register("mask_by_class")
+def q_mask_by_class(spark, sf):
+    wide = M.mask_by_class_wide(read_table(spark, sf, "documents"))
+    sizes = [s for s, _ in M.SIZE_CLASS_AVG]
+    long = P.unpivot_sizes(wide, ["doc_id"], sizes, ["line_no", "n_tokens", "input", "target"])
+    return long.filter(F.col("line_no").isNotNull()).select(
+        "doc_id", "size", "line_no", "n_tokens", F.md5("input").alias("input_md5"), "target")
+
+
+@register("block_spans")
+def q_block_spans(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return docs.select("doc_id", F.inline(block_spans_col(F.col("text"))))
+
+
+@register("mix_lengths")
+def q_mix_lengths(spark, sf):
+    return P.mix_lengths(V.corpus(spark, sf)).groupBy("config", "length").agg(F.count("*").alias("n_docs"))
+
+
+# ============================================================= candidates C1-C16
+
+def _pred_tokens(spark, sf):
+    return V.pred_ref(spark, sf).select(*PR_KEYS, ws_tokens("pred").alias("ptok"))
+
+
+@register("prefix_candidates")
+def q_prefix_candidates(spark, sf):
+    return C.prefix_candidates(_pred_tokens(spark, sf), PR_KEYS, F.col("ptok"))
+
+
+@register("fill_mask")
+def q_fill_mask(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    t = M.mask_spans(docs.select("doc_id", "text"), digest=False).join(docs.select("doc_id", "text"), "doc_id")
+    filled = C.fill_mask(F.col("masked_prompt"), F.col("solution"), M.MASK_TOKEN)
+    return t.select("doc_id", "line_no", (filled == F.col("text")).alias("restored"))
+
+
+@register("balanced_candidates")
+def q_balanced_candidates(spark, sf):
+    pc = C.prefix_candidates(_pred_tokens(spark, sf), PR_KEYS, F.col("ptok"))
+    return pc.filter(C.balanced(F.col("candidate"))).select(*PR_KEYS, "k")
+
+
+@register("valid_candidates")
+def q_valid_candidates(spark, sf):
+    pc = C.prefix_candidates(_pred_tokens(spark, sf), PR_KEYS, F.col("ptok"))
+    return C.valid_candidates(pc, "candidate", C.balanced(F.col("candidate"))).select(*PR_KEYS, "k", "candidate")
+
+
+PROSE_SEPARATORS = r"\n\p{Lu}"
+
+
+@register("first_block")
+def q_first_block(spark, sf):
+    p = V.pairs(spark, sf)
+    completion = F.concat(F.col("input"), F.lit(" "), F.col("target"))
+    return p.select(*PR_KEYS, C.first_block(F.col("input"), completion, PROSE_SEPARATORS).alias("block"))
+
+
+def _samples(spark):
+    return spark.createDataFrame([(0, 5), (1, 7), (2, 11)], "sample int, period int")
+
+
+@register("fanout_candidates")
+def q_fanout_candidates(spark, sf):
+    pr = V.pred_ref(spark, sf).select(*PR_KEYS, "ref", F.concat(F.lit("Q"), F.col("conv_id").cast("string"),
+                                                                F.lit(":")).alias("prompt"))
+    samples = _samples(spark)
+    x = pr.crossJoin(F.broadcast(samples)).select(
+        *PR_KEYS, "prompt", "sample", V.corrupt(ws_tokens("ref"), F.col("period")).alias("_tok"))
+    pc = C.prefix_candidates(x, [*PR_KEYS, "prompt", "sample"], F.col("_tok"))
+    completion = F.concat(F.col("prompt"), F.lit(" "), F.col("candidate"))
+    return pc.select(*PR_KEYS, "sample", "k",
+                     F.md5(C.first_block(F.col("prompt"), completion, PROSE_SEPARATORS)).alias("text_md5"))
+
+
+def _cand_asserts(spark, sf):
+    return C.candidate_assertions(V.attempts(spark, sf), V.tasks(spark, sf))
+
+
+@register("test_programs")
+def q_test_programs(spark, sf):
+    ca = _cand_asserts(spark, sf)
+    docs = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("candidate"), F.element_at(F.split("text", "\n", -1), 1).alias("code"))
+    return ca.join(docs, "candidate").select(
+        "task_id", "candidate", "kind", "assert_idx",
+        C.test_programs(F.col("code"), F.col("assertion")).alias("program"))
+
+
+@register("candidate_assertions")
+def q_candidate_assertions(spark, sf):
+    return _cand_asserts(spark, sf).drop("assertion")
+
+
+@register("best_candidate")
+def q_best_candidate(spark, sf):
+    return C.best_candidate(_cand_asserts(spark, sf))
+
+
+def _best_or_zero(spark, sf):
+    return C.best_or_zero(C.best_candidate(_cand_asserts(spark, sf)), V.tasks(spark, sf))
+
+
+@register("best_or_zero")
+def q_best_or_zero(spark, sf):
+    return _best_or_zero(spark, sf)
+
+
+@register("assert_accuracy")
+def q_assert_accuracy(spark, sf):
+    return C.assert_accuracy(_best_or_zero(spark, sf))
+
+
+@register("uncompleted_count")
+def q_uncompleted_count(spark, sf):
+    return C.uncompleted_count(_best_or_zero(spark, sf))
+
+
+@register("pass_at_k")
+def q_pass_at_k(spark, sf):
+    return C.pass_at_k(V.attempts(spark, sf), "task_id", "easy_pass", (1, 5, 10, 100))
+
+
+@register("trim_eos")
+def q_trim_eos(spark, sf):
+    vocab = _vocab(spark, sf)
+    lab = T.encode_labels(V.pairs(spark, sf), PR_KEYS, vocab).crossJoin(F.broadcast(T.added_token_ids(vocab)))
+    return lab.select(*PR_KEYS, B.trim_eos(F.col("labels"), F.col("eos_id")).alias("trimmed"))
+
+
+@register("trim_length")
+def q_trim_length(spark, sf):
+    padded, vocab = _padded(spark, sf)
+    pred = T.encode_tokens(V.pred_ref(spark, sf), PR_KEYS, ws_tokens("pred"), vocab, T.DEC_MAX_LEN, "pred_ids")
+    j = padded.join(pred, PR_KEYS)
+    p, t = B.trim_length(F.col("pred_ids"), F.col("labels"), B.nonpad_count(F.col("labels"), F.col("pad_id")))
+    return j.select(*PR_KEYS, p.alias("pred_trim"), t.alias("target_trim"))
+
+
+@register("top_p_filter")
+def q_top_p_filter(spark, sf):
+    return C.top_p_filter(V.dist(spark, sf), C.TOP_P).select("vec_id", "token", "prob")
+
+
+@register("complete_batch")
+def q_complete_batch(spark, sf):
+    return C.complete_batch(V.pairs(spark, sf), PR_KEYS, "input", C.tail_echo_model(8))
+
+
+# ================================================================ metrics E10-E14
+
+def _loss(spark, sf):
+    return E.masked_nll(V.dist(spark, sf), pad_id=0)
+
+
+@register("metric_suite")
+def q_metric_suite(spark, sf):
+    pr = _ref_class(V.pred_ref(spark, sf))
+    return E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf))
+
+
+@register("result_rows")
+def q_result_rows(spark, sf):
+    pr = _ref_class(V.pred_ref(spark, sf))
+    return E.result_rows(pr, PR_KEYS, F.lit(str(V.CORRUPTION_PERIOD)), F.col("length"))
+
+
+@register("train_test_matrix")
+def q_train_test_matrix(spark, sf):
+    base = _ref_class(V.pairs(spark, sf).select(
+        *PR_KEYS, "input", F.slice(ws_tokens("target"), 1, V.REF_TOKENS).alias("toks"))
+        .withColumn("ref", F.array_join("toks", " ")))
+    periods = spark.createDataFrame([(5,), (7,), (11,)], "period int")
+    x = base.crossJoin(F.broadcast(periods)).withColumn(
+        "pred", F.array_join(V.corrupt(F.col("toks"), F.col("period")), " "))
+    rows = E.result_rows(x, [*PR_KEYS, "period"], F.col("period").cast("string"), F.col("length"))
+    return E.train_test_matrix(rows)
+
+
+@register("epoch_rollup")
+def q_epoch_rollup(spark, sf):
+    return E.epoch_rollup(V.step_log(spark, sf))
+
+
+@register("top_checkpoints")
+def q_top_checkpoints(spark, sf):
+    return E.top_checkpoints(E.epoch_rollup(V.step_log(spark, sf)), "error", 5)
+
+
+# ============================================================ exploration X1-X5
+
+def _doc_token_ids(spark, sf):
+    """Word ids of every document token, with split and length class."""
+    corpus = V.corpus(spark, sf).filter(F.col("split").isin("train", "test"))
+    vocab = _vocab(spark, sf)
+    ex = corpus.select("split", "length", "language", F.explode(ws_tokens("text")).alias("token"))
+    ids = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
+            .select("split", "length", "language", F.coalesce("token_id", F.lit(0)).alias("token_id"))
+    return ids, vocab
+
+
+@register("token_freq")
+def q_token_freq(spark, sf):
+    ids, vocab = _doc_token_ids(spark, sf)
+    return X.token_freq(ids, vocab, ["split", "length"])
+
+
+@register("token_topk")
+def q_token_topk(spark, sf):
+    ids, vocab = _doc_token_ids(spark, sf)
+    return X.token_topk(X.token_freq(ids, vocab, ["split", "length"]), vocab, ["split", "length"], 10)
+
+
+@register("js_distance")
+def q_js_distance(spark, sf):
+    ids, vocab = _doc_token_ids(spark, sf)
+    f = X.token_freq(ids, vocab, ["language"])
+    return X.js_distance(f.filter(F.col("language") == "en"), f.filter(F.col("language") == "fr"))
+
+
+@register("js_within_split")
+def q_js_within_split(spark, sf):
+    ids, vocab = _doc_token_ids(spark, sf)
+    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"]), "split", "length", within=True)
+
+
+@register("js_cross_split")
+def q_js_cross_split(spark, sf):
+    ids, vocab = _doc_token_ids(spark, sf)
+    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"]), "split", "length", within=False)
+
+
+# ===================================================================== BPE (T4)
+
+def _train_word_counts(spark, sf):
+    return T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+
+
+@register("bpe_train")
+def q_bpe_train(spark, sf):
+    from tessera.operators.bpe import bpe_train
+    return bpe_train(_train_word_counts(spark, sf), n_merges=16, byte_level=True)
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, sf):
+    from tessera.operators.bpe import bpe_encode, bpe_train, bpe_vocab
+    merges = bpe_train(_train_word_counts(spark, sf), n_merges=32, byte_level=True, merges_per_round=8)
+    vocab = bpe_vocab(T.byte_alphabet(spark), merges)
+    return bpe_encode(V.pairs(spark, sf), PR_KEYS, "input", merges, vocab, max_len=T.ENC_MAX_LEN)
