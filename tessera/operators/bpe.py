@@ -5,7 +5,8 @@ distinct pre-token with its corpus count -- never on the corpus itself: the
 corpus pass is the single distributed aggregate `word_counts` (T3).  Each
 round counts adjacent symbol pairs weighted by word count (partial + final
 aggregate), takes the best pair(s) to the driver (a bounded handful of rows)
-and rewrites the symbol arrays in place (a per-row projection, no shuffle).
+and rewrites the symbol strings in place (one regex replacement per row, no
+shuffle).
 Lineage is cut with a reliable checkpoint every few rounds.
 
 Exact mode (`merges_per_round=1`) reproduces sequential BPE with ties broken
@@ -17,6 +18,7 @@ from exact mode.
 
 from __future__ import annotations
 
+import re
 from typing import Iterator, Sequence
 
 import pandas as pd
@@ -45,35 +47,47 @@ def byte_symbols(word: Column) -> Column:
                        lambda h: code_point_char(_byte_code_point(F.conv(h, 16, 10).cast("int"))))
 
 
+# Symbols of a word are kept as one string joined by this separator (a
+# control character that no alphabet symbol contains), so a merge is a single
+# JVM regex replacement instead of an array rebuild.
+SEP = "\u0001"
+
+
 def word_types(word_counts: DataFrame, byte_level: bool = False) -> DataFrame:
-    """`(word, n)` -> `(word, n, symbols)`; characters or byte-level symbols."""
+    """`(word, n)` -> `(word, n, syms)`; characters or byte-level symbols,
+    joined by SEP."""
     sym = byte_symbols(F.col("word")) if byte_level else chars(F.col("word"))
-    return word_counts.select("word", "n", sym.alias("symbols"))
+    return word_counts.select("word", "n", F.array_join(sym, SEP).alias("syms"))
+
+
+def symbols(syms: Column) -> Column:
+    return F.split(syms, SEP, -1)
 
 
 def pair_counts(types: DataFrame) -> DataFrame:
-    """Adjacent symbol pairs weighted by word count: `(left, right, n)`."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("symbols") - 1),
-                        lambda i: F.struct(F.element_at("symbols", i).alias("left"),
-                                           F.element_at("symbols", i + 1).alias("right")))
-    ex = types.filter(F.size("symbols") >= 2).select("n", F.explode(pairs).alias("p"))
-    return ex.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")) \
-             .agg(F.sum("n").cast("long").alias("n"))
-
-
-def merge_pair(symbols: Column, left: str, right: str) -> Column:
-    """Rewrite left-to-right, merging each non-overlapping (left, right)."""
-    merged = left + right
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("joined"))
-
-    def step(acc, s):
-        out = acc["out"]
-        can = (~acc["joined"]) & (F.size(out) > 0) & (F.element_at(out, -1) == F.lit(left)) \
-            & (s == F.lit(right))
-        replaced = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.lit(merged)))
-        return F.struct(F.when(can, replaced).otherwise(F.concat(out, F.array(s))).alias("out"),
-                        can.alias("joined"))
-    return F.aggregate(symbols, init, step, lambda acc: acc["out"])
+    """Adjacent symbol pairs weighted by word count: `(left, right, n)`.
+
+    Pairs are pulled out by one regex pass (a zero-width match at every
+    symbol start capturing `symbol SEP symbol` in a look-ahead), counted
+    with partial aggregation, and split into (left, right) after the
+    aggregate.  Sorting the joined key orders pairs as (left, right), since
+    SEP sorts below every symbol character."""
+    pat = f"(?:^|{SEP})(?=([^{SEP}]+{SEP}[^{SEP}]+))"
+    ex = types.select("n", F.explode(F.regexp_extract_all("syms", F.lit(pat), 1)).alias("p"))
+    agg = ex.groupBy("p").agg(F.sum("n").cast("long").alias("n"))
+    return agg.select(F.substring_index("p", SEP, 1).alias("left"),
+                      F.substring_index("p", SEP, -1).alias("right"), "n")
+
+
+def _java_replacement(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def merge_pair(syms: Column, left: str, right: str) -> Column:
+    """Merge every non-overlapping (left, right), scanning left to right: a
+    regex whose look-arounds pin both symbols to whole-symbol boundaries."""
+    pat = f"(?<=^|{SEP}){re.escape(left)}{SEP}{re.escape(right)}(?={SEP}|$)"
+    return F.regexp_replace(syms, F.lit(pat), F.lit(_java_replacement(left + right)))
 
 
 def _disjoint_best(rows: Sequence, limit: int) -> list[tuple[str, str, int]]:
@@ -106,10 +120,10 @@ def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
             [(cand[0]["left"], cand[0]["right"], int(cand[0]["n"]))] if cand else []
         if not picked:
             break
-        sym = F.col("symbols")
+        sym = F.col("syms")
         for left, right, _ in picked:
             sym = merge_pair(sym, left, right)
-        types = types.select("word", "n", sym.alias("symbols"))
+        types = types.select("word", "n", sym.alias("syms"))
         merges.extend(picked)
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:
