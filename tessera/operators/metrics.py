@@ -50,23 +50,23 @@ def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
     if char_level:
         hyp, ref = chars(hyp), chars(ref)
     base = df.select(*group_cols, *keys, hyp.alias("_h"), ref.alias("_r"))
-    fan = F.explode(F.array(*[F.struct(F.lit(sd).alias("side"), F.lit(n).alias("n"))
+    fan = F.explode(F.array(*[F.struct(F.lit(sd).alias("_side"), F.lit(n).alias("_ord"))
                               for sd in (0, 1) for n in orders])).alias("o")
     x = base.select(*group_cols, *keys, fan, "_h", "_r").select(
-        *group_cols, *keys, "o.side", "o.n",
-        F.when(F.col("o.side") == 0, F.col("_h")).otherwise(F.col("_r")).alias("_c"))
-    span = F.size("_c") - F.col("n") + 1
+        *group_cols, *keys, "o._side", "o._ord",
+        F.when(F.col("o._side") == 0, F.col("_h")).otherwise(F.col("_r")).alias("_c"))
+    span = F.size("_c") - F.col("_ord") + 1
     if char_level:
-        gram = lambda i: F.array_join(F.slice("_c", i, F.col("n")), "")
+        gram = lambda i: F.array_join(F.slice("_c", i, F.col("_ord")), "")
     else:
-        gram = lambda i: F.slice("_c", i, F.col("n"))
-    exploded = x.select(*group_cols, *keys, "side", "n",
+        gram = lambda i: F.slice("_c", i, F.col("_ord"))
+    exploded = x.select(*group_cols, *keys, "_side", "_ord",
                         F.explode(F.when(span >= 1, F.transform(F.sequence(F.lit(1), span), gram)))
-                        .alias("gram"))
-    counts = exploded.groupBy(*group_cols, *keys, "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("ch"), F.count_if(F.col("side") == 1).alias("cr"))
+                        .alias("_gram"))
+    counts = exploded.groupBy(*group_cols, *keys, "_ord", "_gram").agg(
+        F.count_if(F.col("_side") == 0).alias("ch"), F.count_if(F.col("_side") == 1).alias("cr"))
     out_keys = list(group_cols) + (list(keys) if per_key else [])
-    return counts.groupBy(*out_keys, "n").agg(
+    return counts.groupBy(*out_keys, F.col("_ord").alias("n")).agg(
         F.sum(F.least("ch", "cr")).alias("m"), F.sum("ch").alias("th"), F.sum("cr").alias("tr"))
 
 
@@ -196,11 +196,11 @@ def meteor_exact(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: st
                      tokenizer(F.lower(F.col(ref))).alias("r"))
 
     def side(arr, pos_name):
-        e = base.select(*kk, F.posexplode(arr).alias(pos_name, "w"))
-        w = Window.partitionBy(*kk, "w").orderBy(F.col(pos_name).desc())
-        return e.withColumn("k", F.row_number().over(w))
+        e = base.select(*kk, F.posexplode(arr).alias(pos_name, "_w"))
+        w = Window.partitionBy(*kk, "_w").orderBy(F.col(pos_name).desc())
+        return e.withColumn("_occ", F.row_number().over(w))
 
-    m = side("h", "hp").join(side("r", "rp"), kk + ["w", "k"])
+    m = side("h", "hp").join(side("r", "rp"), kk + ["_w", "_occ"])
     wl = Window.partitionBy(*kk).orderBy("hp")
     starts = m.select(*kk, "hp", "rp",
                       F.when((F.lag("hp").over(wl) == F.col("hp") - 1) &

@@ -770,3 +770,5 @@ oracle("js_cross_split", with_views("doc_ids") + _JS + """
 SELECT a.split AS part_a, a.length AS size_a, b.split AS part_b, b.length AS size_b, """ + _JSV + """ AS js
 FROM pr a JOIN pr b ON a.token_id = b.token_id AND a.split = 'train' AND b.split = 'test'
 GROUP BY ALL""")
+
+ORACLE["epoch_rollup_stream"] = ORACLE["epoch_rollup"]

@@ -568,3 +568,13 @@ def q_bpe_encode(spark, sf):
     merges = bpe_train(_train_word_counts(spark, sf), n_merges=32, byte_level=True, merges_per_round=8)
     vocab = bpe_vocab(T.byte_alphabet(spark), merges)
     return bpe_encode(V.pairs(spark, sf), PR_KEYS, "input", merges, vocab, max_len=T.ENC_MAX_LEN)
+
+
+# ============================================================ streaming E13
+
+@register("epoch_rollup_stream")
+def q_epoch_rollup_stream(spark, sf):
+    """E13 driven by Structured Streaming over the events files."""
+    import os
+    from tessera.streaming.step_log import run_epoch_rollup
+    return run_epoch_rollup(spark, os.path.join(sf, "events.parquet"))
