@@ -772,3 +772,64 @@ FROM pr a JOIN pr b ON a.token_id = b.token_id AND a.split = 'train' AND b.split
 GROUP BY ALL""")
 
 ORACLE["epoch_rollup_stream"] = ORACLE["epoch_rollup"]
+
+# ============================================================ metric suite
+_SUITE = with_views("pr_tok", "pr_class", "dist") + "," + _NG + r""",
+gstats AS (SELECT c.length, n, sum(least(ch, cr)) AS m, sum(ch) AS th, sum(cr) AS tr
+           FROM cnt JOIN pr_class c USING (conv_id, turn) GROUP BY c.length, n),
+s_bleu AS (""" + _BLEU_TAIL.format(keys="length,", group="GROUP BY length").replace("FROM stats", "FROM gstats") + r"""),
+cs AS (SELECT conv_id, turn, length, regexp_replace(pred, '\s+', '', 'g') AS h,
+              regexp_replace(ref, '\s+', '', 'g') AS r FROM pr_class),
+cg AS (
+  SELECT conv_id, turn, length, 0 AS side, n, substring(h, i, n) AS gram
+  FROM cs, range(1, 7) AS o(n), range(1, length(h) - n + 2) AS q(i)
+  UNION ALL
+  SELECT conv_id, turn, length, 1 AS side, n, substring(r, i, n) AS gram
+  FROM cs, range(1, 7) AS o(n), range(1, length(r) - n + 2) AS q(i)),
+cc AS (SELECT conv_id, turn, length, n, gram, count(*) FILTER (WHERE side = 0) AS ch,
+              count(*) FILTER (WHERE side = 1) AS cr FROM cg GROUP BY ALL),
+cst AS (SELECT length, n, sum(least(ch, cr))::DOUBLE AS m, sum(ch)::DOUBLE AS th, sum(cr)::DOUBLE AS tr
+        FROM cc GROUP BY length, n),
+cpr AS (SELECT length, sum(m / th) FILTER (WHERE th > 0 AND tr > 0) AS sp,
+               sum(m / tr) FILTER (WHERE th > 0 AND tr > 0) AS sr,
+               count(*) FILTER (WHERE th > 0 AND tr > 0) AS eff FROM cst GROUP BY length),
+s_chrf AS (SELECT length, CASE WHEN eff = 0 OR sp + sr = 0 THEN 0.0
+  ELSE 5 * (sp / eff) * (sr / eff) / (4 * (sp / eff) + (sr / eff)) * 100.0 END AS v FROM cpr),
+s_em AS (SELECT length, avg(CAST(pred = ref AS DOUBLE)) AS v FROM pr_class GROUP BY length)""" + _ED + r""",
+s_ed AS (SELECT c.length, avg(CASE WHEN greatest(lh, lr) = 0 THEN 1.0 ELSE 1 - d / greatest(lh, lr) END) AS v
+         FROM ed JOIN pr_class c USING (conv_id, turn) GROUP BY c.length),
+mt AS (SELECT conv_id, turn, regexp_extract_all(lower(pred), '\S+') AS h,
+              regexp_extract_all(lower(ref), '\S+') AS r FROM pred_ref),
+hw AS (SELECT conv_id, turn, i - 1 AS hp, h[i] AS w FROM mt, range(1, len(h) + 1) AS q(i)),
+rw AS (SELECT conv_id, turn, i - 1 AS rp, r[i] AS w FROM mt, range(1, len(r) + 1) AS q(i)),
+hk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY hp DESC) AS k FROM hw),
+rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY rp DESC) AS k FROM rw),
+mm AS (SELECT hk.conv_id, hk.turn, hp, rp FROM hk JOIN rk USING (conv_id, turn, w, k)),
+mc AS (SELECT conv_id, turn,
+        CASE WHEN lag(hp) OVER (PARTITION BY conv_id, turn ORDER BY hp) = hp - 1
+              AND lag(rp) OVER (PARTITION BY conv_id, turn ORDER BY hp) = rp - 1 THEN 0 ELSE 1 END AS nc
+      FROM mm),
+mper AS (SELECT conv_id, turn, count(*) AS mm, sum(nc) AS ch FROM mc GROUP BY ALL),
+msc AS (SELECT mt.conv_id, mt.turn, len(h) AS hl, len(r) AS rl, coalesce(mm, 0) AS mm, ch
+        FROM mt LEFT JOIN mper USING (conv_id, turn)),
+s_meteor AS (
+  SELECT c.length, avg(CASE WHEN mm = 0 OR hl = 0 OR rl = 0 THEN 0.0 ELSE
+    (1 - 0.5 * pow(ch / mm, 3)) * ((mm / hl) * (mm / rl) / (0.9 * (mm / hl) + 0.1 * (mm / rl))) END) AS v
+  FROM msc JOIN pr_class c USING (conv_id, turn) GROUP BY c.length)""" + _LCS + r""",
+s_rouge AS (SELECT c.length, avg(CASE WHEN l = 0 THEN 0.0 ELSE 2 * (l / lh) * (l / lr) / ((l / lh) + (l / lr)) END) AS v
+            FROM lc JOIN pr_class c USING (conv_id, turn) GROUP BY c.length),
+lp AS (SELECT vec_id, target,
+          max(logit) FILTER (WHERE token = target) - (max(logit) + ln(sum(exp(logit - mx)))) AS logprob
+       FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM dist) GROUP BY vec_id, target),
+s_loss AS (SELECT avg(-logprob) AS v FROM lp WHERE target <> 0),
+allm AS (
+  SELECT length, 'bleu' AS metric, bleu AS v FROM s_bleu
+  UNION ALL SELECT length, 'chrf', v FROM s_chrf
+  UNION ALL SELECT length, 'exact_match', v FROM s_em
+  UNION ALL SELECT length, 'leven_dist', v FROM s_ed
+  UNION ALL SELECT length, 'meteor', v FROM s_meteor
+  UNION ALL SELECT length, 'rouge', v FROM s_rouge
+  UNION ALL SELECT g.length, 'tst_loss', s_loss.v FROM (SELECT DISTINCT length FROM pr_class) g, s_loss)
+SELECT length, metric, metric || '_' || length AS name, """ + _r("v") + """ AS value FROM allm"""
+
+oracle("metric_suite", _SUITE)
