@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lcs import lcs
+from tessera.functions.ngrams import alignment, ngram_stats
 from tessera.functions.text import char_ngrams, chars, ngrams, tokens_as_string, ws_tokens
 
 Tokenizer = Callable[[Column], Column]
@@ -40,13 +41,26 @@ def _g(group_cols) -> list[str]:
 
 def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
                  orders: Sequence[int], group_cols: Sequence[str], per_key: bool,
-                 char_level: bool = False) -> DataFrame:
+                 char_level: bool = False, per_row: bool = True) -> DataFrame:
     """Per (group[, key], n): matches = sum of clipped counts, hyp/ref totals.
 
+    per_row=True (default): the clipped counts of each pair are computed in
+    its own row (`functions.ngrams`); only one small row per (pair, order)
+    reaches the final aggregate, and with `per_key` nothing is shuffled.
+    per_row=False: the relational plan below.
+
     Plan: materialise the token (or character) arrays once, fan each pair out
     to one row per (side, order), explode that row's n-grams (array slices of
     an attribute, O(n) each), count per (pair, n, gram) with partial
     aggregation before the shuffle, then sum the clipped counts per order."""
+    if per_row:
+        base = df.select(*group_cols, *keys, ngram_stats(hyp, ref, orders, char_level).alias("_st"))
+        rows = base.select(*group_cols, *keys, F.inline("_st"))
+        out_keys = list(group_cols) + (list(keys) if per_key else [])
+        if per_key:
+            return rows.select(*out_keys, "n", "m", "th", "tr")
+        return rows.groupBy(*out_keys, "n").agg(F.sum("m").alias("m"), F.sum("th").alias("th"),
+                                                F.sum("tr").alias("tr"))
     if char_level:
         hyp, ref = chars(hyp), chars(ref)
     base = df.select(*group_cols, *keys, hyp.alias("_h"), ref.alias("_r"))
@@ -181,7 +195,7 @@ def edit_similarity(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref:
 def meteor_exact(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
                  tokenizer: Tokenizer = ws_tokens, alpha: float = METEOR_ALPHA,
                  beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA,
-                 group_cols=None) -> DataFrame:
+                 group_cols=None, per_row: bool = True) -> DataFrame:
     """METEOR with the exact-match stage only, mean over pairs.
 
     Alignment: walking the hypothesis from its end, each word takes the last
@@ -194,6 +208,13 @@ def meteor_exact(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: st
     kk = g + [k for k in keys if k not in g]
     base = df.select(*kk, tokenizer(F.lower(F.col(pred))).alias("h"),
                      tokenizer(F.lower(F.col(ref))).alias("r"))
+    if per_row:
+        # The alignment of a pair needs only that pair: computed in its row
+        # (Arrow batches), so the plan has no exchange before the final mean.
+        scored = base.select(*kk, F.size("h").alias("hl"), F.size("r").alias("rl"),
+                             alignment(F.col("h"), F.col("r")).alias("_a")) \
+            .select(*kk, "hl", "rl", F.col("_a.m").alias("m"), F.col("_a.chunks").alias("chunks"))
+        return _meteor_score(scored, g, alpha, beta, gamma)
 
     def side(arr, pos_name):
         e = base.select(*kk, F.posexplode(arr).alias(pos_name, "_w"))
@@ -208,12 +229,16 @@ def meteor_exact(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: st
     per = starts.groupBy(*kk).agg(F.count("*").alias("m"), F.sum("new_chunk").alias("chunks"))
     scored = base.select(*kk, F.size("h").alias("hl"), F.size("r").alias("rl")) \
         .join(per, kk, "left")
+    return _meteor_score(scored, g, alpha, beta, gamma)
+
+
+def _meteor_score(scored: DataFrame, g, alpha, beta, gamma) -> DataFrame:
     m_, hl, rl = F.coalesce(F.col("m"), F.lit(0)), F.col("hl"), F.col("rl")
     p, r = m_ / hl, m_ / rl
     fmean = p * r / (alpha * p + (1 - alpha) * r)
     pen = gamma * F.pow(F.col("chunks") / m_, beta)
     s = F.when((m_ == 0) | (hl == 0) | (rl == 0), F.lit(0.0)).otherwise((1 - pen) * fmean)
-    return scored.select(*kk, s.alias("meteor")).groupBy(*g).agg(F.avg("meteor").alias("meteor"))
+    return scored.select(*g, s.alias("meteor")).groupBy(*g).agg(F.avg("meteor").alias("meteor"))
 
 
 def rouge_l(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
