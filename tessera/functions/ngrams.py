@@ -28,9 +28,11 @@ STATS_TYPE = T.ArrayType(T.StructType([
 
 def clipped_stats(h: Sequence, r: Sequence, orders: Sequence[int]) -> list[dict]:
     out = []
+    # Strings slice to strings (cheap to hash); token lists slice to tuples.
+    key = (lambda x: x) if isinstance(h, str) else tuple
     for n in orders:
-        hc = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
-        rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
+        hc = Counter(key(h[i:i + n]) for i in range(len(h) - n + 1))
+        rc = Counter(key(r[i:i + n]) for i in range(len(r) - n + 1))
         m = sum(min(c, rc[g]) for g, c in hc.items() if g in rc)
         out.append({"n": n, "m": m, "th": max(len(h) - n + 1, 0), "tr": max(len(r) - n + 1, 0)})
     return out

@@ -166,18 +166,27 @@ def exact_match(df: DataFrame, pred: str = "pred", ref: str = "ref", group_cols=
         F.count("*").alias("n_pairs"))
 
 
-def token_edit_distance_col(a: Column, b: Column) -> Column:
+def token_edit_distance_col(a: Column, b: Column, alph: Column | None = None) -> Column:
     """E5 per row: unit-cost edit distance between two token arrays, computed by
-    the JVM `levenshtein` on strings holding one code point per distinct token."""
-    alph = F.array_distinct(F.concat(a, b))
+    the JVM `levenshtein` on strings holding one code point per distinct token.
+
+    `alph` should be a materialised column (see `with_token_alphabet`): an
+    expression referenced inside the per-token lambda is re-evaluated for
+    every token."""
+    alph = F.array_distinct(F.concat(a, b)) if alph is None else alph
     return F.levenshtein(tokens_as_string(a, alph), tokens_as_string(b, alph))
 
 
+def with_token_alphabet(df: DataFrame, a: str, b: str, name: str = "_alph") -> DataFrame:
+    return df.withColumn(name, F.array_distinct(F.concat(F.col(a), F.col(b))))
+
+
 def token_edit_distance(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
                         tokenizer: Tokenizer = ws_tokens) -> DataFrame:
     """E5: per pair edit distance and the similarity 1 - d / max(len)."""
     t = df.select(*keys, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"))
-    d = token_edit_distance_col(F.col("h"), F.col("r"))
+    t = with_token_alphabet(t, "h", "r")
+    d = token_edit_distance_col(F.col("h"), F.col("r"), F.col("_alph"))
     mx = F.greatest(F.size("h"), F.size("r"))
     return t.select(*keys, d.cast("long").alias("edit_distance"),
                     F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx).alias("similarity"))
@@ -339,9 +348,10 @@ def result_rows(pr: DataFrame, keys: Sequence[str], train_type: Column, test_typ
                   tokenizer(F.col("input")).alias("input"), tokenizer(F.col(ref)).alias("reference"),
                   tokenizer(F.col(pred)).alias("prediction"),
                   (F.col(pred) == F.col(ref)).alias("exact_match"))
-    d = token_edit_distance_col(F.col("prediction"), F.col("reference"))
+    t = with_token_alphabet(t, "prediction", "reference")
+    d = token_edit_distance_col(F.col("prediction"), F.col("reference"), F.col("_alph"))
     mx = F.greatest(F.size("prediction"), F.size("reference"))
-    t = t.withColumn("levenshtein_distance", F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx))
+    t = t.withColumn("levenshtein_distance", F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx)).drop("_alph")
     if loss is not None:
         t = t.join(loss.select(*keys, "loss"), list(keys), "left")
     else:
