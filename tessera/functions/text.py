@@ -78,4 +78,5 @@ def hash_order_key(seed, *cols) -> Column:
 
 
 def word_count(c) -> Column:
-    return F.size(ws_tokens(c))
+    """Number of white-space tokens, counted without building the array."""
+    return F.regexp_count(col_(c), F.lit(WS_TOKEN_PATTERN))

@@ -16,7 +16,7 @@ TOP_K = 10
 
 
 def token_freq(token_ids: DataFrame, vocab: DataFrame, group_cols: Sequence[str],
-               token_col: str = "token_id") -> DataFrame:
+               token_col: str = "token_id", count_col: str | None = None) -> DataFrame:
     """Counts over the whole vocabulary with an add-one start (every id
     starts at 1, then the observed ids are added), for every group in one pass.
 
@@ -24,7 +24,9 @@ def token_freq(token_ids: DataFrame, vocab: DataFrame, group_cols: Sequence[str]
     (bounded by its size) is crossed with the distinct groups (few), then
     left-joined to the counts."""
     g = list(group_cols)
-    counts = token_ids.groupBy(*g, token_col).agg(F.count("*").alias("_c"))
+    # `count_col` given: rows are already (partially) counted occurrences.
+    cnt = F.sum(count_col) if count_col else F.count("*")
+    counts = token_ids.groupBy(*g, token_col).agg(cnt.alias("_c"))
     groups = token_ids.select(*g).distinct()
     grid = groups.crossJoin(F.broadcast(vocab.select(F.col("token_id").alias(token_col))))
     return grid.join(counts, [*g, token_col], "left").select(

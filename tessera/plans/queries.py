@@ -509,45 +509,55 @@ def q_top_checkpoints(spark, sf):
 
 # ============================================================ exploration X1-X5
 
-def _doc_token_ids(spark, sf):
-    """Word ids of every document token, with split and length class."""
+def _doc_token_ids(spark, sf, group_cols=("split", "length", "language")):
+    """Word-id occurrence counts of the document tokens per group.
+
+    Tokens are counted per (group, token string) first -- partial aggregation
+    collapses repeats before anything moves -- and only the distinct
+    (group, token) rows meet the broadcast vocabulary; unknown tokens fold
+    into id 0."""
+    g = list(group_cols)
     corpus = V.corpus(spark, sf).filter(F.col("split").isin("train", "test"))
     vocab = _vocab(spark, sf)
-    ex = corpus.select("split", "length", "language", F.explode(ws_tokens("text")).alias("token"))
-    ids = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
-            .select("split", "length", "language", F.coalesce("token_id", F.lit(0)).alias("token_id"))
+    per_tok = corpus.select(*g, F.explode(ws_tokens("text")).alias("token")) \
+        .groupBy(*g, "token").agg(F.count("*").alias("c"))
+    ids = per_tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
+        .select(*g, F.coalesce("token_id", F.lit(0)).alias("token_id"), "c")
     return ids, vocab
 
 
 @register("token_freq")
 def q_token_freq(spark, sf):
-    ids, vocab = _doc_token_ids(spark, sf)
-    return X.token_freq(ids, vocab, ["split", "length"])
+    ids, vocab = _doc_token_ids(spark, sf, ("split", "length"))
+    return X.token_freq(ids, vocab, ["split", "length"], count_col="c")
 
 
 @register("token_topk")
 def q_token_topk(spark, sf):
-    ids, vocab = _doc_token_ids(spark, sf)
-    return X.token_topk(X.token_freq(ids, vocab, ["split", "length"]), vocab, ["split", "length"], 10)
+    ids, vocab = _doc_token_ids(spark, sf, ("split", "length"))
+    return X.token_topk(X.token_freq(ids, vocab, ["split", "length"], count_col="c"), vocab,
+                        ["split", "length"], 10)
 
 
 @register("js_distance")
 def q_js_distance(spark, sf):
-    ids, vocab = _doc_token_ids(spark, sf)
-    f = X.token_freq(ids, vocab, ["language"])
+    ids, vocab = _doc_token_ids(spark, sf, ("language",))
+    f = X.token_freq(ids, vocab, ["language"], count_col="c")
     return X.js_distance(f.filter(F.col("language") == "en"), f.filter(F.col("language") == "fr"))
 
 
 @register("js_within_split")
 def q_js_within_split(spark, sf):
-    ids, vocab = _doc_token_ids(spark, sf)
-    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"]), "split", "length", within=True)
+    ids, vocab = _doc_token_ids(spark, sf, ("split", "length"))
+    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"], count_col="c"), "split", "length",
+                      within=True)
 
 
 @register("js_cross_split")
 def q_js_cross_split(spark, sf):
-    ids, vocab = _doc_token_ids(spark, sf)
-    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"]), "split", "length", within=False)
+    ids, vocab = _doc_token_ids(spark, sf, ("split", "length"))
+    return X.js_pairs(X.token_freq(ids, vocab, ["split", "length"], count_col="c"), "split", "length",
+                      within=False)
 
 
 # ===================================================================== BPE (T4)
