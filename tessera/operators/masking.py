@@ -121,8 +121,18 @@ def nested_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def mask_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
                mask: str = MASK_TOKEN, digest: bool = False) -> DataFrame:
-    """M3 flat view: one row per masked line."""
-    return nested_tasks(docs, key, text, mask, digest).select(key, F.inline("tasks"))
+    """M3 flat view: one row per masked line.
+
+    The spans are generated first and each masked prompt is built in its own
+    output row, so a long document never materialises all of its masked
+    copies in one nested value."""
+    t = line_table(docs, key, text)
+    spans = F.filter(_line_structs(F.col("lines"), F.col("offs")), lambda s: s["span_len"] > 0)
+    ex = t.select(key, text, F.inline(spans))
+    tx = F.col(text)
+    m = mask_text(tx, F.col("start"), F.col("span_len"), mask)
+    return ex.select(key, "line_no", (F.md5(m) if digest else m).alias("masked_md5" if digest else "masked_prompt"),
+                     solution_text(tx, F.col("start"), F.col("span_len")).alias("solution"))
 
 
 # ------------------------------------------------------------------ M5-M7 rows
