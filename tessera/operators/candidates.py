@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.code import parses_col
+from tessera.functions.stats import pass_at_k_col
 from tessera.functions.text import ws_tokens
 
 # The first-block separators (a newline followed by one of
@@ -161,9 +162,9 @@ def pass_at_k(outcomes: DataFrame, task_col: str, pass_col: str, ks: Sequence[in
     ks_df = outcomes.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
     x = per.crossJoin(F.broadcast(ks_df))
     n, c, k = F.col("n"), F.col("c"), F.col("k")
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
-                       lambda acc, i: acc * (F.lit(1.0) - k / i))
-    est = F.when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(1.0 - prod)
+    # One row per (task, k) after a partial + final aggregate; the estimator
+    # is O(1) per row (log-gamma closed form), whatever the task's size.
+    est = pass_at_k_col(n, c, k)
     return x.groupBy(*g, "k").agg(F.avg(est).alias("pass_at_k"), F.min("n").alias("_min_n")) \
             .filter(F.col("_min_n") >= F.col("k")).drop("_min_n")
 

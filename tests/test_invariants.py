@@ -138,3 +138,21 @@ def test_bpe_encode_round_trip(spark):
     for r in enc.collect():
         sym = "".join(inv[i] for i in r["input_ids"])
         assert bytes(byte_of[c] for c in sym).decode("utf-8") == texts[r["doc_id"]]
+
+
+def test_pass_at_k_closed_form_matches_product():
+    from tessera.functions.stats import pass_at_k_value
+
+    def brute(n, c, k):
+        if c == 0:
+            return 0.0
+        if n - c < k:
+            return 1.0
+        p = 1.0
+        for i in range(n - c + 1, n + 1):
+            p *= 1 - k / i
+        return 1 - p
+    for n in range(1, 300, 7):
+        for c in range(0, n + 1, 3):
+            for k in (1, 5, 10, 100):
+                assert abs(pass_at_k_value(n, c, k) - brute(n, c, k)) < 1e-9
