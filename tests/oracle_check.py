@@ -54,6 +54,38 @@ def duck(sf_dir):
     return con
 
 
+def _spark_kind(dt) -> str:
+    from pyspark.sql import types as T
+    if isinstance(dt, (T.LongType,)):
+        return "BIGINT"
+    if isinstance(dt, (T.IntegerType,)):
+        return "INTEGER"
+    if isinstance(dt, (T.ShortType, T.ByteType)):
+        return "SMALLINT"
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return "DOUBLE" if isinstance(dt, T.DoubleType) else "FLOAT"
+    if isinstance(dt, T.StringType):
+        return "VARCHAR"
+    if isinstance(dt, T.BooleanType):
+        return "BOOLEAN"
+    if isinstance(dt, T.ArrayType):
+        return _spark_kind(dt.elementType) + "[]"
+    if isinstance(dt, T.TimestampType):
+        return "TIMESTAMP"
+    return type(dt).__name__
+
+
+def type_mismatches(sdf, cur) -> list:
+    """Columns whose Spark and DuckDB types differ (by SQL type name)."""
+    duck_types = {c[0]: str(c[1]) for c in cur.description}
+    out = []
+    for f in sdf.schema.fields:
+        d = duck_types.get(f.name)
+        if d is not None and _spark_kind(f.dataType) != d:
+            out.append((f.name, _spark_kind(f.dataType), d))
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -63,11 +95,14 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sql is None:
         return dict(name=name, ok=None, rows=len(s_rows), spark_s=round(t1 - t0, 2))
     cur = con.execute(sql)
+    types = type_mismatches(sdf, cur)
     d_cols = [c[0] for c in cur.description]
     d_rows = cur.fetchall()
     t2 = time.time()
     res = dict(name=name, rows=len(s_rows), oracle_rows=len(d_rows),
                spark_s=round(t1 - t0, 2), duck_s=round(t2 - t1, 2))
+    if types:
+        res["types"] = types
     if sorted(s_cols) != sorted(d_cols):
         res.update(ok=False, why=f"columns {sorted(s_cols)} vs {sorted(d_cols)}")
         return res
