@@ -84,11 +84,17 @@ def word_vocab(corpus_text: DataFrame, text: str = "text", vocab_size: int = VOC
     bounded by `vocab_size`, so the final ranking runs on that many rows."""
     counts = corpus_text.select(F.explode(tokenizer(F.col(text))).alias("token")) \
         .groupBy("token").agg(F.count("*").alias("n"))
+    return vocab_from_counts(counts, vocab_size)
+
+
+def vocab_from_counts(counts: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """`(token, n)` -> vocabulary: `<UNK>` = 0, then the top `vocab_size - 1`
+    tokens by (n desc, token)."""
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size - 1)
     # A window over at most `vocab_size` rows (after the top-k limit).
     ranked = top.select("token", F.row_number().over(
         Window.orderBy(F.col("n").desc(), F.col("token"))).cast("int").alias("token_id"))
-    unk = corpus_text.sparkSession.createDataFrame([(0, UNK_TOKEN)], "token_id int, token string")
+    unk = counts.sparkSession.createDataFrame([(0, UNK_TOKEN)], "token_id int, token string")
     return unk.unionByName(ranked.select("token_id", "token")).withColumn("special", F.lit(False))
 
 
@@ -134,6 +140,37 @@ def encode_tokens(df: DataFrame, key: Sequence[str], tokens: Column, vocab: Data
     return grouped.select(*k, F.transform(F.col("_s"), lambda s: s["token_id"]).alias(out_col))
 
 
+def encode_columns(df: DataFrame, key: Sequence[str], specs: Sequence[tuple[str, Column, int]],
+                   vocab: DataFrame) -> DataFrame:
+    """Encode several token columns of the same rows in one pass: one explode
+    tagged by column, one broadcast lookup, one regroup by row key (instead of
+    one shuffle per column plus a join).  `specs` = (out_col, tokens, max_len)."""
+    k = list(key)
+    tagged = F.array(*[F.struct(F.lit(i).alias("c"), F.slice(tok, 1, mx).alias("t"))
+                       for i, (_, tok, mx) in enumerate(specs)])
+    base = df.select(*k, F.inline(tagged))
+    ex = base.select(*k, "c", F.posexplode_outer("t").alias("_p", "token"))
+    v = F.broadcast(vocab.select("token", "token_id"))
+    looked = ex.join(v, "token", "left").select(
+        *k, "c", "_p", F.coalesce(F.col("token_id"), F.lit(0)).alias("token_id"))
+    aggs = []
+    for i, (out, _, _) in enumerate(specs):
+        entry = F.when((F.col("c") == i) & F.col("_p").isNotNull(), F.struct("_p", "token_id"))
+        aggs.append(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["token_id"]).alias(out))
+    return looked.groupBy(*k).agg(*aggs)
+
+
+def encode_pairs(df: DataFrame, key: Sequence[str], vocab: DataFrame, input_col: str = "input",
+                 target_col: str = "target", enc_max_len: int = ENC_MAX_LEN,
+                 dec_max_len: int = DEC_MAX_LEN, tokenizer=ws_tokens) -> DataFrame:
+    """T7-T10 for both sides at once: input_ids, attention_mask, labels."""
+    enc = encode_columns(df, key, [("input_ids", tokenizer(F.col(input_col)), enc_max_len),
+                                   ("labels", frame_tokens(tokenizer(F.col(target_col))), dec_max_len)],
+                         vocab)
+    return enc.select(*key, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
+                      "labels")
+
+
 def encode_input(df: DataFrame, key: Sequence[str], vocab: DataFrame, text: str = "input",
                  max_len: int = ENC_MAX_LEN, tokenizer=ws_tokens) -> DataFrame:
     """T7 + T10: input_ids and an attention mask of ones."""

@@ -73,10 +73,20 @@ from tessera.sources.tables import read_table  # noqa: E402
 CORPUS_COLS = ["doc_id", "language", "length", "split", "n_words"]
 
 
+def _materialise(df):
+    """Cut the lineage of a reused intermediate with a reliable checkpoint in
+    the shared checkpoint folder, so every branch that uses it reads the
+    stored rows instead of re-running the plan behind it."""
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _vocab(spark, sf):
-    """Word vocabulary (2^15 entries) from the training split + 5 added tokens."""
+    """Word vocabulary (2^15 entries) from the training split + 5 added tokens,
+    stored once (bounded by the vocabulary size) and read by every branch."""
     train = P.scan_split(V.corpus(spark, sf), "train")
-    return T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE))
+    return _materialise(T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE)))
 
 
 def _ref_class(pr):
@@ -90,9 +100,7 @@ def _ref_class(pr):
 def _encoded_pairs(spark, sf):
     pr = V.pairs(spark, sf)
     vocab = _vocab(spark, sf)
-    inp = T.encode_input(pr, PR_KEYS, vocab)
-    lab = T.encode_labels(pr, PR_KEYS, vocab)
-    return inp.join(lab, PR_KEYS), vocab
+    return T.encode_pairs(pr, PR_KEYS, vocab), vocab
 
 
 def _padded(spark, sf):
@@ -510,17 +518,23 @@ def q_top_checkpoints(spark, sf):
 # ============================================================ exploration X1-X5
 
 def _doc_token_ids(spark, sf, group_cols=("split", "length", "language")):
-    """Word-id occurrence counts of the document tokens per group.
-
-    Tokens are counted per (group, token string) first -- partial aggregation
-    collapses repeats before anything moves -- and only the distinct
-    (group, token) rows meet the broadcast vocabulary; unknown tokens fold
-    into id 0."""
+    """Word-id occurrence counts of the document tokens per group, and the
+    vocabulary -- both from ONE tokenization pass.
+
+    Tokens are counted per (split, length, language, token) first (partial
+    aggregation collapses repeats before anything moves).  The vocabulary is
+    the top of the train rows of that same table, and the counts meet the
+    broadcast vocabulary only as distinct (group, token) rows; unknown tokens
+    fold into id 0.  The counted
+    table is computed once: it is stored by a checkpoint and both branches
+    read it."""
     g = list(group_cols)
     corpus = V.corpus(spark, sf).filter(F.col("split").isin("train", "test"))
-    vocab = _vocab(spark, sf)
-    per_tok = corpus.select(*g, F.explode(ws_tokens("text")).alias("token")) \
-        .groupBy(*g, "token").agg(F.count("*").alias("c"))
+    per_tok = _materialise(
+        corpus.select("split", "length", "language", F.explode(ws_tokens("text")).alias("token"))
+        .groupBy("split", "length", "language", "token").agg(F.count("*").alias("c")))
+    train_counts = per_tok.filter(F.col("split") == "train").groupBy("token").agg(F.sum("c").alias("n"))
+    vocab = _materialise(T.with_added_tokens(T.vocab_from_counts(train_counts, T.VOCAB_SIZE)))
     ids = per_tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
         .select(*g, F.coalesce("token_id", F.lit(0)).alias("token_id"), "c")
     return ids, vocab
