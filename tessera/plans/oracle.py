@@ -833,3 +833,15 @@ allm AS (
 SELECT length, metric, metric || '_' || length AS name, """ + _r("v") + """ AS value FROM allm"""
 
 oracle("metric_suite", _SUITE)
+
+oracle("metric_record_wide", _SUITE.replace(
+    "SELECT length, metric, metric || '_' || length AS name, " + _r("v") + " AS value FROM allm",
+    "SELECT length, " + ", ".join(
+        f"{_r(f'max(v) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}"
+        for m in ("bleu", "chrf", "exact_match", "leven_dist", "meteor", "rouge", "tst_loss"))
+    + " FROM allm GROUP BY length"))
+
+oracle("metrics_json", _SUITE.replace(
+    "SELECT length, metric, metric || '_' || length AS name, " + _r("v") + " AS value FROM allm",
+    "SELECT length, '{' || string_agg('\"' || metric || '_' || length || '\":' || CAST("
+    + _r("v") + " AS VARCHAR), ',' ORDER BY metric || '_' || length) || '}' AS json FROM allm GROUP BY length"))

@@ -602,3 +602,19 @@ def q_epoch_rollup_stream(spark, sf):
     import os
     from tessera.streaming.step_log import run_epoch_rollup
     return run_epoch_rollup(spark, os.path.join(sf, "events.parquet"))
+
+
+@register("metric_record_wide")
+def q_metric_record_wide(spark, sf):
+    """E10 wide form: one row per length class, one column per metric."""
+    pr = _ref_class(V.pred_ref(spark, sf))
+    return E.metric_record_wide(E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf)), "length")
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf):
+    """The JSON object written per length class."""
+    from tessera.sources.sinks import metrics_json
+    pr = _ref_class(V.pred_ref(spark, sf))
+    suite = E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf))
+    return metrics_json(suite.withColumn("value", F.round("value", 6)), "length")

@@ -19,6 +19,10 @@ _BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Coalesced shuffle partitions may be small: rows after a shuffle often
+    # carry expensive per-row work (tokenization, Arrow UDFs), and a few
+    # megabytes of pairs are better spread over all slots than packed into one.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 

@@ -156,3 +156,16 @@ def test_pass_at_k_closed_form_matches_product():
         for c in range(0, n + 1, 3):
             for k in (1, 5, 10, 100):
                 assert abs(pass_at_k_value(n, c, k) - brute(n, c, k)) < 1e-9
+
+
+def test_preparation_is_idempotent(spark):
+    from tessera.operators.sampling import skip_if_encoded
+    calls = []
+
+    def prepare(df):
+        calls.append(1)
+        return df.withColumn("input_ids", F.array(F.lit(1)))
+    df = spark.createDataFrame([(1, "a b")], "k long, input string")
+    once = skip_if_encoded(df, prepare)
+    twice = skip_if_encoded(once, prepare)
+    assert len(calls) == 1 and twice is once
