@@ -303,34 +303,74 @@ SUITE_METRICS = ("bleu", "chrf", "exact_match", "leven_dist", "meteor", "rouge",
 
 
 def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataFrame,
-                 pred: str = "pred", ref: str = "ref", tokenizer: Tokenizer = ws_tokens) -> DataFrame:
+                 pred: str = "pred", ref: str = "ref", tokenizer: Tokenizer = ws_tokens,
+                 max_order: int = BLEU_MAX_ORDER, char_order: int = CHRF_CHAR_ORDER,
+                 beta: float = CHRF_BETA, alpha: float = METEOR_ALPHA,
+                 m_beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA) -> DataFrame:
     """One record of 7 named values per group (length class), long form
     `(length, metric, name, value)` with name = metric_length.
 
-    Each metric is one grouped aggregate over the same keyed pairs; they are
-    joined on the (few) group values.  `loss` is a one-row frame with `nll`."""
-    g = [group_col]
-    parts = [
-        bleu_corpus(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("bleu").alias("v"))
-        .withColumn("metric", F.lit("bleu")),
-        chrf_corpus(pr, keys, pred, ref, group_cols=g).select(group_col, F.col("chrf").alias("v"))
-        .withColumn("metric", F.lit("chrf")),
-        exact_match(pr, pred, ref, group_cols=g).select(group_col, F.col("exact_match").alias("v"))
-        .withColumn("metric", F.lit("exact_match")),
-        edit_similarity(pr, keys, pred, ref, tokenizer, group_cols=g)
-        .select(group_col, F.col("edit_similarity").alias("v")).withColumn("metric", F.lit("leven_dist")),
-        meteor_exact(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("meteor").alias("v"))
-        .withColumn("metric", F.lit("meteor")),
-        rouge_l(pr, keys, pred, ref, tokenizer, group_cols=g).select(group_col, F.col("rouge_l").alias("v"))
-        .withColumn("metric", F.lit("rouge")),
-        pr.select(group_col).distinct().crossJoin(F.broadcast(loss.select(F.col("nll").alias("v"))))
-        .withColumn("metric", F.lit("tst_loss")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(group_col, "metric", F.concat_ws("_", F.col("metric"), F.col(group_col)).alias("name"),
-                      F.col("v").cast("double").alias("value"))
+    One pass: every pair's statistics for all six text metrics (clipped n-gram
+    counts, character n-gram counts, METEOR alignment, LCS, edit distance,
+    equality) are computed in a single projection of its row, then ONE grouped
+    aggregate sums them per class -- the pairs are read and tokenized once and
+    the only shuffle carries a few numbers per pair and class.  `loss` is a
+    one-row frame with `nll`, crossed in by broadcast."""
+    g = group_col
+    strip = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
+    t = pr.select(g, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"),
+                  tokenizer(F.lower(F.col(pred))).alias("hl_"), tokenizer(F.lower(F.col(ref))).alias("rl_"),
+                  strip(pred).alias("hs"), strip(ref).alias("rs"),
+                  (F.col(pred) == F.col(ref)).cast("double").alias("em"))
+    t = with_token_alphabet(t, "h", "r")
+    row = t.select(
+        g, "em",
+        ngram_stats(F.col("h"), F.col("r"), range(1, max_order + 1)).alias("bs"),
+        ngram_stats(F.col("hs"), F.col("rs"), range(1, char_order + 1), char_level=True).alias("cs"),
+        alignment(F.col("hl_"), F.col("rl_")).alias("al"),
+        F.size("hl_").alias("mh"), F.size("rl_").alias("mr"),
+        lcs(F.col("h"), F.col("r")).alias("l"), F.size("h").alias("nh"), F.size("r").alias("nr"),
+        token_edit_distance_col(F.col("h"), F.col("r"), F.col("_alph")).alias("d"))
+    # Per-pair scores that are averaged.
+    mx = F.greatest(F.col("nh"), F.col("nr"))
+    sim = F.when(mx == 0, F.lit(1.0)).otherwise(1 - F.col("d") / mx)
+    pl, rl_ = F.col("l") / F.col("nh"), F.col("l") / F.col("nr")
+    rouge = F.when(F.col("l") == 0, F.lit(0.0)).otherwise(2 * pl * rl_ / (pl + rl_))
+    m_ = F.col("al.m")
+    mp, mr = m_ / F.col("mh"), m_ / F.col("mr")
+    fmean = mp * mr / (alpha * mp + (1 - alpha) * mr)
+    met = F.when((m_ == 0) | (F.col("mh") == 0) | (F.col("mr") == 0), F.lit(0.0)).otherwise(
+        (1 - gamma * F.pow(F.col("al.chunks") / m_, m_beta)) * fmean)
+    aggs = [F.avg("em").alias("exact_match"), F.avg(sim).alias("leven_dist"),
+            F.avg(met).alias("meteor"), F.avg(rouge).alias("rouge")]
+    for n in range(1, max_order + 1):
+        e = F.element_at("bs", n)
+        aggs += [F.sum(e["m"]).alias(f"bm{n}"), F.sum(e["th"]).alias(f"bt{n}")]
+    aggs.append(F.sum(F.element_at("bs", 1)["tr"]).alias("brl"))
+    for n in range(1, char_order + 1):
+        e = F.element_at("cs", n)
+        aggs += [F.sum(e["m"]).alias(f"cm{n}"), F.sum(e["th"]).alias(f"ch{n}"), F.sum(e["tr"]).alias(f"cr{n}")]
+    a = row.groupBy(g).agg(*aggs)
+    # BLEU from the order sums.
+    prec = [F.when(F.col(f"bt{n}") > 0, F.col(f"bm{n}") / F.col(f"bt{n}")).otherwise(F.lit(0.0))
+            for n in range(1, max_order + 1)]
+    geo = F.exp(sum(F.log(F.when(p > 0, p)) for p in prec) / max_order)
+    hlen, rlen = F.col("bt1").cast("double"), F.col("brl").cast("double")
+    bp = F.when(hlen > rlen, F.lit(1.0)).when(hlen == 0, F.lit(0.0)).otherwise(F.exp(1 - rlen / hlen))
+    bleu = F.when(F.least(*prec) > 0, geo * bp).otherwise(F.lit(0.0))
+    # chrF from the order sums: mean P and R over orders present on both sides.
+    effs = [(F.col(f"ch{n}") > 0) & (F.col(f"cr{n}") > 0) for n in range(1, char_order + 1)]
+    sp = sum(F.when(e, F.col(f"cm{n}") / F.col(f"ch{n}")).otherwise(0.0) for n, e in enumerate(effs, 1))
+    sr = sum(F.when(e, F.col(f"cm{n}") / F.col(f"cr{n}")).otherwise(0.0) for n, e in enumerate(effs, 1))
+    ne = sum(F.when(e, 1).otherwise(0) for e in effs)
+    cp, cr = sp / ne, sr / ne
+    b2 = beta * beta
+    chrf = F.when((ne == 0) | (cp + cr == 0), F.lit(0.0)).otherwise((1 + b2) * cp * cr / (b2 * cp + cr) * 100.0)
+    wide = a.select(g, bleu.alias("bleu"), chrf.alias("chrf"), "exact_match", "leven_dist", "meteor", "rouge") \
+        .crossJoin(F.broadcast(loss.select(F.col("nll").alias("tst_loss"))))
+    long = wide.select(g, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                                             for m in SUITE_METRICS])))
+    return long.select(g, "metric", F.concat_ws("_", F.col("metric"), F.col(g)).alias("name"), "value")
 
 
 def metric_record_wide(suite: DataFrame, group_col: str) -> DataFrame:
