@@ -29,8 +29,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     key = _SPREAD_KEYS.get(name)
-    if key is not None:
+    if key is not None and _scan_bytes(df) <= SPREAD_MAX_BYTES:
         slots = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < slots:
             df = df.repartition(slots, key)
     return df
+
+
+# Spreading shuffles the table once; it is only worth it (and only allowed)
+# for tables whose size on disk is below this bound.
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def _scan_bytes(df: DataFrame) -> int:
+    """Size estimate of a scan from the optimizer's statistics (file sizes;
+    no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # statistics unavailable: do not spread
+        return SPREAD_MAX_BYTES + 1
