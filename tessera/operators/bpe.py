@@ -86,8 +86,7 @@ def _java_replacement(s: str) -> str:
 def merge_pair(syms: Column, left: str, right: str) -> Column:
     """Merge every non-overlapping (left, right), scanning left to right: a
     regex whose look-arounds pin both symbols to whole-symbol boundaries."""
-    pat = f"(?<=^|{SEP}){re.escape(left)}{SEP}{re.escape(right)}(?={SEP}|$)"
-    return F.regexp_replace(syms, F.lit(pat), F.lit(_java_replacement(left + right)))
+    return F.regexp_replace(syms, F.lit(_pair_pattern(left, right)), F.lit(_java_replacement(left + right)))
 
 
 def _disjoint_best(rows: Sequence, limit: int) -> list[tuple[str, str, int]]:
@@ -102,19 +101,33 @@ def _disjoint_best(rows: Sequence, limit: int) -> list[tuple[str, str, int]]:
     return chosen
 
 
+def _pair_pattern(left: str, right: str) -> str:
+    return f"(?<=^|{SEP}){re.escape(left)}{SEP}{re.escape(right)}(?={SEP}|$)"
+
+
 def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
-              merges_per_round: int = 1, min_count: int = 2) -> DataFrame:
-    """T4: learn up to `n_merges` merges; returns `(rank, left, right, n)`."""
+              merges_per_round: int = 1, min_count: int = 2, incremental: bool = True) -> DataFrame:
+    """T4: learn up to `n_merges` merges; returns `(rank, left, right, n)`.
+
+    incremental=True keeps the pair-count table between rounds and updates it
+    with the delta of the words that contain a merged pair (their old pairs
+    subtracted, their new pairs added) -- the rest of the corpus is only
+    filtered, never re-counted.  The table and the word types are persisted
+    between rounds (recomputable from lineage if an executor is lost) and
+    written by a reliable checkpoint every CHECKPOINT_EVERY rounds."""
     spark = word_counts.sparkSession
     ensure_checkpoint_dir(spark)
     types = word_types(word_counts, byte_level).checkpoint(eager=True)
+    pairs = pair_counts(types).checkpoint(eager=True) if incremental else None
     merges: list[tuple[str, str, int]] = []
     rounds = 0
+    held: list[DataFrame] = []
     while len(merges) < n_merges:
         want = min(merges_per_round, n_merges - len(merges))
+        table = pairs if incremental else pair_counts(types)
         # Candidates for a round: the best few pairs (bounded by a small
         # multiple of the pairs wanted), ordered by count then pair.
-        cand = pair_counts(types).filter(F.col("n") >= min_count) \
+        cand = table.filter(F.col("n") >= min_count) \
             .orderBy(F.col("n").desc(), "left", "right").limit(max(4 * want, 1)).collect()
         picked = _disjoint_best(cand, want) if want > 1 else \
             [(cand[0]["left"], cand[0]["right"], int(cand[0]["n"]))] if cand else []
@@ -123,11 +136,28 @@ def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
         sym = F.col("syms")
         for left, right, _ in picked:
             sym = merge_pair(sym, left, right)
+        if incremental:
+            hit = "|".join(f"(?:{_pair_pattern(l, r)})" for l, r, _ in picked)
+            touched = types.filter(F.col("syms").rlike(hit))
+            before = pair_counts(touched).withColumn("n", -F.col("n"))
+            after = pair_counts(touched.select("word", "n", sym.alias("syms")))
+            pairs = pairs.unionByName(before).unionByName(after).groupBy("left", "right") \
+                .agg(F.sum("n").cast("long").alias("n")).filter(F.col("n") > 0)
         types = types.select("word", "n", sym.alias("syms"))
         merges.extend(picked)
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:
             types = types.checkpoint(eager=True)
+            if incremental:
+                pairs = pairs.checkpoint(eager=True)
+            for d in held:
+                d.unpersist()
+            held = []
+        elif incremental:
+            types, pairs = types.persist(), pairs.persist()
+            held += [types, pairs]
+    for d in held:
+        d.unpersist()
     rows = [(i, l, r, n) for i, (l, r, n) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string, n long")
 

@@ -169,3 +169,11 @@ def test_preparation_is_idempotent(spark):
     once = skip_if_encoded(df, prepare)
     twice = skip_if_encoded(once, prepare)
     assert len(calls) == 1 and twice is once
+
+
+def test_bpe_incremental_equals_recount(spark):
+    docs = read_table(spark, SF001, "documents").limit(60)
+    wc = T.word_counts(docs, "text")
+    inc = bpe.bpe_train(wc, 20, byte_level=True).orderBy("rank").collect()
+    full = bpe.bpe_train(wc, 20, byte_level=True, incremental=False).orderBy("rank").collect()
+    assert inc == full
