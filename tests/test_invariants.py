@@ -177,3 +177,27 @@ def test_bpe_incremental_equals_recount(spark):
     inc = bpe.bpe_train(wc, 20, byte_level=True).orderBy("rank").collect()
     full = bpe.bpe_train(wc, 20, byte_level=True, incremental=False).orderBy("rank").collect()
     assert inc == full
+
+
+def test_bpe_matches_public_tokenizers_trainer(spark):
+    """Byte-level merges of the Spark learner equal those of the public
+    `tokenizers` BPE trainer on the same pre-tokens (test-only dependency)."""
+    tk = pytest.importorskip("tokenizers")
+    import json
+    from tessera.functions.text import PRETOKEN_PATTERN
+    docs = read_table(spark, SF001, "documents").orderBy("doc_id").limit(60)
+    texts = [r["text"] for r in docs.collect()]
+    tok = tk.Tokenizer(tk.models.BPE())
+    tok.pre_tokenizer = tk.pre_tokenizers.Sequence([
+        tk.pre_tokenizers.Split(tk.Regex(PRETOKEN_PATTERN), behavior="isolated"),
+        tk.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    alphabet = tk.pre_tokenizers.ByteLevel.alphabet()
+    n = 30
+    trainer = tk.trainers.BpeTrainer(vocab_size=len(alphabet) + n, initial_alphabet=alphabet,
+                                     min_frequency=2, show_progress=False)
+    tok.train_from_iterator(texts, trainer)
+    theirs = [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
+              for m in json.loads(tok.to_str())["model"]["merges"]][:n]
+    wc = T.word_counts(docs, "text")
+    ours = [(r["left"], r["right"]) for r in bpe.bpe_train(wc, n, byte_level=True).orderBy("rank").collect()]
+    assert ours == theirs
