@@ -69,15 +69,16 @@ def first_block(prompt: Column, completion: Column, separators: str = FIRST_BLOC
 
 
 def fanout_candidates(df: DataFrame, key: Sequence[str], prompt: str, samples: DataFrame,
-                      sample_tokens: Callable[[Column, Column], Column],
+                      sample_tokens: Callable[[], Column],
                       separators: str = FIRST_BLOCK_SEPARATORS, joiner: str = " ") -> DataFrame:
     """Prompts x samples -> all prefixes of each sample -> first block.
 
-    `samples` is a small axis table (`sample` column, bounded by the number of
-    samples asked for) broadcast into the cross join; `sample_tokens(row,
-    sample)` gives the sample's predicted tokens."""
+    `samples` is a small axis table (a `sample` column plus whatever the
+    sampler needs; bounded by the number of samples asked for) broadcast into
+    the cross join.  `sample_tokens()` returns the predicted-token column of
+    one (row, sample) and may read columns of both sides."""
     x = df.crossJoin(F.broadcast(samples))
-    x = x.select(*key, prompt, "sample", sample_tokens(F.col("sample"), F.col(prompt)).alias("_tok"))
+    x = x.select(*key, prompt, "sample", sample_tokens().alias("_tok"))
     pc = prefix_candidates(x, [*key, prompt, "sample"], F.col("_tok"), joiner)
     completion = F.concat(F.col(prompt), F.lit(joiner), F.col("candidate"))
     return pc.select(*key, "sample", "k", first_block(F.col(prompt), completion, separators).alias("text"))

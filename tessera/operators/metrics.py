@@ -264,12 +264,6 @@ def rouge_l(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "
         F.avg("f").alias("rouge_l"), F.sum("l").alias("lcs_total"))
 
 
-def lcs_rows(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
-             tokenizer: Tokenizer = ws_tokens) -> DataFrame:
-    t = df.select(*keys, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"))
-    return t.select(*keys, lcs(F.col("h"), F.col("r")).alias("lcs"))
-
-
 # ----------------------------------------------------------------------- losses
 
 def log_softmax_at_target(dist: DataFrame, row_col: str = "vec_id", token_col: str = "token",

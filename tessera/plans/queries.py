@@ -392,13 +392,10 @@ def _samples(spark):
 def q_fanout_candidates(spark, sf):
     pr = V.pred_ref(spark, sf).select(*PR_KEYS, "ref", F.concat(F.lit("Q"), F.col("conv_id").cast("string"),
                                                                 F.lit(":")).alias("prompt"))
-    samples = _samples(spark)
-    x = pr.crossJoin(F.broadcast(samples)).select(
-        *PR_KEYS, "prompt", "sample", V.corrupt(ws_tokens("ref"), F.col("period")).alias("_tok"))
-    pc = C.prefix_candidates(x, [*PR_KEYS, "prompt", "sample"], F.col("_tok"))
-    completion = F.concat(F.col("prompt"), F.lit(" "), F.col("candidate"))
-    return pc.select(*PR_KEYS, "sample", "k",
-                     F.md5(C.first_block(F.col("prompt"), completion, PROSE_SEPARATORS)).alias("text_md5"))
+    # Three samples per prompt: the reference corrupted with periods 5, 7, 11.
+    out = C.fanout_candidates(pr, PR_KEYS, "prompt", _samples(spark),
+                              lambda: V.corrupt(ws_tokens("ref"), F.col("period")), PROSE_SEPARATORS)
+    return out.select(*PR_KEYS, "sample", "k", F.md5("text").alias("text_md5"))
 
 
 def _cand_asserts(spark, sf):
