@@ -85,7 +85,7 @@ def _materialise(df):
 def _vocab(spark, sf):
     """Word vocabulary (2^15 entries) from the training split + 5 added tokens,
     stored once (bounded by the vocabulary size) and read by every branch."""
-    train = P.scan_split(V.corpus(spark, sf), "train")
+    train = P.scan_split(V.docs_with_split(spark, sf), "train")
     return _materialise(T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE)))
 
 
@@ -124,7 +124,7 @@ def q_scan_split(spark, sf):
 
 @register("corpus_scan")
 def q_corpus_scan(spark, sf):
-    return P.corpus_scan(V.corpus(spark, sf))
+    return P.corpus_scan(V.docs_with_split(spark, sf))
 
 
 @register("scan_tasks")
@@ -136,13 +136,13 @@ def q_scan_tasks(spark, sf):
 
 @register("sample_exact")
 def q_sample_exact(spark, sf):
-    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id", "split")
+    test = P.scan_split(V.docs_with_split(spark, sf), "test").select("doc_id", "split")
     return P.sample_exact(test, "doc_id", P.TEST_FRACTION, P.SEED)
 
 
 @register("sample_aligned")
 def q_sample_aligned(spark, sf):
-    rows = V.corpus(spark, sf).select("doc_id", "split")
+    rows = V.docs_with_split(spark, sf).select("doc_id", "split")
     return P.sample_aligned(rows, "doc_id", P.TEST_FRACTION, P.SEED)
 
 
@@ -154,7 +154,7 @@ def q_sample_cap(spark, sf):
 
 @register("limit_batches")
 def q_limit_batches(spark, sf):
-    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id")
+    test = P.scan_split(V.docs_with_split(spark, sf), "test").select("doc_id")
     return B.limit_batches(B.batch_assign(test, "doc_id"), 0.5).select("doc_id", "batch_id")
 
 
@@ -165,7 +165,7 @@ def q_head_rows(spark, sf):
 
 @register("point_lookup")
 def q_point_lookup(spark, sf):
-    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id", "n_words")
+    test = P.scan_split(V.docs_with_split(spark, sf), "test").select("doc_id", "n_words")
     return P.point_lookup(test, "doc_id", 0)
 
 
@@ -197,13 +197,13 @@ def q_pretokenize(spark, sf):
 
 @register("word_counts")
 def q_word_counts(spark, sf):
-    return T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+    return T.word_counts(P.corpus_scan(V.docs_with_split(spark, sf)), "original_method")
 
 
 @register("bpe_pair_counts")
 def q_bpe_pair_counts(spark, sf):
     from tessera.operators.bpe import pair_counts, word_types
-    wc = T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+    wc = T.word_counts(P.corpus_scan(V.docs_with_split(spark, sf)), "original_method")
     return pair_counts(word_types(wc))
 
 
@@ -244,13 +244,13 @@ def q_token_lengths(spark, sf):
 
 @register("batch_assign")
 def q_batch_assign(spark, sf):
-    test = P.scan_split(V.corpus(spark, sf), "test").select("doc_id")
+    test = P.scan_split(V.docs_with_split(spark, sf), "test").select("doc_id")
     return B.batch_assign(test, "doc_id")
 
 
 @register("batch_shuffled")
 def q_batch_shuffled(spark, sf):
-    train = P.scan_split(V.corpus(spark, sf), "train").select("doc_id")
+    train = P.scan_split(V.docs_with_split(spark, sf), "train").select("doc_id")
     return B.batch_shuffled(train, "doc_id", P.SEED, 0)
 
 
@@ -278,7 +278,7 @@ def q_batch_budget(spark, sf):
 
 @register("batch_plan")
 def q_batch_plan(spark, sf):
-    return B.batch_plan(V.corpus(spark, sf))
+    return B.batch_plan(V.docs_with_split(spark, sf))
 
 
 # ================================================================ masking M1-M9
@@ -574,7 +574,7 @@ def q_js_cross_split(spark, sf):
 # ===================================================================== BPE (T4)
 
 def _train_word_counts(spark, sf):
-    return T.word_counts(P.corpus_scan(V.corpus(spark, sf)), "original_method")
+    return T.word_counts(P.corpus_scan(V.docs_with_split(spark, sf)), "original_method")
 
 
 @register("bpe_train")

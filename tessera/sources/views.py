@@ -21,17 +21,25 @@ CORRUPTION_PHASE = 3
 LOGIT_SCALE = 10.0             # dist: logits = 10 * embedding value
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents + split + language + length class (quartile bins of word count)."""
-    from tessera.operators.masking import length_bins, length_class_of_bin
+def docs_with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents + split + language (no length class: no quantile pass).
 
+    Use this wherever the length class is not needed -- a cross join with the
+    quantile edges cannot be pruned away, so `corpus` always pays that pass."""
     docs = read_table(spark, sf_dir, "documents")
-    base = docs.select(
+    return docs.select(
         "doc_id", "text", F.col("lang").alias("language"), "source", "n_chars",
         word_count("text").cast("long").alias("n_words"),
         F.when(F.col("doc_id") % 10 < SPLIT_TRAIN_BELOW, F.lit("train"))
          .when(F.col("doc_id") % 10 == SPLIT_TRAIN_BELOW, F.lit("validation"))
          .otherwise(F.lit("test")).alias("split"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents + split + language + length class (quartile bins of word count)."""
+    from tessera.operators.masking import length_bins, length_class_of_bin
+
+    base = docs_with_split(spark, sf_dir)
     binned = length_bins(base, "n_words", bin_col="length_bin")
     return binned.withColumn("length", length_class_of_bin(F.col("length_bin"))).drop("length_bin")
 
