@@ -55,7 +55,10 @@ def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
     aggregation before the shuffle, then sum the clipped counts per order."""
     if per_row:
         base = df.select(*group_cols, *keys, ngram_stats(hyp, ref, orders, char_level).alias("_st"))
-        rows = base.select(*group_cols, *keys, F.inline("_st"))
+        # inline_outer: a plain inline over an attribute makes Catalyst infer
+        # `size(_st) > 0` and push it below the projection, i.e. run the
+        # Python function twice.  Null stats (null inputs) are dropped after.
+        rows = base.select(*group_cols, *keys, F.inline_outer("_st")).filter(F.col("n").isNotNull())
         out_keys = list(group_cols) + (list(keys) if per_key else [])
         if per_key:
             return rows.select(*out_keys, "n", "m", "th", "tr")

@@ -22,6 +22,15 @@ def test_ngram_metrics_shuffle_no_ngrams(spark):
     assert "_gram" not in p
 
 
+@pytest.mark.parametrize("name", ["bleu_corpus", "chrf_corpus", "bleu_macro_vs_corpus", "metric_suite"])
+def test_python_functions_run_once_per_row(spark, name):
+    """No inferred filter may duplicate a Python function below a join."""
+    p = plan(QUERIES[name](spark, SF01))
+    for ln in p.split("\n"):
+        if "Filter" in ln:
+            assert "pythonUDF" not in ln, ln
+
+
 def test_meteor_has_no_window(spark):
     assert "Window" not in plan(QUERIES["meteor_exact"](spark, SF01))
 
