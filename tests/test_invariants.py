@@ -201,3 +201,25 @@ def test_bpe_matches_public_tokenizers_trainer(spark):
     wc = T.word_counts(docs, "text")
     ours = [(r["left"], r["right"]) for r in bpe.bpe_train(wc, n, byte_level=True).orderBy("rank").collect()]
     assert ours == theirs
+
+
+def test_bpe_encode_matches_public_tokenizers(spark):
+    """Token strings of the Arrow-batched BPE encoder equal those of the
+    public `tokenizers` model built from the same merges."""
+    tk = pytest.importorskip("tokenizers")
+    from tessera.functions.text import PRETOKEN_PATTERN
+    docs = read_table(spark, SF001, "documents").orderBy("doc_id").limit(40)
+    wc = T.word_counts(docs, "text")
+    merges = bpe.bpe_train(wc, 25, byte_level=True)
+    vocab = bpe.bpe_vocab(T.byte_alphabet(spark), merges)
+    vmap = {r["token"]: r["token_id"] for r in vocab.collect() if not r["special"] and r["token"] != "<NEW_LINE>"}
+    mlist = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
+    tok = tk.Tokenizer(tk.models.BPE(vocab=vmap, merges=mlist))
+    tok.pre_tokenizer = tk.pre_tokenizers.Sequence([
+        tk.pre_tokenizers.Split(tk.Regex(PRETOKEN_PATTERN), behavior="isolated"),
+        tk.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    inv = {r["token_id"]: r["token"] for r in vocab.collect()}
+    enc = bpe.bpe_encode(docs.select("doc_id", "text"), ["doc_id"], "text", merges, vocab).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in enc:
+        assert [inv[i] for i in r["input_ids"]] == tok.encode(texts[r["doc_id"]]).tokens
