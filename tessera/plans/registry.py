@@ -30,6 +30,8 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from tessera.session import ship_package
+            ship_package(spark)
             return round_doubles(fn(spark, sf_dir))
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__
