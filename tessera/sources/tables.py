@@ -30,9 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     key = _SPREAD_KEYS.get(name)
     if key is not None and _scan_bytes(df) <= SPREAD_MAX_BYTES:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, key)
+        try:
+            slots = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < slots:
+                df = df.repartition(slots, key)
+        except Exception:  # no SparkContext on the client (Spark Connect)
+            pass
     return df
 
 
