@@ -223,3 +223,20 @@ def test_bpe_encode_matches_public_tokenizers(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in enc:
         assert [inv[i] for i in r["input_ids"]] == tok.encode(texts[r["doc_id"]]).tokens
+
+
+def test_relational_and_per_row_metric_plans_agree(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions.text import ws_tokens
+    from tessera.operators import metrics as E
+    pr = V.pred_ref(spark, SF001)
+    keys = ["conv_id", "turn"]
+    a = E.meteor_exact(pr, keys, per_row=True).collect()[0]["meteor"]
+    b = E.meteor_exact(pr, keys, per_row=False).collect()[0]["meteor"]
+    assert a == pytest.approx(b, abs=1e-12)
+    for char_level, h, r, orders in ((False, ws_tokens("pred"), ws_tokens("ref"), range(1, 5)),
+                                     (True, F.regexp_replace("pred", r"\s+", ""),
+                                      F.regexp_replace("ref", r"\s+", ""), range(1, 7))):
+        x = sorted(E._ngram_stats(pr, keys, h, r, orders, [], False, char_level, per_row=True).collect())
+        y = sorted(E._ngram_stats(pr, keys, h, r, orders, [], False, char_level, per_row=False).collect())
+        assert x == y
