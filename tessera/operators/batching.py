@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import hash_order_key
 from tessera.operators.ordering import with_row_index
+from tessera.functions.joins import broadcast_if_small
 
 # Fixed values.
 BATCH_SIZE = 32
@@ -97,7 +98,8 @@ def limit_batches(batched: DataFrame, fraction: float, group_cols: Sequence[str]
     if fraction >= 1.0:
         return batched
     nb = batched.groupBy(*group_cols).agg((F.max("batch_id") + 1).alias("_nb"))
-    j = batched.crossJoin(F.broadcast(nb)) if not group_cols else batched.join(F.broadcast(nb), list(group_cols))
+    j = batched.crossJoin(broadcast_if_small(nb, row_bound=1)) if not group_cols \
+        else batched.join(broadcast_if_small(nb), list(group_cols))
     return j.filter(F.col("batch_id") < F.floor(F.col("_nb") * F.lit(fraction))).drop("_nb")
 
 

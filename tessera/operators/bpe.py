@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.joins import bound_of, bounded
 from tessera.functions.text import chars, code_point_char, regex_tokens
 from tessera.operators.tokenize import ADDED_TOKENS, PRETOKEN_PATTERN, SPECIAL_TOKENS
 from tessera.session import ensure_checkpoint_dir
@@ -159,7 +160,7 @@ def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
     for d in held:
         d.unpersist()
     rows = [(i, l, r, n) for i, (l, r, n) in enumerate(merges)]
-    return spark.createDataFrame(rows, "rank int, left string, right string, n long")
+    return bounded(spark.createDataFrame(rows, "rank int, left string, right string, n long"), len(rows))
 
 
 def bpe_vocab(alphabet: DataFrame, merges: DataFrame) -> DataFrame:
@@ -172,6 +173,8 @@ def bpe_vocab(alphabet: DataFrame, merges: DataFrame) -> DataFrame:
     m = merges.crossJoin(nb).select(F.concat("left", "right").alias("token"),
                                     (F.col("nb") + F.col("rank")).cast("int").alias("token_id"))
     vocab = base.unionByName(m).withColumn("special", F.lit(False))
+    mb = bound_of(merges)
+    vocab = bounded(vocab, None if mb is None else 256 + mb)
     from tessera.operators.tokenize import with_added_tokens
     return with_added_tokens(vocab, SPECIAL_TOKENS, ADDED_TOKENS)
 

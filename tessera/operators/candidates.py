@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tessera.functions.code import parses_col
 from tessera.functions.stats import pass_at_k_col
 from tessera.functions.text import ws_tokens
+from tessera.functions.joins import bounded, broadcast_bounded
 
 # The first-block separators (a newline followed by one of
 # these words or characters), the pass@k list and the nucleus threshold.
@@ -77,7 +78,7 @@ def fanout_candidates(df: DataFrame, key: Sequence[str], prompt: str, samples: D
     sampler needs; bounded by the number of samples asked for) broadcast into
     the cross join.  `sample_tokens()` returns the predicted-token column of
     one (row, sample) and may read columns of both sides."""
-    x = df.crossJoin(F.broadcast(samples))
+    x = df.crossJoin(broadcast_bounded(samples))
     x = x.select(*key, prompt, "sample", sample_tokens().alias("_tok"))
     pc = prefix_candidates(x, [*key, prompt, "sample"], F.col("_tok"), joiner)
     completion = F.concat(F.col(prompt), F.lit(joiner), F.col("candidate"))
@@ -160,8 +161,8 @@ def pass_at_k(outcomes: DataFrame, task_col: str, pass_col: str, ks: Sequence[in
     g = list(group_cols)
     per = outcomes.groupBy(*g, task_col).agg(F.count("*").alias("n"),
                                              F.sum(F.col(pass_col).cast("long")).alias("c"))
-    ks_df = outcomes.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    x = per.crossJoin(F.broadcast(ks_df))
+    ks_df = bounded(outcomes.sparkSession.createDataFrame([(int(k),) for k in ks], "k int"), len(ks))
+    x = per.crossJoin(broadcast_bounded(ks_df))
     n, c, k = F.col("n"), F.col("c"), F.col("k")
     # One row per (task, k) after a partial + final aggregate; the estimator
     # is O(1) per row (log-gamma closed form), whatever the task's size.

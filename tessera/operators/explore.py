@@ -11,6 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tessera.functions.joins import broadcast_bounded, broadcast_if_small
 
 TOP_K = 10
 
@@ -28,7 +29,7 @@ def token_freq(token_ids: DataFrame, vocab: DataFrame, group_cols: Sequence[str]
     cnt = F.sum(count_col) if count_col else F.count("*")
     counts = token_ids.groupBy(*g, token_col).agg(cnt.alias("_c"))
     groups = token_ids.select(*g).distinct()
-    grid = groups.crossJoin(F.broadcast(vocab.select(F.col("token_id").alias(token_col))))
+    grid = groups.crossJoin(broadcast_bounded(vocab.select(F.col("token_id").alias(token_col)), vocab))
     return grid.join(counts, [*g, token_col], "left").select(
         *g, token_col, (F.coalesce(F.col("_c"), F.lit(0)) + 1).cast("long").alias("n"))
 
@@ -39,7 +40,8 @@ def token_topk(freq: DataFrame, vocab: DataFrame, group_cols: Sequence[str], k:
     strings.  `row_number() <= k` runs as a window group limit."""
     w = Window.partitionBy(*group_cols).orderBy(F.col("n").desc(), F.col(token_col))
     top = freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.join(F.broadcast(vocab.select(F.col("token_id").alias(token_col), "token")), token_col) \
+    return top.join(broadcast_bounded(vocab.select(F.col("token_id").alias(token_col), "token"), vocab),
+                    token_col) \
               .select(*group_cols, F.col("rank").cast("int").alias("rank"), token_col, "token", "n")
 
 
@@ -56,7 +58,7 @@ def _normalise(freq: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Probabilities per group.  Totals are one row per group (few rows),
     joined by broadcast -- not an unpartitioned window."""
     tot = freq.groupBy(*group_cols).agg(F.sum("n").alias("_tot"))
-    return freq.join(F.broadcast(tot), list(group_cols)).withColumn("pr", F.col("n") / F.col("_tot"))
+    return freq.join(broadcast_if_small(tot), list(group_cols)).withColumn("pr", F.col("n") / F.col("_tot"))
 
 
 def js_distance(freq_a: DataFrame, freq_b: DataFrame, token_col: str = "token_id",
@@ -67,7 +69,7 @@ def js_distance(freq_a: DataFrame, freq_b: DataFrame, token_col: str = "token_id
     b = freq_b.groupBy(token_col).agg(F.sum("n").alias("n"))
     ta, tb = a.agg(F.sum("n").alias("ta")), b.agg(F.sum("n").alias("tb"))
     j = a.withColumnRenamed("n", "na").join(b.withColumnRenamed("n", "nb"), token_col, "full") \
-         .crossJoin(F.broadcast(ta)).crossJoin(F.broadcast(tb))
+         .crossJoin(broadcast_if_small(ta)).crossJoin(broadcast_if_small(tb))
     j = j.select((F.coalesce(F.col("na"), F.lit(0)) / F.col("ta")).alias("p"),
                  (F.coalesce(F.col("nb"), F.lit(0)) / F.col("tb")).alias("q"))
     return _js_from_joined(j, [], base)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.arrays import line_start_offsets
+from tessera.functions.joins import broadcast_if_small
 
 # Fixed values.
 MASK_TOKEN = "<MASK>"
@@ -40,7 +41,7 @@ def length_bins(df: DataFrame, value_col: str, bin_col: str = "bin", probs=QUART
 
     The edges are a single row (proven size bound), joined by broadcast."""
     edges = length_quantiles(df, value_col, probs, exact)
-    joined = df.crossJoin(F.broadcast(edges))
+    joined = df.crossJoin(broadcast_if_small(edges, row_bound=1))
     b = F.aggregate(F.col("edges"), F.lit(0),
                     lambda acc, e: acc + F.when(F.col(value_col) >= e, 1).otherwise(0))
     return joined.withColumn(bin_col, b.cast("int")).drop("edges")

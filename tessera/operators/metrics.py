@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tessera.functions.lcs import lcs
 from tessera.functions.ngrams import alignment, ngram_stats
 from tessera.functions.text import char_ngrams, chars, ngrams, tokens_as_string, ws_tokens
+from tessera.functions.joins import broadcast_if_small
 
 Tokenizer = Callable[[Column], Column]
 
@@ -364,7 +365,7 @@ def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataF
     b2 = beta * beta
     chrf = F.when((ne == 0) | (cp + cr == 0), F.lit(0.0)).otherwise((1 + b2) * cp * cr / (b2 * cp + cr) * 100.0)
     wide = a.select(g, bleu.alias("bleu"), chrf.alias("chrf"), "exact_match", "leven_dist", "meteor", "rouge") \
-        .crossJoin(F.broadcast(loss.select(F.col("nll").alias("tst_loss"))))
+        .crossJoin(broadcast_if_small(loss.select(F.col("nll").alias("tst_loss")), row_bound=1))
     long = wide.select(g, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                              for m in SUITE_METRICS])))
     return long.select(g, "metric", F.concat_ws("_", F.col("metric"), F.col(g)).alias("name"), "value")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
+from tessera.functions.joins import broadcast_if_small
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column | str], group_cols: Sequence[str] = (),
@@ -41,6 +42,10 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], group_cols: Seq
     if total_col:
         offs = offs.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*g)))
     keep = [*g, "_pid", "_off", "_m0"] + ([total_col] if total_col else [])
-    out = tagged.join(F.broadcast(offs.select(*keep)), [*g, "_pid"])
+    # One row per (group, partition): with no groups, at most #partitions rows.
+    n_parts = tagged.rdd.getNumPartitions()
+    side = offs.select(*keep)
+    side = broadcast_if_small(side, row_bound=n_parts) if not g else broadcast_if_small(side)
+    out = tagged.join(side, [*g, "_pid"])
     return out.withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")) \
               .drop("_pid", "_mid", "_off", "_m0")

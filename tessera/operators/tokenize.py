@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import PRETOKEN_PATTERN, code_point_char, regex_tokens, ws_tokens
+from tessera.functions.joins import bounded, bound_of, broadcast_bounded
 
 # Added tokens, in the order they receive ids.
 SPECIAL_TOKENS = ("<MASK>", "<PAD>", "<BOS>", "<EOS>")
@@ -74,7 +75,9 @@ def with_added_tokens(vocab: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS
     extra = extra.crossJoin(base).select(
         (F.coalesce(F.col("mx"), F.lit(-1)) + 1 + F.col("k")).cast("int").alias("token_id"),
         "token", "special")
-    return vocab.select("token_id", "token", "special").unionByName(extra)
+    out = vocab.select("token_id", "token", "special").unionByName(extra)
+    b = bound_of(vocab)
+    return bounded(out, None if b is None else b + len(rows))
 
 
 def word_vocab(corpus_text: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
@@ -95,7 +98,8 @@ def vocab_from_counts(counts: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFr
     ranked = top.select("token", F.row_number().over(
         Window.orderBy(F.col("n").desc(), F.col("token"))).cast("int").alias("token_id"))
     unk = counts.sparkSession.createDataFrame([(0, UNK_TOKEN)], "token_id int, token string")
-    return unk.unionByName(ranked.select("token_id", "token")).withColumn("special", F.lit(False))
+    out = unk.unionByName(ranked.select("token_id", "token")).withColumn("special", F.lit(False))
+    return bounded(out, vocab_size)
 
 
 def vocab_size_check(vocab: DataFrame, requested: int, n_added: int = 5) -> None:
@@ -132,7 +136,7 @@ def encode_tokens(df: DataFrame, key: Sequence[str], tokens: Column, vocab: Data
     base = df.select(*k, F.slice(tokens, 1, max_len).alias("_t"))
     # explode_outer keeps rows with no tokens (they regroup to an empty array).
     ex = base.select(*k, F.posexplode_outer("_t").alias("_p", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
+    v = broadcast_bounded(vocab.select("token", "token_id"), vocab)
     looked = ex.join(v, "token", "left").select(
         *k, "_p", F.coalesce(F.col("token_id"), F.lit(0)).alias("token_id"))
     entry = F.when(F.col("_p").isNotNull(), F.struct("_p", "token_id"))
@@ -150,7 +154,7 @@ def encode_columns(df: DataFrame, key: Sequence[str], specs: Sequence[tuple[str,
                        for i, (_, tok, mx) in enumerate(specs)])
     base = df.select(*k, F.inline(tagged))
     ex = base.select(*k, "c", F.posexplode_outer("t").alias("_p", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
+    v = broadcast_bounded(vocab.select("token", "token_id"), vocab)
     looked = ex.join(v, "token", "left").select(
         *k, "c", "_p", F.coalesce(F.col("token_id"), F.lit(0)).alias("token_id"))
     aggs = []
@@ -191,7 +195,7 @@ def decode_ids(df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame,
     k = list(key)
     ex = df.select(*k, F.posexplode_outer(ids).alias("_p", "token_id"))
     v = vocab.filter(~F.col("special")) if skip_special else vocab
-    looked = ex.join(F.broadcast(v.select("token_id", "token")), "token_id", "left")
+    looked = ex.join(broadcast_bounded(v.select("token_id", "token"), vocab), "token_id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct("_p", "token"))
     grouped = looked.groupBy(*k).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     return grouped.select(*k, F.array_join(F.transform(F.col("_s"), lambda s: s["token"]), " ")

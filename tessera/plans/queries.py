@@ -69,6 +69,7 @@ from tessera.operators import masking as M  # noqa: E402
 from tessera.operators import sampling as P  # noqa: E402
 from tessera.operators import tokenize as T  # noqa: E402
 from tessera.sources.tables import read_table  # noqa: E402
+from tessera.functions.joins import bounded, bound_of, broadcast_bounded, broadcast_if_small  # noqa: E402
 
 CORPUS_COLS = ["doc_id", "language", "length", "split", "n_words"]
 
@@ -86,7 +87,8 @@ def _vocab(spark, sf):
     """Word vocabulary (2^15 entries) from the training split + 5 added tokens,
     stored once (bounded by the vocabulary size) and read by every branch."""
     train = P.scan_split(V.docs_with_split(spark, sf), "train")
-    return _materialise(T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE)))
+    v = T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE))
+    return bounded(_materialise(v), bound_of(v))
 
 
 def _ref_class(pr):
@@ -105,7 +107,7 @@ def _encoded_pairs(spark, sf):
 
 def _padded(spark, sf):
     enc, vocab = _encoded_pairs(spark, sf)
-    ids = F.broadcast(T.added_token_ids(vocab))
+    ids = broadcast_if_small(T.added_token_ids(vocab), row_bound=1)
     batched = B.batch_assign(enc, PR_KEYS, B.BATCH_SIZE).crossJoin(ids)
     return B.pad_batches(batched, ["batch_id"], F.col("pad_id")), vocab
 
@@ -385,7 +387,7 @@ def q_first_block(spark, sf):
 
 
 def _samples(spark):
-    return spark.createDataFrame([(0, 5), (1, 7), (2, 11)], "sample int, period int")
+    return bounded(spark.createDataFrame([(0, 5), (1, 7), (2, 11)], "sample int, period int"), 3)
 
 
 @register("fanout_candidates")
@@ -449,7 +451,8 @@ def q_pass_at_k(spark, sf):
 @register("trim_eos")
 def q_trim_eos(spark, sf):
     vocab = _vocab(spark, sf)
-    lab = T.encode_labels(V.pairs(spark, sf), PR_KEYS, vocab).crossJoin(F.broadcast(T.added_token_ids(vocab)))
+    lab = T.encode_labels(V.pairs(spark, sf), PR_KEYS, vocab).crossJoin(
+        broadcast_if_small(T.added_token_ids(vocab), row_bound=1))
     return lab.select(*PR_KEYS, B.trim_eos(F.col("labels"), F.col("eos_id")).alias("trimmed"))
 
 
@@ -495,8 +498,8 @@ def q_train_test_matrix(spark, sf):
     base = _ref_class(V.pairs(spark, sf).select(
         *PR_KEYS, "input", F.slice(ws_tokens("target"), 1, V.REF_TOKENS).alias("toks"))
         .withColumn("ref", F.array_join("toks", " ")))
-    periods = spark.createDataFrame([(5,), (7,), (11,)], "period int")
-    x = base.crossJoin(F.broadcast(periods)).withColumn(
+    periods = bounded(spark.createDataFrame([(5,), (7,), (11,)], "period int"), 3)
+    x = base.crossJoin(broadcast_bounded(periods)).withColumn(
         "pred", F.array_join(V.corrupt(F.col("toks"), F.col("period")), " "))
     rows = E.result_rows(x, [*PR_KEYS, "period"], F.col("period").cast("string"), F.col("length"))
     return E.train_test_matrix(rows)
@@ -531,8 +534,9 @@ def _doc_token_ids(spark, sf, group_cols=("split", "length", "language")):
         corpus.select("split", "length", "language", F.explode(ws_tokens("text")).alias("token"))
         .groupBy("split", "length", "language", "token").agg(F.count("*").alias("c")))
     train_counts = per_tok.filter(F.col("split") == "train").groupBy("token").agg(F.sum("c").alias("n"))
-    vocab = _materialise(T.with_added_tokens(T.vocab_from_counts(train_counts, T.VOCAB_SIZE)))
-    ids = per_tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
+    v = T.with_added_tokens(T.vocab_from_counts(train_counts, T.VOCAB_SIZE))
+    vocab = bounded(_materialise(v), bound_of(v))
+    ids = per_tok.join(broadcast_bounded(vocab.select("token", "token_id"), vocab), "token", "left") \
         .select(*g, F.coalesce("token_id", F.lit(0)).alias("token_id"), "c")
     return ids, vocab
 
