@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from tessera.functions.code import parses_col
 from tessera.functions.stats import pass_at_k_col
-from tessera.functions.text import ws_tokens
 from tessera.functions.joins import bounded, broadcast_bounded
 
 # The first-block separators (a newline followed by one of

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lcs import lcs
 from tessera.functions.ngrams import alignment, ngram_stats
-from tessera.functions.text import char_ngrams, chars, ngrams, tokens_as_string, ws_tokens
+from tessera.functions.text import chars, tokens_as_string, ws_tokens
 from tessera.functions.joins import broadcast_if_small
 
 Tokenizer = Callable[[Column], Column]
