@@ -42,10 +42,15 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], group_cols: Seq
     if total_col:
         offs = offs.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*g)))
     keep = [*g, "_pid", "_off", "_m0"] + ([total_col] if total_col else [])
-    # One row per (group, partition): with no groups, at most #partitions rows.
-    n_parts = tagged.rdd.getNumPartitions()
+    # One row per (group, partition): at most #partitions rows without
+    # groups.  With groups the offsets are materialised first (they are needed
+    # before the join anyway) and their exact row count is the bound.
     side = offs.select(*keep)
-    side = broadcast_if_small(side, row_bound=n_parts) if not g else broadcast_if_small(side)
-    out = tagged.join(side, [*g, "_pid"])
+    if not g:
+        bound = tagged.rdd.getNumPartitions()
+    else:
+        side = side.checkpoint(eager=True)
+        bound = side.count()
+    out = tagged.join(broadcast_if_small(side, row_bound=bound), [*g, "_pid"])
     return out.withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")) \
               .drop("_pid", "_mid", "_off", "_m0")
