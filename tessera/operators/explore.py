@@ -55,10 +55,11 @@ def _js_from_joined(j: DataFrame, by: Sequence[str], base: float | None) -> Data
 
 
 def _normalise(freq: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Probabilities per group.  Totals are one row per group (few rows),
-    joined by broadcast -- not an unpartitioned window."""
-    tot = freq.groupBy(*group_cols).agg(F.sum("n").alias("_tot"))
-    return freq.join(broadcast_if_small(tot), list(group_cols)).withColumn("pr", F.col("n") / F.col("_tot"))
+    """Probabilities per group: a window partitioned by the group, whose size
+    is bounded by the vocabulary (the frequency table has one row per group
+    and vocabulary entry) -- one exchange, no join, never an unpartitioned
+    window."""
+    return freq.withColumn("pr", F.col("n") / F.sum("n").over(Window.partitionBy(*group_cols)))
 
 
 def js_distance(freq_a: DataFrame, freq_b: DataFrame, token_col: str = "token_id",
