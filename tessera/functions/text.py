@@ -57,7 +57,7 @@ def char_ngrams(char_array, n: int) -> Column:
 
 
 def code_point_char(n) -> Column:
-    """One character for code point ``n`` (256 <= n < 55296).
+    """One character for a BMP code point ``n`` outside the surrogate block.
 
     `chr` wraps at 256, so the UTF-16BE decoding of the 4-hex-digit code is used."""
     return F.decode(F.unhex(F.lpad(F.hex(col_(n)), 4, "0")), "UTF-16BE")
@@ -65,10 +65,20 @@ def code_point_char(n) -> Column:
 
 def tokens_as_string(tokens, alphabet) -> Column:
     """Encode a token array as a string, one character per distinct token of
-    ``alphabet`` (an array holding every token of the row)."""
+    ``alphabet`` (an array holding every token of the row).
+
+    Code points start at U+0100 and skip the surrogate block, so up to 63,232
+    distinct tokens per row map to single BMP characters."""
     a = col_(alphabet)
-    return F.array_join(
-        F.transform(col_(tokens), lambda t: code_point_char(F.array_position(a, t) + 255)), "")
+    return F.array_join(F.transform(col_(tokens),
+                                    lambda t: code_point_char(token_code_point(F.array_position(a, t)))), "")
+
+
+def token_code_point(pos) -> Column:
+    """1-based alphabet position -> code point: U+0100 upwards, skipping the
+    surrogate block (positions up to 63,232)."""
+    n = col_(pos) + 255
+    return F.when(n >= 0xD800, n + 0x800).otherwise(n)
 
 
 def hash_order_key(seed, *cols) -> Column:

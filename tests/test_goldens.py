@@ -139,3 +139,13 @@ def test_pass_at_k_monotone_and_known(spark):
     ks = sorted(got)
     assert all(got[a] <= got[b] + 1e-12 for a, b in zip(ks, ks[1:]))
     assert got[10] == pytest.approx(0.5)
+
+
+def test_token_alphabet_beyond_surrogates(spark):
+    """Alphabet positions past the space below the surrogate block still map
+    to distinct, valid BMP characters."""
+    from tessera.functions.text import code_point_char, token_code_point
+    df = spark.range(1, 63233).select(code_point_char(token_code_point(F.col("id"))).alias("c"))
+    chars = [r["c"] for r in df.collect()]
+    assert all(len(c) == 1 for c in chars) and len(set(chars)) == len(chars)
+    assert all(not (0xD800 <= ord(c) <= 0xDFFF) for c in chars)
