@@ -27,3 +27,27 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """.replace("LOWERED", _LOWER.format("text"))
+
+_SHINGLES = r"""
+d AS (SELECT doc_id, regexp_extract_all(LOWERED, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d
+),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
+    FROM t x JOIN t y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  WHERE 100 * c >= 80 * (na + nb - c)
+),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+""".replace("LOWERED", _LOWER.format("text"))
+
+ORACLE["op3_ngram_join"] = "WITH RECURSIVE " + _SHINGLES + """
+, cls AS (SELECT list_sort(s) AS k, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low.m, s.doc_id)) AS component_id, cls.class_id
+FROM s LEFT JOIN low USING (doc_id) LEFT JOIN cls ON list_sort(s.s) = cls.k
+"""
