@@ -43,3 +43,16 @@ def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+`; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)
     return F.filter(parts, lambda w: w != "")
+
+
+#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose `key` is among `ids` (one number column of that
+    name, stored).  The ids are counted first and broadcast only up to
+    BROADCAST_IDS of them."""
+    ids = ids.distinct()
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")

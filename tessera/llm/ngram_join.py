@@ -36,7 +36,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import wordhash
-from tessera.llm.common import stored
+from tessera.llm.common import stored, with_ids
 from tessera.llm.components import components
 
 WORDS = 5
@@ -248,7 +248,7 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
     pairs = stored(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
-    filters = stored(_filter_rows(source.join(named, "id", "left_semi"), level, percent).dropDuplicates(["id"]))
+    filters = stored(_filter_rows(with_ids(source, stored(named), "id"), level, percent).dropDuplicates(["id"]))
 
     orders = filters.select("id", "p2", "p3")
     passed = pairs.join(orders.toDF("a", "a2", "a3"), "a").join(orders.toDF("b", "b2", "b3"), "b").where(

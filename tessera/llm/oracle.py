@@ -51,3 +51,32 @@ ORACLE["op3_ngram_join"] = "WITH RECURSIVE " + _SHINGLES + """
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low.m, s.doc_id)) AS component_id, cls.class_id
 FROM s LEFT JOIN low USING (doc_id) LEFT JOIN cls ON list_sort(s.s) = cls.k
 """
+
+#: Lines to remove of a view {docs}: (doc_id, line), line numbers from 0.
+LINES_GONE = r"""
+l0 AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM {docs}),
+l AS (SELECT doc_id, line, regexp_extract_all(LOWERED, '[^\x20\x09-\x0D]+') AS w FROM l0),
+ls AS (
+  SELECT doc_id, line, w, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM l WHERE len(w) >= 5
+),
+firsts AS (SELECT min(doc_id * 100000000 + line) AS k, any_value(s) AS s FROM ls GROUP BY w),
+lt AS (SELECT k, len(s) AS n, unnest(s) AS sh FROM firsts),
+near AS (
+  SELECT DISTINCT b FROM (
+    SELECT x.k AS a, y.k AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
+    FROM lt x JOIN lt y ON x.sh = y.sh AND x.k < y.k GROUP BY 1, 2)
+  WHERE 100 * c >= 80 * (na + nb - c)
+),
+gone AS (
+  SELECT doc_id, line FROM ls WHERE doc_id * 100000000 + line NOT IN (SELECT k FROM firsts)
+  UNION SELECT b // 100000000, b % 100000000 FROM near
+)
+""".replace("LOWERED", _LOWER.format("t"))
+
+ORACLE["op7_line_dedup"] = "WITH " + LINES_GONE.replace("{docs}", "documents") + """
+, kept AS (SELECT l0.doc_id, string_agg(t, chr(10) ORDER BY l0.line) AS text FROM l0 ANTI JOIN gone USING (doc_id, line) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -40,6 +40,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+@register
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 @register
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.byte_bpe import digests, encode_documents
