@@ -34,6 +34,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.outliers import verdicts
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import read_pieces, token_counts
