@@ -40,6 +40,12 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_crf import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import read_pieces, token_counts
