@@ -58,6 +58,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+@register
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hmm import scores
+    return scores(table(spark, sf_dir, "documents"))
+
+
 @register
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.byte_bpe import digests, encode_documents
