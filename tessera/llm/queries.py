@@ -22,6 +22,12 @@ def register(fn):
     return query
 
 
+@register
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.page_text import main_text
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @register
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contamination
@@ -69,3 +75,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.byte_bpe import digests, encode_documents
     return digests(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                     public_tokenizers.PATTERN))
+
+
+@register
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.surrogates import replace_entities
+    out = replace_entities(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
