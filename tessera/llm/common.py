@@ -49,10 +49,19 @@ def words_of(text: Column) -> Column:
 BROADCAST_IDS = 500_000
 
 
+def _with(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    ids = ids.distinct()
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
 def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose `key` is among `ids` (one number column of that
     name, stored).  The ids are counted first and broadcast only up to
     BROADCAST_IDS of them."""
-    ids = ids.distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return _with(df, ids, key, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The other rows of `df`, those with a null `key` too."""
+    return _with(df, ids, key, "left_anti")
