@@ -56,19 +56,21 @@ def char_ngrams(char_array, n: int) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
+#: Code points that stand for tokens: U+0100 upwards without the surrogates.
+TOKEN_CODE_POINTS = 0x110000 - 0x100 - 0x800
+
+
 def code_point_char(n) -> Column:
-    """One character for a BMP code point ``n`` outside the surrogate block.
+    """One character for a code point outside the surrogate block.
 
-    `chr` wraps at 256, so the UTF-16BE decoding of the 4-hex-digit code is used."""
-    return F.decode(F.unhex(F.lpad(F.hex(col_(n)), 4, "0")), "UTF-16BE")
+    `chr` wraps at 256, so the UTF-32 decoding of the 8-hex-digit code is used."""
+    return F.decode(F.unhex(F.lpad(F.hex(col_(n)), 8, "0")), "UTF-32")
 
 
 def tokens_as_string(tokens, alphabet) -> Column:
     """Encode a token array as a string, one character per distinct token of
-    ``alphabet`` (an array holding every token of the row).
-
-    Code points start at U+0100 and skip the surrogate block, so up to 63,232
-    distinct tokens per row map to single BMP characters."""
+    ``alphabet`` (an array holding every token of the row).  A row with more
+    distinct tokens than there are code points fails."""
     a = col_(alphabet)
     return F.array_join(F.transform(col_(tokens),
                                     lambda t: code_point_char(token_code_point(F.array_position(a, t)))), "")
@@ -76,9 +78,10 @@ def tokens_as_string(tokens, alphabet) -> Column:
 
 def token_code_point(pos) -> Column:
     """1-based alphabet position -> code point: U+0100 upwards, skipping the
-    surrogate block (positions up to 63,232)."""
+    surrogate block."""
     n = col_(pos) + 255
-    return F.when(n >= 0xD800, n + 0x800).otherwise(n)
+    code = F.when(n >= 0xD800, n + 0x800).otherwise(n)
+    return F.when(col_(pos) > TOKEN_CODE_POINTS, F.raise_error(F.lit("too many distinct tokens in one row"))).otherwise(code)
 
 
 def hash_order_key(seed, *cols) -> Column:

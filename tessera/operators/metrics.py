@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from tessera.functions.lcs import lcs
 from tessera.functions.ngrams import alignment, ngram_stats
 from tessera.functions.text import chars, tokens_as_string, ws_tokens
-from tessera.functions.joins import broadcast_if_small
 
 Tokenizer = Callable[[Column], Column]
 
@@ -88,24 +87,30 @@ def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
         F.sum(F.least("ch", "cr")).alias("m"), F.sum("ch").alias("th"), F.sum("cr").alias("tr"))
 
 
-def _bleu_from_stats(stats: DataFrame, out_keys: Sequence[str], max_order: int) -> DataFrame:
+def _bleu_from_stats(stats: DataFrame, out_keys: Sequence[str], max_order: int, sums: bool = False) -> DataFrame:
+    """BLEU per key from the per-order statistics; `sums` keeps their sums."""
     cols = []
     for k in range(1, max_order + 1):
         cols.append(F.coalesce(F.sum(F.when(F.col("n") == k, F.col("m"))), F.lit(0)).alias(f"m{k}"))
         cols.append(F.coalesce(F.sum(F.when(F.col("n") == k, F.col("th"))), F.lit(0)).alias(f"t{k}"))
     cols.append(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("tr"))), F.lit(0)).alias("rlen"))
     w = stats.groupBy(*out_keys).agg(*cols)
+    bleu, bp = _bleu(max_order)
+    kept = [c for c in w.columns if c not in out_keys] if sums else []
+    return w.select(*out_keys, bleu.alias("bleu"), bp.alias("brevity_penalty"),
+                    F.col("t1").cast("long").alias("translation_length"),
+                    F.col("rlen").cast("long").alias("reference_length"), *kept)
+
+
+def _bleu(max_order: int) -> tuple[Column, Column]:
+    """(BLEU, brevity penalty) from summed matches m1.., totals t1.. and rlen."""
     prec = [F.when(F.col(f"t{k}") > 0, F.col(f"m{k}") / F.col(f"t{k}")).otherwise(F.lit(0.0))
             for k in range(1, max_order + 1)]
     min_p = F.least(*prec) if len(prec) > 1 else prec[0]
     geo = F.exp(sum(F.log(F.when(p > 0, p)) for p in prec) / max_order)
     hlen, rlen = F.col("t1").cast("double"), F.col("rlen").cast("double")
     bp = F.when(hlen > rlen, F.lit(1.0)).when(hlen == 0, F.lit(0.0)).otherwise(F.exp(1 - rlen / hlen))
-    return w.select(*out_keys,
-                    F.when(min_p > 0, geo * bp).otherwise(F.lit(0.0)).alias("bleu"),
-                    bp.alias("brevity_penalty"),
-                    F.col("t1").cast("long").alias("translation_length"),
-                    F.col("rlen").cast("long").alias("reference_length"))
+    return F.when(min_p > 0, geo * bp).otherwise(F.lit(0.0)), bp
 
 
 def bleu_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
@@ -133,11 +138,13 @@ def bleu_macro_vs_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred",
                          tokenizer: Tokenizer = ws_tokens, group_cols=None) -> DataFrame:
     """Mean of per-pair BLEU next to corpus BLEU."""
     g = _g(group_cols)
-    macro = bleu_sentence(df, keys, pred, ref, tokenizer, group_cols=g).groupBy(*g).agg(
-        F.avg("bleu").alias("bleu_macro"), F.count("*").alias("n_pairs"))
-    corpus = bleu_corpus(df, keys, pred, ref, tokenizer, group_cols=g).select(
-        *g, F.col("bleu").alias("bleu_corpus"))
-    return macro.crossJoin(corpus) if not g else macro.join(corpus, g)
+    stats = _ngram_stats(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)),
+                         range(1, BLEU_MAX_ORDER + 1), g, per_key=True)
+    per = _bleu_from_stats(stats, g + list(keys), BLEU_MAX_ORDER, sums=True)
+    sums = [c for c in per.columns if c[0] in "mt" and c[1:].isdigit()] + ["rlen"]
+    whole = per.groupBy(*g).agg(F.avg("bleu").alias("bleu_macro"), F.count("*").alias("n_pairs"),
+                                *[F.sum(c).alias(c) for c in sums])
+    return whole.select(*g, "bleu_macro", "n_pairs", _bleu(BLEU_MAX_ORDER)[0].alias("bleu_corpus"))
 
 
 def chrf_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
@@ -304,25 +311,28 @@ def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataF
                  pred: str = "pred", ref: str = "ref", tokenizer: Tokenizer = ws_tokens,
                  max_order: int = BLEU_MAX_ORDER, char_order: int = CHRF_CHAR_ORDER,
                  beta: float = CHRF_BETA, alpha: float = METEOR_ALPHA,
-                 m_beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA) -> DataFrame:
-    """One record of 7 named values per group (length class), long form
-    `(length, metric, name, value)` with name = metric_length.
+                 m_beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA,
+                 mix: str | None = "mix") -> DataFrame:
+    """One record of 7 named values per group (length class) and one over
+    all groups (`mix`), long form `(length, metric, name, value)` with name =
+    metric_length.
 
     One pass: every pair's statistics for all six text metrics (clipped n-gram
     counts, character n-gram counts, METEOR alignment, LCS, edit distance,
     equality) are computed in a single projection of its row, then ONE grouped
     aggregate sums them per class -- the pairs are read and tokenized once and
-    the only shuffle carries a few numbers per pair and class.  `loss` is a
-    one-row frame with `nll`, crossed in by broadcast."""
+    the only shuffle of scores carries a few numbers per class and task.
+    `loss` holds a row's loss by `keys`; it is averaged per class."""
     g = group_col
     strip = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
-    t = pr.select(g, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"),
+    pr = pr.join(loss.select(*keys, F.col("loss").alias("_loss")), list(keys), "left")
+    t = pr.select(g, "_loss", tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"),
                   tokenizer(F.lower(F.col(pred))).alias("hl_"), tokenizer(F.lower(F.col(ref))).alias("rl_"),
                   strip(pred).alias("hs"), strip(ref).alias("rs"),
                   (F.col(pred) == F.col(ref)).cast("double").alias("em"))
     t = with_token_alphabet(t, "h", "r")
     row = t.select(
-        g, "em",
+        g, "em", "_loss",
         ngram_stats(F.col("h"), F.col("r"), range(1, max_order + 1)).alias("bs"),
         ngram_stats(F.col("hs"), F.col("rs"), range(1, char_order + 1), char_level=True).alias("cs"),
         alignment(F.col("hl_"), F.col("rl_")).alias("al"),
@@ -339,7 +349,9 @@ def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataF
     fmean = mp * mr / (alpha * mp + (1 - alpha) * mr)
     met = F.when((m_ == 0) | (F.col("mh") == 0) | (F.col("mr") == 0), F.lit(0.0)).otherwise(
         (1 - gamma * F.pow(F.col("al.chunks") / m_, m_beta)) * fmean)
-    aggs = [F.avg("em").alias("exact_match"), F.avg(sim).alias("leven_dist"),
+    if mix is not None:
+        row = row.withColumn(g, F.explode(F.array(F.col(g), F.lit(mix))))
+    aggs = [F.avg("_loss").alias("tst_loss"), F.avg("em").alias("exact_match"), F.avg(sim).alias("leven_dist"),
             F.avg(met).alias("meteor"), F.avg(rouge).alias("rouge")]
     for n in range(1, max_order + 1):
         e = F.element_at("bs", n)
@@ -364,8 +376,7 @@ def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataF
     cp, cr = sp / ne, sr / ne
     b2 = beta * beta
     chrf = F.when((ne == 0) | (cp + cr == 0), F.lit(0.0)).otherwise((1 + b2) * cp * cr / (b2 * cp + cr) * 100.0)
-    wide = a.select(g, bleu.alias("bleu"), chrf.alias("chrf"), "exact_match", "leven_dist", "meteor", "rouge") \
-        .crossJoin(broadcast_if_small(loss.select(F.col("nll").alias("tst_loss")), row_bound=1))
+    wide = a.select(g, bleu.alias("bleu"), chrf.alias("chrf"), "exact_match", "leven_dist", "meteor", "rouge", "tst_loss")
     long = wide.select(g, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                              for m in SUITE_METRICS])))
     return long.select(g, "metric", F.concat_ws("_", F.col("metric"), F.col(g)).alias("name"), "value")
@@ -408,9 +419,6 @@ def train_test_matrix(rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- step log
 
-CHECKPOINT_LABEL = "checkpoint-{epoch:02d}-{val_loss:.2f}"
-
-
 def epoch_rollup(log: DataFrame) -> DataFrame:
     """Per (run, epoch, metric) the batch-size-weighted mean of the step
     values, plus the step count and the last step's value."""

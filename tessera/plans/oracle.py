@@ -34,7 +34,7 @@ pred_ref AS (
   SELECT conv_id, turn, input,
          array_to_string(list_filter(toks, lambda x, i: (i - 1) % 7 <> 3), ' ') AS pred,
          array_to_string(toks, ' ') AS ref
-  FROM (SELECT *, regexp_extract_all(target, '\S+')[1:48] AS toks FROM pairs))""",
+  FROM (SELECT *, regexp_extract_all(target, '\S+') AS toks FROM pairs))""",
     "pr_tok": r"""
 pr_tok AS (
   SELECT conv_id, turn, regexp_extract_all(pred, '\S+') AS h,
@@ -55,6 +55,12 @@ attempts AS (
   SELECT d.source AS task_id, l.doc_id AS candidate, CAST(l.quality AS INTEGER) AS easy_pass,
          CAST(1 - l.toxic AS INTEGER) AS hard_pass
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id)""",
+    "pair_loss": r"""
+plp AS (SELECT vec_id, max(logit) FILTER (WHERE token = target) - (max(logit) + ln(sum(exp(logit - mx)))) AS logprob
+        FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM dist) GROUP BY vec_id),
+pair_loss AS (SELECT p.conv_id, p.turn, -plp.logprob AS loss FROM pairs p JOIN plp ON plp.vec_id = p.conv_id)""",
+    "pr_mix": r"""
+pr_mix AS (SELECT * FROM pr_class UNION ALL SELECT * REPLACE ('mix' AS length) FROM pr_class)""",
     "vocab": r"""
 vtok AS (
   SELECT t AS token, count(*) AS n
@@ -158,6 +164,8 @@ DEPS = {
     "enc_pairs": ["pairs", "vocab"],
     "padded": ["enc_pairs"],
     "pr_class": ["pred_ref"],
+    "pr_mix": ["pr_class"],
+    "pair_loss": ["pairs", "dist"],
     "doc_ids": ["corpus", "vocab"],
 }
 
@@ -264,13 +272,42 @@ SELECT """ + _r("avg(CAST(pred = ref AS DOUBLE))") + r""" AS exact_match, count(
 FROM pred_ref""")
 
 # ------------------------------------------------------------ edit distance
-_ED = r""",
-alph AS (SELECT conv_id, turn, h, r, list_distinct(list_concat(h, r)) AS a FROM pr_tok),
-enc AS (SELECT conv_id, turn, len(h) AS lh, len(r) AS lr,
-          array_to_string(list_transform(h, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '') AS hs,
-          array_to_string(list_transform(r, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '') AS rs
-        FROM alph),
-ed AS (SELECT conv_id, turn, CAST(levenshtein(hs, rs) AS BIGINT) AS d, lh, lr FROM enc)"""
+# The DP table of (h, r) by anti-diagonals in a recursive CTE: p1 holds the
+# cells with i + j = s, p2 those before (element i + 1 is row i).  A cell needs
+# only those two lists, so no prefix scan is needed and any number of distinct
+# tokens works.
+def _antidiagonals(name: str, src: str, h: str, r: str, edge_h: str, edge_r: str, cell: str, out: str) -> str:
+    return f""",
+{name} AS MATERIALIZED (
+  WITH RECURSIVE d(conv_id, turn, k, s, p1, p2) AS (
+    SELECT conv_id, turn, k, 0, list_transform(range(0, len({h}) + 1), lambda x: CASE WHEN x = 0 THEN 0 END),
+           list_transform(range(0, len({h}) + 1), lambda x: CAST(NULL AS INTEGER)) FROM {src}
+    UNION ALL
+    SELECT d.conv_id, d.turn, d.k, d.s + 1,
+      list_transform(range(0, len(p.{h}) + 1), lambda i:
+        CASE WHEN d.s + 1 - i < 0 OR d.s + 1 - i > len(p.{r}) THEN NULL
+             WHEN i = 0 THEN {edge_r} WHEN i = d.s + 1 THEN {edge_h}
+             ELSE {cell} END),
+      d.p1
+    FROM d JOIN {src} p USING (conv_id, turn, k)
+    WHERE d.s < len(p.{h}) + len(p.{r}))
+  SELECT d.conv_id, d.turn, d.k, CAST(d.p1[len(p.{h}) + 1] AS BIGINT) AS {out}
+  FROM d JOIN {src} p USING (conv_id, turn, k) WHERE d.s = len(p.{h}) + len(p.{r}))"""
+
+
+_ED_CELL = ("least(d.p1[i] + 1, d.p1[i + 1] + 1, "
+            "d.p2[i] + CASE WHEN p.{h}[i] = p.{r}[d.s + 1 - i] THEN 0 ELSE 1 END)")
+_LCS_CELL = ("CASE WHEN p.{h}[i] = p.{r}[d.s + 1 - i] THEN d.p2[i] + 1 "
+             "ELSE greatest(d.p1[i], d.p1[i + 1]) END")
+
+
+def _edit_distance(name: str, src: str, h: str, r: str, out: str) -> str:
+    return _antidiagonals(name, src, h, r, "i", "d.s + 1", _ED_CELL.format(h=h, r=r), out)
+
+
+_ED = """,
+pe AS (SELECT *, 0 AS k FROM pr_tok)""" + _edit_distance("de", "pe", "h", "r", "d") + """,
+ed AS (SELECT p.conv_id, p.turn, de.d, len(p.h) AS lh, len(p.r) AS lr FROM pe p JOIN de USING (conv_id, turn, k))"""
 
 oracle("token_edit_distance", with_views("pr_tok") + _ED + r"""
 SELECT conv_id, turn, d AS edit_distance,
@@ -303,23 +340,9 @@ SELECT """ + _r("""avg(CASE WHEN mm = 0 OR hl = 0 OR rl = 0 THEN 0.0 ELSE
 FROM sc""")
 
 # -------------------------------------------------------------------- ROUGE-L
-# LCS by a recursive CTE that carries one row of the DP table as a list; the
-# new row is the prefix maximum of (match ? diagonal + 1 : above).
-_LCS = r""",
-dp AS MATERIALIZED (
-  WITH RECURSIVE d(conv_id, turn, i, rowv) AS (
-    SELECT conv_id, turn, 0, list_transform(range(0, len(r) + 1), lambda j: 0) FROM pr_tok
-    UNION ALL
-    SELECT d.conv_id, d.turn, d.i + 1,
-      list_transform(range(1, len(p.r) + 2), lambda k: list_max(list_transform(range(0, k),
-        lambda j: CASE WHEN j = 0 THEN 0
-                       WHEN p.h[d.i + 1] = p.r[j] THEN d.rowv[j] + 1
-                       ELSE d.rowv[j + 1] END)))
-    FROM d JOIN pr_tok p USING (conv_id, turn)
-    WHERE d.i < len(p.h))
-  SELECT d.conv_id, d.turn, CAST(d.rowv[len(d.rowv)] AS BIGINT) AS l
-  FROM d JOIN pr_tok p USING (conv_id, turn) WHERE d.i = len(p.h)),
-lc AS (SELECT p.conv_id, p.turn, len(p.h) AS lh, len(p.r) AS lr, dp.l FROM pr_tok p JOIN dp USING (conv_id, turn))"""
+_LCS = """,
+pl AS (SELECT *, 0 AS k FROM pr_tok)""" + _antidiagonals("dl", "pl", "h", "r", "0", "0", _LCS_CELL.format(h="h", r="r"), "l") + """,
+lc AS (SELECT p.conv_id, p.turn, len(p.h) AS lh, len(p.r) AS lr, dl.l FROM pl p JOIN dl USING (conv_id, turn, k))"""
 
 oracle("rouge_l", with_views("pr_tok") + _LCS + r"""
 SELECT """ + _r("""avg(CASE WHEN l = 0 THEN 0.0 ELSE
@@ -695,24 +718,18 @@ FROM t WHERE rk <= 5""")
 
 _RESULT = r""",
 rr AS (
-  SELECT conv_id, turn, regexp_extract_all(input, '\S+') AS input, regexp_extract_all(ref, '\S+') AS reference,
+  SELECT conv_id, turn, 0 AS k, regexp_extract_all(input, '\S+') AS input, regexp_extract_all(ref, '\S+') AS reference,
          regexp_extract_all(pred, '\S+') AS prediction, pred = ref AS exact_match, length AS test_type
-  FROM pr_class),
-ra AS (SELECT *, list_distinct(list_concat(prediction, reference)) AS a FROM rr),
-re AS (
-  SELECT *, levenshtein(
-           array_to_string(list_transform(prediction, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), ''),
-           array_to_string(list_transform(reference, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '')) AS d,
-         greatest(len(prediction), len(reference)) AS mx
-  FROM ra)"""
-
-oracle("result_rows", with_views("pr_class") + _RESULT + """
-SELECT conv_id, turn, '7' AS train_type, test_type, input, reference, prediction, CAST(NULL AS DOUBLE) AS loss,
+  FROM pr_class)""" + _edit_distance("dr", "rr", "prediction", "reference", "d") + """,
+re AS (SELECT rr.*, dr.d, greatest(len(prediction), len(reference)) AS mx FROM rr JOIN dr USING (conv_id, turn, k))"""
+
+oracle("result_rows", with_views("pr_class", "pair_loss") + _RESULT + """
+SELECT conv_id, turn, '7' AS train_type, test_type, input, reference, prediction, """ + _r("loss") + """ AS loss,
        exact_match, """ + _r("CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END") + """ AS levenshtein_distance
-FROM re""")
+FROM re LEFT JOIN pair_loss USING (conv_id, turn)""")
 
 oracle("train_test_matrix", with_views("pairs") + r""",
-b AS (SELECT conv_id, turn, regexp_extract_all(target, '\S+')[1:48] AS toks FROM pairs),
+b AS (SELECT conv_id, turn, regexp_extract_all(target, '\S+') AS toks FROM pairs),
 bn AS (SELECT *, len(toks) AS rn FROM b),
 be AS (SELECT quantile_cont(rn, [0.25, 0.5, 0.75]) AS e FROM bn),
 bc AS (
@@ -720,17 +737,13 @@ bc AS (
          + (rn >= e[3])::INT] AS test_type
   FROM bn, be),
 x AS (
-  SELECT conv_id, turn, CAST(period AS VARCHAR) AS train_type, test_type, toks AS reference,
+  SELECT conv_id, turn, period AS k, CAST(period AS VARCHAR) AS train_type, test_type, toks AS reference,
          list_filter(toks, lambda x, i: (i - 1) % period <> 3) AS prediction
-  FROM bc, (VALUES (5), (7), (11)) v(period)),
-xa AS (SELECT *, list_distinct(list_concat(prediction, reference)) AS a FROM x),
+  FROM bc, (VALUES (5), (7), (11)) v(period))""" + _edit_distance("dx", "x", "prediction", "reference", "d") + r""",
 xe AS (
-  SELECT *, levenshtein(
-           array_to_string(list_transform(prediction, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), ''),
-           array_to_string(list_transform(reference, lambda t: chr(CAST(list_position(a, t) AS INTEGER))), '')) AS d,
-         greatest(len(prediction), len(reference)) AS mx,
+  SELECT x.*, dx.d, greatest(len(prediction), len(reference)) AS mx,
          array_to_string(prediction, ' ') = array_to_string(reference, ' ') AS em
-  FROM xa)
+  FROM x JOIN dx USING (conv_id, turn, k))
 SELECT train_type, test_type, count(*) AS n_rows, """ + _r("avg(CAST(em AS DOUBLE))") + """ AS exact_match,
        """ + _r("avg(CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END)") + """ AS leven_dist
 FROM xe GROUP BY train_type, test_type""")
@@ -774,12 +787,12 @@ GROUP BY ALL""")
 ORACLE["epoch_rollup_stream"] = ORACLE["epoch_rollup"]
 
 # ============================================================ metric suite
-_SUITE = with_views("pr_tok", "pr_class", "dist") + "," + _NG + r""",
+_SUITE = with_views("pr_tok", "pr_mix", "pair_loss") + "," + _NG + r""",
 gstats AS (SELECT c.length, n, sum(least(ch, cr)) AS m, sum(ch) AS th, sum(cr) AS tr
-           FROM cnt JOIN pr_class c USING (conv_id, turn) GROUP BY c.length, n),
+           FROM cnt JOIN pr_mix c USING (conv_id, turn) GROUP BY c.length, n),
 s_bleu AS (""" + _BLEU_TAIL.format(keys="length,", group="GROUP BY length").replace("FROM stats", "FROM gstats") + r"""),
 cs AS (SELECT conv_id, turn, length, regexp_replace(pred, '\s+', '', 'g') AS h,
-              regexp_replace(ref, '\s+', '', 'g') AS r FROM pr_class),
+              regexp_replace(ref, '\s+', '', 'g') AS r FROM pr_mix),
 cg AS (
   SELECT conv_id, turn, length, 0 AS side, n, substring(h, i, n) AS gram
   FROM cs, range(1, 7) AS o(n), range(1, length(h) - n + 2) AS q(i)
@@ -795,9 +808,9 @@ cpr AS (SELECT length, sum(m / th) FILTER (WHERE th > 0 AND tr > 0) AS sp,
                count(*) FILTER (WHERE th > 0 AND tr > 0) AS eff FROM cst GROUP BY length),
 s_chrf AS (SELECT length, CASE WHEN eff = 0 OR sp + sr = 0 THEN 0.0
   ELSE 5 * (sp / eff) * (sr / eff) / (4 * (sp / eff) + (sr / eff)) * 100.0 END AS v FROM cpr),
-s_em AS (SELECT length, avg(CAST(pred = ref AS DOUBLE)) AS v FROM pr_class GROUP BY length)""" + _ED + r""",
+s_em AS (SELECT length, avg(CAST(pred = ref AS DOUBLE)) AS v FROM pr_mix GROUP BY length)""" + _ED + r""",
 s_ed AS (SELECT c.length, avg(CASE WHEN greatest(lh, lr) = 0 THEN 1.0 ELSE 1 - d / greatest(lh, lr) END) AS v
-         FROM ed JOIN pr_class c USING (conv_id, turn) GROUP BY c.length),
+         FROM ed JOIN pr_mix c USING (conv_id, turn) GROUP BY c.length),
 mt AS (SELECT conv_id, turn, regexp_extract_all(lower(pred), '\S+') AS h,
               regexp_extract_all(lower(ref), '\S+') AS r FROM pred_ref),
 hw AS (SELECT conv_id, turn, i - 1 AS hp, h[i] AS w FROM mt, range(1, len(h) + 1) AS q(i)),
@@ -815,13 +828,10 @@ msc AS (SELECT mt.conv_id, mt.turn, len(h) AS hl, len(r) AS rl, coalesce(mm, 0)
 s_meteor AS (
   SELECT c.length, avg(CASE WHEN mm = 0 OR hl = 0 OR rl = 0 THEN 0.0 ELSE
     (1 - 0.5 * pow(ch / mm, 3)) * ((mm / hl) * (mm / rl) / (0.9 * (mm / hl) + 0.1 * (mm / rl))) END) AS v
-  FROM msc JOIN pr_class c USING (conv_id, turn) GROUP BY c.length)""" + _LCS + r""",
+  FROM msc JOIN pr_mix c USING (conv_id, turn) GROUP BY c.length)""" + _LCS + r""",
 s_rouge AS (SELECT c.length, avg(CASE WHEN l = 0 THEN 0.0 ELSE 2 * (l / lh) * (l / lr) / ((l / lh) + (l / lr)) END) AS v
-            FROM lc JOIN pr_class c USING (conv_id, turn) GROUP BY c.length),
-lp AS (SELECT vec_id, target,
-          max(logit) FILTER (WHERE token = target) - (max(logit) + ln(sum(exp(logit - mx)))) AS logprob
-       FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM dist) GROUP BY vec_id, target),
-s_loss AS (SELECT avg(-logprob) AS v FROM lp WHERE target <> 0),
+            FROM lc JOIN pr_mix c USING (conv_id, turn) GROUP BY c.length),
+s_loss AS (SELECT c.length, avg(loss) AS v FROM pair_loss JOIN pr_mix c USING (conv_id, turn) GROUP BY c.length),
 allm AS (
   SELECT length, 'bleu' AS metric, bleu AS v FROM s_bleu
   UNION ALL SELECT length, 'chrf', v FROM s_chrf
@@ -829,7 +839,7 @@ allm AS (
   UNION ALL SELECT length, 'leven_dist', v FROM s_ed
   UNION ALL SELECT length, 'meteor', v FROM s_meteor
   UNION ALL SELECT length, 'rouge', v FROM s_rouge
-  UNION ALL SELECT g.length, 'tst_loss', s_loss.v FROM (SELECT DISTINCT length FROM pr_class) g, s_loss)
+  UNION ALL SELECT length, 'tst_loss', v FROM s_loss)
 SELECT length, metric, metric || '_' || length AS name, """ + _r("v") + """ AS value FROM allm"""
 
 oracle("metric_suite", _SUITE)

@@ -477,26 +477,25 @@ def q_complete_batch(spark, sf):
 
 # ================================================================ metrics E10-E14
 
-def _loss(spark, sf):
-    return E.masked_nll(V.dist(spark, sf), pad_id=0)
+def _suite(spark, sf):
+    return E.metric_suite(_ref_class(V.pred_ref(spark, sf)), PR_KEYS, "length", V.pair_loss(spark, sf))
 
 
 @register("metric_suite")
 def q_metric_suite(spark, sf):
-    pr = _ref_class(V.pred_ref(spark, sf))
-    return E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf))
+    return _suite(spark, sf)
 
 
 @register("result_rows")
 def q_result_rows(spark, sf):
     pr = _ref_class(V.pred_ref(spark, sf))
-    return E.result_rows(pr, PR_KEYS, F.lit(str(V.CORRUPTION_PERIOD)), F.col("length"))
+    return E.result_rows(pr, PR_KEYS, F.lit(str(V.CORRUPTION_PERIOD)), F.col("length"), V.pair_loss(spark, sf))
 
 
 @register("train_test_matrix")
 def q_train_test_matrix(spark, sf):
     base = _ref_class(V.pairs(spark, sf).select(
-        *PR_KEYS, "input", F.slice(ws_tokens("target"), 1, V.REF_TOKENS).alias("toks"))
+        *PR_KEYS, "input", ws_tokens("target").alias("toks"))
         .withColumn("ref", F.array_join("toks", " ")))
     periods = bounded(spark.createDataFrame([(5,), (7,), (11,)], "period int"), 3)
     x = base.crossJoin(broadcast_bounded(periods)).withColumn(
@@ -608,14 +607,12 @@ def q_epoch_rollup_stream(spark, sf):
 @register("metric_record_wide")
 def q_metric_record_wide(spark, sf):
     """E10 wide form: one row per length class, one column per metric."""
-    pr = _ref_class(V.pred_ref(spark, sf))
-    return E.metric_record_wide(E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf)), "length")
+    return E.metric_record_wide(_suite(spark, sf), "length")
 
 
 @register("metrics_json")
 def q_metrics_json(spark, sf):
-    """The JSON object written per length class."""
+    """The JSON object written per length class and for the mix."""
     from tessera.sources.sinks import metrics_json
-    pr = _ref_class(V.pred_ref(spark, sf))
-    suite = E.metric_suite(pr, PR_KEYS, "length", _loss(spark, sf))
+    suite = _suite(spark, sf)
     return metrics_json(suite.withColumn("value", F.round("value", 6)), "length")

@@ -15,7 +15,6 @@ from tessera.sources.tables import read_table
 
 # Fixed values of the fixtures.
 SPLIT_TRAIN_BELOW = 8          # doc_id % 10 < 8 -> train, 8 -> validation, 9 -> test
-REF_TOKENS = 48                # reference = first 48 white-space tokens of the target
 CORRUPTION_PERIOD = 7          # prediction drops tokens whose 0-based index % period == 3
 CORRUPTION_PHASE = 3
 LOGIT_SCALE = 10.0             # dist: logits = 10 * embedding value
@@ -63,9 +62,8 @@ def corrupt(tokens, period: int = CORRUPTION_PERIOD, phase: int = CORRUPTION_PHA
 
 
 def pred_ref(spark: SparkSession, sf_dir: str, period: int = CORRUPTION_PERIOD) -> DataFrame:
-    """Predictions and references keyed by (conv_id, turn)."""
-    p = pairs(spark, sf_dir).select(
-        "conv_id", "turn", "input", F.slice(ws_tokens("target"), 1, REF_TOKENS).alias("toks"))
+    """Predictions and references (whole targets) keyed by (conv_id, turn)."""
+    p = pairs(spark, sf_dir).select("conv_id", "turn", "input", ws_tokens("target").alias("toks"))
     return p.select("conv_id", "turn", "input",
                     F.array_join(corrupt(F.col("toks"), period), " ").alias("pred"),
                     F.array_join(F.col("toks"), " ").alias("ref"))
@@ -118,6 +116,16 @@ def dist(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(LOGIT_SCALE) * F.col("v").cast("double")).alias("logit"), "target")
 
 
+def pair_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of each pair, keyed by (conv_id, turn): the negative log-likelihood
+    of the distribution row whose id is the conversation's."""
+    from tessera.operators.metrics import log_softmax_at_target
+
+    lp = log_softmax_at_target(dist(spark, sf_dir))
+    keys = pairs(spark, sf_dir).select("conv_id", "turn")
+    return keys.join(lp, keys.conv_id == lp.vec_id).select("conv_id", "turn", (-F.col("logprob")).alias("loss"))
+
+
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training log: run, epoch, step, metric, value, batch size."""
     ev = read_table(spark, sf_dir, "events")

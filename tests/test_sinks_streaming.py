@@ -37,7 +37,7 @@ def test_results_csv_and_metrics_json(spark, tmp_out):
     S.write_results_csv(rows, os.path.join(tmp_out, "results"))
     back = spark.read.option("header", True).csv(os.path.join(tmp_out, "results"))
     assert back.count() == rows.count() and back.columns == rows.columns
-    loss = E.masked_nll(V.dist(spark, SF001))
+    loss = V.pair_loss(spark, SF001)
     suite = E.metric_suite(pr, ["conv_id", "turn"], "length", loss)
     S.write_metrics_json(suite, os.path.join(tmp_out, "metrics"))
     js = spark.read.json(os.path.join(tmp_out, "metrics"))
