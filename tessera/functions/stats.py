@@ -1,31 +1,27 @@
-"""Scalar estimators that need special functions (Arrow-batched)."""
+"""Scalar estimators."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def pass_at_k_value(n: int, c: int, k: int) -> float:
-    """Unbiased pass@k: 1 - prod_{i=n-c+1..n} (1 - k/i), in closed form
-    1 - G(n-k+1) G(n-c+1) / (G(n-c-k+1) G(n+1)) via log-gamma, so a task with
-    a huge number of candidates costs O(1), not O(c)."""
+    """Unbiased pass@k, 1 - C(n - c, k) / C(n, k), as the product of its k
+    factors (n - c - j) / (n - j): no digits are lost however large n is."""
     if c == 0:
         return 0.0
     if n - c < k:
         return 1.0
-    return 1.0 - math.exp(math.lgamma(n - k + 1) - math.lgamma(n - c - k + 1)
-                          - math.lgamma(n + 1) + math.lgamma(n - c + 1))
-
-
-@F.pandas_udf(T.DoubleType())
-def _pass_at_k_udf(n: pd.Series, c: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([pass_at_k_value(int(a), int(b), int(d)) for a, b, d in zip(n, c, k)], dtype="float64")
+    p = 1.0
+    for j in range(k):
+        p *= (n - c - j) / (n - j)
+    return 1.0 - p
 
 
 def pass_at_k_col(n: Column, c: Column, k: Column) -> Column:
-    return _pass_at_k_udf(n, c, k)
+    """The same as a native expression of k terms."""
+    n, c = n.cast("double"), c.cast("double")
+    product = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), F.lit(1.0),
+                          lambda acc, j: acc * (n - c - j) / (n - j))
+    return F.when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(1 - product)

@@ -7,12 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white-space token pattern and the byte-level pre-token
-# pattern (the published one without the `\s+(?!\S)` look-ahead branch, which
-# RE2-based engines cannot run; the look-ahead form can be passed explicitly).
+# The white-space token pattern and the published byte-level
+# pre-token pattern.
 WS_TOKEN_PATTERN = r"\S+"
-PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
-PRETOKEN_PATTERN_LOOKAHEAD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def col_(c) -> Column:

@@ -9,11 +9,12 @@ and rewrites the symbol strings in place (one regex replacement per row, no
 shuffle).
 Lineage is cut with a reliable checkpoint every few rounds.
 
-Exact mode (`merges_per_round=1`) reproduces sequential BPE with ties broken
-by (count desc, left, right).  Scale mode accepts several best pairs per round
-that share no symbol; they are independent of one another, but a pair created
-by one of them could have outranked a later one, so merge order may differ
-from exact mode.
+Merges come out exactly as sequential BPE gives them, ties broken by (count
+desc, left, right).  A round takes several of the best pairs where that is
+provably the same: while the pairs at the top of the ranking share no symbol,
+merging one changes no count of the others, and a pair it creates counts at
+most as much as some pair that shares a symbol with it, all of which rank lower
+(see `_sequential_prefix`).
 """
 
 from __future__ import annotations
@@ -48,6 +49,13 @@ def byte_symbols(word: Column) -> Column:
                        lambda h: code_point_char(_byte_code_point(F.conv(h, 16, 10).cast("int"))))
 
 
+def _byte_symbol_list() -> list[str]:
+    """The same alphabet on the Python side, by byte."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
 # Symbols of a word are kept as one string joined by this separator (a
 # control character that no alphabet symbol contains), so a merge is a single
 # JVM regex replacement instead of an array rebuild.
@@ -90,16 +98,25 @@ def merge_pair(syms: Column, left: str, right: str) -> Column:
     return F.regexp_replace(syms, F.lit(_pair_pattern(left, right)), F.lit(_java_replacement(left + right)))
 
 
-def _disjoint_best(rows: Sequence, limit: int) -> list[tuple[str, str, int]]:
-    chosen, used = [], set()
-    for r in rows:
-        if r["left"] in used or r["right"] in used:
-            continue
-        chosen.append((r["left"], r["right"], int(r["n"])))
-        used.update((r["left"], r["right"]))
-        if len(chosen) >= limit:
+def _sequential_prefix(rows: Sequence, limit: int) -> list[tuple[str, str, int]]:
+    """The pairs at the top of the ranking `rows` that sequential BPE would
+    merge one after the other: those before the first that shares a symbol
+    with an earlier one or pairs a symbol with itself (its runs make new pairs
+    of their own), as far as they count strictly more than it (without such a
+    pair: than the last row, beyond which nothing is known)."""
+    used: set = set()
+    end = len(rows)
+    for i, r in enumerate(rows):
+        if r["left"] == r["right"] or {r["left"], r["right"]} & used:
+            end = i
             break
-    return chosen
+        used |= {r["left"], r["right"]}
+    floor = rows[min(end, len(rows) - 1)]["n"]
+    out = [(r["left"], r["right"], int(r["n"])) for r in rows[:end] if r["n"] > floor]
+    if not out:
+        r = rows[0]
+        out = [(r["left"], r["right"], int(r["n"]))]
+    return out[:limit]
 
 
 def _pair_pattern(left: str, right: str) -> str:
@@ -107,8 +124,10 @@ def _pair_pattern(left: str, right: str) -> str:
 
 
 def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
-              merges_per_round: int = 1, min_count: int = 2, incremental: bool = True) -> DataFrame:
-    """T4: learn up to `n_merges` merges; returns `(rank, left, right, n)`.
+              merges_per_round: int = 64, min_count: int = 1, incremental: bool = True) -> DataFrame:
+    """T4: learn up to `n_merges` merges (vocabulary size less the alphabet and
+    added tokens); returns `(rank, left, right, n)`.  `merges_per_round` bounds
+    how many a round may take; the result does not depend on it.
 
     incremental=True keeps the pair-count table between rounds and updates it
     with the delta of the words that contain a merged pair (their old pairs
@@ -126,12 +145,10 @@ def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
     while len(merges) < n_merges:
         want = min(merges_per_round, n_merges - len(merges))
         table = pairs if incremental else pair_counts(types)
-        # Candidates for a round: the best few pairs (bounded by a small
-        # multiple of the pairs wanted), ordered by count then pair.
+        # Candidates for a round: the best few pairs, ordered by count then pair.
         cand = table.filter(F.col("n") >= min_count) \
-            .orderBy(F.col("n").desc(), "left", "right").limit(max(4 * want, 1)).collect()
-        picked = _disjoint_best(cand, want) if want > 1 else \
-            [(cand[0]["left"], cand[0]["right"], int(cand[0]["n"]))] if cand else []
+            .orderBy(F.col("n").desc(), "left", "right").limit(want + 1).collect()
+        picked = _sequential_prefix(cand, want) if cand else []
         if not picked:
             break
         sym = F.col("syms")
@@ -205,32 +222,78 @@ def _apply_merges(symbols: list, ranks: dict) -> list:
     return sym
 
 
+WORD_CACHE = 100_000  # words whose ids a worker keeps
+
+
+def _pieces(text: Column, pattern: str, added: Sequence[str]) -> Column:
+    """Pre-tokens; added tokens are cut out first and stay whole."""
+    cut = "|".join(f"(?<={re.escape(t)})|(?={re.escape(t)})" for t in added)
+    parts = F.split(text, cut, -1) if cut else F.array(text)
+    split = F.transform(parts, lambda p: F.when(p.isin(*added), F.array(p)).otherwise(regex_tokens(p, pattern)) if added
+                        else regex_tokens(p, pattern))
+    return F.flatten(split)
+
+
 def bpe_encode(df: DataFrame, key: Sequence[str], text: str, merges: DataFrame, vocab: DataFrame,
-               pattern: str = PRETOKEN_PATTERN, max_len: int | None = None) -> DataFrame:
-    """T7 (BPE path): pre-tokenize natively, then apply the merges to each
-    word in Arrow batches with the merge table broadcast (its size is the
-    requested vocabulary size).  Returns `input_ids` per row."""
+               pattern: str = PRETOKEN_PATTERN, max_len: int | None = None,
+               added: Sequence[str] = SPECIAL_TOKENS + ADDED_TOKENS) -> DataFrame:
+    """T7, T9 (BPE path): pre-tokenize natively, then apply the merges to each
+    distinct word once per worker (a bounded cache), with the merge table
+    broadcast (its size is the requested vocabulary size).  A symbol that the
+    vocabulary lacks is an error.  Returns `input_ids` per row, cut to
+    `max_len`; labels are the same over the framed target."""
     spark = df.sparkSession
     k = list(key)
     rank_rows = merges.select("rank", "left", "right").collect()  # bounded by the vocabulary size
     ranks = spark.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in rank_rows})
     tok_rows = vocab.select("token", "token_id").collect()        # bounded likewise
     ids = spark.sparkContext.broadcast({r["token"]: r["token_id"] for r in tok_rows})
-    pieces = df.select(*k, regex_tokens(F.col(text), pattern).alias("_pieces"))
-    byte_sym = pieces.select(*k, F.transform("_pieces", lambda w: byte_symbols(w)).alias("_syms"))
-    schema = byte_sym.select(*k).schema.add("input_ids", T.ArrayType(T.IntegerType()))
+    pieces = df.select(*k, _pieces(F.col(text), pattern, added).alias("_pieces"))
+    schema = pieces.select(*k).schema.add("input_ids", T.ArrayType(T.IntegerType()))
+    whole = frozenset(added)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rk, tid = ranks.value, ids.value
+        sym = _byte_symbol_list()
+        known: dict[str, list[int]] = {}
+
+        def encode(word: str) -> list[int]:
+            if word in whole:
+                return [tid[word]]
+            return [tid[s] for s in _apply_merges([sym[b] for b in word.encode()], rk)]
+
         for pdf in batches:
             out_ids = []
-            for words in pdf["_syms"]:
-                row = []
+            for words in pdf["_pieces"]:
+                row: list[int] = []
                 for w in (words if words is not None else []):
-                    for s in _apply_merges(list(w), rk):
-                        row.append(tid.get(s, 0))
+                    if w not in known:
+                        if len(known) >= WORD_CACHE:
+                            known.clear()
+                        known[w] = encode(w)
+                    row += known[w]
                 out_ids.append(row[:max_len] if max_len else row)
             out = pdf[k].copy()
             out["input_ids"] = out_ids
             yield out
-    return byte_sym.mapInPandas(run, schema)
+    return pieces.mapInPandas(run, schema)
+
+
+def bpe_decode(df: DataFrame, key: Sequence[str], vocab: DataFrame, ids: str = "input_ids", skip_special: bool = False) -> DataFrame:
+    """T11 (BPE path): ids back to text.  Byte symbols become bytes, added
+    tokens their own text; `skip_special` leaves the special tokens out.
+    Returns `decoded` per row."""
+    k = list(key)
+    rows = vocab.select("token_id", "token", "special").collect()  # bounded by the vocabulary size
+    added = set(SPECIAL_TOKENS + ADDED_TOKENS)
+    byte_of = {c: b for b, c in enumerate(_byte_symbol_list())}
+    table = {r["token_id"]: (b"" if skip_special and r["special"] else r["token"].encode()) if r["token"] in added
+             else bytes(byte_of[c] for c in r["token"]) for r in rows}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("string")
+    def decode(col: pd.Series) -> pd.Series:
+        t = shared.value
+        return col.map(lambda xs: None if xs is None else b"".join([t[x] for x in xs]).decode(errors="replace"))
+
+    return df.select(*k, decode(F.col(ids)).alias("decoded"))

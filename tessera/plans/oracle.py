@@ -431,7 +431,11 @@ SELECT doc_id, size, line_no, n_tokens,
 FROM best""")
 
 # ======================================================================= T1-T13
-_PRETOK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+""".replace("'", "''")
+# The published pre-token pattern ends in `\s+(?!\S)|\s+`: of a run of white
+# space before a word all but the last character come off first.  Without
+# look-ahead: put a mark before that last character, which ends `\s+`.
+_PRETOK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+""".replace("'", "''")
+_MARKED = r"regexp_replace(text, '(\s)(\S)', chr(1) || '\1\2', 'g')"
 
 oracle("byte_alphabet", r"""
 WITH b AS (
@@ -452,12 +456,12 @@ FROM a LEFT JOIN cnt USING (byte)""")
 
 oracle("pretokenize", f"""
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ps[i] AS piece
-FROM (SELECT doc_id, regexp_extract_all(text, '{_PRETOK}') AS ps FROM documents), range(1, len(ps) + 1) AS t(i)""")
+FROM (SELECT doc_id, regexp_extract_all({_MARKED}, '{_PRETOK}') AS ps FROM documents), range(1, len(ps) + 1) AS t(i)""")
 
 _WC = f""",
 wc AS (
   SELECT w AS word, count(*) AS n
-  FROM (SELECT unnest(regexp_extract_all(text, '{_PRETOK}')) AS w FROM corpus WHERE split = 'train')
+  FROM (SELECT unnest(regexp_extract_all({_MARKED}, '{_PRETOK}')) AS w FROM corpus WHERE split = 'train')
   GROUP BY w)"""
 
 oracle("word_counts", with_views("corpus") + _WC + """
@@ -468,6 +472,9 @@ SELECT c[i] AS "left", c[i + 1] AS "right", CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT n, string_split(word, '') AS c FROM wc), range(1, len(c)) AS t(i)
 GROUP BY 1, 2""")
 
+oracle("bpe_decode", with_views("pairs") + """
+SELECT conv_id, turn, input AS decoded FROM pairs""")
+
 oracle("vocab_with_specials", with_views("vocab") + """
 SELECT token_id, token, special FROM vocab""")
 

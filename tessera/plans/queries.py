@@ -580,18 +580,41 @@ def _train_word_counts(spark, sf):
     return T.word_counts(P.corpus_scan(V.docs_with_split(spark, sf)), "original_method")
 
 
+BPE_MERGES = 32  # of the requested size, VOCAB_SIZE less the alphabet; each costs up to a pass over the word table
+
+
+def _bpe(spark, sf):
+    from tessera.operators.bpe import bpe_train, bpe_vocab
+    merges = bpe_train(_train_word_counts(spark, sf), n_merges=BPE_MERGES, byte_level=True)
+    return merges, bpe_vocab(T.byte_alphabet(spark), merges)
+
+
 @register("bpe_train")
 def q_bpe_train(spark, sf):
-    from tessera.operators.bpe import bpe_train
-    return bpe_train(_train_word_counts(spark, sf), n_merges=16, byte_level=True)
+    return _bpe(spark, sf)[0]
 
 
 @register("bpe_encode")
 def q_bpe_encode(spark, sf):
-    from tessera.operators.bpe import bpe_encode, bpe_train, bpe_vocab
-    merges = bpe_train(_train_word_counts(spark, sf), n_merges=32, byte_level=True, merges_per_round=8)
-    vocab = bpe_vocab(T.byte_alphabet(spark), merges)
-    return bpe_encode(V.pairs(spark, sf), PR_KEYS, "input", merges, vocab, max_len=T.ENC_MAX_LEN)
+    from tessera.operators.bpe import bpe_encode
+    return bpe_encode(V.pairs(spark, sf), PR_KEYS, "input", *_bpe(spark, sf), max_len=T.ENC_MAX_LEN)
+
+
+@register("bpe_labels")
+def q_bpe_labels(spark, sf):
+    """T9 with the learned tokenizer: the framed target, cut to the label limit."""
+    from tessera.operators.bpe import bpe_encode
+    framed = V.pairs(spark, sf).withColumn("framed", F.concat(F.lit("<BOS>"), "target", F.lit("<EOS>")))
+    out = bpe_encode(framed, PR_KEYS, "framed", *_bpe(spark, sf), max_len=T.DEC_MAX_LEN)
+    return out.withColumnRenamed("input_ids", "labels")
+
+
+@register("bpe_decode")
+def q_bpe_decode(spark, sf):
+    """T11 with the learned tokenizer: encode and decode give the text back."""
+    from tessera.operators.bpe import bpe_decode, bpe_encode
+    merges, vocab = _bpe(spark, sf)
+    return bpe_decode(bpe_encode(V.pairs(spark, sf), PR_KEYS, "input", merges, vocab), PR_KEYS, vocab)
 
 
 # ============================================================ streaming E13

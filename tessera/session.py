@@ -28,15 +28,25 @@ _BASE_CONF = {
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "tessera", extra: dict | None = None) -> SparkSession:
-    """Local/test session.  On a cluster, the submitter's configuration wins:
-    we only fill in keys that are not already set."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """Session with the settings above.  Under `spark-submit` the submitter's
+    configuration wins: only keys it leaves open are set.  Otherwise (tests,
+    local runs) this is a local session with `master`, `shuffle_partitions`
+    and 16 GB of driver memory (TESSERA_DRIVER_MEMORY), all of which `extra`
+    can replace."""
     conf = dict(_BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
-    conf.update(extra or {})
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        from pyspark import SparkConf, SparkContext
+        SparkContext._ensure_initialized()
+        given = dict(SparkConf().getAll())
+    else:
+        given = {}
+        conf |= {"spark.master": master, "spark.sql.shuffle.partitions": str(shuffle_partitions),
+                 "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "16g")}
+    conf |= extra or {}
+    builder = SparkSession.builder.appName(app_name)
     for k, v in conf.items():
-        builder = builder.config(k, v)
+        if k not in given:
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -45,21 +55,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this points at shared storage and is respected as-is.  Only when
-    it is unset (tests, local runs) do we create a scratch folder of our own.
-    """
+    On a cluster this points at shared storage and is respected as-is; if it is
+    unset there, this fails, since a folder of one machine would not do.  Only
+    a `local[...]` session (tests, local runs) gets a scratch folder."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    local = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir()
 
 
 _SHIPPED: set = set()

@@ -19,35 +19,16 @@ _SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "pag
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    A Parquet file splits only at row-group boundaries, so a small table of
-    long texts can come back as fewer partitions than there are task slots,
-    and all the per-row text work (regex tokenization) then runs on a few
-    cores.  Only in that case the scan is hash-partitioned by its row key to
-    the default parallelism; a large table (many files/row groups) is left
-    exactly as scanned, with no extra exchange."""
+    A Parquet file splits only at row-group boundaries.  A text table that
+    comes back as fewer partitions than there are task slots would leave slots
+    idle in all the per-row text work, so it is dealt out by its row key to as
+    many partitions as there are slots.  The rule is about idle slots, not
+    size: a table with at least one partition per slot is left as scanned."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     key = _SPREAD_KEYS.get(name)
-    if key is not None and _scan_bytes(df) <= SPREAD_MAX_BYTES:
-        try:
-            slots = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < slots:
-                df = df.repartition(slots, key)
-        except Exception:  # no SparkContext on the client (Spark Connect)
-            pass
+    slots = spark.sparkContext.defaultParallelism
+    if key is not None and df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots, key)
     return df
-
-
-# Spreading shuffles the table once; it is only worth it (and only allowed)
-# for tables whose size on disk is below this bound.
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def _scan_bytes(df: DataFrame) -> int:
-    """Size estimate of a scan from the optimizer's statistics (file sizes;
-    no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # statistics unavailable: do not spread
-        return SPREAD_MAX_BYTES + 1
