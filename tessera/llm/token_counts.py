@@ -44,7 +44,7 @@ class Automaton:
         for p in pieces:
             if p:
                 add(p, 1)
-        for c in list(nxt[0]):  # a character that only longer pieces hold counts as bytes
+        for c in sorted({c for p in pieces for c in p}):  # a character that only longer pieces hold counts as bytes
             add(c, len(c.encode("utf-8", "surrogatepass")))
         self.next, self.fail, self.popped = nxt, [0] * len(nxt), [0] * len(nxt)
         level = [(0, c, v) for c, v in nxt[0].items()]
