@@ -30,9 +30,9 @@ def scan_config(corpus: DataFrame, language: str, length: str) -> DataFrame:
     are plain column predicates, so on a `language=/length=` partitioned table
     they prune directories."""
     if language not in LANGUAGES:
-        raise ValueError(f"Language {language} not supported. Choose from {LANGUAGES}.")
+        raise ValueError(f"unknown language {language!r}, known: {LANGUAGES}")
     if length not in LENGTHS:
-        raise ValueError(f"Length {length} not supported. Choose from {LENGTHS}.")
+        raise ValueError(f"unknown length class {length!r}, known: {LENGTHS}")
     out = corpus.filter(F.col("language") == language)
     if length != "mix":
         out = out.filter(F.col("length") == length)
@@ -53,12 +53,8 @@ def corpus_scan(corpus: DataFrame, column: str = "text") -> DataFrame:
 
 
 def mix_lengths(corpus: DataFrame, classes: Sequence[str] = ("short", "medium", "long")) -> DataFrame:
-    """M9: the mixed-length configuration as the union of the length classes."""
-    parts = [corpus.filter(F.col("length") == c).withColumn("config", F.lit("mix")) for c in classes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """M9: the mixed-length configuration: all of these length classes."""
+    return corpus.filter(F.col("length").isin(*classes)).withColumn("config", F.lit("mix"))
 
 
 def skip_if_encoded(df: DataFrame, prepare) -> DataFrame:

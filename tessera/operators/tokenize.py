@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import PRETOKEN_PATTERN, code_point_char, regex_tokens, ws_tokens
-from tessera.functions.joins import bounded, bound_of, broadcast_bounded
+from tessera.functions.joins import bounded, bound_of, broadcast_bounded, broadcast_if_small
 
 # Added tokens, in the order they receive ids.
 SPECIAL_TOKENS = ("<MASK>", "<PAD>", "<BOS>", "<EOS>")
@@ -85,15 +85,27 @@ def word_vocab(corpus_text: DataFrame, text: str = "text", vocab_size: int = VOC
     """Word-level vocabulary of `vocab_size` entries: id 0 is `<UNK>`, ids
     1.. the most frequent tokens (count desc, then token).  The top-k is
     bounded by `vocab_size`, so the final ranking runs on that many rows."""
-    counts = corpus_text.select(F.explode(tokenizer(F.col(text))).alias("token")) \
+    return vocab_from_counts(token_counts(corpus_text, text, tokenizer), vocab_size)
+
+
+def token_counts(corpus_text: DataFrame, text: str = "text", tokenizer=ws_tokens) -> DataFrame:
+    """`(token, n)` over all texts."""
+    return corpus_text.select(F.explode(tokenizer(F.col(text))).alias("token")) \
         .groupBy("token").agg(F.count("*").alias("n"))
-    return vocab_from_counts(counts, vocab_size)
 
 
 def vocab_from_counts(counts: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """`(token, n)` -> vocabulary: `<UNK>` = 0, then the top `vocab_size - 1`
-    tokens by (n desc, token)."""
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size - 1)
+    """`(token, n)` (stored, as it is read twice) -> vocabulary: `<UNK>` = 0,
+    then the top `vocab_size - 1` tokens by (n desc, token).
+
+    The least count that is still in comes from a histogram of the counts
+    (tokens per count: far fewer rows than tokens), so only tokens of at least
+    that count are ranked, not every partition's own best."""
+    per_count = counts.groupBy("n").agg(F.count("*").alias("k"))
+    above = per_count.withColumn("upto", F.sum("k").over(Window.orderBy(F.col("n").desc())))
+    cut = above.agg(F.coalesce(F.max(F.when(F.col("upto") >= vocab_size - 1, F.col("n"))), F.lit(0)).alias("cut"))
+    kept = counts.crossJoin(broadcast_if_small(cut, row_bound=1)).where(F.col("n") >= F.col("cut")).select("token", "n")
+    top = kept.orderBy(F.col("n").desc(), F.col("token")).limit(vocab_size - 1)
     # A window over at most `vocab_size` rows (after the top-k limit).
     ranked = top.select("token", F.row_number().over(
         Window.orderBy(F.col("n").desc(), F.col("token"))).cast("int").alias("token_id"))

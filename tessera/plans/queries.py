@@ -60,7 +60,6 @@ def q_masked_nll(spark, sf):
 
 # =========================================================== shared plan pieces
 
-from tessera.functions.code import block_spans_col  # noqa: E402
 from tessera.functions.text import ws_tokens  # noqa: E402
 from tessera.operators import batching as B  # noqa: E402
 from tessera.operators import candidates as C  # noqa: E402
@@ -68,6 +67,7 @@ from tessera.operators import explore as X  # noqa: E402
 from tessera.operators import masking as M  # noqa: E402
 from tessera.operators import sampling as P  # noqa: E402
 from tessera.operators import tokenize as T  # noqa: E402
+from tessera.sources.corpus_store import stored_corpus  # noqa: E402
 from tessera.sources.tables import read_table  # noqa: E402
 from tessera.functions.joins import bounded, bound_of, broadcast_bounded, broadcast_if_small  # noqa: E402
 
@@ -87,7 +87,8 @@ def _vocab(spark, sf):
     """Word vocabulary (2^15 entries) from the training split + 5 added tokens,
     stored once (bounded by the vocabulary size) and read by every branch."""
     train = P.scan_split(V.docs_with_split(spark, sf), "train")
-    v = T.with_added_tokens(T.word_vocab(train, "text", T.VOCAB_SIZE))
+    counts = _materialise(T.token_counts(train, "text"))
+    v = T.with_added_tokens(T.vocab_from_counts(counts, T.VOCAB_SIZE))
     return bounded(_materialise(v), bound_of(v))
 
 
@@ -116,12 +117,12 @@ def _padded(spark, sf):
 
 @register("scan_config")
 def q_scan_config(spark, sf):
-    return P.scan_config(V.corpus(spark, sf), "en", "short").select(*CORPUS_COLS)
+    return P.scan_config(stored_corpus(spark, sf), "en", "short").select(*CORPUS_COLS)
 
 
 @register("scan_split")
 def q_scan_split(spark, sf):
-    return P.scan_split(V.corpus(spark, sf), "test").select(*CORPUS_COLS)
+    return P.scan_split(stored_corpus(spark, sf), "test").select(*CORPUS_COLS)
 
 
 @register("corpus_scan")
@@ -150,7 +151,7 @@ def q_sample_aligned(spark, sf):
 
 @register("sample_cap")
 def q_sample_cap(spark, sf):
-    c = V.corpus(spark, sf).select("doc_id", "length")
+    c = stored_corpus(spark, sf).select("doc_id", "length")
     return P.sample_cap(c, "doc_id", 20, P.SEED, ["length"])
 
 
@@ -162,7 +163,7 @@ def q_limit_batches(spark, sf):
 
 @register("head_rows")
 def q_head_rows(spark, sf):
-    return P.head_rows(V.corpus(spark, sf).select(*CORPUS_COLS), "doc_id", 10)
+    return P.head_rows(stored_corpus(spark, sf).select(*CORPUS_COLS), "doc_id", 10)
 
 
 @register("point_lookup")
@@ -334,15 +335,9 @@ def q_mask_by_class(spark, sf):
         "doc_id", "size", "line_no", "n_tokens", F.md5("input").alias("input_md5"), "target")
 
 
-@register("block_spans")
-def q_block_spans(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    return docs.select("doc_id", F.inline(block_spans_col(F.col("text"))))
-
-
 @register("mix_lengths")
 def q_mix_lengths(spark, sf):
-    return P.mix_lengths(V.corpus(spark, sf)).groupBy("config", "length").agg(F.count("*").alias("n_docs"))
+    return P.mix_lengths(stored_corpus(spark, sf)).groupBy("config", "length").agg(F.count("*").alias("n_docs"))
 
 
 # ============================================================= candidates C1-C16
@@ -370,12 +365,6 @@ def q_balanced_candidates(spark, sf):
     return pc.filter(C.balanced(F.col("candidate"))).select(*PR_KEYS, "k")
 
 
-@register("valid_candidates")
-def q_valid_candidates(spark, sf):
-    pc = C.prefix_candidates(_pred_tokens(spark, sf), PR_KEYS, F.col("ptok"))
-    return C.valid_candidates(pc, "candidate", C.balanced(F.col("candidate"))).select(*PR_KEYS, "k", "candidate")
-
-
 PROSE_SEPARATORS = r"\n\p{Lu}"
 
 
@@ -470,11 +459,6 @@ def q_top_p_filter(spark, sf):
     return C.top_p_filter(V.dist(spark, sf), C.TOP_P).select("vec_id", "token", "prob")
 
 
-@register("complete_batch")
-def q_complete_batch(spark, sf):
-    return C.complete_batch(V.pairs(spark, sf), PR_KEYS, "input", C.tail_echo_model(8))
-
-
 # ================================================================ metrics E10-E14
 
 def _suite(spark, sf):
@@ -528,11 +512,11 @@ def _doc_token_ids(spark, sf, group_cols=("split", "length", "language")):
     table is computed once: it is stored by a checkpoint and both branches
     read it."""
     g = list(group_cols)
-    corpus = V.corpus(spark, sf).filter(F.col("split").isin("train", "test"))
+    corpus = stored_corpus(spark, sf).filter(F.col("split").isin("train", "test"))
     per_tok = _materialise(
         corpus.select("split", "length", "language", F.explode(ws_tokens("text")).alias("token"))
         .groupBy("split", "length", "language", "token").agg(F.count("*").alias("c")))
-    train_counts = per_tok.filter(F.col("split") == "train").groupBy("token").agg(F.sum("c").alias("n"))
+    train_counts = _materialise(per_tok.filter(F.col("split") == "train").groupBy("token").agg(F.sum("c").alias("n")))
     v = T.with_added_tokens(T.vocab_from_counts(train_counts, T.VOCAB_SIZE))
     vocab = bounded(_materialise(v), bound_of(v))
     ids = per_tok.join(broadcast_bounded(vocab.select("token", "token_id"), vocab), "token", "left") \

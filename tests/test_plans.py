@@ -4,11 +4,11 @@ physical plans (`explain`), so a regression shows up as a failing test."""
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF01
+from tessera.plans.registry import all_queries
 from tessera.sources import views as V
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 
 
 def plan(df) -> str:
@@ -37,8 +37,14 @@ def test_meteor_has_no_window(spark):
 
 
 def test_filters_reach_the_scan(spark):
+    """Scans by configuration or split read only the folders they name, in one
+    scan and without a quantile pass."""
     p = plan(QUERIES["scan_config"](spark, SF01))
-    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
+    assert "PartitionFilters: [isnotnull(language" in p and "percentile" not in p
+    for name in ("scan_split", "mix_lengths", "head_rows"):
+        p = plan(QUERIES[name](spark, SF01))
+        assert p.count("FileScan parquet") == 1 and "percentile" not in p
+    assert "PartitionFilters: [isnotnull(split" in plan(QUERIES["scan_split"](spark, SF01))
 
 
 def test_pairs_is_an_equi_join_not_a_window(spark):
