@@ -120,8 +120,8 @@ def nested_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def mask_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
-               mask: str = MASK_TOKEN, digest: bool = False) -> DataFrame:
-    """M3 flat view: one row per masked line.
+               mask: str = MASK_TOKEN, digest: bool = False, keep_text: bool = False) -> DataFrame:
+    """M3 flat view: one row per masked line; `keep_text` keeps the text too.
 
     The spans are generated first and each masked prompt is built in its own
     output row, so a long document never materialises all of its masked
@@ -131,7 +131,8 @@ def mask_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ex = t.select(key, text, F.inline(spans))
     tx = F.col(text)
     m = mask_text(tx, F.col("start"), F.col("span_len"), mask)
-    return ex.select(key, "line_no", (F.md5(m) if digest else m).alias("masked_md5" if digest else "masked_prompt"),
+    return ex.select(key, *([text] if keep_text else []), "line_no",
+                     (F.md5(m) if digest else m).alias("masked_md5" if digest else "masked_prompt"),
                      solution_text(tx, F.col("start"), F.col("span_len")).alias("solution"))
 
 

@@ -584,10 +584,10 @@ oracle("prefix_candidates", with_views("pred_ref") + _PREFIX + """
 SELECT conv_id, turn, k, candidate FROM pc""")
 
 oracle("fill_mask", with_views("spans") + """
-SELECT doc_id, line_no,
-       replace(substring(text, 1, start) || '<MASK>' || substring(text, start + span_len + 1), '<MASK>',
-               substring(text, start + 1, span_len)) = text AS restored
-FROM spans WHERE span_len > 0""")
+SELECT doc_id, line_no, md5(f) AS filled_md5, f = text AS restored
+FROM (SELECT *, replace(substring(text, 1, start) || '<MASK>' || substring(text, start + span_len + 1), '<MASK>',
+                        substring(text, start + 1, span_len)) AS f
+      FROM spans WHERE span_len > 0)""")
 
 
 def _bal(c: str) -> str:
@@ -649,7 +649,8 @@ boz AS (
 
 oracle("test_programs", with_views("tasks", "attempts") + _CA + """
 SELECT ca.task_id, ca.candidate, ca.kind, ca.assert_idx,
-       string_split(d.text, chr(10))[1] || chr(10) || ca.assertion AS program
+       CAST(length(d.text || chr(10) || ca.assertion) AS BIGINT) AS program_chars,
+       md5(d.text || chr(10) || ca.assertion) AS program_md5
 FROM ca JOIN documents d ON d.doc_id = ca.candidate""")
 
 oracle("candidate_assertions", with_views("tasks", "attempts") + _CA + """

@@ -353,10 +353,9 @@ def q_prefix_candidates(spark, sf):
 
 @register("fill_mask")
 def q_fill_mask(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    t = M.mask_spans(docs.select("doc_id", "text"), digest=False).join(docs.select("doc_id", "text"), "doc_id")
+    t = M.mask_spans(read_table(spark, sf, "documents").select("doc_id", "text"), keep_text=True)
     filled = C.fill_mask(F.col("masked_prompt"), F.col("solution"), M.MASK_TOKEN)
-    return t.select("doc_id", "line_no", (filled == F.col("text")).alias("restored"))
+    return t.select("doc_id", "line_no", F.md5(filled).alias("filled_md5"), (filled == F.col("text")).alias("restored"))
 
 
 @register("balanced_candidates")
@@ -397,10 +396,11 @@ def _cand_asserts(spark, sf):
 def q_test_programs(spark, sf):
     ca = _cand_asserts(spark, sf)
     docs = read_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("candidate"), F.element_at(F.split("text", "\n", -1), 1).alias("code"))
+        F.col("doc_id").alias("candidate"), F.col("text").alias("code"))
+    program = C.test_programs(F.col("code"), F.col("assertion"))  # the whole text
     return ca.join(docs, "candidate").select(
-        "task_id", "candidate", "kind", "assert_idx",
-        C.test_programs(F.col("code"), F.col("assertion")).alias("program"))
+        "task_id", "candidate", "kind", "assert_idx", F.length(program).cast("long").alias("program_chars"),
+        F.md5(program).alias("program_md5"))
 
 
 @register("candidate_assertions")
