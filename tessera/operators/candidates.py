@@ -2,7 +2,7 @@
 
 Candidate fan-out is per row (`explode(sequence(...))`); outcome aggregation
 is keyed by task with partial aggregation; the best candidate per task is a
-`max_by` aggregate, so no group is ever materialised as a list.
+`max_by` aggregate, and only one candidate's own outcomes are a list.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.code import parses_col
 from tessera.functions.stats import pass_at_k_col
-from tessera.functions.joins import bounded, broadcast_bounded
+from tessera.functions.joins import bounded, broadcast_bounded, broadcast_if_small
+from tessera.session import ensure_checkpoint_dir
 
 # The first-block separators (a newline followed by one of
 # these words or characters), the pass@k list and the nucleus threshold.
@@ -98,14 +99,19 @@ def task_assertions(tasks: DataFrame) -> DataFrame:
     return easy.unionByName(hard)
 
 
-def candidate_assertions(attempts: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every candidate of a task x every assertion of both kinds, with the
-    0/1 outcome joined in from the attempts table (equi-join on task_id)."""
+def candidate_assertions(outcomes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Every assertion of every candidate with its 0/1 outcome: the outcome
+    table (task_id, candidate, kind, assert_idx, passed) meets the tasks'
+    assertions by (task, kind, index).  A task may hold a third of all
+    candidates, so the assertions are broadcast if their measured size allows;
+    else it is a shuffle join on all three keys."""
     a = task_assertions(tasks)
-    outcome = F.when(F.col("kind") == "easy", F.col("easy_pass")).otherwise(F.col("hard_pass"))
-    return attempts.join(a, "task_id").select(
+    ensure_checkpoint_dir(a.sparkSession)
+    a = a.checkpoint(eager=True)
+    a = broadcast_if_small(a, row_bound=a.count())
+    return outcomes.join(a, ["task_id", "kind", "assert_idx"]).select(
         "task_id", "candidate", "kind", F.col("assert_idx").cast("int").alias("assert_idx"),
-        "assertion", outcome.cast("int").alias("passed"))
+        "assertion", F.col("passed").cast("int").alias("passed"))
 
 
 def best_candidate(cand_asserts: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def pass_at_k(outcomes: DataFrame, task_col: str, pass_col: str, ks: Sequence[in
     x = per.crossJoin(broadcast_bounded(ks_df))
     n, c, k = F.col("n"), F.col("c"), F.col("k")
     # One row per (task, k) after a partial + final aggregate; the estimator
-    # is O(1) per row (log-gamma closed form), whatever the task's size.
+    # is k native terms per row, whatever the task's size.
     est = pass_at_k_col(n, c, k)
     return x.groupBy(*g, "k").agg(F.avg(est).alias("pass_at_k"), F.min("n").alias("_min_n")) \
             .filter(F.col("_min_n") >= F.col("k")).drop("_min_n")

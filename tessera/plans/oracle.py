@@ -46,8 +46,9 @@ dist AS (
   FROM embeddings, range(1, len(embedding) + 1) AS t(i))""",
     "tasks": r"""
 tasks AS (
-  SELECT task_id, ['assert easy(' || task_id || ')'] AS test_list,
-         ['assert hard(' || task_id || ')'] AS challenge_test_list
+  SELECT task_id, ['assert easy(' || task_id || ')', 'assert easy_long(' || task_id || ')'] AS test_list,
+         ['assert hard(' || task_id || ')', 'assert hard_quality(' || task_id || ')',
+          'assert hard_en(' || task_id || ')'] AS challenge_test_list
   FROM (SELECT DISTINCT source AS task_id FROM documents
         UNION ALL SELECT 'no_candidate_1' UNION ALL SELECT 'no_candidate_2'))""",
     "attempts": r"""
@@ -629,9 +630,10 @@ ta AS (
   SELECT task_id, 'hard', CAST(i - 1 AS INTEGER), challenge_test_list[i]
   FROM tasks, range(1, len(challenge_test_list) + 1) AS t(i)),
 ca AS (
-  SELECT a.task_id, a.candidate, t.kind, t.assert_idx, t.assertion,
-         CASE WHEN t.kind = 'easy' THEN a.easy_pass ELSE a.hard_pass END AS passed
-  FROM attempts a JOIN ta t USING (task_id)),
+  SELECT t.task_id, l.doc_id AS candidate, t.kind, t.assert_idx, t.assertion,
+         CAST(coalesce(CASE t.kind || t.assert_idx WHEN 'easy0' THEN quality = 1 WHEN 'easy1' THEN n_chars >= 1000
+           WHEN 'hard0' THEN toxic = 0 WHEN 'hard1' THEN quality = 1 WHEN 'hard2' THEN lang = 'en' END, false) AS INTEGER) AS passed
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN ta t ON t.task_id = d.source),
 per AS (
   SELECT task_id, kind, candidate, CAST(sum(passed) AS BIGINT) AS n_passed,
          list(passed ORDER BY assert_idx) AS asserts
@@ -679,6 +681,16 @@ est AS (
   FROM per, ks)
 SELECT k, """ + _r("avg(e)") + """ AS pass_at_k FROM est GROUP BY k HAVING min(n) >= k""")
 
+oracle("pass_at_k_by_length", with_views("attempts", "corpus") + """,
+per AS (SELECT length, task_id, count(*) AS n, CAST(sum(easy_pass) AS BIGINT) AS c
+        FROM attempts a JOIN corpus d ON d.doc_id = a.candidate GROUP BY length, task_id),
+ks AS (SELECT CAST(k AS INTEGER) AS k FROM (VALUES (1), (5), (10)) v(k)),
+est AS (
+  SELECT length, k, n, CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0
+                       ELSE 1.0 - (SELECT product(1.0 - k / i) FROM range(n - c + 1, n + 1) AS t(i)) END AS e
+  FROM per, ks)
+SELECT length, k, """ + _r("avg(e)") + """ AS pass_at_k FROM est GROUP BY length, k HAVING min(n) >= k""")
+
 oracle("trim_eos", with_views("enc_pairs") + """
 SELECT conv_id, turn,
        CASE WHEN list_position(labels, eos_id) > 0 THEN labels[1:list_position(labels, eos_id) - 1]

@@ -389,7 +389,7 @@ def q_fanout_candidates(spark, sf):
 
 
 def _cand_asserts(spark, sf):
-    return C.candidate_assertions(V.attempts(spark, sf), V.tasks(spark, sf))
+    return C.candidate_assertions(V.outcomes(spark, sf), V.tasks(spark, sf))
 
 
 @register("test_programs")
@@ -437,6 +437,13 @@ def q_pass_at_k(spark, sf):
     return C.pass_at_k(V.attempts(spark, sf), "task_id", "easy_pass", (1, 5, 10, 100))
 
 
+@register("pass_at_k_by_length")
+def q_pass_at_k_by_length(spark, sf):
+    """C12 per length class of the candidates."""
+    length = stored_corpus(spark, sf).select(F.col("doc_id").alias("candidate"), "length")
+    return C.pass_at_k(V.attempts(spark, sf).join(length, "candidate"), "task_id", "easy_pass", (1, 5, 10), ["length"])
+
+
 @register("trim_eos")
 def q_trim_eos(spark, sf):
     vocab = _vocab(spark, sf)

@@ -95,16 +95,31 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 - F.col("toxic")).cast("int").alias("hard_pass"))
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of every assertion for every candidate: (task_id, candidate,
+    kind, assert_idx, passed).  Easy: quality, at least 1,000 characters; hard:
+    not toxic, quality, English."""
+    labels = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    held = (("easy", 0, F.col("quality") == 1), ("easy", 1, F.col("n_chars") >= 1000),
+            ("hard", 0, F.col("toxic") == 0), ("hard", 1, F.col("quality") == 1), ("hard", 2, F.col("lang") == "en"))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("assert_idx"),
+                              F.coalesce(c, F.lit(False)).cast("int").alias("passed")) for kind, i, c in held])
+    return labels.join(docs, "doc_id").select(F.col("source").alias("task_id"), F.col("doc_id").alias("candidate"), F.inline(each))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task table: every source of `documents`, plus two tasks that have no
-    candidate (they exercise the no-completion path).  Each task carries one
-    easy and one hard assertion."""
+    candidate (they exercise the no-completion path).  Each task carries two
+    easy and three hard assertions."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("source").alias("task_id")).distinct()
     extra = docs.sparkSession.createDataFrame([("no_candidate_1",), ("no_candidate_2",)], "task_id string")
+
+    def asserts(*names):
+        return F.array(*[F.concat(F.lit(f"assert {n}("), F.col("task_id"), F.lit(")")) for n in names])
     return docs.unionByName(extra).select(
-        "task_id",
-        F.array(F.concat(F.lit("assert easy("), F.col("task_id"), F.lit(")"))).alias("test_list"),
-        F.array(F.concat(F.lit("assert hard("), F.col("task_id"), F.lit(")"))).alias("challenge_test_list"))
+        "task_id", asserts("easy", "easy_long").alias("test_list"),
+        asserts("hard", "hard_quality", "hard_en").alias("challenge_test_list"))
 
 
 def dist(spark: SparkSession, sf_dir: str) -> DataFrame:

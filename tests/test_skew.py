@@ -24,6 +24,9 @@ def _attempts(spark):
 
 def test_pass_at_k_hot_task(spark):
     df, rows = _attempts(spark)
+    outcomes = df.select("task_id", "candidate", F.inline(F.array(
+        F.struct(F.lit("easy").alias("kind"), F.lit(0).alias("assert_idx"), F.col("easy_pass").alias("passed")),
+        F.struct(F.lit("hard").alias("kind"), F.lit(0).alias("assert_idx"), F.col("hard_pass").alias("passed")))))
     got = {r["k"]: r["pass_at_k"] for r in C.pass_at_k(df, "task_id", "easy_pass", (1,)).collect()}
     per = defaultdict(lambda: [0, 0])
     for t, _, e, _ in rows:
@@ -35,10 +38,13 @@ def test_pass_at_k_hot_task(spark):
 
 def test_best_candidate_hot_task(spark):
     df, rows = _attempts(spark)
+    outcomes = df.select("task_id", "candidate", F.inline(F.array(
+        F.struct(F.lit("easy").alias("kind"), F.lit(0).alias("assert_idx"), F.col("easy_pass").alias("passed")),
+        F.struct(F.lit("hard").alias("kind"), F.lit(0).alias("assert_idx"), F.col("hard_pass").alias("passed")))))
     tasks = df.select("task_id").distinct().select(
         "task_id", F.array(F.lit("e")).alias("test_list"), F.array(F.lit("h")).alias("challenge_test_list"))
     best = {(r["task_id"], r["kind"]): r["best_candidate"]
-            for r in C.best_candidate(C.candidate_assertions(df, tasks)).collect()}
+            for r in C.best_candidate(C.candidate_assertions(outcomes, tasks)).collect()}
     for kind, col in (("easy", 2), ("hard", 3)):
         by = defaultdict(list)
         for r in rows:
