@@ -875,3 +875,22 @@ oracle("metrics_json", _SUITE.replace(
     "SELECT length, metric, metric || '_' || length AS name, " + _r("v") + " AS value FROM allm",
     "SELECT length, '{' || string_agg('\"' || metric || '_' || length || '\":' || CAST("
     + _r("v") + " AS VARCHAR), ',' ORDER BY metric || '_' || length) || '}' AS json FROM allm GROUP BY length"))
+
+# ================================================================ sinks S5-S9
+oracle("ledger_rollup", """
+WITH t AS (SELECT user_id % 4 AS run, date_trunc('second', ts) AS ts FROM events),
+p AS (SELECT run, day(ts) AS epoch, max(ts) AS ts, count(*) AS n FROM t GROUP BY ALL)
+SELECT 'run ' || run AS project_name, count(*) AS n_runs, """ + _r("sum(n * 0.5)") + """ AS duration,
+       """ + _r("sum(n * 0.25)") + """ AS emissions, """ + _r("sum(n * 2.0)") + """ AS energy_consumed,
+       CAST(epoch(min(ts)) AS BIGINT) AS first_run, CAST(epoch(max(ts)) AS BIGINT) AS last_run
+FROM p GROUP BY run""")
+
+ORACLE["vocab_store"] = ORACLE["vocab_with_specials"]
+
+oracle("results_csv", with_views("pr_class", "pair_loss") + """
+SELECT conv_id, turn, '7' AS train_type, length AS test_type, """ + _r("loss") + """ AS loss, pred = ref AS exact_match,
+       CAST(len(regexp_extract_all(ref, '\\S+')) AS BIGINT) AS n_reference
+FROM pr_class LEFT JOIN pair_loss USING (conv_id, turn)""")
+
+oracle("append_samples", with_views("pred_ref") + """
+SELECT input, pred AS completion, CAST(conv_id % 2 AS BIGINT) AS step FROM pred_ref""")

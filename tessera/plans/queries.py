@@ -630,3 +630,63 @@ def q_metrics_json(spark, sf):
     from tessera.sources.sinks import metrics_json
     suite = _suite(spark, sf)
     return metrics_json(suite.withColumn("value", F.round("value", 6)), "length")
+
+
+# ================================================================ sinks S5-S9
+
+def _sink_path(spark, name):
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("ledger_rollup")
+def q_ledger_rollup(spark, sf):
+    """A ledger of the training log (a project per run, an entry per epoch),
+    written, read back and rolled up."""
+    from tessera.sources import sinks as S
+    ts = read_table(spark, sf, "events").select((F.col("user_id") % 4).alias("run"), F.date_trunc("second", "ts").alias("ts"))
+    per = ts.groupBy("run", F.dayofmonth("ts").alias("epoch")).agg(F.max("ts").alias("timestamp"), F.count("*").alias("n"))
+    text = {"experiment_id": F.col("epoch").cast("string"), "project_name": F.concat(F.lit("run "), "run")}
+    number = {"duration": F.col("n") * 0.5, "emissions": F.col("n") * 0.25, "energy_consumed": F.col("n") * 2.0}
+    cols = [(text | number | {"timestamp": F.col("timestamp")}).get(f.name, F.lit("-")).alias(f.name) for f in S.LEDGER_SCHEMA.fields]
+    path = _sink_path(spark, "ledger")
+    S.write_ledger(per.select(*cols), path)
+    return S.ledger_rollup(S.read_ledger(spark, path)).select(
+        "project_name", "n_runs", "duration", "emissions", "energy_consumed",
+        F.unix_timestamp("first_run").alias("first_run"), F.unix_timestamp("last_run").alias("last_run"))
+
+
+@register("vocab_store")
+def q_vocab_store(spark, sf):
+    """The word vocabulary, stored and loaded."""
+    from tessera.sources import sinks as S
+    path = _sink_path(spark, "vocab")
+    S.save_vocab(_vocab(spark, sf), path)
+    return S.load_vocab(spark, path)[0]
+
+
+@register("results_csv")
+def q_results_csv(spark, sf):
+    """The result table, written as CSV and read back."""
+    from tessera.sources import sinks as S
+    rows = E.result_rows(_ref_class(V.pred_ref(spark, sf)), PR_KEYS, F.lit(str(V.CORRUPTION_PERIOD)), F.col("length"),
+                         V.pair_loss(spark, sf))
+    path = _sink_path(spark, "results")
+    S.write_results_csv(rows, path)
+    kinds = {"conv_id": "long", "turn": "long", "exact_match": "boolean", "loss": "double"}
+    back = S.read_results_csv(spark, path)
+    return back.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in ("conv_id", "turn", "train_type", "test_type", "loss", "exact_match")],
+                       F.size(F.from_json("reference", "array<string>")).cast("long").alias("n_reference"))
+
+
+@register("append_samples")
+def q_append_samples(spark, sf):
+    """Samples of two epochs appended to one table and read as one."""
+    from tessera.sources import sinks as S
+    path = _sink_path(spark, "samples")
+    pr = V.pred_ref(spark, sf)
+    for step in (0, 1):
+        S.append_samples(pr.where(F.pmod("conv_id", F.lit(2)) == step)
+                         .select("input", F.col("pred").alias("completion"), F.lit(step).alias("step")), path)
+    return spark.read.parquet(path)

@@ -32,6 +32,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).option("header", True).csv(path)
 
 
+def write_ledger(ledger: DataFrame, path: str) -> None:
+    """A ledger as CSV in the layout above."""
+    ledger.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER_SCHEMA.fields]).write.mode("overwrite") \
+        .option("header", True).csv(path)
+
+
 def ledger_rollup(ledger: DataFrame) -> DataFrame:
     """Runs, total duration, emissions and energy per project."""
     return ledger.groupBy("project_name").agg(
@@ -40,27 +46,35 @@ def ledger_rollup(ledger: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_run"), F.max("timestamp").alias("last_run"))
 
 
+MERGES_SCHEMA = "rank int, left string, right string, n long"
+
+
 def save_vocab(vocab: DataFrame, path: str, merges: DataFrame | None = None) -> None:
-    """Store a vocabulary (and its merges) as two Parquet tables."""
+    """Store a vocabulary and its merges (none for a word vocabulary) as
+    two Parquet tables."""
+    if merges is None:
+        merges = vocab.sparkSession.createDataFrame([], MERGES_SCHEMA)
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    if merges is not None:
-        merges.write.mode("overwrite").parquet(f"{path}/merges")
+    merges.write.mode("overwrite").parquet(f"{path}/merges")
 
 
 def load_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    vocab = spark.read.parquet(f"{path}/vocab")
-    try:
-        merges = spark.read.parquet(f"{path}/merges")
-    except Exception:  # a word vocabulary has no merges
-        merges = None
-    return vocab, merges
+    """The vocabulary and its merges, None if it has none."""
+    merges = spark.read.schema(MERGES_SCHEMA).parquet(f"{path}/merges")
+    return spark.read.parquet(f"{path}/vocab"), None if merges.isEmpty() else merges
 
 
 def write_results_csv(rows: DataFrame, path: str) -> None:
-    """The result table as CSV with a header; array columns as JSON."""
+    """The result table as CSV with a header; array columns as JSON, quotes
+    doubled as usual in CSV files."""
     cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
             else F.col(f.name) for f in rows.schema.fields]
-    rows.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def metrics_json(suite: DataFrame, group_col: str = "length") -> DataFrame:

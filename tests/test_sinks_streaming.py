@@ -35,7 +35,7 @@ def test_results_csv_and_metrics_json(spark, tmp_out):
     pr = V.pred_ref(spark, SF001).withColumn("length", F.lit("short"))
     rows = E.result_rows(pr, ["conv_id", "turn"], F.lit("7"), F.col("length"))
     S.write_results_csv(rows, os.path.join(tmp_out, "results"))
-    back = spark.read.option("header", True).csv(os.path.join(tmp_out, "results"))
+    back = S.read_results_csv(spark, os.path.join(tmp_out, "results"))
     assert back.count() == rows.count() and back.columns == rows.columns
     loss = V.pair_loss(spark, SF001)
     suite = E.metric_suite(pr, ["conv_id", "turn"], "length", loss)
