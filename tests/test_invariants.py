@@ -1,7 +1,9 @@
 """Invariants of the survey's test strategy, and property checks against
 brute-force implementations on small fixtures."""
 
+import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from tessera.functions.lcs import lcs_length
+from tessera.functions.text import tokens_as_string, ws_tokens
 from tessera.operators import batching as B
 from tessera.operators import bpe
 from tessera.operators import masking as M
+from tessera.operators import metrics as E
 from tessera.operators import tokenize as T
 from tessera.operators.ordering import with_row_index
 from tessera.sources import views as V
@@ -126,6 +130,75 @@ def test_bpe_exact_matches_brute_force(spark):
     assert got == _bpe_brute(words, 12)
 
 
+def test_bpe_several_merges_a_round_equal_one(spark):
+    rng = random.Random(4)
+    words = Counter("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(400))
+    words.update({"aaaa": 60, "ababab": 50})
+    wc = spark.createDataFrame(list(words.items()), "word string, n long")
+    for per_round in (1, 64):
+        got = [(r["left"], r["right"], r["n"]) for r in
+               bpe.bpe_train(wc, 15, merges_per_round=per_round).orderBy("rank").collect()]
+        assert got == _bpe_brute(words, 15)
+
+
+def test_bpe_added_tokens_stay_whole_and_texts_come_back(spark):
+    rows = [(1, "ab <MASK> x"), (2, "a<NEW_LINE>b  c\n<BOS>é 🙂"), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    wc = T.word_counts(df.where("text IS NOT NULL"), "text")
+    merges = bpe.bpe_train(wc, 5, byte_level=True)
+    vocab = bpe.bpe_vocab(T.byte_alphabet(spark), merges)
+    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    enc = bpe.bpe_encode(df, ["k"], "text", merges, vocab)
+    got = {r["k"]: r["input_ids"] for r in enc.collect()}
+    assert ids["<MASK>"] in got[1] and ids["<NEW_LINE>"] in got[2] and ids["<BOS>"] in got[2]
+    back = {r["k"]: r["decoded"] for r in bpe.bpe_decode(enc, ["k"], vocab).collect()}
+    assert [back[k] or "" for k, _ in rows] == [t or "" for _, t in rows]
+    bare = {r["k"]: r["decoded"] for r in bpe.bpe_decode(enc, ["k"], vocab, skip_special=True).collect()}
+    assert bare[1] == "ab  x" and bare[2] == "a<NEW_LINE>b  c\né 🙂"
+
+
+def test_bpe_unknown_symbol_fails(spark):
+    df = spark.createDataFrame([(1, "abc")], "k int, text string")
+    merges = bpe.bpe_train(T.word_counts(df, "text"), 1, byte_level=True)
+    vocab = bpe.bpe_vocab(T.byte_alphabet(spark), merges).where("token <> 'c'")
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.bpe_encode(df, ["k"], "text", merges, vocab).collect()
+
+
+def test_pass_at_k_of_huge_tasks(spark):
+    from tessera.functions.stats import pass_at_k_col
+    df = spark.createDataFrame([(10 ** 9, 10 ** 6, 10), (10 ** 10, 10 ** 7, 100), (5, 0, 3), (5, 4, 3)], "n long, c long, k int")
+    got = [r[0] for r in df.select(pass_at_k_col(F.col("n"), F.col("c"), F.col("k"))).collect()]
+    exact = []
+    for n, c, k in ((10 ** 9, 10 ** 6, 10), (10 ** 10, 10 ** 7, 100)):
+        p = Fraction(1)
+        for j in range(k):
+            p *= Fraction(n - c - j, n - j)
+        exact.append(float(1 - p))
+    assert got == pytest.approx([*exact, 0.0, 1.0], rel=1e-12)
+
+
+def test_edit_distance_of_very_many_distinct_tokens(spark):
+    from tessera.functions.text import token_code_point
+    n = spark.range(1, 70_001)
+    codes = n.select(token_code_point(F.col("id")).alias("c"))
+    assert codes.distinct().count() == 70_000 and codes.where("c between 55296 and 57343").isEmpty()
+    df = spark.createDataFrame([(1, "a b c d", "a x c")], "k int, pred string, ref string")
+    shift = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: F.concat(F.lit("t"), i.cast("string"))), " ").alias("s"))
+    row = shift.select(F.size(ws_tokens("s")).alias("n"), F.length(tokens_as_string(F.slice(ws_tokens("s"), 69_990, 11), ws_tokens("s"))).alias("m")).first()
+    assert row["n"] == 70_000 and row["m"] == 11
+    assert E.token_edit_distance(df, ["k"]).first()["edit_distance"] == 2
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))
+
+
 def test_bpe_encode_round_trip(spark):
     docs = read_table(spark, SF001, "documents").limit(30)
     wc = T.word_counts(docs, "text")
@@ -193,8 +266,7 @@ def test_bpe_matches_public_tokenizers_trainer(spark):
         tk.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     alphabet = tk.pre_tokenizers.ByteLevel.alphabet()
     n = 30
-    trainer = tk.trainers.BpeTrainer(vocab_size=len(alphabet) + n, initial_alphabet=alphabet,
-                                     min_frequency=2, show_progress=False)
+    trainer = tk.trainers.BpeTrainer(vocab_size=len(alphabet) + n, initial_alphabet=alphabet, show_progress=False)
     tok.train_from_iterator(texts, trainer)
     theirs = [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
               for m in json.loads(tok.to_str())["model"]["merges"]][:n]
