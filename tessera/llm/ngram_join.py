@@ -12,8 +12,8 @@ prefix.  The join uses three orders.  All go from rare to frequent by counts
 over all texts, held in a table of fixed size by a part of the token's hash,
 and break ties by different hashes.  Candidates share a prefix token in the
 first order (an equi-join, with length and positional filters) and must also
-share one in the second and in the third; what passes all three is verified
-on the whole sets.
+share as many as linked sets do in the second and in the third; what passes
+all three is verified on the whole sets.
 
 A token in the prefixes of more than `LARGE` representatives would give a
 square of pairs.  Such representatives are dealt into blocks of about `BLOCK`;
@@ -24,19 +24,25 @@ forest of their links, never the pairs.
 Rows with the same id are taken as one document.  Rows with a null id keep a
 null component.  Extra columns are left out.  Ties cannot matter: orders are
 total and every link is found whatever the order.
+
+Two linked sets share even more of their prefixes: if they must have `need`
+tokens in common and their prefixes have px and py tokens, at least
+min(px - x, py - y) + need tokens lie in both prefixes, under every order.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import wordhash
-from tessera.llm.common import stored, with_ids
+from tessera.llm.common import stored, with_ids, without_ids
 from tessera.llm.components import components
 
 WORDS = 5
@@ -90,7 +96,7 @@ def _classes_and_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFram
                                               pa.array(k2, pa.int64()), none, pa.nulls(len(sets), pa.binary())],
                                              names=["id", "n", "k1", "k2", "part", "counts"])
         parts = [(i, counts[i * PART:(i + 1) * PART]) for i in range(BINS // PART)]
-        parts = [(i, c.astype("<u4").tobytes()) for i, c in parts if c.any()]
+        parts = [(i, zlib.compress(c.astype("<u4").tobytes(), 1)) for i, c in parts if c.any()]
         if parts:
             nothing = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -107,7 +113,7 @@ def _levels(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in it:
             for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[i] = total.get(i, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
         for i, c in total.items():
             level = np.floor(2 * np.log2(np.maximum(c, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
@@ -132,18 +138,40 @@ def _prefix_rows(docs: DataFrame, shared_level, percent: int) -> DataFrame:
 
 
 def _filter_rows(docs: DataFrame, shared_level, percent: int) -> DataFrame:
-    """(id, n, p1, p2, p3, s): prefixes in all orders and the whole set, as
-    packed 64-bit numbers; the prefixes are sorted by value."""
+    """(id, m, p2, p3): set size and the prefixes in the second and third
+    order, as distinct 32-bit parts of the tokens."""
     def batches(it):
         for b in it:
             sets = shingle_sets(b.column(1).to_pylist())
-            p = [[np.sort(prefix(s, shared_level.value, k, percent)).astype(np.int64) for s in sets] for k in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in p],
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "p1", "p2", "p3", "s"])
+            p = [[np.unique(prefix(s, shared_level.value, k, percent).astype(np.uint32)).view(np.int32) for s in sets] for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                                              *[pa.array(x, pa.list_(pa.int32())) for x in p]], names=["id", "m", "p2", "p3"])
+
+    return docs.mapInArrow(batches, f"id {docs.schema['id'].dataType.simpleString()}, m long, p2 array<int>, p3 array<int>")
+
+
+def _need(x, y, percent: int):
+    """The least intersection of linked sets of these sizes."""
+    return (percent * (x + y) + 99 + percent) // (100 + percent)
+
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(batches, f"id {kind}, n long, p1 array<long>, p2 array<long>, p3 array<long>, s binary")
+def _shares_enough(p: str, q: str, percent: int) -> Column:
+    """Whether two prefixes (32-bit parts) share what linked sets share.
+    Tokens whose parts fall together are made up for."""
+    need = F.expr(f"({percent} * (am + bm) + {99 + percent}) div {100 + percent}")
+    px, py = [F.col(m) - F.expr(f"({percent} * {m} + 99) div 100") + 1 for m in ("am", "bm")]
+    least = F.least(px - F.col("am"), py - F.col("bm")) + need
+    return F.size(F.array_intersect(p, q)) >= F.greatest(F.lit(1), least - (px - F.size(p)))
+
+
+def _set_rows(docs: DataFrame) -> DataFrame:
+    """(id, s): the whole set, as packed 64-bit numbers."""
+    def batches(it):
+        for b in it:
+            sets = shingle_sets(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
+
+    return docs.mapInArrow(batches, f"id {docs.schema['id'].dataType.simpleString()}, s binary")
 
 
 def _linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -173,12 +201,15 @@ def _overlaps(rows: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def block_links(ids: list, n: np.ndarray, prefixes: list[list[np.ndarray]], sets: list[np.ndarray], percent: int) -> list:
+def block_links(ids: list, sets: list[np.ndarray], level: np.ndarray, percent: int) -> list:
     """A spanning forest of the links among these rows: rows that share prefix
     tokens in every order are verified on their sets."""
+    n = np.array([len(x) for x in sets])
     may = (np.minimum.outer(n, n) * 100 >= percent * np.maximum.outer(n, n))
-    for p in prefixes:
-        may &= _overlaps(p) > 0
+    p = np.array([prefix_size(int(x), percent) for x in n])
+    least = np.minimum.outer(p - n, p - n) + _need(np.add.outer(n, n), 0, percent)
+    for k in range(len(_SEEDS)):
+        may &= _overlaps([prefix(x, level, k, percent) for x in sets]) >= np.maximum(least, 1)
     np.fill_diagonal(may, False)
     rows = np.flatnonzero(may.any(axis=1))
     if not len(rows):
@@ -199,7 +230,7 @@ def block_links(ids: list, n: np.ndarray, prefixes: list[list[np.ndarray]], sets
     return out
 
 
-def _large_links(large: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _large_links(large: DataFrame, rows: DataFrame, shared_level, percent: int) -> DataFrame:
     """Links among the documents of large buckets.  `large`: (token, id, c)
     with c the bucket's size."""
     kind = large.schema["id"].dataType.simpleString()
@@ -211,11 +242,10 @@ def _large_links(large: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
     sides = stored(pairs.withColumn("pair", F.concat_ws("|", "i", "j")))
     wanted = sides.select("pair", F.col("i").alias("block")).union(sides.where("i <> j").select("pair", F.col("j").alias("block")))
-    dealt = wanted.join(member, "block").join(rows, "id").select("pair", "id", "n", "p1", "p2", "p3", "s")
+    dealt = wanted.join(member, "block").join(rows, "id").select("pair", "id", "s")
 
     def verify(g: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in g.s]
-        links = block_links(g.id.tolist(), g.n.to_numpy(), [[np.asarray(x) for x in g[k]] for k in ("p1", "p2", "p3")], sets, percent)
+        links = block_links(g.id.tolist(), [np.frombuffer(x, np.uint64) for x in g.s], shared_level.value, percent)
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}).astype({"a": g.id.dtype, "b": g.id.dtype})
 
     return dealt.groupBy("pair").applyInPandas(verify, f"a {kind}, b {kind}")  # two blocks at most
@@ -231,12 +261,10 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
     rows = first.where("part IS NULL").select("id", "n", "k1", "k2")
     keys = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("representative"))
     classes = stored(rows.join(keys, ["n", "k1", "k2"], "left").select("id", "n", "representative"))
-    chosen = classes.where("id = representative").select("id").distinct()
-
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = _prefix_rows(source, level, percent).where("n > 0")
-    # Copies give the same rows; one of each class goes on.
-    tokens = tokens.join(chosen, "id", "left_semi").select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    # Only representatives go on.
+    chosen = without_ids(source.where("id IS NOT NULL"), classes.where("n = 0 OR id <> representative").select("id"), "id")
+    tokens = _prefix_rows(chosen, level, percent).select("id", F.col("n").cast("int"), F.posexplode("tokens").alias("pos", "token"))
     counted = F.count(F.lit(1)).over(Window.partitionBy("token"))
     shared = stored(tokens.withColumn("c", counted).where("c > 1"))
 
@@ -247,20 +275,19 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
         f" AND least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}"))
     pairs = stored(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
-    filters = stored(_filter_rows(with_ids(source, stored(named), "id"), level, percent).dropDuplicates(["id"]))
-
-    orders = filters.select("id", "p2", "p3")
-    passed = pairs.join(orders.toDF("a", "a2", "a3"), "a").join(orders.toDF("b", "b2", "b3"), "b").where(
-        F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-    sets = filters.select("id", "s")
+    named = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    orders = stored(_filter_rows(with_ids(source, named, "id"), level, percent).dropDuplicates(["id"]))
+    passed = stored(pairs.join(orders.toDF("a", "am", "a2", "a3"), "a").join(orders.toDF("b", "bm", "b2", "b3"), "b").where(
+        _shares_enough("a2", "b2", percent) & _shares_enough("a3", "b3", percent)).select("a", "b"))
+    named = stored(passed.select(F.col("a").alias("id")).union(passed.select("b")).union(large.select("id")).distinct())
+    sets = stored(_set_rows(with_ids(source, named, "id")).dropDuplicates(["id"]))
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_linked(p, q, percent) for p, q in zip(x, y)], dtype=bool)
 
     links = passed.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(verified("sa", "sb")).select("a", "b")
-    return classes, links.union(_large_links(large.select("token", "id", "c"), filters, percent))
+    return classes, links.union(_large_links(large.select("token", "id", "c"), sets, level, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
