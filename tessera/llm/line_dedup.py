@@ -21,7 +21,8 @@ whose first token is common count all their tokens, those of more than
 `FREQUENT` are the frequent ones, and every class with one in its prefix gets
 its prefix anew.  Candidates come in two rounds, since one earlier match is
 enough: first every class against the earliest of each of its buckets, then
-only classes without a match so far against all earlier ones.
+only classes without a match so far against all earlier ones that share as
+many prefix tokens as matching sets must.
 
 Null and empty texts have no lines to remove and stay as they are.  Repeated
 rows of a document are dealt with as one: of equal (id, line number) the lines
@@ -31,10 +32,12 @@ are only compared as whole classes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, stored, with_ids, words_of
+from tessera.llm.common import BROADCAST_IDS, stored, with_ids
 
 WORDS = 5
 PERCENT = 80
@@ -42,27 +45,34 @@ FREQUENT = 32
 
 
 def _shingles(words: Column, size: int) -> Column:
-    """Distinct hashes of the runs of `size` words, sorted."""
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)),
-                       lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
-    return F.sort_array(F.array_distinct(each))
+    """Distinct hashes of the runs of `size` words, sorted; none if there are
+    fewer words."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
+    return F.when(F.size(words) >= size, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _prefix(n: Column, percent: int) -> Column:
-    return (n - F.ceil(n * percent / 100) + 1).cast("int")
+    return F.when(n > 0, n - F.ceil(n * percent / 100) + 1).otherwise(0).cast("int")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, line, text) of all lines; other white space is a blank."""
+    text, rare = F.lower("text"), "\t\x0b\x0c\r"
+    odd = reduce(lambda x, y: x | y, [F.instr("text", c) > 0 for c in rare])
+    text = F.when(odd, F.translate(text, rare, " " * len(rare))).otherwise(text)
+    return docs.select("id", text.alias("text")).select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
-def _lines(docs: DataFrame, size: int) -> DataFrame:
-    """(id, line, words) of the lines with at least `size` words."""
-    lines = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return lines.select("id", "line", words_of(lower_ascii(F.col("text"))).alias("words")).where(F.size("words") >= size)
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _sets(docs: DataFrame, at: DataFrame, size: int) -> DataFrame:
     """(at, tokens) of the lines in `at` (column `at`: struct of id and line)."""
     at = stored(at.distinct())
-    lines = _lines(with_ids(docs, at.select("at.id"), "id"), size).withColumn("at", F.struct("id", "line"))
-    return stored(lines.join(at, "at", "left_semi").select("at", _shingles(F.col("words"), size).alias("tokens")).dropDuplicates(["at"]))
+    lines = _lines(with_ids(docs, at.select("at.id"), "id")).select(F.struct("id", "line").alias("at"), "text")
+    lines = with_ids(lines, at, "at").select("at", _words(F.col("text")).alias("words"))
+    return stored(lines.select("at", _shingles(F.col("words"), size).alias("tokens")))
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -79,16 +89,30 @@ def _by_rarity(docs: DataFrame, sets: DataFrame, size: int, percent: int, freque
     again = stored(_prefix_rows(sets).join(counts, "token", "left_semi").select("at").distinct())
     tokens = _sets(docs, again, size).select("at", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     ranked = tokens.join(counts, "token", "left").groupBy("at", "n").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "token"))).alias("ranked"))  # one line's tokens
+        F.array_sort(F.collect_set(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "token"))).alias("ranked"))  # one line's tokens
     new = ranked.select("at", "n", F.slice(F.col("ranked.token"), 1, _prefix(F.col("n"), percent)).alias("prefix"))
     return _prefix_rows(sets.join(again, "at", "left_anti").unionByName(new))
 
 
+def _need(percent: int, x: str, y: str) -> str:
+    """The least intersection of matching sets of these sizes."""
+    return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
+
+
+def _similar_size(percent: int) -> str:
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+
+
 def _close(percent: int) -> str:
     """Length and positional filter between prefix rows x and y."""
-    need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
-    return (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND "
-            f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}")
+    return f"{_similar_size(percent)} AND least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_need(percent, 'x.n', 'y.n')}"
+
+
+def _least_shared(percent: int) -> str:
+    """Prefix tokens that matching sets of sizes m and n share at least: their
+    prefixes leave out all but so many of the tokens they must have in common."""
+    over = [f"({v} - (({percent} * {v} + 99) div 100) + 1) - {v}" for v in ("m", "n")]
+    return f"greatest(1, least({over[0]}, {over[1]}) + {_need(percent, 'm', 'n')})"
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -103,15 +127,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(id, line) of the lines to remove, line numbers from 0."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = _shingles(F.col("words"), size)
-    lines = _lines(docs, size).select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
-                                      tokens.alias("tokens")).withColumn("n", F.size("tokens"))
-    lines = stored(lines.withColumn("tokens", F.slice("tokens", 1, _prefix(F.col("n"), percent))).withColumnRenamed("tokens", "prefix"))
+    lines = _lines(docs).select("id", "line", _words(F.col("text")).alias("words"))
+    lines = lines.select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
+                         _shingles(F.col("words"), size).alias("tokens"))
+    # Short lines are filtered out behind the table: before it, their test would split every line twice.
+    lines = stored(lines.select("id", "line", "k1", "k2", F.size("tokens").alias("n"),
+                                F.slice("tokens", 1, _prefix(F.size("tokens"), percent)).alias("prefix"))).where("n > 0")
     first = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at")))
     copies = lines.select("id", "line", "k1", "k2").join(first, ["k1", "k2"]).where(
         F.struct("id", "line") != F.col("at")).select("id", "line")
     sets = lines.withColumn("at", F.struct("id", "line")).join(first, ["k1", "k2", "at"]).select("at", "n", "prefix")
-    sets = sets.where("at.id IS NOT NULL").dropDuplicates(["at"])
+    sets = stored(sets.where("at.id IS NOT NULL"))
     rows = _by_rarity(docs, sets, size, percent, frequent)
 
     by_token = Window.partitionBy("token")
@@ -121,10 +147,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct())
     found = stored(_verified(docs, leader, size, percent))
 
-    later = held.join(found, "at", "left_anti").select("token", "at", "n", "pos", F.col("x.at").alias("seen"))
-    more = held.select("token", "at", "n", "pos").alias("x").join(later.alias("y"), F.expr(
-        "x.token = y.token AND x.at < y.at AND x.at <> y.seen AND " + _close(percent)))
-    more = stored(more.select(F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct())
+    # The others: every earlier class that shares as many prefix tokens as a match does.
+    later = held.join(found, "at", "left_anti").select("token", "at", "n")
+    shared = held.select("token", "at", "n").alias("x").join(later.alias("y"), F.expr(
+        "x.token = y.token AND x.at < y.at AND " + _similar_size(percent))).groupBy(
+        F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
+    more = stored(shared.where("c >= " + _least_shared(percent)).select("a", "b").join(leader, ["a", "b"], "left_anti"))
     near = found.union(_verified(docs, more, size, percent)).select("at.id", "at.line")
     return copies.union(near).distinct()
 
@@ -132,8 +160,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` with the duplicate lines taken out of the text; all columns and
     rows stay.  `n_removed` says how many lines went."""
-    gone = duplicate_lines(docs, id_col, text_col, **how).groupBy("id").agg(F.collect_set("line").alias("gone"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left").drop(gone["id"])
+    gone = stored(duplicate_lines(docs, id_col, text_col, **how).groupBy("id").agg(F.collect_set("line").alias("gone")))  # one text's lines
+    size = gone.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
+    small = size.ids <= BROADCAST_IDS and size.lines <= 4 * BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(gone["id"]), "left").drop(gone["id"])
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.withColumn(text_col, text).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("gone")

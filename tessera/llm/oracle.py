@@ -72,7 +72,7 @@ gone AS (
   SELECT doc_id, line FROM ls WHERE doc_id * 100000000 + line NOT IN (SELECT k FROM firsts)
   UNION SELECT b // 100000000, b % 100000000 FROM near
 )
-""".replace("LOWERED", _LOWER.format("t"))
+""".replace("LOWERED", "lower(t)")
 
 ORACLE["op7_line_dedup"] = "WITH " + LINES_GONE.replace("{docs}", "documents") + """
 , kept AS (SELECT l0.doc_id, string_agg(t, chr(10) ORDER BY l0.line) AS text FROM l0 ANTI JOIN gone USING (doc_id, line) GROUP BY 1),
