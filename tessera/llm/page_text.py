@@ -7,20 +7,24 @@ that have it, of the styles (sequences of child tags) it takes; its content
 importance is 1 less the mean entropy of its features, where a feature (the
 text of a block) that is on k of the m pages has entropy log k / log m.  The
 composite importance is (1 - `DAMPING`) times the first plus `DAMPING` times
-the second.  A place on one page of its host only has importance 1.  Branches
-with less than `LEAST` are taken out of each page, and so are blocks whose
-text is on at least `COMMON` of a place's pages (with `ENOUGH` or more pages).
+the second.  A place on one page of its host only has importance 1.  The text
+of places with less than `LEAST` is taken out of each page, and so are blocks
+whose text is on at least `COMMON` of a place's pages (with `ENOUGH` or more
+pages).  A branch is noise when it and all below it have less than `LEAST`, so
+its text is that of such places: elements without text of their own decide
+nothing more and get no importance.
 
 Tags and class names that say what a part is (menu, header, footer, sidebar,
-notice, advert, form, comments, ...) are taken out before, and where a page
-marks its article, blocks outside it are out and those in it are judged by
-their marks only: copies of an article on one host do not make it a template.
+notice, advert, form, comments, ...) are taken out before.  Where a page marks
+its article, blocks outside it are out; those in it are judged by the tree like
+all others.  Pages of a host that hold the same text by these marks count as
+one page: copies of an article on one host do not make it a template.
 
 Text: character references are decoded, white space inside a block becomes one
 space, ends are trimmed, blocks are joined by one space in page order.  A null
 or empty page has the empty text; a null url is a host of its own kind without
 a style tree.  Unclosed tags are closed as browsers do, roughly; a page cut
-off in the middle gives what it holds.  Repeated rows count as pages each.
+off in the middle gives what it holds.  Repeated rows count as one page.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import BROADCAST_IDS, stored
 
 DAMPING = 0.9
 LEAST = 0.3
@@ -182,9 +186,15 @@ def _host(url: Column) -> Column:
 
 
 def _open(blocks: list) -> list:
-    """The blocks that the style tree decides on: not taken out by marks, on a
-    page without an article."""
-    return [] if any(a and not out for _, _, out, a in blocks) else [(p, t) for p, t, out, _ in blocks if not out]
+    """(place, text) of the blocks that no mark takes out."""
+    return [(p, t) for p, t, out, _ in blocks if not out]
+
+
+def _marked_text(blocks: list) -> list:
+    """(place, text) of the blocks left by the marks: those of the article, if
+    the page has one."""
+    article = any(a and not out for _, _, out, a in blocks)
+    return [(p, t) for p, t, out, a in blocks if not out and (a or not article)]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -196,23 +206,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 blocks, styles = parser.parse(page)
+                content = _hash(*[t for _, t in _marked_text(blocks)])
                 seen = set()
                 for place, text in _open(blocks):
-                    seen |= {(host, place, 0, 0), (host, place, 1, _hash(text))}
-                seen |= {(host, p, 2, s) for p, ss in styles.items() for s in ss if (host, p, 0, 0) in seen}
+                    seen |= {(host, place, 0, 0, content), (host, place, 1, _hash(text), content)}
+                seen |= {(host, p, 2, s, content) for p, ss in styles.items() for s in ss if (host, p, 0, 0, content) in seen}
                 rows += seen
-            cols = list(zip(*rows)) or [(), (), (), ()]
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                                              pa.array(cols[3], pa.int64())], names=["host", "place", "kind", "feature"])
+                                              pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
+                                             names=["host", "place", "kind", "feature", "content"])
 
     known = pages.where("host <> ''").select("host", "html")
-    rows = known.mapInArrow(features, "host string, place long, kind int, feature long")
-    counts = stored(rows.groupBy("host", "place", "kind", "feature").agg(F.count(F.lit(1)).alias("k")))
+    rows = known.mapInArrow(features, "host string, place long, kind int, feature long, content long")
+    counts = rows.distinct().groupBy("host", "place", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    # Features of one page only, most of them, are told apart no longer: n of them.
+    counts = stored(counts.groupBy("host", "place", "kind", F.when(F.col("k") > 1, F.col("feature")).alias("feature"), "k").agg(
+        F.count(F.lit(1)).alias("n")))
     m = counts.where("kind = 0").select("host", "place", F.col("k").alias("m")).where("m > 1")
     each = counts.where("kind > 0").join(m, ["host", "place"])
-    content = F.avg(F.when(F.col("kind") == 1, F.log("k") / F.log("m")))
+    text, styled = (F.when(F.col("kind") == kind, F.col("n")) for kind in (1, 2))
+    content = F.sum(text * F.log("k") / F.log("m")) / F.sum(text)
     share = F.col("k") / F.col("m")
-    style = F.sum(F.when(F.col("kind") == 2, -share * F.log(share) / F.log("m")))
+    style = F.sum(styled * -share * F.log(share) / F.log("m"))
     importance = (1 - DAMPING) * F.coalesce(style, F.lit(0.0)) + DAMPING * (1 - F.coalesce(content, F.lit(0.0)))
     places = each.groupBy("host", "place").agg(importance.alias("importance")).where(F.col("importance") < LEAST)
     texts = each.where((F.col("kind") == 1) & (F.col("m") >= ENOUGH) & (F.col("k") >= COMMON * F.col("m")))
@@ -242,8 +258,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hosts = out.select("host").distinct()
     held = source.where("host <> ''").select("id", "host", "html").join(hosts, "host", "left_semi").select("id", "host", "html").mapInArrow(
         places, f"id {id_type}, host string, place long, feature long")
-    gone = held.join(out, ["host", "place", "feature"]).groupBy("id").agg(F.collect_set(F.struct("place", "feature")).alias("gone"))  # of one page
-    joined = source.join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "url", "html", "gone")
+    gone = stored(held.join(out, ["host", "place", "feature"]).groupBy(F.col("id").alias("of"), F.col("host").alias("on")).agg(
+        F.collect_set(F.struct("place", "feature")).alias("gone")))  # of one page
+    size = gone.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("parts")).first()
+    small = size.pages <= BROADCAST_IDS // 10 and size.parts <= BROADCAST_IDS
+    joined = source.join(F.broadcast(gone) if small else gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("host") == F.col("on")), "left").select(
+        "id", "url", "html", "gone")
 
     def extract(it):
         parser = Parser()
@@ -252,9 +272,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for page, drop in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 blocks = parser.parse(page)[0]
                 gone = {(x["place"], x["feature"]) for x in drop or ()}
-                article = any(a and not out for _, _, out, a in blocks)
-                texts.append(" ".join(t for p, t, out, a in blocks if not out and (a if article else
-                                      (p, 0) not in gone and (p, _hash(t)) not in gone)))
+                texts.append(" ".join(t for p, t in _marked_text(blocks) if (p, 0) not in gone and (not gone or (p, _hash(t)) not in gone)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["id", "url", "text", "n_chars"])
 

@@ -321,3 +321,20 @@ def test_page_text(spark):
         assert got[50 + k] == ("Head line one two three one", 27)  # copies on one host stay
     assert got[100] == ("a & b c", 7) and got[101] == got[102] == ("", 0) and got[103] == ("plain text", 10)
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_page_text_judges_articles_by_the_tree(spark):
+    """Template blocks inside articles go by the tree; copies count as one page."""
+    from tessera.llm.page_text import main_text
+    page = ("<body><article><h1>Head {0}</h1><p>Get our weekly letter today</p><p>unique story {0}</p><div class='k'><p>All our offers</p></div>"
+            "<p>ends {0}</p></article></body>")
+    rows = [(k, f"http://h.example.com/{k}", page.format(k)) for k in range(12)]
+    rows += [(100 + k, f"http://c.example.com/{k}", page.format("same")) for k in range(12)]  # copies
+    rows += [(None, f"http://{h}.example.com/none", page.format("none")) for h in "hx"]  # rows that share an id
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.url: r.text for r in main_text(df).collect()}
+    for k in range(12):
+        assert got[rows[k][1]] == f"Head {k} unique story {k} ends {k}"
+        assert got[rows[12 + k][1]] == "Head same Get our weekly letter today unique story same All our offers ends same"
+    assert got["http://h.example.com/none"] == "Head none unique story none ends none"
+    assert got["http://x.example.com/none"] == "Head none Get our weekly letter today unique story none All our offers ends none"
