@@ -134,6 +134,26 @@ def test_outlier_counts(spark, docs, nothing):
     assert verdicts(nothing).count() == 0
 
 
+def test_outliers_see_repetition(spark):
+    """In a clean source, texts with 40 % repeated lines or 40 % of the words
+    in repeated windows are rejected, and next to no others."""
+    from tessera.llm.outliers import verdicts
+    rng = random.Random(12)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    rows = [(i, "\n".join(" ".join(words(20)) for _ in range(10))) for i in range(200)]
+    rows.append((900, "\n".join([" ".join(words(30)) for _ in range(6)] + ["one two"] * 5)))  # lines too short for much of the words
+    again = " ".join(words(20))
+    rows.append((901, "\n".join([" ".join(words(20)) + f" {again} " + " ".join(words(10)) for _ in range(2)])))  # windows, no line
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r for r in verdicts(df).collect()}
+    assert got[900].n_dup_lines == 4 and 100 * got[900].n_repeat_words < 10 * got[900].n_words
+    assert got[901].n_dup_lines == 0 and got[901].n_repeat_words == 40 and got[901].n_words == 100
+    assert not any(got[i].kept or got[i].base_failed for i in (900, 901))
+    assert sum(got[i].kept for i in range(200)) >= 196
+
+
 def test_outliers_by_group(spark):
     """Per language and source: concentration steps as in a plain version, and
     rows far off their own group rejected."""
