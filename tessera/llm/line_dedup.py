@@ -123,10 +123,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return whole.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select(F.col("b").alias("at")).distinct()
 
 
+def _key(text_col: str) -> Column:
+    return F.xxhash64(text_col)
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
                     percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(id, line) of the lines to remove, line numbers from 0."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, key, line) of the lines to remove, line numbers from 0; `key` tells
+    rows of one id, or without one, apart."""
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), _key(text_col).alias("key")).alias("id"), F.col(text_col).alias("text"))
     lines = _lines(docs).select("id", "line", _words(F.col("text")).alias("words"))
     lines = lines.select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
                          _shingles(F.col("words"), size).alias("tokens"))
@@ -137,7 +142,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = lines.select("id", "line", "k1", "k2").join(first, ["k1", "k2"]).where(
         F.struct("id", "line") != F.col("at")).select("id", "line")
     sets = lines.withColumn("at", F.struct("id", "line")).join(first, ["k1", "k2", "at"]).select("at", "n", "prefix")
-    sets = stored(sets.where("at.id IS NOT NULL"))
+    sets = stored(sets)
     rows = _by_rarity(docs, sets, size, percent, frequent)
 
     by_token = Window.partitionBy("token")
@@ -154,16 +159,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
     more = stored(shared.where("c >= " + _least_shared(percent)).select("a", "b").join(leader, ["a", "b"], "left_anti"))
     near = found.union(_verified(docs, more, size, percent)).select("at.id", "at.line")
-    return copies.union(near).distinct()
+    return copies.union(near).distinct().select("id.id", "id.key", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` with the duplicate lines taken out of the text; all columns and
     rows stay.  `n_removed` says how many lines went."""
-    gone = stored(duplicate_lines(docs, id_col, text_col, **how).groupBy("id").agg(F.collect_set("line").alias("gone")))  # one text's lines
+    gone = stored(duplicate_lines(docs, id_col, text_col, **how).groupBy(F.col("id").alias("of"), "key").agg(
+        F.collect_set("line").alias("gone")))  # one text's lines
     size = gone.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     small = size.ids <= BROADCAST_IDS and size.lines <= 4 * BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(gone["id"]), "left").drop(gone["id"])
+    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(gone["of"]) & (_key(docs[text_col]) == gone["key"]), "left").drop(
+        gone["of"], gone["key"])
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.withColumn(text_col, text).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("gone")

@@ -108,6 +108,23 @@ def test_line_dedup_edges(docs, nothing):
     assert dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    """Rows without an id, or of one id, lose their own lines only."""
+    from tessera.llm.line_dedup import dedup_lines
+    new = [f"n{k} is a line that no other text holds {k}" for k in range(9)]
+    seen = " ".join(f"s{i}" for i in range(30))
+    near = seen.replace("s29", "other")
+    rows = [(None, "\n".join(new[:3])), (None, "\n".join([new[3], new[4], seen])), (None, "\n".join([new[5], new[4], seen])),
+            (5, "\n".join([new[6], near])), (6, "\n".join([new[7], seen])), (6, "\n".join([new[7] + " more words here now", new[8]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_lines(df).collect()
+    texts = [r.text for r in got]
+    assert len(texts) == 6 and "\n".join(new[:3]) in texts and rows[5][1] in texts
+    lines = collections.Counter(x for t in texts for x in t.split("\n"))
+    assert all(lines[x] == 1 for x in new[:7] + [seen]) and lines[near] == 0
+    assert sum(r.n_removed for r in got) == 4
+
+
 def test_outlier_counts(spark, docs, nothing):
     from tessera.llm.outliers import verdicts
     rng = random.Random(9)
@@ -182,6 +199,22 @@ def test_outliers_by_group(spark):
         assert d[: len(x) // 10].min() > d[len(x) // 10:].max()
 
 
+def test_stages_remove_rows_without_id(spark):
+    """Letterless and benchmark-holding rows without an id go, clean ones stay."""
+    import corpus_pipeline as C
+    sf = "/root/testdata/sf0.001"
+    src = spark.read.parquet(f"{sf}/documents.parquet")
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("text IS NOT NULL").collect()), key=len)
+    clean = src.where("length(text) > 300").first().text
+    rows = [(None, t, "en", "x", len(t)) for t in ("12 34 !!", clean, clean + " " + item)] + [(990001, "12 34 !!", "en", "x", 8), (990001, clean, "en", "x", 9)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = src.select(*more.columns).unionByName(more)
+    left = C.language_id(spark, docs, sf).where("doc_id IS NULL OR doc_id = 990001").collect()
+    assert "12 34 !!" not in {r.text for r in left} and (990001, clean) in {(r.doc_id, r.text) for r in left}
+    left = {(r.doc_id, r.text) for r in C.remove_benchmark(spark, more, sf).collect()}
+    assert (None, rows[2][1]) not in left and {(None, "12 34 !!"), (990001, "12 34 !!")} <= left
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
     src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
