@@ -54,8 +54,9 @@ def char_ngrams(char_array, n: int) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-#: Code points that stand for tokens: U+0100 upwards without the surrogates.
-TOKEN_CODE_POINTS = 0x110000 - 0x100 - 0x800
+#: Code points that stand for tokens: U+0100 upwards without the surrogates and
+#: U+FEFF, which a UTF-32 decoder takes for a byte-order mark and drops.
+TOKEN_CODE_POINTS = 0x110000 - 0x100 - 0x800 - 1
 
 
 def code_point_char(n) -> Column:
@@ -76,9 +77,9 @@ def tokens_as_string(tokens, alphabet) -> Column:
 
 def token_code_point(pos) -> Column:
     """1-based alphabet position -> code point: U+0100 upwards, skipping the
-    surrogate block."""
+    surrogate block and U+FEFF."""
     n = col_(pos) + 255
-    code = F.when(n >= 0xD800, n + 0x800).otherwise(n)
+    code = F.when(n >= 0xFEFF - 0x800, n + 0x801).when(n >= 0xD800, n + 0x800).otherwise(n)
     return F.when(col_(pos) > TOKEN_CODE_POINTS, F.raise_error(F.lit("too many distinct tokens in one row"))).otherwise(code)
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tessera.functions.lcs import lcs_length
 from tessera.functions.text import tokens_as_string, ws_tokens
 from tessera.operators import batching as B

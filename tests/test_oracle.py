@@ -5,7 +5,7 @@ cannot express and where they are tested instead."""
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF01
+from paths import SF01
 from oracle_check import compare, duck
 from tessera.plans.oracle import ORACLE
 from tessera.plans.registry import all_queries

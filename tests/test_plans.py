@@ -4,7 +4,7 @@ physical plans (`explain`), so a regression shows up as a failing test."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from tessera.plans.registry import all_queries
 from tessera.sources import views as V
 

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tessera.operators import metrics as E
 from tessera.sources import sinks as S
 from tessera.sources import views as V
