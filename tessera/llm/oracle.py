@@ -80,3 +80,24 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT d.doc_id, CASE WHEN n.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLE["op13_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(LOWERED, 'TERM') AS w FROM documents
+), tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+b AS (
+  SELECT item_id, t, count(*) AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all(LOWERED, 'TERM')) AS t FROM benchmark) GROUP BY ALL
+),
+bw AS (SELECT item_id, t, c * CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM b JOIN df USING (t), size),
+s AS (
+  SELECT item_id, doc_id, r, CAST(sum(bw.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * n) // l)))) AS BIGINT) AS score
+  FROM bw JOIN tf USING (t) JOIN d USING (r), size GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""".replace("LOWERED", _LOWER.format("text")).replace("TERM", _TERM)

@@ -84,3 +84,15 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.surrogates import replace_entities
     out = replace_entities(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefix_trie import trie
+    return trie(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lexical_search import rank
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
