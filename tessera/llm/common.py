@@ -65,3 +65,16 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The other rows of `df`, those with a null `key` too."""
     return _with(df, ids, key, "left_anti")
+
+
+#: Keys that stand for more than one in so many rows are joined by a broadcast.
+HOT_SHARE = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list, size: str, total: int) -> DataFrame:
+    """Inner join with `right`, whose keys are unique and each stand for `size`
+    of `total` rows.  Its hot rows, fewer than HOT_SHARE of them, are broadcast,
+    so the rows of a hot key stay where they are."""
+    hot = F.broadcast(right.where(F.col(size) * HOT_SHARE > total))
+    others = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(size) * HOT_SHARE <= total), keys)
+    return left.join(hot, keys).unionByName(others)

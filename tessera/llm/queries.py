@@ -92,6 +92,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
 
 
+@register
+def op12_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.nn_descent import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lexical_search import rank
