@@ -232,7 +232,7 @@ def close_pairs(table: np.ndarray, ids: np.ndarray, marks: np.ndarray, wide: np.
     a link: within three deviations of the bits that the largest angle changes."""
     share = np.minimum((theta + (wide[:, None] + wide[None, :].astype(np.float64)) * np.pi / 255) / np.pi, 0.5)
     limit = _BITS * share + 3 * np.sqrt(_BITS * share * (1 - share))
-    words = marks.reshape(len(ids), -1).copy().view("<u8")
+    words = marks.reshape(-1, _BITS // 8).copy().view("<u8")
     apart = sum(np.bitwise_count(words[:, None, i] ^ words[None, :, i]).astype(np.int64) for i in range(words.shape[1]))
     x, y = np.nonzero((apart <= limit) & (table[:, None] < table[None, :]) & (ids[:, None] != ids[None, :]))
     return np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])
@@ -312,7 +312,7 @@ class Graph:
     def _size(self) -> None:
         """Members and angle of every ball of several; an angle above 0 marks one."""
         self.balls = stored(self.balls)
-        self.many = stored(self.balls.groupBy("centre").agg(F.count(F.lit(1)).alias("size"), 
+        self.many = stored(self.balls.groupBy("centre").agg(F.count(F.lit(1)).alias("size"),
             F.greatest(F.max("angle"), F.lit(1e-9)).alias("alpha")).where("size > 1"))  # above 0 for equal vectors too
 
     def vertices(self) -> DataFrame:
