@@ -1,103 +1,65 @@
-"""Clipped n-gram statistics of one (hypothesis, reference) pair, per row.
+"""Clipped n-gram statistics of (hypothesis, reference) pairs, in the JVM.
 
-The statistics of a pair depend on that pair only, so they need no shuffle:
-this Arrow-batched function returns, for each order n, the clipped match count
-(the size of the multiset intersection of the two n-gram bags), the number of
-hypothesis n-grams and the number of reference n-grams.  Spark has no built-in
-multiset intersection; the relational alternative explodes one row per
-(pair, order, n-gram) and shuffles them all, which at corpus scale is the
-largest exchange of the whole metric plan.  Only the tiny per-order rows
-produced here are aggregated across the cluster.
+The statistics of a pair depend on that pair only, so they need no shuffle; all
+is built-in array work on 64-bit hashes, so they need no Python either.
+
+Spark has no multiset intersection.  Here both sides' n-gram hashes, shifted by
+one bit that tells the side, are sorted together: equal n-grams then stand in one
+run, hypothesis first.  The k-th occurrence on one side meets the k-th on the
+other, so a hypothesis run followed by a reference run of the same n-gram gives
+as many matches as the shorter of the two has members.  Only a few numbers per
+pair and order go on to the aggregate.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-STATS_TYPE = T.ArrayType(T.StructType([
-    T.StructField("n", T.IntegerType()), T.StructField("m", T.LongType()),
-    T.StructField("th", T.LongType()), T.StructField("tr", T.LongType())]))
-
-
-def clipped_stats(h: Sequence, r: Sequence, orders: Sequence[int]) -> list[dict]:
-    out = []
-    # Strings slice to strings (cheap to hash); token lists slice to tuples.
-    key = (lambda x: x) if isinstance(h, str) else tuple
-    for n in orders:
-        hc = Counter(key(h[i:i + n]) for i in range(len(h) - n + 1))
-        rc = Counter(key(r[i:i + n]) for i in range(len(r) - n + 1))
-        m = sum(min(c, rc[g]) for g, c in hc.items() if g in rc)
-        out.append({"n": n, "m": m, "th": max(len(h) - n + 1, 0), "tr": max(len(r) - n + 1, 0)})
-    return out
-
-
-@lru_cache(maxsize=None)
-def _udf(orders: tuple[int, ...], char_level: bool):
-    @F.pandas_udf(STATS_TYPE)
-    def stats(h: pd.Series, r: pd.Series) -> pd.Series:
-        res = []
-        for a, b in zip(h, r):
-            if a is None or b is None:
-                res.append(None)
-                continue
-            if not char_level:
-                a, b = list(a), list(b)
-            res.append(clipped_stats(a, b, orders))
-        return pd.Series(res)
-    return stats
-
-
-def ngram_stats(hyp: Column, ref: Column, orders: Sequence[int], char_level: bool = False) -> Column:
-    """array<struct<n, m, th, tr>> for the given orders.  Token arrays for
-    word n-grams; strings (n-grams of code points) when `char_level`."""
-    return _udf(tuple(int(o) for o in orders), bool(char_level))(hyp, ref)
-
-
-# ----------------------------------------------------------- METEOR alignment
-
-ALIGN_TYPE = T.StructType([T.StructField("m", T.LongType()), T.StructField("chunks", T.LongType())])
-
-
-def exact_alignment(h: Sequence, r: Sequence) -> tuple[int, int]:
-    """Exact-stage alignment: walking the hypothesis from its end, each word
-    takes the last still-free equal word of the reference (so the k-th-from-
-    last occurrences pair up).  Returns (matches, chunks), chunks being runs
-    adjacent on both sides in hypothesis order."""
-    free: dict = {}
-    for j, w in enumerate(r):
-        free.setdefault(w, []).append(j)
-    pairs = []
-    for i in range(len(h) - 1, -1, -1):
-        js = free.get(h[i])
-        if js:
-            pairs.append((i, js.pop()))
-    pairs.reverse()
-    chunks = 0
-    prev = None
-    for i, j in pairs:
-        if prev is None or not (i == prev[0] + 1 and j == prev[1] + 1):
-            chunks += 1
-        prev = (i, j)
-    return len(pairs), chunks
-
-
-@F.pandas_udf(ALIGN_TYPE)
-def _align_udf(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-    ms, cs = [], []
-    for a, b in zip(h, r):
-        m, c = exact_alignment(list(a) if a is not None else [], list(b) if b is not None else [])
-        ms.append(m)
-        cs.append(c)
-    return pd.DataFrame({"m": ms, "chunks": cs})
-
 
-def alignment(h: Column, r: Column) -> Column:
-    """struct<m, chunks> of the exact-stage METEOR alignment of two arrays."""
-    return _align_udf(h, r)
+from tessera.functions.text import chars
+
+
+def with_ngram_stats(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int], name: str,
+                     char_level: bool = False) -> DataFrame:
+    """`df` with `{name}{n}`: struct<m, th, tr> for every order n (1 and on): the
+    clipped matches and each side's n-grams.  `hyp` and `ref` are token arrays, or
+    strings when `char_level`.  Null arrays give null structs.
+
+    Every step is a column of its own: a lambda that refers to an expression would
+    evaluate it once per element."""
+    keep = list(df.columns)
+    orders = list(orders)
+    top = max(orders)
+    each = (lambda c: chars(c)) if char_level else (lambda c: c)
+    t = df.select(*keep, *[F.transform(each(c), lambda x: F.xxhash64(x)).alias(f"{s}1") for s, c in (("_h", hyp), ("_r", ref))])
+    for n in range(2, top + 1):  # an n-gram's hash: that of the one before, and the next token
+        longer = [F.when(F.size(f"{s}{n - 1}") > 1, F.zip_with(F.slice(f"{s}{n - 1}", 1, F.size(f"{s}{n - 1}") - 1), F.slice(f"{s}1", n, F.size(f"{s}1")),
+                                                              lambda a, b: F.xxhash64(a, b)))
+                  .otherwise(F.slice(f"{s}{n - 1}", 1, 0)).alias(f"{s}{n}") for s in ("_h", "_r")]
+        t = t.select("*", *longer)
+    both = [F.sort_array(F.concat(F.transform(f"_h{n}", lambda x: F.shiftleft(x, 1)),
+                                  F.transform(f"_r{n}", lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(1))))).alias(f"_s{n}") for n in orders]
+    t = t.select(*keep, *[F.size(f"{s}{n}").cast("long").alias(f"{s}{n}") for n in orders for s in ("_h", "_r")], *both)
+
+    def starts(n: int) -> Column:
+        s = F.col(f"_s{n}")
+        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0))))
+        return F.when(F.size(s) > 0, F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), first), F.array(F.size(s)))) \
+            .otherwise(F.array(F.lit(0)))
+
+    t = t.select("*", *[starts(n).alias(f"_p{n}") for n in orders])
+
+    def matches(n: int) -> Column:
+        s, p = F.col(f"_s{n}"), F.col(f"_p{n}")
+
+        def shorter(at, k):
+            after, end = F.get(p, k + 1), F.get(p, k + 2)
+            met = end.isNotNull() & (F.get(s, after) == F.get(s, at) + 1)
+            return F.when(met & (F.get(s, at).bitwiseAND(F.lit(1)) == 0), F.least(after - at, end - after)).otherwise(F.lit(0))
+        return F.aggregate(F.transform(p, shorter), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    out = [F.when(F.col(f"_h{n}").isNotNull() & F.col(f"_r{n}").isNotNull(),
+                  F.struct(matches(n).alias("m"), F.col(f"_h{n}").alias("th"), F.col(f"_r{n}").alias("tr"))).alias(f"{name}{n}") for n in orders]
+    return t.select(*keep, *out)

@@ -7,10 +7,10 @@ tokenizer callable the reference passes to its metrics.  Every metric takes
 `group_cols` (length class, train type x test type, ...) and returns one row
 per group.
 
-Scale notes: n-gram statistics are exploded per row and aggregated with partial
-(map-side) aggregation before the shuffle, so a hot n-gram collapses to one row
-per task before it moves; per-pair work (edit distance, LCS) is per row and
-needs no shuffle at all.
+Scale notes: everything that concerns one pair is computed in its row and needs
+no shuffle: clipped n-gram counts with built-in array functions, LCS, edit
+distance and METEOR alignment in one Arrow function over token hashes.  Only a
+few numbers per pair reach the (partial, then final) aggregate of a group.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.lcs import lcs
-from tessera.functions.ngrams import alignment, ngram_stats
-from tessera.functions.text import chars, tokens_as_string, ws_tokens
+from tessera.functions.alignment import alignment, pair_scores
+from tessera.functions.lcs import lcs, lcs_and_distance
+from tessera.functions.ngrams import with_ngram_stats
+from tessera.functions.text import chars, ws_tokens
 
 Tokenizer = Callable[[Column], Column]
 
@@ -39,31 +40,34 @@ def _g(group_cols) -> list[str]:
 
 # ------------------------------------------------------------------ n-gram stats
 
+def _order_sums(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column, orders: Sequence[int],
+                group_cols: Sequence[str], per_key: bool, char_level: bool = False) -> DataFrame:
+    """Per group, or per pair with `per_key`: the columns m{n}, t{n} and r{n} of
+    every order n: clipped matches, hypothesis and reference n-grams.  Pairs
+    with a null side are left out."""
+    held = list(dict.fromkeys([*group_cols, *keys] if per_key else group_cols))
+    base = df.select(*held, hyp.alias("_hyp"), ref.alias("_ref")).where(F.col("_hyp").isNotNull() & F.col("_ref").isNotNull())
+    rows = with_ngram_stats(base, F.col("_hyp"), F.col("_ref"), orders, "_g", char_level)
+    cols = [(f"{a}{n}", F.col(f"_g{n}.{b}")) for n in orders for a, b in (("m", "m"), ("t", "th"), ("r", "tr"))]
+    if per_key:
+        return rows.select(*held, *[c.alias(name) for name, c in cols])
+    return rows.groupBy(*held).agg(*[F.sum(c).alias(name) for name, c in cols])
+
+
 def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
                  orders: Sequence[int], group_cols: Sequence[str], per_key: bool,
                  char_level: bool = False, per_row: bool = True) -> DataFrame:
     """Per (group[, key], n): matches = sum of clipped counts, hyp/ref totals.
 
-    per_row=True (default): the clipped counts of each pair are computed in
-    its own row (`functions.ngrams`); only one small row per (pair, order)
-    reaches the final aggregate, and with `per_key` nothing is shuffled.
-    per_row=False: the relational plan below.
-
-    Plan: materialise the token (or character) arrays once, fan each pair out
-    to one row per (side, order), explode that row's n-grams (array slices of
-    an attribute, O(n) each), count per (pair, n, gram) with partial
-    aggregation before the shuffle, then sum the clipped counts per order."""
+    per_row=True (default): `_order_sums` in long form.  per_row=False: a
+    relational plan that the tests hold against it: the token (or character)
+    arrays are fanned out to one row per (side, order), their n-grams
+    exploded, counted per (pair, n, gram) and summed per order."""
+    out_keys = list(dict.fromkeys([*group_cols, *keys] if per_key else group_cols))
     if per_row:
-        base = df.select(*group_cols, *keys, ngram_stats(hyp, ref, orders, char_level).alias("_st"))
-        # inline_outer: a plain inline over an attribute makes Catalyst infer
-        # `size(_st) > 0` and push it below the projection, i.e. run the
-        # Python function twice.  Null stats (null inputs) are dropped after.
-        rows = base.select(*group_cols, *keys, F.inline_outer("_st")).filter(F.col("n").isNotNull())
-        out_keys = list(group_cols) + (list(keys) if per_key else [])
-        if per_key:
-            return rows.select(*out_keys, "n", "m", "th", "tr")
-        return rows.groupBy(*out_keys, "n").agg(F.sum("m").alias("m"), F.sum("th").alias("th"),
-                                                F.sum("tr").alias("tr"))
+        wide = _order_sums(df, keys, hyp, ref, orders, group_cols, per_key, char_level)
+        return wide.select(*out_keys, F.inline(F.array(*[
+            F.struct(F.lit(n).alias("n"), F.col(f"m{n}").alias("m"), F.col(f"t{n}").alias("th"), F.col(f"r{n}").alias("tr")) for n in orders])))
     if char_level:
         hyp, ref = chars(hyp), chars(ref)
     base = df.select(*group_cols, *keys, hyp.alias("_h"), ref.alias("_r"))
@@ -82,33 +86,28 @@ def _ngram_stats(df: DataFrame, keys: Sequence[str], hyp: Column, ref: Column,
                         .alias("_gram"))
     counts = exploded.groupBy(*group_cols, *keys, "_ord", "_gram").agg(
         F.count_if(F.col("_side") == 0).alias("ch"), F.count_if(F.col("_side") == 1).alias("cr"))
-    out_keys = list(group_cols) + (list(keys) if per_key else [])
     return counts.groupBy(*out_keys, F.col("_ord").alias("n")).agg(
         F.sum(F.least("ch", "cr")).alias("m"), F.sum("ch").alias("th"), F.sum("cr").alias("tr"))
 
 
-def _bleu_from_stats(stats: DataFrame, out_keys: Sequence[str], max_order: int, sums: bool = False) -> DataFrame:
-    """BLEU per key from the per-order statistics; `sums` keeps their sums."""
-    cols = []
-    for k in range(1, max_order + 1):
-        cols.append(F.coalesce(F.sum(F.when(F.col("n") == k, F.col("m"))), F.lit(0)).alias(f"m{k}"))
-        cols.append(F.coalesce(F.sum(F.when(F.col("n") == k, F.col("th"))), F.lit(0)).alias(f"t{k}"))
-    cols.append(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("tr"))), F.lit(0)).alias("rlen"))
-    w = stats.groupBy(*out_keys).agg(*cols)
+def _with_bleu(sums: DataFrame, out_keys: Sequence[str], max_order: int) -> DataFrame:
+    """BLEU of every row of order sums."""
+    w = sums.fillna(0, [c for c in sums.columns if c not in out_keys]).withColumn("rlen", F.col("r1"))
     bleu, bp = _bleu(max_order)
-    kept = [c for c in w.columns if c not in out_keys] if sums else []
     return w.select(*out_keys, bleu.alias("bleu"), bp.alias("brevity_penalty"),
                     F.col("t1").cast("long").alias("translation_length"),
-                    F.col("rlen").cast("long").alias("reference_length"), *kept)
+                    F.col("rlen").cast("long").alias("reference_length"))
 
 
-def _bleu(max_order: int) -> tuple[Column, Column]:
-    """(BLEU, brevity penalty) from summed matches m1.., totals t1.. and rlen."""
-    prec = [F.when(F.col(f"t{k}") > 0, F.col(f"m{k}") / F.col(f"t{k}")).otherwise(F.lit(0.0))
-            for k in range(1, max_order + 1)]
+def _bleu(max_order: int, prefix: str | None = None) -> tuple[Column, Column]:
+    """(BLEU, brevity penalty) from summed matches m1.., totals t1.. and rlen;
+    with a prefix b from bm1.., bth1.. and btr1."""
+    m, t, rl = ("m{}", "t{}", "rlen") if prefix is None else (prefix + "m{}", prefix + "th{}", prefix + "tr1")
+    n = range(1, max_order + 1)
+    prec = [F.when(F.col(t.format(k)) > 0, F.col(m.format(k)) / F.col(t.format(k))).otherwise(F.lit(0.0)) for k in n]
     min_p = F.least(*prec) if len(prec) > 1 else prec[0]
     geo = F.exp(sum(F.log(F.when(p > 0, p)) for p in prec) / max_order)
-    hlen, rlen = F.col("t1").cast("double"), F.col("rlen").cast("double")
+    hlen, rlen = F.col(t.format(1)).cast("double"), F.col(rl).cast("double")
     bp = F.when(hlen > rlen, F.lit(1.0)).when(hlen == 0, F.lit(0.0)).otherwise(F.exp(1 - rlen / hlen))
     return F.when(min_p > 0, geo * bp).otherwise(F.lit(0.0)), bp
 
@@ -119,9 +118,8 @@ def bleu_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str
     """Corpus BLEU (clipped n-gram precision, geometric mean, brevity
     penalty, no smoothing)."""
     g = _g(group_cols)
-    stats = _ngram_stats(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)),
-                         range(1, max_order + 1), g, per_key=False)
-    return _bleu_from_stats(stats, g, max_order)
+    sums = _order_sums(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)), range(1, max_order + 1), g, per_key=False)
+    return _with_bleu(sums, g, max_order)
 
 
 def bleu_sentence(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
@@ -129,22 +127,21 @@ def bleu_sentence(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: s
                   group_cols=None) -> DataFrame:
     """Per-pair BLEU (each pair scored as a corpus of one)."""
     g = _g(group_cols)
-    stats = _ngram_stats(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)),
-                         range(1, max_order + 1), g, per_key=True)
-    return _bleu_from_stats(stats, g + list(keys), max_order)
+    sums = _order_sums(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)), range(1, max_order + 1), g, per_key=True)
+    return _with_bleu(sums, list(dict.fromkeys([*g, *keys])), max_order)
 
 
 def bleu_macro_vs_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
                          tokenizer: Tokenizer = ws_tokens, group_cols=None) -> DataFrame:
     """Mean of per-pair BLEU next to corpus BLEU."""
     g = _g(group_cols)
-    stats = _ngram_stats(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)),
-                         range(1, BLEU_MAX_ORDER + 1), g, per_key=True)
-    per = _bleu_from_stats(stats, g + list(keys), BLEU_MAX_ORDER, sums=True)
-    sums = [c for c in per.columns if c[0] in "mt" and c[1:].isdigit()] + ["rlen"]
-    whole = per.groupBy(*g).agg(F.avg("bleu").alias("bleu_macro"), F.count("*").alias("n_pairs"),
-                                *[F.sum(c).alias(c) for c in sums])
-    return whole.select(*g, "bleu_macro", "n_pairs", _bleu(BLEU_MAX_ORDER)[0].alias("bleu_corpus"))
+    per = _order_sums(df, keys, tokenizer(F.col(pred)), tokenizer(F.col(ref)), range(1, BLEU_MAX_ORDER + 1), g, per_key=True)
+    per = per.withColumn("rlen", F.col("r1"))
+    sums = [f"{c}{n}" for n in range(1, BLEU_MAX_ORDER + 1) for c in "mt"] + ["rlen"]
+    bleu = _bleu(BLEU_MAX_ORDER)[0]
+    whole = per.select(*g, *sums, bleu.alias("_one")).groupBy(*g).agg(
+        F.avg("_one").alias("bleu_macro"), F.count("*").alias("n_pairs"), *[F.sum(c).alias(c) for c in sums])
+    return whole.select(*g, "bleu_macro", "n_pairs", bleu.alias("bleu_corpus"))
 
 
 def chrf_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
@@ -155,18 +152,21 @@ def chrf_corpus(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str
     present on both sides, F-beta."""
     g = _g(group_cols)
     strip = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
-    stats = _ngram_stats(df, keys, strip(pred), strip(ref), range(1, char_order + 1), g,
-                         per_key=False, char_level=True)
-    eff = (F.col("th") > 0) & (F.col("tr") > 0)
-    agg = stats.groupBy(*g).agg(
-        F.sum(F.when(eff, F.col("m") / F.col("th"))).alias("sp"),
-        F.sum(F.when(eff, F.col("m") / F.col("tr"))).alias("sr"),
-        F.count_if(eff).alias("eff"))
-    p, r = F.col("sp") / F.col("eff"), F.col("sr") / F.col("eff")
+    sums = _order_sums(df, keys, strip(pred), strip(ref), range(1, char_order + 1), g, per_key=False, char_level=True)
+    return sums.select(*g, _chrf(char_order, beta).alias("chrf"))
+
+
+def _chrf(char_order: int, beta: float, prefix: str | None = None) -> Column:
+    """chrF from the order sums m{n}, t{n}, r{n} (with a prefix c: cm{n}, cth{n},
+    ctr{n}): mean precision and recall over the orders present on both sides."""
+    names = ("m{}", "t{}", "r{}") if prefix is None else (prefix + "m{}", prefix + "th{}", prefix + "tr{}")
+    m, t, r_ = [[F.coalesce(F.col(x.format(k)), F.lit(0)) for k in range(1, char_order + 1)] for x in names]
+    present = [(a > 0) & (b > 0) for a, b in zip(t, r_)]
+    count = sum(F.when(e, 1).otherwise(0) for e in present)
+    p = sum(F.when(e, a / b).otherwise(0.0) for e, a, b in zip(present, m, t)) / count
+    r = sum(F.when(e, a / b).otherwise(0.0) for e, a, b in zip(present, m, r_)) / count
     b2 = beta * beta
-    score = F.when((F.col("eff") == 0) | (p + r == 0), F.lit(0.0)).otherwise(
-        (1 + b2) * p * r / (b2 * p + r) * 100.0)
-    return agg.select(*g, score.alias("chrf"))
+    return F.when(count == 0, F.lit(0.0)).when(p + r == 0, F.lit(0.0)).otherwise((1 + b2) * p * r / (b2 * p + r) * 100.0)
 
 
 def exact_match(df: DataFrame, pred: str = "pred", ref: str = "ref", group_cols=None) -> DataFrame:
@@ -177,30 +177,18 @@ def exact_match(df: DataFrame, pred: str = "pred", ref: str = "ref", group_cols=
         F.count("*").alias("n_pairs"))
 
 
-def token_edit_distance_col(a: Column, b: Column, alph: Column | None = None) -> Column:
-    """E5 per row: unit-cost edit distance between two token arrays, computed by
-    the JVM `levenshtein` on strings holding one code point per distinct token.
-
-    `alph` should be a materialised column (see `with_token_alphabet`): an
-    expression referenced inside the per-token lambda is re-evaluated for
-    every token."""
-    alph = F.array_distinct(F.concat(a, b)) if alph is None else alph
-    return F.levenshtein(tokens_as_string(a, alph), tokens_as_string(b, alph))
-
-
-def with_token_alphabet(df: DataFrame, a: str, b: str, name: str = "_alph") -> DataFrame:
-    return df.withColumn(name, F.array_distinct(F.concat(F.col(a), F.col(b))))
+def token_edit_distance_col(a: Column, b: Column) -> Column:
+    """E5 per row: unit-cost edit distance between two token arrays."""
+    return lcs_and_distance(a, b)["distance"]
 
 
 def token_edit_distance(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
                         tokenizer: Tokenizer = ws_tokens) -> DataFrame:
     """E5: per pair edit distance and the similarity 1 - d / max(len)."""
     t = df.select(*keys, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"))
-    t = with_token_alphabet(t, "h", "r")
-    d = token_edit_distance_col(F.col("h"), F.col("r"), F.col("_alph"))
-    mx = F.greatest(F.size("h"), F.size("r"))
-    return t.select(*keys, d.cast("long").alias("edit_distance"),
-                    F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx).alias("similarity"))
+    t = t.select(*keys, token_edit_distance_col(F.col("h"), F.col("r")).alias("d"), F.greatest(F.size("h"), F.size("r")).alias("mx"))
+    return t.select(*keys, F.col("d").alias("edit_distance"),
+                    F.when(F.col("mx") == 0, F.lit(1.0)).otherwise(1 - F.col("d") / F.col("mx")).alias("similarity"))
 
 
 def edit_similarity(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
@@ -330,52 +318,35 @@ def metric_suite(pr: DataFrame, keys: Sequence[str], group_col: str, loss: DataF
                   tokenizer(F.lower(F.col(pred))).alias("hl_"), tokenizer(F.lower(F.col(ref))).alias("rl_"),
                   strip(pred).alias("hs"), strip(ref).alias("rs"),
                   (F.col(pred) == F.col(ref)).cast("double").alias("em"))
-    t = with_token_alphabet(t, "h", "r")
-    row = t.select(
-        g, "em", "_loss",
-        ngram_stats(F.col("h"), F.col("r"), range(1, max_order + 1)).alias("bs"),
-        ngram_stats(F.col("hs"), F.col("rs"), range(1, char_order + 1), char_level=True).alias("cs"),
-        alignment(F.col("hl_"), F.col("rl_")).alias("al"),
-        F.size("hl_").alias("mh"), F.size("rl_").alias("mr"),
-        lcs(F.col("h"), F.col("r")).alias("l"), F.size("h").alias("nh"), F.size("r").alias("nr"),
-        token_edit_distance_col(F.col("h"), F.col("r"), F.col("_alph")).alias("d"))
+    # LCS, edit distance and alignment first, so that only numbers travel on.
+    t = t.select(g, "em", "_loss", "h", "r", "hs", "rs", F.size("hl_").alias("mh"), F.size("rl_").alias("mr"),
+                 F.size("h").alias("nh"), F.size("r").alias("nr"),
+                 pair_scores(F.col("h"), F.col("r"), F.col("hl_"), F.col("rl_")).alias("ps"))
+    t = with_ngram_stats(t, F.col("h"), F.col("r"), range(1, max_order + 1), "b").drop("h", "r")
+    row = with_ngram_stats(t, F.col("hs"), F.col("rs"), range(1, char_order + 1), "c", char_level=True).drop("hs", "rs")
     # Per-pair scores that are averaged.
     mx = F.greatest(F.col("nh"), F.col("nr"))
-    sim = F.when(mx == 0, F.lit(1.0)).otherwise(1 - F.col("d") / mx)
-    pl, rl_ = F.col("l") / F.col("nh"), F.col("l") / F.col("nr")
-    rouge = F.when(F.col("l") == 0, F.lit(0.0)).otherwise(2 * pl * rl_ / (pl + rl_))
-    m_ = F.col("al.m")
+    sim = F.when(mx == 0, F.lit(1.0)).otherwise(1 - F.col("ps.distance") / mx)
+    l = F.col("ps.lcs")
+    pl, rl_ = l / F.col("nh"), l / F.col("nr")
+    rouge = F.when(l == 0, F.lit(0.0)).otherwise(2 * pl * rl_ / (pl + rl_))
+    m_ = F.col("ps.m")
     mp, mr = m_ / F.col("mh"), m_ / F.col("mr")
     fmean = mp * mr / (alpha * mp + (1 - alpha) * mr)
     met = F.when((m_ == 0) | (F.col("mh") == 0) | (F.col("mr") == 0), F.lit(0.0)).otherwise(
-        (1 - gamma * F.pow(F.col("al.chunks") / m_, m_beta)) * fmean)
+        (1 - gamma * F.pow(F.col("ps.chunks") / m_, m_beta)) * fmean)
+    orders = [("b", n) for n in range(1, max_order + 1)] + [("c", n) for n in range(1, char_order + 1)]
+    one = row.select(g, F.col("_loss").alias("tst_loss"), F.col("em").alias("exact_match"), sim.alias("leven_dist"), met.alias("meteor"),
+                     rouge.alias("rouge"), *[F.col(f"{k}{n}.{x}").alias(f"{k}{x}{n}") for k, n in orders for x in ("m", "th", "tr")])
+    means, sums = ["tst_loss", "exact_match", "leven_dist", "meteor", "rouge"], [f"{k}{x}{n}" for k, n in orders for x in ("m", "th", "tr")]
+    # Sums per group, then the record over all groups from those few rows.
+    a = one.groupBy(g).agg(*[F.sum(c).alias(c) for c in [*means, *sums]], *[F.count(c).alias(f"n_{c}") for c in means])
     if mix is not None:
-        row = row.withColumn(g, F.explode(F.array(F.col(g), F.lit(mix))))
-    aggs = [F.avg("_loss").alias("tst_loss"), F.avg("em").alias("exact_match"), F.avg(sim).alias("leven_dist"),
-            F.avg(met).alias("meteor"), F.avg(rouge).alias("rouge")]
-    for n in range(1, max_order + 1):
-        e = F.element_at("bs", n)
-        aggs += [F.sum(e["m"]).alias(f"bm{n}"), F.sum(e["th"]).alias(f"bt{n}")]
-    aggs.append(F.sum(F.element_at("bs", 1)["tr"]).alias("brl"))
-    for n in range(1, char_order + 1):
-        e = F.element_at("cs", n)
-        aggs += [F.sum(e["m"]).alias(f"cm{n}"), F.sum(e["th"]).alias(f"ch{n}"), F.sum(e["tr"]).alias(f"cr{n}")]
-    a = row.groupBy(g).agg(*aggs)
-    # BLEU from the order sums.
-    prec = [F.when(F.col(f"bt{n}") > 0, F.col(f"bm{n}") / F.col(f"bt{n}")).otherwise(F.lit(0.0))
-            for n in range(1, max_order + 1)]
-    geo = F.exp(sum(F.log(F.when(p > 0, p)) for p in prec) / max_order)
-    hlen, rlen = F.col("bt1").cast("double"), F.col("brl").cast("double")
-    bp = F.when(hlen > rlen, F.lit(1.0)).when(hlen == 0, F.lit(0.0)).otherwise(F.exp(1 - rlen / hlen))
-    bleu = F.when(F.least(*prec) > 0, geo * bp).otherwise(F.lit(0.0))
-    # chrF from the order sums: mean P and R over orders present on both sides.
-    effs = [(F.col(f"ch{n}") > 0) & (F.col(f"cr{n}") > 0) for n in range(1, char_order + 1)]
-    sp = sum(F.when(e, F.col(f"cm{n}") / F.col(f"ch{n}")).otherwise(0.0) for n, e in enumerate(effs, 1))
-    sr = sum(F.when(e, F.col(f"cm{n}") / F.col(f"cr{n}")).otherwise(0.0) for n, e in enumerate(effs, 1))
-    ne = sum(F.when(e, 1).otherwise(0) for e in effs)
-    cp, cr = sp / ne, sr / ne
-    b2 = beta * beta
-    chrf = F.when((ne == 0) | (cp + cr == 0), F.lit(0.0)).otherwise((1 + b2) * cp * cr / (b2 * cp + cr) * 100.0)
+        a = a.withColumn(g, F.explode(F.array(F.col(g), F.lit(mix)))).groupBy(g).agg(
+            *[F.sum(c).alias(c) for c in [*means, *sums, *[f"n_{c}" for c in means]]])
+    a = a.withColumns({c: F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}")) for c in means})
+    a = a.withColumns({"bleu": _bleu(max_order, "b")[0], "chrf": _chrf(char_order, beta, "c")})
+    bleu, chrf = F.col("bleu"), F.col("chrf")
     wide = a.select(g, bleu.alias("bleu"), chrf.alias("chrf"), "exact_match", "leven_dist", "meteor", "rouge", "tst_loss")
     long = wide.select(g, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                              for m in SUITE_METRICS])))
@@ -397,10 +368,9 @@ def result_rows(pr: DataFrame, keys: Sequence[str], train_type: Column, test_typ
                   tokenizer(F.col("input")).alias("input"), tokenizer(F.col(ref)).alias("reference"),
                   tokenizer(F.col(pred)).alias("prediction"),
                   (F.col(pred) == F.col(ref)).alias("exact_match"))
-    t = with_token_alphabet(t, "prediction", "reference")
-    d = token_edit_distance_col(F.col("prediction"), F.col("reference"), F.col("_alph"))
+    t = t.withColumn("_d", token_edit_distance_col(F.col("prediction"), F.col("reference")))
     mx = F.greatest(F.size("prediction"), F.size("reference"))
-    t = t.withColumn("levenshtein_distance", F.when(mx == 0, F.lit(1.0)).otherwise(1 - d / mx)).drop("_alph")
+    t = t.withColumn("levenshtein_distance", F.when(mx == 0, F.lit(1.0)).otherwise(1 - F.col("_d") / mx)).drop("_d")
     if loss is not None:
         t = t.join(loss.select(*keys, "loss"), list(keys), "left")
     else:
