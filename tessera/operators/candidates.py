@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.blocks import well_nested
 from tessera.functions.code import parses_col
 from tessera.functions.stats import pass_at_k_col
 from tessera.functions.joins import bounded, broadcast_bounded, broadcast_if_small
@@ -54,13 +55,21 @@ def balanced(c: Column, pairs: Sequence[tuple[str, str]] = (("(", ")"), ("[", "]
 
 
 def valid_candidates(df: DataFrame, candidate: str = "candidate", cheap_filter: Column | None = None) -> DataFrame:
-    """Keep candidates that parse as Python.  Cheap native filters run
-    first; Catalyst does not reorder predicates around a Python UDF by cost."""
+    """Keep candidates that parse as Python.  Native filters run first
+    (brackets reduced in order, quotes closed, then the caller's); Catalyst
+    does not reorder predicates around a Python UDF by cost."""
+    df = nested_candidates(df, candidate)
     if cheap_filter is not None:
         df = df.filter(cheap_filter)
     return df.filter(parses_col(F.col(candidate)))
 
 
+def nested_candidates(df: DataFrame, candidate: str = "candidate") -> DataFrame:
+    """C3, native: keep candidates whose brackets reduce to nothing on a stack, in
+    order and outside strings and comments, and whose quotes are closed."""
+    return df.filter(well_nested(F.col(candidate)))
+
+
 def first_block(prompt: Column, completion: Column, separators: str = FIRST_BLOCK_SEPARATORS) -> Column:
     """C4: drop the prompt from the completion, cut at the first separator,
     strip trailing white space, put the prompt back in front."""

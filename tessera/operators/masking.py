@@ -136,6 +136,30 @@ def mask_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      solution_text(tx, F.col("start"), F.col("span_len")).alias("solution"))
 
 
+def code_blocks(docs: DataFrame, key: str = "doc_id", code: str = "code", keep_text: bool = False) -> DataFrame:
+    """M1 (code-block finder): every nested block as a span, in pre-order:
+    `(key, block_no, start, span_len)`; no Python and no shuffle."""
+    from tessera.functions.blocks import block_spans, code_tokens, logical_lines
+    kept = [key, *([code] if keep_text else [])]
+    # Each step is a column of its own, so that it is evaluated once.
+    t = docs.select(*kept, code_tokens(F.col(code)).alias("_t"))
+    t = t.select(*kept, logical_lines(F.col("_t")).alias("_l"))
+    t = t.select(*kept, F.posexplode(block_spans(F.col("_l"))).alias("_no", "_b"))
+    return t.select(*kept, F.col("_no").cast("long").alias("block_no"), F.col("_b.start").alias("start"),
+                    (F.col("_b.end") - F.col("_b.start")).alias("span_len"))
+
+
+def block_tasks(docs: DataFrame, key: str = "doc_id", code: str = "code", mask: str = MASK_TOKEN, digest: bool = False) -> DataFrame:
+    """M3 and M4 over code blocks: one task per nested block, the program with
+    the block masked and the block as its solution (`digest`: md5 of both)."""
+    t = code_blocks(docs, key, code, keep_text=True)
+    masked = mask_text(F.col(code), F.col("start"), F.col("span_len"), mask)
+    solution = solution_text(F.col(code), F.col("start"), F.col("span_len"))
+    if digest:
+        return t.select(key, "block_no", F.md5(masked).alias("masked_md5"), F.md5(solution).alias("solution_md5"))
+    return t.select(key, "block_no", masked.alias("masked_prompt"), solution.alias("solution"))
+
+
 # ------------------------------------------------------------------ M5-M7 rows
 
 def span_token_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

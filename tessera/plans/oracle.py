@@ -533,6 +533,40 @@ FROM corpus GROUP BY split""")
 oracle("line_spans", with_views("spans") + """
 SELECT doc_id, line_no, start, span_len FROM spans""")
 
+_CODE_DOCS = r"""WITH src AS (
+  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), c AS (SELECT *, CAST(len(regexp_extract_all(line, '\S+')) AS BIGINT) AS n FROM src),
+h AS (
+  SELECT doc_id, k, n % 4 AS depth, repeat('    ', n % 4) AS lead,
+         'if f(' || n || CASE WHEN n % 3 = 0 THEN ',' || chr(10) ELSE ', ' END || k || '):' AS head, line
+  FROM c
+), code AS (
+  SELECT *, coalesce(CAST(sum(length(lead) + length(head) + 3 + length(line) + 1) OVER
+           (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) + length(lead) AS at,
+         lag(depth) OVER (PARTITION BY doc_id ORDER BY k) AS before
+  FROM h
+), lasts AS (SELECT doc_id, max(k) AS last FROM code GROUP BY doc_id),
+opened AS (
+  SELECT o.doc_id, o.k, o.at, min(e.k) AS shut
+  FROM code o LEFT JOIN code e ON e.doc_id = o.doc_id AND e.k > o.k AND e.depth < o.depth
+  WHERE o.depth > o.before GROUP BY o.doc_id, o.k, o.at
+), blocks AS (
+  SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.k) - 1 AS block_no,
+         CAST(o.at AS BIGINT) AS start, CAST(e.at + length(e.head) - o.at AS BIGINT) AS span_len
+  FROM opened o JOIN lasts USING (doc_id) JOIN code e ON e.doc_id = o.doc_id AND e.k = coalesce(o.shut - 1, last)
+)"""
+
+oracle("block_spans", _CODE_DOCS + """
+SELECT doc_id, block_no, start, span_len FROM blocks""")
+
+oracle("block_tasks", _CODE_DOCS + """, whole AS (
+  SELECT doc_id, string_agg(lead || head || ' # ' || line, chr(10) ORDER BY k) AS code FROM code GROUP BY doc_id
+)
+SELECT doc_id, block_no, md5(substring(code, 1, start) || '<MASK>' || substring(code, start + span_len + 1)) AS masked_md5,
+       md5(substring(code, start + 1, span_len)) AS solution_md5
+FROM blocks JOIN whole USING (doc_id)""")
+
 oracle("span_offsets", with_views("spans") + """
 SELECT doc_id, line_no, CAST(length(line) - length(ltrim(line)) AS BIGINT) AS col,
        CAST(start + length(line) - length(ltrim(line)) AS BIGINT) AS "offset"
@@ -601,6 +635,26 @@ def _bal(c: str) -> str:
 oracle("balanced_candidates", with_views("pred_ref") + _PREFIX + f"""
 SELECT conv_id, turn, k FROM pc WHERE {_bal('candidate')}""")
 
+_CODE_TOKEN = "|".join((
+    r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"', r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'",
+    r"#[^\n]*", r"[\s\S]")).replace("'", "''")
+
+oracle("nested_candidates", f"""
+WITH p AS (
+  SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS k, unnest(parts) AS candidate
+  FROM (SELECT page_id, string_split(html, '>') AS parts FROM pages)
+), t AS (
+  SELECT page_id, k, candidate,
+         list_filter(regexp_extract_all(candidate, '{_CODE_TOKEN}'), lambda x: x IN ('(', '[', '{{', ')', ']', '}}', '"', '''')) AS marks
+  FROM p
+)
+SELECT page_id, k, md5(candidate) AS candidate_md5 FROM t
+WHERE list_reduce(list_prepend('', marks), lambda s, x: CASE
+  WHEN x IN ('(', '[', '{{') THEN s || x
+  WHEN (x = ')' AND s[-1] = '(') OR (x = ']' AND s[-1] = '[') OR (x = '}}' AND s[-1] = '{{') THEN s[:-2]
+  ELSE s || '!' END) = ''
+""")
+
 oracle("first_block", with_views("pairs") + r"""
 SELECT conv_id, turn,
        input || regexp_replace(regexp_split_to_array(replace(input || ' ' || target, input, ''), '\n\p{Lu}')[1],

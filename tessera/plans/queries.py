@@ -291,6 +291,18 @@ def q_line_spans(spark, sf):
     return M.line_spans(read_table(spark, sf, "documents")).select("doc_id", "line_no", "start", "span_len")
 
 
+@register("block_spans")
+def q_block_spans(spark, sf):
+    """M1, nested blocks."""
+    return M.code_blocks(V.code_docs(spark, sf))
+
+
+@register("block_tasks")
+def q_block_tasks(spark, sf):
+    """M3 and M4 over nested blocks."""
+    return M.block_tasks(V.code_docs(spark, sf), digest=True)
+
+
 @register("span_offsets")
 def q_span_offsets(spark, sf):
     return M.span_offsets(read_table(spark, sf, "documents"))
@@ -364,6 +376,13 @@ def q_balanced_candidates(spark, sf):
     return pc.filter(C.balanced(F.col("candidate"))).select(*PR_KEYS, "k")
 
 
+@register("nested_candidates")
+def q_nested_candidates(spark, sf):
+    """C3, order aware: candidates are the pieces of every page between two `>`."""
+    pages = read_table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", ">", -1)).alias("k", "candidate"))
+    return C.nested_candidates(pages).select("page_id", "k", F.md5("candidate").alias("candidate_md5"))
+
+
 PROSE_SEPARATORS = r"\n\p{Lu}"
 
 

@@ -17,6 +17,7 @@ from tessera.sources.tables import read_table
 SPLIT_TRAIN_BELOW = 8          # doc_id % 10 < 8 -> train, 8 -> validation, 9 -> test
 CORRUPTION_PERIOD = 7          # prediction drops tokens whose 0-based index % period == 3
 CORRUPTION_PHASE = 3
+CODE_DEPTHS = 4                # indentation levels of the code view
 LOGIT_SCALE = 10.0             # dist: logits = 10 * embedding value
 
 
@@ -84,6 +85,19 @@ def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.col("z.line")).cast("long").alias("span_len"))
 
 
+def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as code: every line becomes a compound statement's header, as deep
+    as its word count says, with the line as its comment; every third spans two
+    lines inside a bracket."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+
+    def header(line, k):
+        n = word_count(line)
+        return F.concat(F.repeat(F.lit("    "), (n % CODE_DEPTHS).cast("int")), F.lit("if f("), n.cast("string"),
+                        F.when(n % 3 == 0, F.lit(",\n")).otherwise(F.lit(", ")), k.cast("string"), F.lit("): # "), line)
+    return docs.select("doc_id", F.array_join(F.transform("lines", header), "\n").alias("code"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate x outcome table: task = source, candidate = doc_id,
     easy outcome = quality, hard outcome = 1 - toxic."""
