@@ -2,23 +2,18 @@
 
 Learning runs on the word-type table `(word, n, symbols)` -- one row per
 distinct pre-token with its corpus count -- never on the corpus itself: the
-corpus pass is the single distributed aggregate `word_counts` (T3).  Each
-round counts adjacent symbol pairs weighted by word count (partial + final
-aggregate), takes the best pair(s) to the driver (a bounded handful of rows)
-and rewrites the symbol strings in place (one regex replacement per row, no
-shuffle).
-Lineage is cut with a reliable checkpoint every few rounds.
-
-Merges come out exactly as sequential BPE gives them, ties broken by (count
-desc, left, right).  A round takes several of the best pairs where that is
-provably the same: while the pairs at the top of the ranking share no symbol,
-merging one changes no count of the others, and a pair it creates counts at
-most as much as some pair that shares a symbol with it, all of which rank lower
-(see `_sequential_prefix`).
+corpus pass is the single distributed aggregate `word_counts` (T3).  Merges come
+out exactly as sequential BPE gives them, ties broken by (count desc, left,
+right).  `bpe_learner` holds the rounds; several of the best pairs are merged at
+once where that is provably the same: while the pairs at the top of the ranking
+share no symbol, merging one changes no count of the others, and a pair it
+creates counts at most as much as some pair that shares a symbol with it, all of
+which rank lower (see `_sequential_prefix`).
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from typing import Iterator, Sequence
 
@@ -127,57 +122,45 @@ def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
               merges_per_round: int = 64, min_count: int = 1, incremental: bool = True) -> DataFrame:
     """T4: learn up to `n_merges` merges (vocabulary size less the alphabet and
     added tokens); returns `(rank, left, right, n)`.  `merges_per_round` bounds
-    how many a round may take; the result does not depend on it.
-
-    incremental=True keeps the pair-count table between rounds and updates it
-    with the delta of the words that contain a merged pair (their old pairs
-    subtracted, their new pairs added) -- the rest of the corpus is only
-    filtered, never re-counted.  The table and the word types are persisted
-    between rounds (recomputable from lineage if an executor is lost) and
-    written by a reliable checkpoint every CHECKPOINT_EVERY rounds."""
+    how many frequent pairs a round may take; the result does not depend on it.
+
+    incremental=True learns with an inverted pair index (`bpe_learner`): a round
+    touches only the words that hold a merged pair.  incremental=False counts
+    all pairs anew each round, a plain form for small sizes."""
     spark = word_counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    types = word_types(word_counts, byte_level).checkpoint(eager=True)
-    pairs = pair_counts(types).checkpoint(eager=True) if incremental else None
+    if incremental:
+        from tessera.operators.bpe_learner import Learner
+        split = byte_symbols(F.col("word")) if byte_level else chars(F.col("word"))
+        types = word_counts.select("n", split.alias("syms")).where(F.size("syms") > 1)
+        merges = Learner(types, min_count, merges_per_round).learn(n_merges)
+    else:
+        merges = _recounted_merges(word_types(word_counts, byte_level), n_merges, merges_per_round, min_count)
+    rows = [(i, l, r, n) for i, (l, r, n) in enumerate(merges)]
+    return bounded(spark.createDataFrame(rows, "rank int, left string, right string, n long"), len(rows))
+
+
+def _recounted_merges(types: DataFrame, n_merges: int, merges_per_round: int, min_count: int) -> list[tuple[str, str, int]]:
+    ensure_checkpoint_dir(types.sparkSession)
+    types = types.checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
     rounds = 0
-    held: list[DataFrame] = []
     while len(merges) < n_merges:
         want = min(merges_per_round, n_merges - len(merges))
-        table = pairs if incremental else pair_counts(types)
         # Candidates for a round: the best few pairs, ordered by count then pair.
-        cand = table.filter(F.col("n") >= min_count) \
+        cand = pair_counts(types).filter(F.col("n") >= min_count) \
             .orderBy(F.col("n").desc(), "left", "right").limit(want + 1).collect()
-        picked = _sequential_prefix(cand, want) if cand else []
-        if not picked:
+        if not cand:
             break
+        picked = _sequential_prefix(cand, want)
         sym = F.col("syms")
         for left, right, _ in picked:
             sym = merge_pair(sym, left, right)
-        if incremental:
-            hit = "|".join(f"(?:{_pair_pattern(l, r)})" for l, r, _ in picked)
-            touched = types.filter(F.col("syms").rlike(hit))
-            before = pair_counts(touched).withColumn("n", -F.col("n"))
-            after = pair_counts(touched.select("word", "n", sym.alias("syms")))
-            pairs = pairs.unionByName(before).unionByName(after).groupBy("left", "right") \
-                .agg(F.sum("n").cast("long").alias("n")).filter(F.col("n") > 0)
         types = types.select("word", "n", sym.alias("syms"))
         merges.extend(picked)
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:
             types = types.checkpoint(eager=True)
-            if incremental:
-                pairs = pairs.checkpoint(eager=True)
-            for d in held:
-                d.unpersist()
-            held = []
-        elif incremental:
-            types, pairs = types.persist(), pairs.persist()
-            held += [types, pairs]
-    for d in held:
-        d.unpersist()
-    rows = [(i, l, r, n) for i, (l, r, n) in enumerate(merges)]
-    return bounded(spark.createDataFrame(rows, "rank int, left string, right string, n long"), len(rows))
+    return merges
 
 
 def bpe_vocab(alphabet: DataFrame, merges: DataFrame) -> DataFrame:
@@ -197,29 +180,28 @@ def bpe_vocab(alphabet: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def _apply_merges(symbols: list, ranks: dict) -> list:
-    """Standard BPE encoding of one word: repeatedly merge the adjacent pair
-    with the lowest merge rank."""
-    sym = list(symbols)
-    while len(sym) > 1:
-        best, best_i = None, -1
-        for i in range(len(sym) - 1):
-            r = ranks.get((sym[i], sym[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, best_i = r, i
-        if best is None:
-            break
-        merged = sym[best_i] + sym[best_i + 1]
-        out, i = [], 0
-        pair = (sym[best_i], sym[best_i + 1])
-        while i < len(sym):
-            if i < len(sym) - 1 and (sym[i], sym[i + 1]) == pair:
-                out.append(merged)
-                i += 2
-            else:
-                out.append(sym[i])
-                i += 1
-        sym = out
-    return sym
+    """Standard BPE encoding of one word: again and again the adjacent pair of
+    the lowest merge rank, the leftmost first, becomes one symbol.  The word is
+    a linked list, its pairs lie in a heap: O(n log n)."""
+    sym, n = list(symbols), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(sym, sym[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] != left or j >= n or sym[j] != right:
+            continue  # one of the two has been merged since
+        sym[i], sym[j] = left + right, None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (sym[i], sym[k]) in ranks:
+                heapq.heappush(heap, (ranks[sym[i], sym[k]], i, sym[i], sym[k]))
+        h = before[i]
+        if h >= 0 and (sym[h], sym[i]) in ranks:
+            heapq.heappush(heap, (ranks[sym[h], sym[i]], h, sym[h], sym[i]))
+    return [s for s in sym if s is not None]
 
 
 WORD_CACHE = 100_000  # words whose ids a worker keeps
