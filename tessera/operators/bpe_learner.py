@@ -21,10 +21,10 @@ broken by (count desc, left, right):
 * Frequent pairs.  Pairs at the top of the ranking that share no symbol and
   count more than the first pair that does are merged together; the shards
   return the changes of pair counts, summed per pair.
-* Rare pairs.  The words that hold one of the next pairs are few (their counts
-  add up to at most FETCH); the driver gets these words, follows the merges on
-  them as long as the best pair is one all of whose words it has, and sends
-  the merges to the shards.
+* Rare pairs.  Where the words that hold the next pairs are few (FETCH at most,
+  a share of it from every shard), the driver gets these words, follows the
+  merges on them as long as the best pair is one all of whose words it has, and
+  sends the merges to the shards.
 
 What is sent in a round is bounded by POOL, FETCH and the number of symbols.
 """
@@ -46,8 +46,11 @@ from tessera.session import ensure_checkpoint_dir
 POOL = 200_000
 FETCH = 60_000
 FETCH_PAIRS = 4096
+LITTLE = 4   # merges below which a round of rare pairs does not pay
+PAUSE = 16   # frequent rounds that follow such a round
 REBASE = 4096
 SHARD_WORDS = 50_000
+FEW_SHARDS = 64
 
 _HELD: dict = {}  # worker process: shard id -> (merges applied, Shard)
 
@@ -130,6 +133,20 @@ def _changes(sid: str, shard: Shard, steps: list) -> list:
     return [(a, b, n) for (a, b), n in change.items()]
 
 
+def _words_of(shard: Shard, ask: list, quota: int) -> list:
+    """The words that hold one of the first pairs of `ask`, `quota` of them at
+    most, and a row that tells how many pairs these are: -1 less that."""
+    found: set = set()
+    pairs = 0
+    for p in ask:
+        more = shard.index.get(p, set()) - found
+        if len(found) + len(more) > quota:
+            break
+        found |= more
+        pairs += 1
+    return [(shard.words[i], shard.times[i]) for i in found] + [([], -pairs - 1)]
+
+
 _SHARD_ROWS = "sid string, base int, blob binary"
 
 
@@ -156,6 +173,7 @@ class Learner:
         self.number = {s: i for i, s in enumerate(self.symbols)}
         self.min_count, self.per_round = min_count, merges_per_round
         n_shards = max(min(self.spark.sparkContext.defaultParallelism, -(-n_words // 1000)), -(-n_words // SHARD_WORDS))
+        self.n_shards = n_shards
         self.stored = _shards(types, self.number, n_shards).checkpoint(eager=True).persist()
         self.merges: list[tuple[int, int, int]] = []  # (a, b, new)
         self.counts: list[int] = []
@@ -182,9 +200,16 @@ class Learner:
                         yield pd.DataFrame(rows, columns=names)
         return self.stored.mapInPandas(run, schema)
 
-    def _summed(self, work) -> list:
-        """(a, b, n) rows of all shards, added up per pair."""
-        return self._run(work, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect()
+    def _summed(self, work) -> list[tuple[int, int, int]]:
+        """(a, b, n) rows of all shards, added up per pair: by a shuffle where
+        there are many shards, else a handful of rows each come straight back."""
+        rows = self._run(work, "a int, b int, n long")
+        if self.n_shards > FEW_SHARDS:
+            return [tuple(r) for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect()]
+        total: dict = defaultdict(int)
+        for a, b, n in rows.collect():
+            total[a, b] += n
+        return [(a, b, n) for (a, b), n in total.items() if n]
 
     def _rebase(self) -> None:
         """Stored rows with all merges applied."""
@@ -248,23 +273,16 @@ class Learner:
                 return p
         return None
 
-    def _top(self, most: int, weight: int | None = None) -> list:
-        """Up to `most` best pairs, in order (whose counts add up to `weight` at most)."""
+    def _top(self, most: int) -> list:
+        """Up to `most` best pairs, in order."""
         out, seen = [], set()
         while len(out) < most:
             p = self._pop()
             if p is None:
                 break
-            if p in seen:
-                continue
-            n = self.pool[p]
-            if weight is not None:
-                if n > weight:
-                    heapq.heappush(self.heap, (*self._key(p, n), p))
-                    break
-                weight -= n
-            seen.add(p)
-            out.append(p)
+            if p not in seen:
+                seen.add(p)
+                out.append(p)
         for p in out:
             heapq.heappush(self.heap, (*self._key(p, self.pool[p]), p))
         return out
@@ -292,8 +310,8 @@ class Learner:
         rows = self._summed(lambda s, _: [(a, b, n) for (a, b), n in s.pairs.items() if a == symbol or b == symbol])
         for p in [p for p in self.pool if symbol in p]:
             del self.pool[p]
-        for r in rows:
-            self._put((r["a"], r["b"]), r["n"])
+        for a, b, n in rows:
+            self._put((a, b), n)
 
     def _frequent(self, want: int) -> None:
         """Merges pairs that sequential BPE would take one after the other."""
@@ -320,27 +338,26 @@ class Learner:
         fresh = {m[2] for m in steps}
         for p, n in todo:
             self._record(p, n)
-        for r in rows:
-            p = (r["a"], r["b"])
+        for *p, n in rows:
+            p = tuple(p)
             if p in self.pool:
-                self._put(p, self.pool[p] + r["n"])
-            elif r["n"] > 0 and fresh & set(p):
-                self._put(p, r["n"])
+                self._put(p, self.pool[p] + n)
+            elif n > 0 and fresh & set(p):
+                self._put(p, n)
         for p in batch:
             self.pool.pop(p, None)
         for s in again:
             self._recount(s)
 
-    def _rare(self, want: int, ask: list) -> None:
-        """Follows the merges on the words that hold one of the pairs `ask`."""
-        asked = set(ask)
-
-        def work(shard: Shard, _):
-            found = set().union(*[shard.index.get(p, ()) for p in ask])
-            return [(shard.words[i], shard.times[i]) for i in found]
-
-        rows = self._run(work, "word array<int>, n long").collect()
-        local = Shard([list(r["word"]) for r in rows], [r["n"] for r in rows])
+    def _rare(self, want: int) -> None:
+        """Follows the merges on the words that hold one of the next pairs."""
+        ask = self._top(FETCH_PAIRS)
+        quota = -(-FETCH // self.n_shards)
+        rows = self._run(lambda s, _: _words_of(s, ask, quota), "word array<int>, n long").toPandas()  # FETCH rows or so
+        whole = min(-n - 1 for n in rows["n"].tolist() if n < 0)  # pairs of which every shard sent all words
+        asked = set(ask[:whole])
+        sent = rows[rows["n"] > 0]
+        local = Shard([list(map(int, w)) for w in sent["word"]], sent["n"].tolist())
         while want:
             p = self._pop()
             if p is None:
@@ -369,6 +386,7 @@ class Learner:
 
     def learn(self, n_merges: int) -> list[tuple[str, str, int]]:
         self._fill()
+        pause = 0
         while len(self.merges) < n_merges:
             top = self._top(1)
             if not top or (self.bound is not None and self._key(top[0], self.pool[top[0]])[:2] > self.bound):
@@ -379,11 +397,14 @@ class Learner:
                     break
                 continue
             want = n_merges - len(self.merges)
-            ask = self._top(FETCH_PAIRS, FETCH)
-            if ask and (len(ask) >= self.per_round // 2 or len(ask) == len(self.pool)):
-                self._rare(want, ask)
-            else:
+            before = len(self.merges)
+            if pause:
                 self._frequent(want)
+                pause -= 1
+            else:
+                self._rare(want)
+                if len(self.merges) - before < LITTLE:
+                    pause = PAUSE
             if len(self.merges) - self.based >= REBASE:
                 self._rebase()
         self.stored.unpersist()

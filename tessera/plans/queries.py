@@ -590,7 +590,8 @@ def _train_word_counts(spark, sf):
     return T.word_counts(P.corpus_scan(V.docs_with_split(spark, sf)), "original_method")
 
 
-BPE_MERGES = 32  # of the requested size, VOCAB_SIZE less the alphabet; each costs up to a pass over the word table
+#: The requested vocabulary less the byte alphabet and the added tokens.
+BPE_MERGES = T.VOCAB_SIZE - 256 - len(T.SPECIAL_TOKENS + T.ADDED_TOKENS)
 
 
 def _bpe(spark, sf):

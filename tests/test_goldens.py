@@ -149,3 +149,72 @@ def test_token_alphabet_beyond_surrogates(spark):
     chars = [r["c"] for r in df.collect()]
     assert all(len(c) == 1 for c in chars) and len(set(chars)) == len(chars)
     assert all(not (0xD800 <= ord(c) <= 0xDFFF) for c in chars)
+
+
+# ------------------------------------------------- nested blocks and brackets
+
+CODE = '''class A:
+\t"""doc
+  string: (
+\t"""
+\t@deco
+\tdef f(self, a: int = 3) -> int: return a[1:2]
+
+\tdef g(self):
+\t\tif x := f(): pass
+\t\telif y \\
+\t\t  and z:
+# a comment at the margin
+\t\t\tb = {"k": [1,
+2]}
+\t\telse:
+\t\t\ttry:
+\t\t\t\ta = lambda: 3
+\t\t\texcept E as e:
+\t\t\t\traise
+\t\t\tfinally:
+\t\t\t\tb = "#not : comment"  # comment :
+
+\t\treturn "é"
+z = {1: 2}
+'''
+
+
+def _blocks(spark, code):
+    from tessera.operators.masking import code_blocks
+    df = spark.createDataFrame([(1, code)], "doc_id int, code string")
+    return [code[r["start"]:r["start"] + r["span_len"]] for r in code_blocks(df).orderBy("block_no").collect()]
+
+
+def test_nested_blocks_in_pre_order(spark):
+    got = _blocks(spark, CODE)
+    assert [b.split("\n")[0] for b in got] == [
+        '"""doc', "return a[1:2]", "if x := f(): pass", "pass", 'b = {"k": [1,', "try:", "a = lambda: 3", "raise",
+        'b = "#not : comment"']
+    assert got[0].endswith('return "é"') and got[2].endswith('return "é"') and got[4].endswith("2]}") and got[5].endswith('comment"')
+
+
+def test_nested_blocks_equal_the_syntax_tree(spark):
+    from tessera.functions.code import block_offsets
+    for code in ("def f(a):\n    n = 1\n    for i in n:\n        x = i\n\n        y = [\n1]\n    return a\n", "x = 1\n", "",
+                 "if é:\n    ö = \"'\"\n    ß = 1", "while (1,\n 2):\n  with a as b, c as d:\n    pass\n", "  \n\n"):
+        exact = [code[a:b] for a, b in sorted(block_offsets(code), key=lambda x: (x[0], -x[1]))]
+        assert _blocks(spark, code) == exact
+
+
+def test_block_tasks_restore_the_program(spark):
+    from tessera.operators.masking import MASK_TOKEN, block_tasks
+    df = spark.createDataFrame([(1, CODE), (2, None), (3, "")], "doc_id int, code string")
+    rows = block_tasks(df).collect()
+    assert len(rows) == 9
+    assert all(r["masked_prompt"].replace(MASK_TOKEN, r["solution"]) == CODE for r in rows)
+
+
+def test_brackets_reduce_in_order(spark):
+    cases = {"": True, "()": True, ")(": False, "([)]": False, "{[()]}()": True, "(": False, "]": False, "'('": True, '"': False, "it's": False,
+             "# it's (\n[]": True, 'f("""(""")': True, "'\\')' + ')'": True, "(" * 500 + ")" * 500: True, "(" * 500 + ")" * 499: False}
+    df = spark.createDataFrame([(c,) for c in cases], "candidate string")
+    kept = {r["candidate"] for r in C.nested_candidates(df).collect()}
+    assert kept == {c for c, ok in cases.items() if ok}
+    valid = spark.createDataFrame([("x = (1)",), ("x = )1(",), ("x = = 1",)], "candidate string")
+    assert [r["candidate"] for r in C.valid_candidates(valid).collect()] == ["x = (1)"]

@@ -12,7 +12,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paths import SF001
-from tessera.functions.lcs import lcs_length
+from tessera.functions.lcs import edit_distance, lcs_length
+from tessera.functions.ngrams import with_ngram_stats
 from tessera.functions.text import tokens_as_string, ws_tokens
 from tessera.operators import batching as B
 from tessera.operators import bpe
@@ -38,6 +39,48 @@ def test_lcs_bit_parallel_matches_dp(a, b):
     assert lcs_length(a, b) == _lcs_dp(a, b)
 
 
+def _distance_dp(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=70), st.lists(st.sampled_from("abcde"), max_size=70))
+def test_edit_distance_bit_parallel_matches_dp(a, b):
+    assert edit_distance(a, b) == _distance_dp(a, b)
+
+
+def test_edit_distance_of_long_texts(spark):
+    """Over 63,000 distinct tokens a row, a shift and a few changes."""
+    a = [f"t{i}" for i in range(66_000)]
+    b = a[3:20_000] + ["x", "y"] + a[20_000:] + ["z"]
+    b[100] = "changed"
+    df = spark.createDataFrame([(1, " ".join(a), " ".join(b)), (2, "", "a b"), (3, "a", None)], "k int, pred string, ref string")
+    got = {r["k"]: r["edit_distance"] for r in E.token_edit_distance(df, ["k"]).collect()}
+    assert got == {1: 3 + 1 + 2 + 1, 2: 2, 3: None}
+
+
+def test_clipped_counts_match_counters(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("abc", k=rng.randint(0, 12))), " ".join(rng.choices("abcd", k=rng.randint(0, 12)))) for k in range(60)]
+    rows += [(100, None, "a"), (101, "a b", None), (102, "", "")]
+    df = spark.createDataFrame(rows, "k int, h string, r string")
+    t = with_ngram_stats(df, ws_tokens("h"), ws_tokens("r"), (1, 2, 4), "g")
+    t = with_ngram_stats(t, F.col("h"), F.col("r"), (1, 3, 6), "c", char_level=True)
+    for x in t.collect():
+        for name, orders, cut in (("g", (1, 2, 4), str.split), ("c", (1, 3, 6), list)):
+            for n in orders:
+                if x["h"] is None or x["r"] is None:
+                    assert x[f"{name}{n}"] is None
+                    continue
+                h, r = [Counter(zip(*[cut(x[s])[i:] for i in range(n)])) for s in "hr"]
+                assert tuple(x[f"{name}{n}"]) == (sum((h & r).values()), sum(h.values()), sum(r.values()))
+
+
 def test_mask_then_fill_restores(spark):
     docs = read_table(spark, SF001, "documents")
     t = M.mask_spans(docs, digest=False).join(docs.select("doc_id", "text"), "doc_id")
@@ -141,6 +184,61 @@ def test_bpe_several_merges_a_round_equal_one(spark):
         assert got == _bpe_brute(words, 15)
 
 
+@pytest.mark.parametrize("pool, fetch", [(200_000, 60_000), (40, 300), (30, 1)])
+def test_bpe_to_the_last_merge(spark, monkeypatch, pool, fetch):
+    """Until no pair is left, with every kind of round: a pool that has to be
+    filled anew, words fetched or not, rows renewed, symbols made twice."""
+    from tessera.operators import bpe_learner as L
+    monkeypatch.setattr(L, "POOL", pool)
+    monkeypatch.setattr(L, "FETCH", fetch)
+    monkeypatch.setattr(L, "REBASE", 20)
+    rng = random.Random(8)
+    words = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(90))
+    words.update({"aaaa": 60, "ababab": 50, "aaaaaaa": 7, "é🙂é🙂": 3})
+    brute, seqs = [], {w: list(w) for w in words}
+    while True:
+        pc = Counter()
+        for w, n in words.items():
+            for p in zip(seqs[w], seqs[w][1:]):
+                pc[p] += n
+        if not pc:
+            break
+        a, b = min(pc, key=lambda k: (-pc[k], k))
+        brute.append((a, b, pc[a, b]))
+        seqs = {w: L.merged(s, a, b, a + b) for w, s in seqs.items()}
+    wc = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = [(r["left"], r["right"], r["n"]) for r in bpe.bpe_train(wc, 10_000).orderBy("rank").collect()]
+    assert got == brute
+
+
+def test_bpe_encoder_takes_the_lowest_rank_first():
+    rng = random.Random(2)
+    for _ in range(200):
+        pieces, ranks = list("abc"), {}
+        for rank in range(12):
+            p = (rng.choice(pieces), rng.choice(pieces))
+            if p not in ranks:
+                ranks[p] = rank
+                pieces.append("".join(p))
+        word = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        brute = list(word)
+        while True:
+            found = [(ranks[p], i) for i, p in enumerate(zip(brute, brute[1:])) if p in ranks]
+            if not found:
+                break
+            i = min(found)[1]
+            brute[i:i + 2] = ["".join(brute[i:i + 2])]
+        assert bpe._apply_merges(word, ranks) == brute
+
+
+def test_bpe_encoder_is_not_quadratic():
+    import time
+    ranks = {("a", "b"): 0, ("ab", "ab"): 1, ("abab", "abab"): 2, ("b", "a"): 3}
+    start = time.perf_counter()
+    out = bpe._apply_merges(list("ab" * 10_000), ranks)
+    assert time.perf_counter() - start < 1 and out == ["abababab"] * 2500
+
+
 def test_bpe_added_tokens_stay_whole_and_texts_come_back(spark):
     rows = [(1, "ab <MASK> x"), (2, "a<NEW_LINE>b  c\n<BOS>é 🙂"), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "k int, text string")
