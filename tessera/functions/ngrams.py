@@ -43,22 +43,20 @@ def with_ngram_stats(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[i
                                   F.transform(f"_r{n}", lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(1))))).alias(f"_s{n}") for n in orders]
     t = t.select(*keep, *[F.size(f"{s}{n}").cast("long").alias(f"{s}{n}") for n in orders for s in ("_h", "_r")], *both)
 
-    def starts(n: int) -> Column:
-        s = F.col(f"_s{n}")
-        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0))))
-        return F.when(F.size(s) > 0, F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), first), F.array(F.size(s)))) \
-            .otherwise(F.array(F.lit(0)))
-
-    t = t.select("*", *[starts(n).alias(f"_p{n}") for n in orders])
-
     def matches(n: int) -> Column:
-        s, p = F.col(f"_s{n}"), F.col(f"_p{n}")
-
-        def shorter(at, k):
-            after, end = F.get(p, k + 1), F.get(p, k + 2)
-            met = end.isNotNull() & (F.get(s, after) == F.get(s, at) + 1)
-            return F.when(met & (F.get(s, at).bitwiseAND(F.lit(1)) == 0), F.least(after - at, end - after)).otherwise(F.lit(0))
-        return F.aggregate(F.transform(p, shorter), F.lit(0).cast("long"), lambda a, x: a + x)
+        s = F.col(f"_s{n}")
+        # From each member to the next: 0 the same, 1 from a hypothesis run to
+        # the reference run of the same n-gram, else 2.
+        mark = lambda a, b: F.when(a == b, 0).when((b - 1 == a) & (a.bitwiseAND(F.lit(1)) == 0), 1).otherwise(2)
+        marks = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), mark)
+        whole, side = 1 << 32, 1
+
+        def step(state, m):
+            """state: matches << 32 | members still to be met << 1 | reference side."""
+            left = state.bitwiseAND(F.lit(whole - 2))
+            again = F.when(state.bitwiseAND(F.lit(side)) == 0, state + 2).when(left > 0, state + (whole - 2)).otherwise(state)
+            return F.when(m == 2, F.shiftleft(F.shiftright(state, 32), 32)).when(m == 1, state + (whole + side)).otherwise(again)
+        return F.when(F.size(s) > 1, F.shiftright(F.aggregate(marks, F.lit(0).cast("long"), step), 32)).otherwise(F.lit(0).cast("long"))
 
     out = [F.when(F.col(f"_h{n}").isNotNull() & F.col(f"_r{n}").isNotNull(),
                   F.struct(matches(n).alias("m"), F.col(f"_h{n}").alias("th"), F.col(f"_r{n}").alias("tr"))).alias(f"{name}{n}") for n in orders]

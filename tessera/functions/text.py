@@ -39,7 +39,7 @@ def ngrams(tokens, n: int) -> Column:
 
 def chars(s) -> Column:
     """A string as an array of its characters (code points), in one pass."""
-    return F.regexp_extract_all(col_(s), F.lit("(?s)."), 0)
+    return F.when(col_(s) == "", F.array().cast("array<string>")).otherwise(F.split(col_(s), ""))
 
 
 def char_ngrams(char_array, n: int) -> Column:
