@@ -633,9 +633,8 @@ def q_bpe_decode(spark, sf):
 @register("epoch_rollup_stream")
 def q_epoch_rollup_stream(spark, sf):
     """E13 driven by Structured Streaming over the events files."""
-    import os
     from tessera.streaming.step_log import run_epoch_rollup
-    return run_epoch_rollup(spark, os.path.join(sf, "events.parquet"))
+    return run_epoch_rollup(spark, f"{sf}/events.parquet")
 
 
 @register("metric_record_wide")

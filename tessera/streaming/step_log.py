@@ -1,59 +1,84 @@
 """E13 on an append-only feed: the step log rolled up per epoch while it grows.
 
-The same logical plan as `metrics.epoch_rollup`, run by Structured Streaming
-over the events files: a stateful streaming aggregation (state keyed by
-run, epoch, metric; partial aggregation per micro-batch), written in
-`complete` mode.  `availableNow` drains what is there and stops, which is how
-tests and the registry drive it; a production job keeps the default trigger.
-Progress and state live in the checkpoint location under the shared
-`spark.checkpoint.dir`, so a restarted job resumes where it stopped.
+Structured Streaming keeps, per (run, epoch, metric, day), the weighted sum, the
+weight, the step count and the last step.  A watermark on the event time lets the
+state of old days go.  Each micro-batch comes in `update` mode, that is with the
+full new value of every group it touched, and is written to a folder of its own
+number; a batch that is run again after a failure writes the same folder again.
+The rollup reads the newest value of every group, so nothing is counted twice.
+
+The checkpoint and the table lie in the shared folder under a name made from the
+feed's path and the job's name: the same job started again, in another session
+too, goes on where it stopped.  `availableNow` drains what is there and stops; a
+production job passes another trigger.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
+LATE = "31 days"  # how far an event may lag behind the newest one
+KEYS = ["run", "epoch", "metric"]
+
 
-def step_log_stream(spark: SparkSession, events_path: str) -> DataFrame:
+def step_log_stream(spark: SparkSession, events_path: str, files_per_batch: int = 1) -> DataFrame:
     """The feed: a folder of Parquet files, or one file (its folder, filtered
     to that file name)."""
-    schema = spark.read.parquet(events_path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    if os.path.isfile(events_path):
-        reader = reader.option("pathGlobFilter", os.path.basename(events_path))
-        events_path = os.path.dirname(events_path)
+    batch = spark.read.parquet(events_path)
+    folder, _, name = events_path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_batch)
+    files = batch.inputFiles()
+    if len(files) == 1 and files[0].rpartition("/")[2] == name:
+        reader, events_path = reader.option("pathGlobFilter", name), folder
     ev = reader.parquet(events_path)
     return ev.select((F.col("user_id") % 4).alias("run"), F.dayofmonth("ts").alias("epoch"),
                      F.col("event_id").alias("step"), F.col("event_type").alias("metric"), "value",
-                     (1 + F.col("event_id") % 8).alias("batch_size"))
+                     (1 + F.col("event_id") % 8).alias("batch_size"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def rollup_stream(log: DataFrame, late: str = LATE) -> DataFrame:
+    """Sums per (run, epoch, metric, day)."""
+    return log.withWatermark("ts", late).groupBy(*KEYS, F.window("ts", "1 day").alias("_w")).agg(
+        F.sum(F.col("value") * F.col("batch_size")).alias("weighted"), F.sum("batch_size").alias("weight"),
+        F.count("*").alias("n_steps"), F.max(F.struct("step", "value")).alias("last")).withColumn("day", F.col("_w.start")).drop("_w")
 
 
-def rollup_stream(log: DataFrame) -> DataFrame:
-    return log.groupBy("run", "epoch", "metric").agg(
-        (F.sum(F.col("value") * F.col("batch_size")) / F.sum("batch_size")).alias("epoch_value"),
-        F.count("*").alias("n_steps"),
-        F.max_by("value", "step").alias("last_value"))
+def job_paths(spark: SparkSession, events_path: str, job: str) -> tuple[str, str]:
+    """(table, checkpoint) of a job on a feed; the same for every start of it."""
+    ident = hashlib.sha256(f"{job}\n{events_path.rstrip('/')}".encode()).hexdigest()[:24]
+    base = f"{ensure_checkpoint_dir(spark)}/epoch-rollup-{ident}"
+    return f"{base}/table", f"{base}/checkpoint"
 
 
-def run_epoch_rollup(spark: SparkSession, events_path: str, out_path: str | None = None) -> DataFrame:
-    """Drain the feed with `availableNow`, keep the final complete-mode state
-    in a Parquet table (rewritten per micro-batch by `foreachBatch`), and
-    return it as a batch DataFrame."""
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    run_id = uuid.uuid4().hex[:12]
-    out_path = out_path or os.path.join(base, f"epoch_rollup_{run_id}")
-    ckpt = os.path.join(base, f"epoch_rollup_ckpt_{run_id}")
+def advance(spark: SparkSession, events_path: str, job: str = "default", files_per_batch: int = 1,
+            trigger: dict | None = None) -> str:
+    """Take in what the feed holds beyond the last start; returns the table."""
+    table, checkpoint = job_paths(spark, events_path, job)
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    q = (rollup_stream(step_log_stream(spark, events_path)).writeStream.outputMode("complete")
-         .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (rollup_stream(step_log_stream(spark, events_path, files_per_batch)).writeStream.outputMode("update")
+         .foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return table
+
+
+def read_rollup(spark: SparkSession, table: str) -> DataFrame:
+    """The rollup of a table: the newest value of every group, days added up."""
+    rows = spark.read.parquet(table)
+    value = F.struct("weighted", "weight", "n_steps", "last")
+    newest = rows.groupBy(*KEYS, "day").agg(F.max_by(value, "batch").alias("v"))
+    return newest.groupBy(*KEYS).agg(
+        (F.sum("v.weighted") / F.sum("v.weight")).alias("epoch_value"), F.sum("v.n_steps").alias("n_steps"),
+        F.max("v.last").alias("last")).select(*KEYS, "epoch_value", "n_steps", F.col("last.value").alias("last_value"))
+
+
+def run_epoch_rollup(spark: SparkSession, events_path: str, job: str = "default") -> DataFrame:
+    """Drain the feed and return the rollup as a batch DataFrame."""
+    return read_rollup(spark, advance(spark, events_path, job))
