@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,59 @@ def length_quantiles(df: DataFrame, value_col: str, probs=QUARTILES,
     return df.agg(agg.alias("edges"))
 
 
+def selected_quantiles(df: DataFrame, value_col: str, probs=QUARTILES, buckets: int = 1024) -> DataFrame:
+    """M5 for values of any number: exact quantiles (linear interpolation) without
+    one map of all distinct values.
+
+    Distributed selection: each pass counts the values in `buckets` equal parts of
+    the intervals that hold a wanted rank, with the least and largest value of
+    each, and goes on inside the parts that hold the ranks.  A pass shuffles and
+    returns at most `buckets` rows per interval; as the ends of an interval are
+    values that fall into different parts, every pass narrows it.  Nulls and NaN
+    are left out; without values `edges` is null."""
+    from tessera.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    x = df.select(F.col(value_col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).checkpoint(eager=True)
+    n, least, most = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "edges array<double>")
+    at = [float(p) * (n - 1) for p in probs]
+    found: dict = {}
+    todo = {r: (least, most, 0) for p in at for r in (math.floor(p), math.ceil(p))}  # rank -> interval, values below it
+    while todo:
+        for r in [r for r, (lo, hi, _) in todo.items() if lo == hi]:
+            found[r] = todo.pop(r)[0]
+        spans = sorted({(lo, hi) for lo, hi, _ in todo.values()})
+        if not spans:
+            break
+        # Halves, so that the width of an interval is finite.
+        part = [F.struct(F.lit(i).alias("i"), F.least(F.lit(buckets - 1), F.floor(
+            (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets)).cast("int").alias("b")) for i, (lo, hi) in enumerate(spans)]
+        inside = F.coalesce(*[F.when(F.col("x").between(lo, hi), p) for (lo, hi), p in zip(spans, part)])
+        rows = x.select("x", inside.alias("p")).where("p IS NOT NULL").groupBy("p").agg(
+            F.count("x").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r, (lo, hi, below) in todo.items():
+            for row in sorted((y for y in rows if y["p"]["i"] == spans.index((lo, hi))), key=lambda y: y["p"]["b"]):
+                if r < below + row["c"]:
+                    todo[r] = (row["lo"], row["hi"], below)
+                    break
+                below += row["c"]
+    edges = [found[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * found[math.floor(p)] + (p - math.floor(p)) * found[math.ceil(p)]
+             for p in at]
+    return spark.createDataFrame([(edges,)], "edges array<double>")
+
+
 def length_bins(df: DataFrame, value_col: str, bin_col: str = "bin", probs=QUARTILES,
                 exact: bool = True) -> DataFrame:
     """Bin = number of edges <= value (np.digitize, right=False).
 
     The edges are a single row (proven size bound), joined by broadcast."""
-    edges = length_quantiles(df, value_col, probs, exact)
+    return bins_of(df, value_col, length_quantiles(df, value_col, probs, exact), bin_col)
+
+
+def bins_of(df: DataFrame, value_col: str, edges: DataFrame, bin_col: str = "bin") -> DataFrame:
+    """M6 for given edges (one row)."""
     joined = df.crossJoin(broadcast_if_small(edges, row_bound=1))
     b = F.aggregate(F.col("edges"), F.lit(0),
                     lambda acc, e: acc + F.when(F.col(value_col) >= e, 1).otherwise(0))

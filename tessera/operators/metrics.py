@@ -15,6 +15,7 @@ few numbers per pair reach the (partial, then final) aggregate of a group.
 
 from __future__ import annotations
 
+import math
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,7 @@ Tokenizer = Callable[[Column], Column]
 BLEU_MAX_ORDER = 4
 CHRF_CHAR_ORDER = 6
 CHRF_BETA = 2.0
+BOOTSTRAP_REPLICATES = 1000
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
@@ -263,6 +265,53 @@ def rouge_l(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "
         F.avg("f").alias("rouge_l"), F.sum("l").alias("lcs_total"))
 
 
+def _poisson_thresholds() -> list[str]:
+    """Distribution function of Poisson(1) as 8-digit hex numbers: a uniform hex
+    number counts as many as there are values at or below it."""
+    out, p, total = [], math.exp(-1.0), 0.0
+    for k in range(20):
+        total += p
+        p /= k + 1
+        edge = int(total * 2 ** 32)
+        if edge >= 2 ** 32 - 1:
+            break
+        out.append(f"{edge:08x}")
+    return out
+
+
+POISSON_HEX = tuple(_poisson_thresholds())
+
+
+def rouge_l_bootstrap(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
+                      tokenizer: Tokenizer = ws_tokens, group_cols=None, replicates: int = BOOTSTRAP_REPLICATES,
+                      seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """E8, aggregated as the metric's library does it: bootstrap the mean of the
+    pairs' F1 and report the median of the replicates, with an interval.
+
+    Poisson bootstrap: in every replicate a pair counts a Poisson(1) number of
+    times, read off a hash of its key, the seed and the replicate, so the result
+    is reproducible, does not depend on the partitioning, and needs one grouped
+    aggregate whose state is a sum and a weight per (group, replicate)."""
+    g = _g(group_cols)
+    kk = g + [k for k in keys if k not in g]
+    t = df.select(*kk, tokenizer(F.col(pred)).alias("h"), tokenizer(F.col(ref)).alias("r"))
+    t = t.select(*kk, lcs(F.col("h"), F.col("r")).alias("l"), F.size("h").alias("nh"), F.size("r").alias("nr"))
+    f1 = F.when(F.col("l") == 0, F.lit(0.0)).otherwise(2 * F.col("l") / (F.col("nh") + F.col("nr")))
+    one = t.select(*g, F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias("_key"), f1.alias("f")).where("f IS NOT NULL")
+    # One digest gives the hex numbers of four replicates.
+    many = one.select(*g, "_key", "f", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))).alias("_four"))
+    many = many.select(*g, "f", "_four", F.md5(F.concat_ws("-", "_key", F.lit(str(seed)), F.col("_four").cast("string"))).alias("_hex"))
+    many = many.select(*g, "f", "_hex", F.inline(F.array(*[
+        F.struct((F.col("_four") * 4 + i).alias("replicate"), F.substring("_hex", 8 * i + 1, 8).alias("_u")) for i in range(4)])))
+    weight = sum(F.when(F.col("_u") >= x, 1).otherwise(0) for x in POISSON_HEX)
+    sums = many.where(F.col("replicate") < replicates).groupBy(*g, "replicate").agg(
+        F.sum(weight).alias("w"), F.sum(weight * F.col("f")).alias("wf"))
+    means = sums.where("w > 0").select(*g, (F.col("wf") / F.col("w")).alias("mean"))
+    edges = F.percentile("mean", F.array(*[F.lit(x) for x in ((1 - confidence) / 2, 0.5, (1 + confidence) / 2)]))
+    out = means.groupBy(*g).agg(edges.alias("e"), F.count(F.lit(1)).alias("n_replicates"))
+    return out.select(*g, F.col("e")[1].alias("rouge_l_mid"), F.col("e")[0].alias("rouge_l_low"), F.col("e")[2].alias("rouge_l_high"), "n_replicates")
+
+
 # ----------------------------------------------------------------------- losses
 
 def log_softmax_at_target(dist: DataFrame, row_col: str = "vec_id", token_col: str = "token",
@@ -386,6 +435,15 @@ def train_test_matrix(rows: DataFrame) -> DataFrame:
         F.avg(F.col("exact_match").cast("double")).alias("exact_match"),
         F.avg("levenshtein_distance").alias("leven_dist"))
 
+def matrix_margins(rows: DataFrame) -> DataFrame:
+    """E12 with margins: the matrix, each train and test type over all others, and
+    the grand total in one `cube`.  `level` is the grouping id: 0 a cell, 1 a train
+    type over all test types, 2 a test type over all train types, 3 all."""
+    return rows.cube("train_type", "test_type").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_rows"),
+        F.avg(F.col("exact_match").cast("double")).alias("exact_match"),
+        F.avg("levenshtein_distance").alias("leven_dist"))
+
 
 # ---------------------------------------------------------- step log
 

@@ -7,6 +7,8 @@ CTEs here; each query string carries only the CTEs it needs.
 
 from __future__ import annotations
 
+import math
+
 # ------------------------------------------------------------------ view CTEs
 VIEWS = {
     "corpus_base": r"""
@@ -351,6 +353,20 @@ SELECT """ + _r("""avg(CASE WHEN l = 0 THEN 0.0 ELSE
   CAST(sum(l) AS BIGINT) AS lcs_total
 FROM lc""")
 
+BOOTSTRAP_REPLICATES = 1000
+# Distribution function of Poisson(1) in units of 2^-32, as hex.
+POISSON_HEX = [f"{int(2 ** 32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))):08x}" for k in range(12)]
+POISSON_HEX = [x for x in POISSON_HEX if x < "ffffffff"]
+
+oracle("rouge_l_bootstrap", with_views("pr_tok") + _LCS + f""",
+f AS (SELECT concat_ws('-', conv_id, turn) AS key, CASE WHEN l = 0 THEN 0.0 ELSE 2 * l / (lh + lr) END AS f FROM lc),
+d AS (SELECT f, four, md5(concat_ws('-', key, '0', four)) AS hx FROM f, range(0, {BOOTSTRAP_REPLICATES // 4}) t(four)),
+u AS (SELECT f, four * 4 + i AS b, substring(hx, CAST(8 * i + 1 AS INTEGER), 8) AS u FROM d, range(0, 4) s(i)),
+w AS (SELECT f, b, {" + ".join(f"CAST(u >= '{x}' AS INTEGER)" for x in POISSON_HEX)} AS w FROM u),
+m AS (SELECT b, sum(w * f) / sum(w) AS mean FROM w GROUP BY b HAVING sum(w) > 0),
+e AS (SELECT quantile_cont(mean, [0.025, 0.5, 0.975]) AS e, count(*) AS n_replicates FROM m)
+SELECT {_r("e[2]")} AS rouge_l_mid, {_r("e[1]")} AS rouge_l_low, {_r("e[3]")} AS rouge_l_high, n_replicates FROM e""")
+
 # ---------------------------------------------------------------------- loss
 oracle("masked_nll", with_views("dist") + r""",
 lp AS (SELECT vec_id, target,
@@ -822,6 +838,34 @@ SELECT train_type, test_type, count(*) AS n_rows, """ + _r("avg(CAST(em AS DOUBL
        """ + _r("avg(CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END)") + """ AS leven_dist
 FROM xe GROUP BY train_type, test_type""")
 
+oracle("matrix_margins", with_views("pairs") + r""",
+b AS (SELECT conv_id, turn, regexp_extract_all(target, '\S+') AS toks FROM pairs),
+bn AS (SELECT *, len(toks) AS rn FROM b),
+be AS (SELECT quantile_cont(rn, [0.25, 0.5, 0.75]) AS e FROM bn),
+bc AS (
+  SELECT bn.*, ['short', 'short', 'medium', 'long'][1 + (rn >= e[1])::INT + (rn >= e[2])::INT
+         + (rn >= e[3])::INT] AS test_type
+  FROM bn, be),
+x AS (
+  SELECT conv_id, turn, phase AS k, position AS train_type, test_type, toks AS reference,
+         list_filter(toks, lambda x, i: (i - 1) % 7 <> phase) AS prediction
+  FROM bc, (VALUES (0, 'sinusoidal'), (1, 'rotary'), (2, 'alibi'), (3, 'relative')) v(phase, position))""" + _edit_distance(
+    "dx", "x", "prediction", "reference", "d") + r""",
+xe AS (
+  SELECT x.*, dx.d, greatest(len(prediction), len(reference)) AS mx,
+         array_to_string(prediction, ' ') = array_to_string(reference, ' ') AS em
+  FROM x JOIN dx USING (conv_id, turn, k))
+SELECT train_type, test_type, CAST(grouping(train_type, test_type) AS INTEGER) AS level, count(*) AS n_rows,
+       """ + _r("avg(CAST(em AS DOUBLE))") + """ AS exact_match, """ + _r("avg(CASE WHEN mx = 0 THEN 1.0 ELSE 1 - d / mx END)") + """ AS leven_dist
+FROM xe GROUP BY CUBE (train_type, test_type)""")
+
+oracle("value_quantiles", "SELECT list_transform(quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.25, 0.5, 0.75]), lambda x: round(x, 6)) AS edges FROM lineitem")
+
+oracle("value_bins", """
+WITH e AS (SELECT quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.25, 0.5, 0.75]) AS e FROM lineitem)
+SELECT CAST((l_extendedprice >= e[1])::INT + (l_extendedprice >= e[2])::INT + (l_extendedprice >= e[3])::INT AS INTEGER) AS bin, count(*) AS n
+FROM lineitem, e GROUP BY 1""")
+
 # ======================================================================== X1-X5
 oracle("token_freq", with_views("doc_ids") + """
 SELECT split, length, token_id, n FROM freq_sl""")

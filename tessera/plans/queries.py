@@ -53,6 +53,11 @@ def q_rouge_l(spark, sf):
     return E.rouge_l(V.pred_ref(spark, sf), PR_KEYS)
 
 
+@register("rouge_l_bootstrap")
+def q_rouge_l_bootstrap(spark, sf):
+    return E.rouge_l_bootstrap(V.pred_ref(spark, sf), PR_KEYS)
+
+
 @register("masked_nll")
 def q_masked_nll(spark, sf):
     return E.masked_nll(V.dist(spark, sf), pad_id=0)
@@ -326,6 +331,20 @@ def q_length_quantiles(spark, sf):
     return M.length_quantiles(M.span_token_lengths(read_table(spark, sf, "documents")), "n_tokens")
 
 
+@register("value_quantiles")
+def q_value_quantiles(spark, sf):
+    """M5 on values without bound: quartiles of prices by distributed selection."""
+    return M.selected_quantiles(read_table(spark, sf, "lineitem"), "l_extendedprice")
+
+
+@register("value_bins")
+def q_value_bins(spark, sf):
+    """M6 on the same edges: prices per quartile bin."""
+    lines = read_table(spark, sf, "lineitem").select(F.col("l_extendedprice").cast("double").alias("v"))
+    edges = M.selected_quantiles(lines, "v")
+    return M.bins_of(lines, "v", edges).groupBy("bin").agg(F.count("*").alias("n"))
+
+
 @register("length_bins")
 def q_length_bins(spark, sf):
     return M.length_bins(M.span_token_lengths(read_table(spark, sf, "documents")), "n_tokens")
@@ -514,6 +533,20 @@ def q_train_test_matrix(spark, sf):
     return E.train_test_matrix(rows)
 
 
+@register("matrix_margins")
+def q_matrix_margins(spark, sf):
+    """Position types x length classes, with margins; the margin over the
+    lengths is the `mix` run.  A position type's predictions drop tokens of
+    another phase."""
+    base = _ref_class(V.pairs(spark, sf).select(
+        *PR_KEYS, "input", ws_tokens("target").alias("toks")).withColumn("ref", F.array_join("toks", " ")))
+    axis = bounded(spark.createDataFrame(list(enumerate(V.POSITION_TYPES)), "phase int, position string"), len(V.POSITION_TYPES))
+    x = base.crossJoin(broadcast_bounded(axis)).withColumn(
+        "pred", F.array_join(V.corrupt(F.col("toks"), V.CORRUPTION_PERIOD, F.col("phase")), " "))
+    rows = E.result_rows(x, [*PR_KEYS, "phase"], F.col("position"), F.col("length"))
+    return E.matrix_margins(rows)
+
+
 @register("epoch_rollup")
 def q_epoch_rollup(spark, sf):
     return E.epoch_rollup(V.step_log(spark, sf))

@@ -17,6 +17,7 @@ from tessera.sources.tables import read_table
 SPLIT_TRAIN_BELOW = 8          # doc_id % 10 < 8 -> train, 8 -> validation, 9 -> test
 CORRUPTION_PERIOD = 7          # prediction drops tokens whose 0-based index % period == 3
 CORRUPTION_PHASE = 3
+POSITION_TYPES = ("sinusoidal", "rotary", "alibi", "relative")  # sweep axis
 CODE_DEPTHS = 4                # indentation levels of the code view
 LOGIT_SCALE = 10.0             # dist: logits = 10 * embedding value
 

@@ -410,3 +410,40 @@ def test_relational_and_per_row_metric_plans_agree(spark):
         x = sorted(E._ngram_stats(pr, keys, h, r, orders, [], False, char_level, per_row=True).collect())
         y = sorted(E._ngram_stats(pr, keys, h, r, orders, [], False, char_level, per_row=False).collect())
         assert x == y
+
+
+def test_selected_quantiles_equal_percentile(spark):
+    """Ten million distinct values on a skewed scale, against the map-based
+    aggregate; odd inputs."""
+    df = spark.range(10_000_000).select((F.exp(F.pmod(F.col("id") * 7919, F.lit(10_000_000)) / 4e5) - 3 + F.col("id") * 1e-9).alias("v"))
+    probs = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = M.selected_quantiles(df, "v", probs).first()["edges"]
+    exact = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("e")).first()["e"]
+    assert got == pytest.approx(exact, rel=1e-12)
+    for values in ([5.0], [1.0, 2.0], [3.0] * 9, [-1.7e308, 0.0, 1.7e308], [1.0, 1.0, 1.0, 9.0, None, float("nan")], [5e-324, 0.0, 1.0]):
+        t = spark.createDataFrame([(v,) for v in values], "v double")
+        kept = [v for v in values if v is not None and v == v]
+        e = spark.createDataFrame([(v,) for v in kept], "v double").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
+        assert M.selected_quantiles(t, "v", (0.25, 0.5), buckets=3).first()["edges"] == e
+    assert M.selected_quantiles(spark.createDataFrame([], "v double"), "v").first()["edges"] is None
+
+
+def test_bootstrap_is_reproducible_and_holds_the_mean(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choices("abcdef", k=8)), " ".join(rng.choices("abcdef", k=8))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, pred string, ref string")
+    one = E.rouge_l_bootstrap(df, ["k"], replicates=400).first()
+    assert E.rouge_l_bootstrap(df.repartition(5, "pred"), ["k"], replicates=400).first() == pytest.approx(one, rel=1e-12)
+    other = E.rouge_l_bootstrap(df, ["k"], replicates=400, seed=1).first()
+    mean = E.rouge_l(df, ["k"]).first()["rouge_l"]
+    assert other != one and one["n_replicates"] == 400
+    for r in (one, other):
+        assert r["rouge_l_low"] < mean < r["rouge_l_high"] and abs(r["rouge_l_mid"] - mean) < 0.01
+
+
+def test_matrix_margins_add_up(spark):
+    rows = spark.createDataFrame([("a", "x", True, 1.0), ("a", "y", False, 0.5), ("b", "x", True, 0.0)],
+                                 "train_type string, test_type string, exact_match boolean, levenshtein_distance double")
+    got = {(r["train_type"], r["test_type"], r["level"]): (r["n_rows"], r["leven_dist"]) for r in E.matrix_margins(rows).collect()}
+    assert got[None, None, 3] == (3, 0.5) and got["a", None, 1] == (2, 0.75) and got[None, "x", 2] == (2, 0.5) and got["b", "x", 0] == (1, 0.0)
+    assert len(got) == 3 + 2 + 2 + 1
