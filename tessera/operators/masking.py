@@ -62,9 +62,10 @@ def selected_quantiles(df: DataFrame, value_col: str, probs=QUARTILES, buckets:
         spans = sorted({(lo, hi) for lo, hi, _ in todo.values()})
         if not spans:
             break
-        # Halves, so that the width of an interval is finite.
+        # Halves where the width of an interval is not finite.
+        by = [0.5 if math.isinf(hi - lo) else 1.0 for lo, hi in spans]
         part = [F.struct(F.lit(i).alias("i"), F.least(F.lit(buckets - 1), F.floor(
-            (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets)).cast("int").alias("b")) for i, (lo, hi) in enumerate(spans)]
+            (F.col("x") * c - lo * c) / (hi * c - lo * c) * buckets)).cast("int").alias("b")) for i, ((lo, hi), c) in enumerate(zip(spans, by))]
         inside = F.coalesce(*[F.when(F.col("x").between(lo, hi), p) for (lo, hi), p in zip(spans, part)])
         rows = x.select("x", inside.alias("p")).where("p IS NOT NULL").groupBy("p").agg(
             F.count("x").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
