@@ -6,6 +6,7 @@ at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Sequence
 
 import pandas as pd
@@ -71,3 +72,97 @@ def pair_scores(h: Column, r: Column, h_lower: Column, r_lower: Column) -> Colum
     """struct<lcs, distance, m, chunks>: LCS and edit distance of the tokens, and
     the alignment of the lower-cased ones, in one pass over the pair."""
     return _scores_udf(token_hashes(h), token_hashes(r), token_hashes(h_lower), token_hashes(r_lower))
+
+
+# ------------------------------------------------- staged, fewest chunks
+
+BEAM = 64  # partial alignments that are followed at once
+
+
+def _stage_needs(h, r, h_stem, r_stem) -> tuple[dict, dict]:
+    """Matches that every alignment has: exact ones per word, then, of the words
+    left over, stem matches per stem."""
+    ch, cr = Counter(h), Counter(r)
+    exact = {w: min(n, cr[w]) for w, n in ch.items() if w in cr}
+    left: list[Counter] = [Counter(), Counter()]
+    for side, count, words, stems in ((0, ch, h, h_stem), (1, cr, r, r_stem)):
+        for w, s in dict(zip(words, stems)).items():
+            left[side][s] += count[w] - exact.get(w, 0)
+    return exact, {s: min(n, left[1][s]) for s, n in left[0].items() if min(n, left[1][s]) > 0}
+
+
+def staged_alignment(h: Sequence, r: Sequence, h_stem: Sequence, r_stem: Sequence, beam: int = BEAM) -> tuple[int, int]:
+    """(matches, chunks) of the alignment in two stages, equal words first and
+    equal stems among those left over, that has the fewest chunks.
+
+    The number of matches does not depend on the choice of partners, only the
+    chunks do.  Hypothesis words are placed from left to right; what is left to
+    place per word and stem keeps every partial alignment completable; the `beam`
+    best of them go on (all of them, while there are no more)."""
+    exact, stem = _stage_needs(h, r, h_stem, r_stem)
+    total = sum(exact.values()) + sum(stem.values())
+    if not total:
+        return 0, 0
+    place: dict = {}
+    kin: dict = {}
+    for j, (w, s) in enumerate(zip(r, r_stem)):
+        place[w] = place.get(w, 0) | 1 << j
+        kin.setdefault(s, []).append(j)
+    ahead = Counter(h)          # occurrences from the current word on
+    at = {("w", w): i for i, w in enumerate(exact)} | {("s", s): len(exact) + i for i, s in enumerate(stem)}
+    members: dict = {s: [] for s in stem}
+    for w, s in dict(zip(h, h_stem)).items():
+        if s in stem and w in exact:
+            members[s].append(at["w", w])
+    stem_ahead = Counter(s for s in h_stem if s in stem)
+    states = {(0, -2, tuple([*exact.values(), *stem.values()])): 0}   # (used, last partner, to place) -> chunks
+    for w, s in zip(h, h_stem):
+        ahead[w] -= 1
+        if s in stem:
+            stem_ahead[s] -= 1
+        ew, es = at.get(("w", w)), at.get(("s", s))
+        after: dict = {}
+
+        def add(used, last, todo, chunks):
+            """Only if what is still to be placed fits behind this word."""
+            if ew is not None and todo[ew] > ahead[w]:
+                return
+            if es is not None and todo[es] + sum([todo[i] for i in members[s]]) > stem_ahead[s]:
+                return
+            key = (used, last, todo)
+            if chunks < after.get(key, 1 << 30):
+                after[key] = chunks
+        for (used, last, todo), chunks in states.items():
+            add(used, -2, todo, chunks)
+            if ew is not None and todo[ew]:
+                rest = todo[:ew] + (todo[ew] - 1,) + todo[ew + 1:]
+                free = place[w] & ~used
+                while free:
+                    bit = free & -free
+                    free ^= bit
+                    j = bit.bit_length() - 1
+                    add(used | bit, j, rest, chunks + (j != last + 1))
+            if es is not None and todo[es]:
+                rest = todo[:es] + (todo[es] - 1,) + todo[es + 1:]
+                for j in kin.get(s, ()):
+                    v = at.get(("w", r[j]))
+                    if used >> j & 1 or r[j] == w or v is not None and (place[r[j]] & ~used).bit_count() <= todo[v]:
+                        continue  # taken, or kept for an equal word
+                    add(used | 1 << j, j, rest, chunks + (j != last + 1))
+        if len(after) > beam:
+            best = sorted(after.items(), key=lambda x: (x[1], x[0][1] < 0, x[0]))[:beam]
+            after = dict(best)
+        states = after
+    return total, min(states.values())
+
+
+@F.pandas_udf(ALIGN_TYPE)
+def _staged_udf(h: pd.Series, r: pd.Series, hs: pd.Series, rs: pd.Series) -> pd.DataFrame:
+    none = ()
+    rows = [staged_alignment(*[none if x is None else x.tolist() for x in q]) for q in zip(h, r, hs, rs)]
+    return pd.DataFrame(rows, columns=["m", "chunks"], dtype="int64")
+
+
+def staged(h: Column, r: Column, h_stem: Column, r_stem: Column) -> Column:
+    """struct<m, chunks> of the staged alignment of two arrays with their stems."""
+    return _staged_udf(token_hashes(h), token_hashes(r), token_hashes(h_stem), token_hashes(r_stem))

@@ -21,7 +21,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.alignment import alignment, pair_scores
+from tessera.functions.alignment import alignment, pair_scores, staged
 from tessera.functions.lcs import lcs, lcs_and_distance
 from tessera.functions.ngrams import with_ngram_stats
 from tessera.functions.text import chars, ws_tokens
@@ -251,6 +251,28 @@ def _meteor_score(scored: DataFrame, g, alpha, beta, gamma) -> DataFrame:
     return scored.select(*g, s.alias("meteor")).groupBy(*g).agg(F.avg("meteor").alias("meteor"))
 
 
+def light_stem(word: Column) -> Column:
+    """Plural endings taken off (the three rules of the S stemmer)."""
+    return F.when(word.rlike("ies$") & ~word.rlike("[ea]ies$"), F.regexp_replace(word, "ies$", "y")) \
+        .when(word.rlike("es$") & ~word.rlike("[aeo]es$"), F.regexp_replace(word, "s$", "")) \
+        .when(word.rlike("s$") & ~word.rlike("[us]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+
+
+def meteor_staged(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
+                  tokenizer: Tokenizer = ws_tokens, stemmer: Callable[[Column], Column] = light_stem,
+                  alpha: float = METEOR_ALPHA, beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA, group_cols=None) -> DataFrame:
+    """E7 in stages: equal words, then equal stems among the words left over, in
+    the alignment with the fewest chunks; mean over pairs."""
+    g = _g(group_cols)
+    kk = g + [k for k in keys if k not in g]
+    base = df.select(*kk, tokenizer(F.lower(F.col(pred))).alias("h"), tokenizer(F.lower(F.col(ref))).alias("r"))
+    base = base.select("*", F.transform("h", stemmer).alias("hs"), F.transform("r", stemmer).alias("rs"))
+    scored = base.select(*kk, F.size("h").alias("hl"), F.size("r").alias("rl"),
+                         staged(F.col("h"), F.col("r"), F.col("hs"), F.col("rs")).alias("_a")) \
+        .select(*kk, "hl", "rl", F.col("_a.m").alias("m"), F.col("_a.chunks").alias("chunks"))
+    return _meteor_score(scored, g, alpha, beta, gamma)
+
+
 def rouge_l(df: DataFrame, keys: Sequence[str], pred: str = "pred", ref: str = "ref",
             tokenizer: Tokenizer = ws_tokens, group_cols=None) -> DataFrame:
     """ROUGE-L F1 from the token LCS, plain mean over pairs."""

@@ -48,6 +48,11 @@ def q_meteor_exact(spark, sf):
     return E.meteor_exact(V.pred_ref(spark, sf), PR_KEYS)
 
 
+@register("meteor_staged")
+def q_meteor_staged(spark, sf):
+    return E.meteor_staged(V.pred_ref(spark, sf), PR_KEYS)
+
+
 @register("rouge_l")
 def q_rouge_l(spark, sf):
     return E.rouge_l(V.pred_ref(spark, sf), PR_KEYS)

@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 
 PARTITIONED_BY = ["language", "length", "split"]
-FILES_PER_FOLDER = 8
 
 
-def write_corpus(corpus: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write `corpus` to `path`.  Rows are dealt by folder and key, so a folder
-    that holds a third of the rows is still written by several tasks, and none
-    by all of them."""
-    dealt = corpus.repartition(*PARTITIONED_BY, F.pmod(F.xxhash64(key), F.lit(FILES_PER_FOLDER)))
-    dealt.write.partitionBy(*PARTITIONED_BY).parquet(path)
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """Write `corpus` to `path`.  Rows are rebalanced by folder: adaptive
+    execution writes small folders together and splits a large one over as many
+    tasks as its bytes ask for (`spark.sql.adaptive.advisoryPartitionSizeInBytes`
+    each), so neither the number of files nor a task's share grows out of hand."""
+    corpus.hint("rebalance", *PARTITIONED_BY).write.partitionBy(*PARTITIONED_BY).parquet(path)
 
 
 def read_corpus(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame:

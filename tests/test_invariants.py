@@ -453,3 +453,57 @@ def test_matrix_margins_add_up(spark):
     got = {(r["train_type"], r["test_type"], r["level"]): (r["n_rows"], r["leven_dist"]) for r in E.matrix_margins(rows).collect()}
     assert got[None, None, 3] == (3, 0.5) and got["a", None, 1] == (2, 0.75) and got[None, "x", 2] == (2, 0.5) and got["b", "x", 0] == (1, 0.0)
     assert len(got) == 3 + 2 + 2 + 1
+
+
+def _fewest_chunks(h, r, stem):
+    """(matches, chunks) by trying every alignment with all the exact and all the
+    stem matches there can be."""
+    from itertools import permutations, product
+    ch, cr = Counter(h), Counter(r)
+    exact = sum((ch & cr).values())
+    lh, lr = Counter(), Counter()
+    for w in ch:
+        lh[stem(w)] += ch[w] - min(ch[w], cr[w])
+    for w in cr:
+        lr[stem(w)] += cr[w] - min(ch[w], cr[w])
+    stems = sum((lh & lr).values())
+    best = None
+    options = [[None] + [j for j, v in enumerate(r) if v == w or stem(v) == stem(w)] for w in h]
+    for pick in product(*options):
+        js = [j for j in pick if j is not None]
+        if len(set(js)) != len(js):
+            continue
+        same = sum(1 for w, j in zip(h, pick) if j is not None and r[j] == w)
+        if same != exact or len(js) - same != stems:
+            continue
+        chunks, last = 0, -2
+        for j in pick:
+            if j is not None and j != last + 1:
+                chunks += 1
+            last = -2 if j is None else j
+        best = chunks if best is None else min(best, chunks)
+    return exact + stems, best or 0
+
+
+def test_staged_alignment_has_the_fewest_chunks():
+    from tessera.functions.alignment import staged_alignment
+    rng = random.Random(5)
+    stem = lambda w: w.rstrip("s")
+    for _ in range(1500):
+        h, r = [[rng.choice(["a", "b", "as", "bs", "c", "ass"]) for _ in range(rng.randint(0, 6))] for _ in range(2)]
+        got = staged_alignment(h, r, [stem(w) for w in h], [stem(w) for w in r], beam=10 ** 6)
+        assert got == _fewest_chunks(h, r, stem), (h, r)
+    long = [rng.choice("abcdefghij") for _ in range(300)]
+    m, chunks = staged_alignment(long, long[:100] + long[110:], long, long[:100] + long[110:])
+    assert m == 290 and chunks <= 12  # two, were all alignments followed
+
+
+def test_meteor_staged(spark):
+    df = spark.createDataFrame([(1, "the cats sat on the mats", "on the mat sat the cat"), (2, "", "a"), (3, "a b", "a b"), (4, "boxes", "box")],
+                               "k int, pred string, ref string")
+    one = {r["k"]: r["meteor"] for r in E.meteor_staged(df, [], group_cols=["k"]).collect()}
+    exact = {r["k"]: r["meteor"] for r in E.meteor_exact(df, [], group_cols=["k"]).collect()}
+    assert one[1] > exact[1] and one[2] == 0 and one[3] == exact[3] == pytest.approx(1 - 0.5 * (1 / 2) ** 3) and one[4] == 0
+    words = ["ponies", "aies", "boxes", "does", "cats", "bus", "glass", "is"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(E.light_stem(F.col("w"))).collect()]
+    assert got == ["pony", "aie", "boxe", "doe", "cat", "bus", "glass", "i"]

@@ -85,3 +85,23 @@ def test_counting_aggregates_are_partial(spark, name):
 def test_top_k_windows_are_group_limited(spark):
     p = plan(QUERIES["top_checkpoints"](spark, SF01))
     assert "WindowGroupLimit" in p
+
+
+def test_writers_of_a_folder_grow_with_its_data(spark, tmp_out):
+    """A folder is written by as many tasks as its bytes ask for."""
+    import glob
+    from tessera.sources.corpus_store import read_corpus, write_corpus
+    view = V.corpus(spark, SF01)
+
+    def files(advisory):
+        path = f"{tmp_out}/corpus-{advisory}"
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        try:
+            write_corpus(view, path)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        assert read_corpus(spark, path, view).count() == view.count()
+        return sorted(len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path}/*/*/*"))
+
+    few, many = files("64m"), files("4k")
+    assert max(few) <= 2 and max(many) > 8, (few, many)
