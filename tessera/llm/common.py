@@ -25,13 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class scratch:
+    """A scope for tables of `stored`: on leaving it they are deleted, but for
+    those handed to `keep`, which belong to the scope around it, if any.  Nothing
+    that reads a deleted table may be used afterwards."""
+
+    _open: list = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self):
+        scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._llm_path)
+        return df
+
+    def __exit__(self, kind, *_):
+        scratch._open.remove(self)
+        outer = scratch._open[-1].paths if scratch._open else []
+        outer += [p for p in self.paths if p in self.kept]
+        for p in self.paths:
+            if p not in self.kept:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written once to the shared folder of `spark.checkpoint.dir` and
-    read back: cuts the lineage and survives lost executors."""
+    read back: cuts the lineage and survives lost executors.  Inside a `scratch`
+    the table is deleted with it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    if scratch._open:
+        scratch._open[-1].paths.append(path)
+    return out
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,7 +2,7 @@
 operations only.
 
 A line (text between \\n) is the set of its distinct 5-word shingles, words
-`[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, compared as 64-bit hashes; lines
+`[^\\x20\\x09-\\x0D]+` after lower-casing, compared as 64-bit hashes; lines
 of fewer than 5 words are left alone.  Two lines match when the Jaccard
 similarity of their sets is at least 0.8.  Lines are ordered by (document id,
 line number); a line that matches any earlier one is removed, whether that one
@@ -26,8 +26,9 @@ many prefix tokens as matching sets must.
 
 Null and empty texts have no lines to remove and stay as they are.  Repeated
 rows of a document are dealt with as one: of equal (id, line number) the lines
-are equal too, and stay or go together.  Lines of rows without an id
-are only compared as whole classes.
+are equal too, and stay or go together.  Rows without an id, and rows of one id
+with different texts, are texts of their own; those without an id come first.
+Extra columns stay; names that begin with `line_dedup_` are reserved.
 """
 
 from __future__ import annotations
@@ -37,11 +38,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_IDS, stored, with_ids
+from tessera.llm.common import BROADCAST_IDS, scratch, stored, with_ids
+from tessera.operators.ordering import with_row_index
 
 WORDS = 5
 PERCENT = 80
 FREQUENT = 32
+LINE_BITS = 26  # of the number of a line in its text, in the one number that stands for a line
+_OWN = "line_dedup_"  # begins the names of columns that are added to a caller's
 
 
 def _shingles(words: Column, size: int) -> Column:
@@ -55,6 +59,11 @@ def _prefix(n: Column, percent: int) -> Column:
     return F.when(n > 0, n - F.ceil(n * percent / 100) + 1).otherwise(0).cast("int")
 
 
+def _at() -> Column:
+    line = F.when(F.col("line") < 1 << LINE_BITS, F.col("line")).otherwise(F.raise_error(F.lit("too many lines in one text")))
+    return F.shiftleft("id", LINE_BITS) + line
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, line, text) of all lines; other white space is a blank."""
     text, rare = F.lower("text"), "\t\x0b\x0c\r"
@@ -68,9 +77,9 @@ def _words(line: Column) -> Column:
 
 
 def _sets(docs: DataFrame, at: DataFrame, size: int) -> DataFrame:
-    """(at, tokens) of the lines in `at` (column `at`: struct of id and line)."""
+    """(at, tokens) of the lines in `at`."""
     at = stored(at.distinct())
-    lines = _lines(with_ids(docs, at.select("at.id"), "id")).select(F.struct("id", "line").alias("at"), "text")
+    lines = _lines(with_ids(docs, at.select(F.shiftright("at", LINE_BITS).alias("id")), "id")).select(_at().alias("at"), "text")
     lines = with_ids(lines, at, "at").select("at", _words(F.col("text")).alias("words"))
     return stored(lines.select("at", _shingles(F.col("words"), size).alias("tokens")))
 
@@ -123,54 +132,79 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return whole.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select(F.col("b").alias("at")).distinct()
 
 
-def _key(text_col: str) -> Column:
-    return F.xxhash64(text_col)
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with a number per (id, text) that goes up with the id: the id itself
+    where it is a unique whole number, else its place among the (id, text hash)."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    ids, number = docs.select(F.col(id_col).alias("id")), f"{_OWN}no"
+    if whole and ids.groupBy("id").count().where(
+            f"count > 1 OR id IS NULL OR id NOT BETWEEN -{1 << 62 - LINE_BITS} AND {1 << 62 - LINE_BITS}").isEmpty():
+        return docs.withColumn(number, F.col(id_col).cast("long"))
+    own, key = f"{_OWN}id", f"{_OWN}key"
+    keys = docs.select(F.col(id_col).alias(own), F.xxhash64(text_col).alias(key)).distinct()
+    places = stored(with_row_index(keys, [F.col(own).asc_nulls_first(), key], index_col=number))
+    side = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+    return docs.join(side, docs[id_col].eqNullSafe(side[own]) & (F.xxhash64(docs[text_col]) == side[key])).drop(own, key)
+
+
+def _gone(docs: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
+    """(id, line) of the lines to remove of numbered texts (id, text)."""
+    lines = _lines(docs).select(_at().alias("at"), _words(F.col("text")).alias("words"))
+    lines = lines.select("at", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
+                         _shingles(F.col("words"), size).alias("tokens"))
+    with scratch(docs.sparkSession) as kept:
+        with scratch(docs.sparkSession) as early:
+            # Short lines are filtered out behind the table: before it, their test would split every line twice.
+            lines = stored(lines.select("at", "k1", "k2", F.size("tokens").alias("n"),
+                                        F.slice("tokens", 1, _prefix(F.size("tokens"), percent)).alias("prefix"))).where("n > 0")
+            first = stored(lines.groupBy("k1", "k2").agg(F.min("at").alias("at")))
+            copies = early.keep(stored(lines.select("at", "k1", "k2").join(first.withColumnRenamed("at", "first"), ["k1", "k2"]).where(
+                "at <> first").select("at")))
+            sets = early.keep(stored(lines.join(first, ["k1", "k2", "at"]).select("at", "n", "prefix")))
+        with scratch(docs.sparkSession) as middle:
+            rows = _by_rarity(docs, sets, size, percent, frequent)
+            by_token = Window.partitionBy("token")
+            held = middle.keep(stored(rows.withColumn("c", F.count(F.lit(1)).over(by_token)).withColumn(
+                "x", F.min(F.struct("at", "n", "pos")).over(by_token)).where("c > 1")))
+        leader = stored(held.alias("y").where(F.expr("x.at < y.at AND " + _close(percent))).select(
+            F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct())
+        found = stored(_verified(docs, leader, size, percent))
+
+        # The others: every earlier class that shares as many prefix tokens as a match does.
+        later = held.join(found, "at", "left_anti").select("token", "at", "n")
+        shared = held.select("token", "at", "n").alias("x").join(later.alias("y"), F.expr(
+            "x.token = y.token AND x.at < y.at AND " + _similar_size(percent))).groupBy(
+            F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
+        more = stored(shared.where("c >= " + _least_shared(percent)).select("a", "b").join(leader, ["a", "b"], "left_anti"))
+        near = found.union(_verified(docs, more, size, percent))
+        gone = kept.keep(stored(copies.union(near).distinct()))
+    return gone.select(F.shiftright("at", LINE_BITS).alias("id"), F.col("at").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line"))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
                     percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(id, key, line) of the lines to remove, line numbers from 0; `key` tells
-    rows of one id, or without one, apart."""
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), _key(text_col).alias("key")).alias("id"), F.col(text_col).alias("text"))
-    lines = _lines(docs).select("id", "line", _words(F.col("text")).alias("words"))
-    lines = lines.select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
-                         _shingles(F.col("words"), size).alias("tokens"))
-    # Short lines are filtered out behind the table: before it, their test would split every line twice.
-    lines = stored(lines.select("id", "line", "k1", "k2", F.size("tokens").alias("n"),
-                                F.slice("tokens", 1, _prefix(F.size("tokens"), percent)).alias("prefix"))).where("n > 0")
-    first = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at")))
-    copies = lines.select("id", "line", "k1", "k2").join(first, ["k1", "k2"]).where(
-        F.struct("id", "line") != F.col("at")).select("id", "line")
-    sets = lines.withColumn("at", F.struct("id", "line")).join(first, ["k1", "k2", "at"]).select("at", "n", "prefix")
-    sets = stored(sets)
-    rows = _by_rarity(docs, sets, size, percent, frequent)
-
-    by_token = Window.partitionBy("token")
-    held = stored(rows.withColumn("c", F.count(F.lit(1)).over(by_token)).withColumn("x", F.min(F.struct("at", "n", "pos")).over(by_token))
-                  .where("c > 1"))
-    leader = stored(held.alias("y").where(F.expr("x.at < y.at AND " + _close(percent))).select(
-        F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct())
-    found = stored(_verified(docs, leader, size, percent))
-
-    # The others: every earlier class that shares as many prefix tokens as a match does.
-    later = held.join(found, "at", "left_anti").select("token", "at", "n")
-    shared = held.select("token", "at", "n").alias("x").join(later.alias("y"), F.expr(
-        "x.token = y.token AND x.at < y.at AND " + _similar_size(percent))).groupBy(
-        F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
-    more = stored(shared.where("c >= " + _least_shared(percent)).select("a", "b").join(leader, ["a", "b"], "left_anti"))
-    near = found.union(_verified(docs, more, size, percent)).select("at.id", "at.line")
-    return copies.union(near).distinct().select("id.id", "id.key", "line")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, key, line) of the lines to remove, line numbers from 0; `key`, a hash
+    of the text, tells rows of one id, or without one, apart."""
+    no = F.col(f"{_OWN}no").alias("no")
+    rows = _numbered(docs, id_col, text_col)
+    gone = _gone(rows.select(no.alias("id"), F.col(text_col).alias("text")), size, percent, frequent)
+    names = rows.select(no, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).distinct()
+    return names.join(gone.withColumnRenamed("id", "no"), "no").select("id", "key", "line")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
+                percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """`docs` with the duplicate lines taken out of the text; all columns and
-    rows stay.  `n_removed` says how many lines went."""
-    gone = stored(duplicate_lines(docs, id_col, text_col, **how).groupBy(F.col("id").alias("of"), "key").agg(
-        F.collect_set("line").alias("gone")))  # one text's lines
-    size = gone.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    small = size.ids <= BROADCAST_IDS and size.lines <= 4 * BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(gone["of"]) & (_key(docs[text_col]) == gone["key"]), "left").drop(
-        gone["of"], gone["key"])
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn(text_col, text).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("gone")
+    rows stay.  `n_removed` says how many lines went (in place of a column of
+    that name)."""
+    no, out = f"{_OWN}no", f"{_OWN}gone"
+    rows = _numbered(docs, id_col, text_col)
+    gone = _gone(rows.select(F.col(no).alias("id"), F.col(text_col).alias("text")), size, percent, frequent)
+    gone = stored(gone.groupBy(F.col("id").alias(no)).agg(F.collect_set("line").alias(out)))  # one text's lines
+    size_of = gone.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum(F.size(out)), F.lit(0)).alias("lines")).first()
+    small = size_of.ids <= BROADCAST_IDS and size_of.lines <= 4 * BROADCAST_IDS
+    rows = rows.join(F.broadcast(gone) if small else gone, no, "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.coalesce(F.array_contains(out, i), F.lit(False)))
+    text = F.when(F.col(out).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.coalesce(F.size(out), F.lit(0)).cast("long")
+    return rows.withColumn(text_col, text).withColumn("n_removed", n_removed).drop(no, out)

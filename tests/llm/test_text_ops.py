@@ -338,3 +338,33 @@ def test_page_text_judges_articles_by_the_tree(spark):
         assert got[rows[12 + k][1]] == "Head same Get our weekly letter today unique story same All our offers ends same"
     assert got["http://h.example.com/none"] == "Head none unique story none ends none"
     assert got["http://x.example.com/none"] == "Head none Get our weekly letter today unique story none All our offers ends none"
+
+
+def test_fast_splitter_equals_the_regex_library():
+    import random
+
+    import public_tokenizers as P
+    import regex
+    from tessera.llm.byte_bpe import splitter
+    rng = random.Random(1)
+    chars = [chr(c) for c in [*range(0x250), *[rng.randrange(0x3100) for _ in range(800)], *[rng.randrange(0x110000) for _ in range(400)]]
+             if not 0xD800 <= c < 0xE000] + list(" \n\t\x1c\x85　'stredvlm²Ⅷ") * 30
+    for pattern in (P.PATTERN, r"\p{Lu}\p{Ll}*|\S", r"[a-z]+|\s+", r"[^\S ]+|\p{N}"):
+        fast, whole = splitter(pattern), regex.compile(pattern).findall
+        for _ in range(400):
+            text = "".join(rng.choices(chars, k=50))
+            assert fast(text) == whole(text)
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from tessera.llm.common import scratch, stored
+    there = lambda df: os.path.exists(df._llm_path.replace("file:", ""))
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            a, b = stored(spark.range(3)), inner.keep(stored(spark.range(4)))
+        assert not there(a) and there(b) and b.count() == 4
+        c = outer.keep(stored(b))
+    assert not there(b) and there(c) and c.count() == 4
+    assert there(stored(spark.range(1)))
