@@ -17,15 +17,20 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED = 200_000  # pre-tokens kept by a worker
+from tessera.llm.wordhash import slabs
+
+CACHED = 300_000  # pre-tokens kept by a worker
+SLAB = 1 << 20    # characters that are split at once
 LONGEST_CACHED = 64
 
 
@@ -80,40 +85,101 @@ def serialise(tokens: list[bytes]) -> bytes:
     return bytes(body)
 
 
+def _class(member: str) -> str:
+    """The characters up to U+FFFF that match a one-character pattern of the `regex`
+    library, as the inside of a character class of `re`."""
+    import regex
+
+    test = regex.compile(member).fullmatch
+    found = [i for i in range(0x10000) if not 0xD800 <= i < 0xE000 and test(chr(i))]
+    ends = [i for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    starts = [0, *[i + 1 for i in ends[:-1]]]
+    return "".join(f"\\u{found[a]:04x}-\\u{found[b]:04x}" for a, b in zip(starts, ends))
+
+
+def splitter(pattern: str):
+    """findall of the pattern.  Its letter, number and space classes are spelled out
+    from the `regex` library's own, for `re`, which is faster up to U+FFFF; texts
+    with characters beyond, and patterns with other means, stay with `regex`."""
+    import re
+
+    import regex
+
+    whole = regex.compile(pattern).findall
+    known, out, at, inside = {r"\p{L}", r"\p{N}", r"\s", r"\S"}, [], 0, False
+    while at < len(pattern):
+        name = next((k for k in known if pattern.startswith(k, at)), None)
+        if name is None and (pattern[at] == "\\" or pattern[at:at + 2] in ("[[", "++", "*+", "?+", "}+")) or name == r"\S" and inside:
+            return whole
+        if name:
+            chars = _class(name if name != r"\S" else r"\s")
+            out.append(chars if inside else f"[^{chars}]" if name == r"\S" else f"[{chars}]")
+            at += len(name)
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    fast, beyond = re.compile("".join(out)).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: whole(text) if not text.isascii() and beyond(text) else fast(text)
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker, a slab of texts at a time."""
 
     def __init__(self, model: bytes, pattern: str):
-        import regex
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern)
         self.chars = byte_chars()
         self.table = {i: c for i, c in enumerate(self.chars)}
         byte_of = {c: b for b, c in enumerate(self.chars)}
-        self.pieces = [bytes(byte_of[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
-        self.whole = {p: struct.pack("<I", i) for i, p in enumerate(self.pieces)}
+        pieces = [bytes(byte_of[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
+        self.pieces = pa.array(pieces, pa.large_binary())
+        self.whole = {p: struct.pack("<I", i) for i, p in enumerate(pieces)}
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, pre: str) -> bytes:
-        raw = pre.encode()
-        ids = self.whole.get(raw)
-        if ids is None:
-            ids = np.asarray(self.sp.encode(raw.decode("latin-1").translate(self.table)), dtype="<u4").tobytes()
-        if len(pre) <= LONGEST_CACHED:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[pre] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        cache, slow = self.cache, self._encode
-        return b"".join([cache.get(p) or slow(p) for p in self.find(text)]) if text else b""
-
-    def decode(self, ids: bytes | None) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]) if ids else b""
+    def _learn(self, unseen: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, all in one call of the model."""
+        out, rest, raws = {}, [], [p.encode() for p in unseen]
+        for p, raw in zip(unseen, raws):
+            ids = self.whole.get(raw)
+            if ids is None:
+                rest.append((p, raw))
+            else:
+                out[p] = ids
+        found = self.sp.encode([raw.decode("latin-1").translate(self.table) for _, raw in rest], num_threads=1) if rest else []
+        packed = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4").tobytes()
+        at = 0
+        for (p, _), ids in zip(rest, found):
+            out[p] = packed[at:at + 4 * len(ids)]
+            at += 4 * len(ids)
+        return out
+
+    def encode(self, texts: list) -> list[bytes]:
+        cache = self.cache
+        split = [self.find(t) if t else [] for t in texts]
+        parts = [list(map(cache.get, pre)) for pre in split]
+        open_ = [i for i, x in enumerate(parts) if None in x]
+        new = self._learn(list({p for i in open_ for p, x in zip(split[i], parts[i]) if x is None}))
+        for i in open_:
+            parts[i] = [new[p] if x is None else x for p, x in zip(split[i], parts[i])]
+        cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
+        if len(cache) > CACHED:  # the older half goes
+            for p in list(itertools.islice(cache, len(cache) - CACHED // 2)):
+                del cache[p]
+        return [b"".join(x) for x in parts]
+
+    def decode(self, ids: list) -> list[bytes]:
+        """All texts' bytes lie one after the other in the pieces taken."""
+        many = np.array([len(x) // 4 if x else 0 for x in ids], dtype=np.int64)
+        taken = self.pieces.take(pa.array(np.frombuffer(b"".join([x for x in ids if x]), dtype="<u4").astype(np.int32)))
+        if not len(taken):
+            return [b""] * len(ids)
+        _, offsets, data = taken.buffers()
+        cut = np.frombuffer(offsets, dtype=np.int64)[np.concatenate([[0], np.cumsum(many)])].tolist()
+        data = memoryview(data)
+        return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -129,11 +195,13 @@ def codec_columns(spark: SparkSession, path: str, pattern: str):
 
     @F.pandas_udf(T.BinaryType())
     def encode(text: pd.Series) -> pd.Series:
-        return text.map(_codec(model.value, pattern).encode)
+        codec, texts = _codec(model.value, pattern), text.tolist()
+        return pd.Series([x for lo, hi in slabs(texts, SLAB) for x in codec.encode(texts[lo:hi])], dtype=object)
 
     @F.pandas_udf(T.BinaryType())
     def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(_codec(model.value, pattern).decode)
+        codec, rows = _codec(model.value, pattern), ids.tolist()
+        return pd.Series([x for lo, hi in slabs(rows, 4 * SLAB) for x in codec.decode(rows[lo:hi])], dtype=object)
 
     return encode, decode
 
