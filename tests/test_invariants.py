@@ -194,7 +194,7 @@ def test_bpe_to_the_last_merge(spark, monkeypatch, pool, fetch):
     monkeypatch.setattr(L, "FETCH", fetch)
     monkeypatch.setattr(L, "REBASE", 20)
     rng = random.Random(8)
-    words = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(90))
+    words = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(40))
     words.update({"aaaa": 60, "ababab": 50, "aaaaaaa": 7, "é🙂é🙂": 3})
     brute, seqs = [], {w: list(w) for w in words}
     while True:

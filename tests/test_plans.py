@@ -104,4 +104,5 @@ def test_writers_of_a_folder_grow_with_its_data(spark, tmp_out):
         return sorted(len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path}/*/*/*"))
 
     few, many = files("64m"), files("4k")
-    assert max(few) <= 2 and max(many) > 8, (few, many)
+    # A shuffle partition is split between its map tasks, of which there are 8 here.
+    assert max(few) <= 2 and max(many) >= 6, (few, many)
