@@ -11,9 +11,11 @@ a class's symbol is followed by the word within the class, with probability
 (c + 0.5) / (n + 0.5 (v + 1)) from the counts of the class, unseen words
 together being one further word.  Start, transition and emission probabilities
 come from Baum-Welch: every partition adds up its expected counts, which are
-summed over the partitions, block by block, into the next model.  `WARM_UP`
-rounds on a bounded set of documents only give the starting point; the
-`ROUNDS` rounds that make the model run over all training documents.
+summed over the partitions, block by block, into the next model.  Every round
+runs over all training documents: `WARM_UP` rounds in any case, since the
+likelihood hardly rises before the states have come apart, then up to `ROUNDS`
+more for as long as one gains `GAIN` a token.  The texts are turned into symbols
+once, into a table that is deleted when the rounds are done.
 
 The score is the log10 likelihood of all tokens of a text by the scaled
 forward recursion over its whole length, times the words within their classes.
@@ -34,19 +36,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, with_ids
+from tessera.llm.common import scratch, stored
 
 SYMBOLS = 1 << 14
 CLASSES = 256
 FREQUENT = 1 << 17
 STATES = 8
-WARM_UP = 10
-WARM_UP_DOCS = 2000
-ROUNDS = 1
+WARM_UP = 4
+ROUNDS = 6
+GAIN = 0.01         # log10 likelihood a token
 SMOOTH = 0.01
 LONGEST = 64        # bytes of a word in the broadcast tables
 FLUSH = 300_000     # words that a task counts before it hands them on
-GROUP = 200_000     # tokens that run side by side
+GROUP = 800_000     # tokens that run side by side
 PART = 1024         # symbols in a row of expected counts
 
 
@@ -92,6 +94,7 @@ class Vocabulary:
         self.symbol = {w: i for i, w in enumerate(words[:SYMBOLS])}
         self.end = len(self.symbol)
         self.n_symbols = self.end + 1 + CLASSES
+        self.packed = np.dtype("<u2" if self.n_symbols <= 1 << 16 else "<u4")
         self.log_count = {w: float(np.log10(c + 0.5)) for w, c in zip(words, counts)}
         self.log_class = np.log10(class_n + 0.5 * (class_v + 1))
 
@@ -150,14 +153,14 @@ class Lockstep:
         start = np.cumsum(n) - n
         step = np.repeat(np.arange(len(self.active)), self.active)
         rank = np.arange(self.first[-1]) - np.repeat(self.first[:-1], self.active)
-        self.symbols = flat[start[rank] + step]
+        self.symbols = flat[start[rank] + step].astype(np.int64)
         self.rank = rank
 
     def forward(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
         """log10 likelihoods; with `keep` also the scaled forward variables."""
         e = emit[self.symbols]
         alpha = np.empty_like(e) if keep else None
-        norm = np.empty(len(e))
+        norm = np.empty(len(e), e.dtype)
         first = self.first.tolist()
         a = None
         for t, n in enumerate(self.active.tolist()):
@@ -168,7 +171,7 @@ class Lockstep:
             norm[lo:hi] = s
             if keep:
                 alpha[lo:hi] = a
-        score = np.bincount(self.rank, np.log10(norm), self.n_seqs)
+        score = np.bincount(self.rank, np.log10(norm.astype(np.float64)), self.n_seqs)
         return score, alpha, norm, e
 
     def expected(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
@@ -176,22 +179,22 @@ class Lockstep:
         log10 likelihoods."""
         score, alpha, norm, e = self.forward(start, move, emit, True)
         k = len(start)
-        gamma, pairs = np.empty_like(alpha), np.zeros((k, k))
+        pairs = np.zeros((k, k))
         first, active = self.first.tolist(), self.active.tolist()
         e /= norm[:, None]
         back = move.T.copy()
-        beta = np.ones((active[-1], k))
+        beta = np.ones((active[-1], k), alpha.dtype)
         for t in range(len(active) - 1, -1, -1):
             lo, hi = first[t], first[t + 1]
-            gamma[lo:hi] = alpha[lo:hi] * beta
+            right = e[lo:hi] * beta
+            alpha[lo:hi] *= beta  # the marginals take the forward variables' place
             if t:
-                right = e[lo:hi] * beta
                 below = first[t - 1]
                 pairs += alpha[below:below + active[t]].T @ right
-                beta = np.ones((active[t - 1], k))
-                beta[:active[t]] = right @ back
-        out = np.stack([np.bincount(self.symbols, gamma[:, j], len(emit)) for j in range(k)], axis=1)
-        return gamma[:active[0]].sum(axis=0), pairs * move, out, float(score.sum())
+                beta = np.ones((active[t - 1], k), alpha.dtype)
+                np.matmul(right, back, out=beta[:active[t]])
+        out = np.stack([np.bincount(self.symbols, alpha[:, j], len(emit)) for j in range(k)], axis=1)
+        return alpha[:active[0]].sum(axis=0), pairs * move, out, float(score.sum())
 
 
 class Parameters:
@@ -200,15 +203,16 @@ class Parameters:
 
 
 def initial(vocab: Vocabulary, states: int, seed: int = 8) -> Parameters:
-    """Frequencies, shaken differently in each state."""
+    """Frequencies, shaken differently in each state, and states that last: from
+    a start without either the states need ten rounds to come apart."""
     rng = np.random.default_rng(seed)
     base = np.ones(vocab.n_symbols)
     for w, i in vocab.symbol.items():
         base[i] += 10 ** vocab.log_count[w]
     base[vocab.end] += vocab.end_count
     base[vocab.end + 1:] += 10 ** vocab.log_class
-    emit = base[:, None] * rng.uniform(0.3, 1.7, (vocab.n_symbols, states))
-    move = rng.uniform(0.5, 1.5, (states, states)) + 2 * np.eye(states)
+    emit = base[:, None] * (rng.gamma(0.2, 5, (vocab.n_symbols, states)) + 0.02)
+    move = rng.uniform(0.5, 1.5, (states, states)) + 100 * np.eye(states)
     return Parameters(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -219,20 +223,36 @@ def _started(shared):
     return v
 
 
+def encoded(docs: DataFrame, text_col: str, vocab) -> DataFrame:
+    """(symbols): every text's symbols and its end, as packed numbers."""
+    def batches(it):
+        v = _started(vocab)
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([v.encode(tokens(t)).astype(v.packed).tobytes() for t in b.column(0).to_pylist()], pa.binary())],
+                                             names=["symbols"])
+
+    return docs.select(text_col).mapInArrow(batches, "symbols binary")
+
+
 def baum_welch(docs: DataFrame, text_col: str, vocab, params: Parameters) -> tuple[Parameters, float]:
     """One round over all texts of `docs`: the next model and the log10
     likelihood under this one."""
-    now = docs.sparkSession.sparkContext.broadcast(params)
+    return _round(encoded(docs, text_col, vocab), vocab, params)
+
+
+def _round(symbols: DataFrame, vocab, params: Parameters) -> tuple[Parameters, float]:
+    now = symbols.sparkSession.sparkContext.broadcast(params)
     n_symbols, states = params.emit.shape
 
     def batches(it):
-        v, p = _started(vocab), now.value
+        packed, p = vocab.value.packed, now.value
+        model = [x.astype(np.float32) for x in (p.start, p.move, p.emit)]
         start, pairs, out, score = np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states)), 0.0
         seen = False
         for b in it:
-            seqs = [v.encode(tokens(t)) for t in b.column(0).to_pylist()]
+            seqs = [np.frombuffer(x, packed) for x in b.column(0).to_pylist()]
             for rows in groups(np.array([len(s) for s in seqs])):
-                a, c, d, s = Lockstep([seqs[i] for i in rows]).expected(p.start, p.move, p.emit)
+                a, c, d, s = Lockstep([seqs[i] for i in rows]).expected(*model)
                 start, pairs, out, score, seen = start + a, pairs + c, out + d, score + s, True
         if seen:
             head = np.concatenate([[score], start, pairs.ravel()])
@@ -250,7 +270,7 @@ def baum_welch(docs: DataFrame, text_col: str, vocab, params: Parameters) -> tup
                                              names=["part", "sums"])
 
     kind = "part int, sums binary"
-    rows = docs.select(text_col).mapInArrow(batches, kind).repartition(16, "part").mapInArrow(add, kind).collect()  # one model's size
+    rows = symbols.mapInArrow(batches, kind).repartition(16, "part").mapInArrow(add, kind).collect()  # one model's size
     got = {r.part: np.frombuffer(r.sums) for r in rows}
     if not got:
         return params, 0.0
@@ -266,12 +286,14 @@ def learn(train: DataFrame, id_col: str, text_col: str, states: int = STATES, wa
     vocab = vocabulary(counts)
     shared = train.sparkSession.sparkContext.broadcast(vocab)
     params = initial(vocab, states)
-    ids = train.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(WARM_UP_DOCS)
-    first = stored(with_ids(train.select(id_col, text_col), stored(ids), id_col).repartition(8))
-    for _ in range(warm_up):
-        params, _ = baum_welch(first, text_col, shared, params)
-    for _ in range(rounds):
-        params, _ = baum_welch(train, text_col, shared, params)
+    with scratch(train.sparkSession):
+        symbols = stored(encoded(train, text_col, shared))
+        before = -np.inf
+        for i in range(warm_up + rounds):
+            params, like = _round(symbols, shared, params)
+            if i > warm_up and like - before < GAIN * vocab.total:
+                break
+            before = like
     return counts, shared, params
 
 

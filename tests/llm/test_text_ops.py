@@ -265,6 +265,22 @@ def test_hmm_is_a_distribution_and_learns(spark, monkeypatch):
         before = like
 
 
+def test_hmm_rounds_run_over_all_texts(spark, monkeypatch):
+    """Every round of Baum-Welch gets all training texts, and the states come apart."""
+    from tessera.llm import hmm
+    rng, seen = np.random.default_rng(8), []
+    kinds = [[f"{x}{i}" for i in range(20)] for x in "ab"]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(kinds[i % 2], 30))) for i in range(2600)], "doc_id long, text string").repartition(4)
+    for name in {"_round", "baum_welch"} & set(dir(hmm)):
+        plain = getattr(hmm, name)
+        monkeypatch.setattr(hmm, name, lambda rows, *a, plain=plain: (seen.append(rows.count()), plain(rows, *a))[1])
+    counts, shared, p = hmm.learn(df, "doc_id", "text", states=2)
+    assert len(seen) > 4 and set(seen) == {2600}
+    whole = spark.createDataFrame([(0, " ".join(kinds[0])), (1, " ".join(x for y in zip(*kinds) for x in y))], "doc_id long, text string")
+    one, mixed = [r.score / r.n_tokens for r in hmm.score(whole, counts, shared, p).orderBy("doc_id").collect()]
+    assert one > mixed + 0.2
+
+
 # --- operator 10 ------------------------------------------------------------
 
 def test_surrogates(spark, docs, nothing):
