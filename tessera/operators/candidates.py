@@ -45,13 +45,19 @@ def fill_mask(code: Column, candidate: Column, mask: str) -> Column:
 
 
 def balanced(c: Column, pairs: Sequence[tuple[str, str]] = (("(", ")"), ("[", "]"), ("{", "}"))) -> Column:
-    """C3 native predicate: equal numbers of opening and closing brackets."""
-    cond = None
-    for o, cl in pairs:
-        e = (F.length(c) - F.length(F.replace(c, F.lit(o), F.lit("")))) == \
-            (F.length(c) - F.length(F.replace(c, F.lit(cl), F.lit(""))))
-        cond = e if cond is None else cond & e
-    return cond
+    """C3 native predicate: equal numbers of opening and closing brackets.
+
+    The candidate is bound once: a filter repeats the expression that makes it
+    wherever the predicate names it.  ASCII brackets are counted in bytes, which
+    needs no pass over the text for its length."""
+    def one(x):
+        cond = None
+        for o, cl in pairs:
+            size = F.octet_length if (o + cl).isascii() else F.length
+            e = (size(x) - size(F.replace(x, F.lit(o), F.lit("")))) == (size(x) - size(F.replace(x, F.lit(cl), F.lit(""))))
+            cond = e if cond is None else cond & e
+        return cond
+    return F.element_at(F.transform(F.array(c), one), 1)
 
 
 def valid_candidates(df: DataFrame, candidate: str = "candidate", cheap_filter: Column | None = None) -> DataFrame:

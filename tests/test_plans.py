@@ -106,3 +106,9 @@ def test_writers_of_a_folder_grow_with_its_data(spark, tmp_out):
     few, many = files("64m"), files("4k")
     # A shuffle partition is split between its map tasks, of which there are 8 here.
     assert max(few) <= 2 and max(many) >= 6, (few, many)
+
+
+def test_bracket_filter_makes_the_candidate_once(spark):
+    """The filter is pushed below the projection that joins a prefix's tokens."""
+    filters = [ln for ln in plan(QUERIES["balanced_candidates"](spark, SF01)).split("\n") if "replace(" in ln]
+    assert len(filters) == 1 and filters[0].count("array_join") == 1
