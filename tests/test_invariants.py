@@ -498,6 +498,20 @@ def test_staged_alignment_has_the_fewest_chunks():
     assert m == 290 and chunks <= 12  # two, were all alignments followed
 
 
+def test_staged_alignment_makes_few_states(monkeypatch):
+    """One word over and over has every free place as a partner in every state; only
+    the states that the beam can take are made."""
+    from tessera.functions import alignment
+    made, plain = [], alignment._exact_step
+    monkeypatch.setattr(alignment, "_exact_step", lambda *a: (made.append(0), plain(*a))[1])
+    same = ["a"] * 200
+    assert alignment.staged_alignment(same, same, same, same) == (200, 1)
+    assert len(made) == 200
+    levels = {c: [(0, -2, ())] if c == 0 else [(1 << i, i, ()) for i in range(63)] for c in (0, 1)}
+    after = plain(levels, (1 << 200) - 1, 200, 200, alignment.BEAM)
+    assert sum(map(len, after.values())) < 500  # 64 states with some 200 partners each
+
+
 def test_meteor_staged(spark):
     df = spark.createDataFrame([(1, "the cats sat on the mats", "on the mat sat the cat"), (2, "", "a"), (3, "a b", "a b"), (4, "boxes", "box")],
                                "k int, pred string, ref string")
