@@ -68,6 +68,27 @@ def test_ngram_join(spark, monkeypatch, large):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_ngram_join_compares_no_connected_blocks(spark, monkeypatch):
+    """A large group of near copies is connected by its first document: no square
+    of its blocks is dealt out, and texts beside it are still compared."""
+    from tessera.llm import ngram_join as J
+    monkeypatch.setattr(J, "LARGE", 8)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    base = [f"w{i}" for i in range(60)]
+    far = base[:26] + [f"z{i}" for i in range(34)]
+    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(80)] + [(100 + i, " ".join(far + [f"far{i}"])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, plain = [], J._large_links
+
+    def spy(open_, *rest):
+        dealt.append(open_.select("id").distinct().count())
+        return plain(open_, *rest)
+    monkeypatch.setattr(J, "_large_links", spy)
+    want = components({i: shingles(t) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == want
+    assert set(want.values()) == {0, 100} and sum(dealt) <= 3
+
+
 def test_ngram_join_edges(docs, nothing):
     from tessera.llm.ngram_join import near_duplicates
     rows = near_duplicates(docs).collect()
