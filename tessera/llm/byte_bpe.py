@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import held
 from tessera.llm.wordhash import slabs
 
 CACHED = 300_000  # pre-tokens kept by a worker
@@ -182,9 +183,8 @@ class Codec:
         return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(model: bytes, pattern: str) -> Codec:
-    return Codec(model, pattern)
+    return held(("byte_bpe", model, pattern), lambda: Codec(model, pattern))
 
 
 def codec_columns(spark: SparkSession, path: str, pattern: str):

@@ -19,12 +19,14 @@ first.  Repeated rows get equal results; extra columns are left out.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import with_ids, words_of
+from tessera.llm.common import held, with_ids, words_of
 from tessera.llm.wordhash import slabs
 
 SAMPLE_DOCS = 250
@@ -55,6 +57,12 @@ class Model:
     def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.langs, self.index, self.weights, self.transitions = langs, index, weights, transitions
 
+    def started(self) -> Model:
+        """A copy with a cache of its own."""
+        out = copy.copy(self)
+        out.start()
+        return out
+
     def start(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.table = np.zeros((CACHED + 1, len(self.langs)))
@@ -215,9 +223,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def batches(it):
-        model = shared.value
-        if model is not None and not hasattr(model, "rows"):  # a worker keeps its cache from task to task
-            model.start()
+        model = shared.value and held(("language_crf", shared.value), shared.value.started)
         for b in it:
             texts = b.column(1).to_pylist()
             for lo, hi in slabs(texts, 1 << 20):

@@ -281,6 +281,21 @@ def test_hmm_rounds_run_over_all_texts(spark, monkeypatch):
     assert one > mixed + 0.2
 
 
+def test_a_worker_keeps_one_operators_cache():
+    """What the codec keeps goes when another operator's task comes to the worker."""
+    import weakref
+
+    from tessera.llm import byte_bpe
+    model = byte_bpe.serialise([bytes([b]) for b in range(256)])
+    codec = byte_bpe._codec(model, P.PATTERN)
+    assert byte_bpe._codec(bytes(bytearray(model)), P.PATTERN) is codec
+    kept = weakref.ref(codec)
+    del codec
+    from tessera.llm.common import held
+    held(("language_crf", 1), dict)
+    assert kept() is None
+
+
 # --- operator 10 ------------------------------------------------------------
 
 def test_surrogates(spark, docs, nothing):
