@@ -1,14 +1,11 @@
 """Byte-pair-encoding vocabulary learning and encoding (T4, T7 BPE path).
 
-Learning runs on the word-type table `(word, n, symbols)` -- one row per
-distinct pre-token with its corpus count -- never on the corpus itself: the
-corpus pass is the single distributed aggregate `word_counts` (T3).  Merges come
-out exactly as sequential BPE gives them, ties broken by (count desc, left,
-right).  `bpe_learner` holds the rounds; several of the best pairs are merged at
-once where that is provably the same: while the pairs at the top of the ranking
-share no symbol, merging one changes no count of the others, and a pair it
-creates counts at most as much as some pair that shares a symbol with it, all of
-which rank lower (see `_sequential_prefix`).
+Learning runs on the word-type table `(word, n)` -- one row per distinct
+pre-token with its corpus count -- never on the corpus itself: the corpus pass
+is the single distributed aggregate `word_counts` (T3).  Merges come out exactly
+as sequential BPE gives them, ties broken by (count desc, left, right).
+`bpe_learner` holds the rounds, in which the driver follows many merges on what
+lies round the best pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +14,7 @@ import heapq
 import re
 from typing import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,18 +119,19 @@ def _pair_pattern(left: str, right: str) -> str:
 def bpe_train(word_counts: DataFrame, n_merges: int, byte_level: bool = False,
               merges_per_round: int = 64, min_count: int = 1, incremental: bool = True) -> DataFrame:
     """T4: learn up to `n_merges` merges (vocabulary size less the alphabet and
-    added tokens); returns `(rank, left, right, n)`.  `merges_per_round` bounds
-    how many frequent pairs a round may take; the result does not depend on it.
-
-    incremental=True learns with an inverted pair index (`bpe_learner`): a round
-    touches only the words that hold a merged pair.  incremental=False counts
-    all pairs anew each round, a plain form for small sizes."""
+    added tokens); returns `(rank, left, right, n)`.  `merges_per_round` says how
+    many pairs the first round asks for, without `incremental` how many a round
+    may take; the result does not depend on it.
+
+    incremental=True learns in rounds of many merges (`bpe_learner`).
+    incremental=False counts all pairs anew each round, a plain form for small
+    sizes: several of the best pairs at once where that is provably the same
+    (see `_sequential_prefix`)."""
     spark = word_counts.sparkSession
     if incremental:
         from tessera.operators.bpe_learner import Learner
-        split = byte_symbols(F.col("word")) if byte_level else chars(F.col("word"))
-        types = word_counts.select("n", split.alias("syms")).where(F.size("syms") > 1)
-        merges = Learner(types, min_count, merges_per_round).learn(n_merges)
+        letters = np.array([ord(c) for c in _byte_symbol_list()], dtype=np.int32) if byte_level else None
+        merges = Learner(word_counts.select("word", "n"), letters, min_count, merges_per_round).learn(n_merges)
     else:
         merges = _recounted_merges(word_types(word_counts, byte_level), n_merges, merges_per_round, min_count)
     rows = [(i, l, r, n) for i, (l, r, n) in enumerate(merges)]

@@ -1,58 +1,54 @@
 """Byte-pair merges up to the full vocabulary size (T4).
 
-The word types are dealt into shards once; a shard keeps its words as symbol
-numbers, the counts of its adjacent pairs and an inverted index pair -> words,
-so a merge touches only the words that hold the merged pair.  A shard is one
-row of a stored table.  Every round sends the merges chosen so far; a worker
-that still holds the shard from an earlier round applies the new ones only, any
-other worker rebuilds it from the stored row, so a lost executor costs time and
-nothing else.  The stored rows are renewed every REBASE merges.
+The word types are dealt into shards: rows of a stored table that hold the
+words' symbols as one array of numbers.  A round is a job or two, whatever it
+merges; no worker keeps anything between them:
+
+* The best pairs are asked for.  Every shard cuts out of its words what lies
+  round an occurrence of one of them, with one more symbol on both sides; equal
+  cuttings are added up, in the shard, then by a shuffle.  The driver gets FETCH
+  cuttings or so; how many pairs a round asks for follows from that.
+* The driver follows the merges on the cuttings, exactly as sequential BPE makes
+  them (ties broken by count desc, left, right), for as long as the best pair is
+  one whose occurrences it has all seen, with both neighbours: an asked one, or
+  one made in this round.
+* The shards take these merges, each word its lowest first, and are stored anew;
+  words of one symbol go.
+
+The cuttings of a word do not overlap, so what a merge changes is counted once.
 
 The driver holds a pool: exact global counts of the pairs that rank above a
 bound (POOL of them at most, taken by a histogram of counts).  A pair outside
 the pool can only lose occurrences, so it cannot come first as long as the best
 pair of the pool ranks above the bound; else the pool is filled anew.  A merge
-whose result is a symbol that was there before can raise old pairs; their counts
-are asked for again.
+whose result is a symbol that was there before can raise old pairs: it ends its
+round, and their counts are asked for again.
 
-Two kinds of rounds, both exactly equal to merging one pair at a time, ties
-broken by (count desc, left, right):
-
-* Frequent pairs.  Pairs at the top of the ranking that share no symbol and
-  count more than the first pair that does are merged together; the shards
-  return the changes of pair counts, summed per pair.
-* Rare pairs.  Where the words that hold the next pairs are few (FETCH at most,
-  a share of it from every shard), the driver gets these words, follows the
-  merges on them as long as the best pair is one all of whose words it has, and
-  sends the merges to the shards.
-
-What is sent in a round is bounded by POOL, FETCH and the number of symbols.
+What is sent in a round is bounded by POOL, FETCH and the number of symbols; one
+pair alone is followed whatever the number of its cuttings.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 import uuid
 from collections import defaultdict
 from typing import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
 POOL = 200_000
-FETCH = 60_000
-FETCH_PAIRS = 4096
-LITTLE = 4   # merges below which a round of rare pairs does not pay
-PAUSE = 16   # frequent rounds that follow such a round
-REBASE = 4096
+FETCH = 100_000
+REBASE = 1   # merges after which the shards are stored anew, at the end of a round
 SHARD_WORDS = 50_000
-FEW_SHARDS = 64
 
-_HELD: dict = {}  # worker process: shard id -> (merges applied, Shard)
+_LEFT, _RIGHT = -1, -2  # in a cutting: the word goes on there
 
 
 def merged(word: list, a: int, b: int, new: int) -> list:
@@ -68,156 +64,236 @@ def merged(word: list, a: int, b: int, new: int) -> list:
     return out
 
 
-class Shard:
-    """Words with their counts, pair counts and the index of pairs."""
+class Cuttings:
+    """Parts of words with their counts and the index of their pairs."""
 
     def __init__(self, words: list, times: list):
         self.words, self.times = words, times
-        self.pairs: dict = defaultdict(int)
         self.index: dict = defaultdict(set)
-        for i, (w, n) in enumerate(zip(words, times)):
+        for i, w in enumerate(words):
             for p in zip(w, w[1:]):
-                self.pairs[p] += n
                 self.index[p].add(i)
 
-    def merge(self, a: int, b: int, new: int, change: dict | None = None) -> None:
-        """Merges (a, b) in the words that hold it; `change` gets what the
-        counts of pairs gain or lose."""
-        delta: dict = defaultdict(int)
+    def whole(self, a: int, b: int) -> bool:
+        """Whether both neighbours of all (a, b) are there."""
+        for i in self.index.get((a, b), ()):
+            w = self.words[i]
+            if w[0] == _LEFT and w[1] == a and w[2] == b or w[-1] == _RIGHT and w[-3] == a and w[-2] == b:
+                return False
+        return True
+
+    def merge(self, a: int, b: int, new: int) -> dict:
+        """Merges (a, b); what the counts of pairs gain or lose."""
+        change: dict = defaultdict(int)
         for i in self.index.pop((a, b), ()):
             old, n = self.words[i], self.times[i]
             word = self.words[i] = merged(old, a, b, new)
             before, after = list(zip(old, old[1:])), list(zip(word, word[1:]))
             for p in before:
-                delta[p] -= n
+                change[p] -= n
             for p in after:
-                delta[p] += n
-            here = set(after)
-            for p in here:
+                change[p] += n
+            here, there = set(after), set(before)
+            for p in here - there:
                 self.index[p].add(i)
-            for p in set(before) - here:
+            for p in there - here:
                 if p in self.index:
                     self.index[p].discard(i)
-        for p, n in delta.items():
-            if n:
-                self.pairs[p] += n
-                if not self.pairs[p]:
-                    del self.pairs[p]
-                    self.index.pop(p, None)
-                if change is not None:
-                    change[p] += n
-
-
-def _shard(sid: str, blob: bytes, base: int, merges: list) -> Shard:
-    """The shard after all of `merges` (numbered from 0; the stored row has
-    had the first `base`)."""
-    run = sid.rsplit("-", 1)[0]
-    for other in [x for x in _HELD if not x.startswith(run)]:  # of a run that has ended
-        del _HELD[other]
-    at, shard = _HELD.get(sid, (-1, None))
-    if at < base or at > len(merges):
-        shard, at = Shard(*pickle.loads(blob)), base
-    for m in merges[at:]:
-        shard.merge(*m)
-    _HELD[sid] = (len(merges), shard)
-    return shard
-
-
-def _changes(sid: str, shard: Shard, steps: list) -> list:
-    """Does `steps` on a shard that _shard returned: (a, b, n) rows of what the
-    counts of its pairs gain or lose."""
-    change: dict = defaultdict(int)
-    for m in steps:
-        shard.merge(*m, change)
-    _HELD[sid] = (_HELD[sid][0] + len(steps), shard)
-    return [(a, b, n) for (a, b), n in change.items()]
-
-
-def _words_of(shard: Shard, ask: list, quota: int) -> list:
-    """The words that hold one of the first pairs of `ask`, `quota` of them at
-    most, and a row that tells how many pairs these are: -1 less that."""
-    found: set = set()
-    pairs = 0
-    for p in ask:
-        more = shard.index.get(p, set()) - found
-        if len(found) + len(more) > quota:
-            break
-        found |= more
-        pairs += 1
-    return [(shard.words[i], shard.times[i]) for i in found] + [([], -pairs - 1)]
-
-
-_SHARD_ROWS = "sid string, base int, blob binary"
-
-
-def _shards(types: DataFrame, alphabet: dict, n_shards: int) -> DataFrame:
-    """One row per shard; `types` is (n, syms): counts and symbol arrays."""
-    run = uuid.uuid4().hex
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        words = [[alphabet[s] for s in w] for w in g.syms]
-        return pd.DataFrame({"sid": [f"{run}-{g.shard.iloc[0]}"], "base": [0], "blob": [pickle.dumps((words, g.n.tolist()))]})
-
-    dealt = types.withColumn("shard", F.pmod(F.xxhash64("syms"), F.lit(n_shards)))
-    return dealt.groupBy("shard").applyInPandas(pack, _SHARD_ROWS)
+        return {p: n for p, n in change.items() if n}
+
+
+class Pairs:
+    """Pairs of symbols by their place in a list."""
+
+    def __init__(self, pairs: list):
+        both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        codes = both[:, 0] << 32 | both[:, 1]
+        self.rank = np.argsort(codes)
+        self.codes = codes[self.rank]
+        self.left, self.right = (np.zeros(int(both.max(initial=0)) + 1, bool) for _ in range(2))
+        self.left[both[:, 0]] = self.right[both[:, 1]] = True
+
+    def find(self, sym: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, place) of the pairs in `sym`; `last` marks the ends of words."""
+        more = int(sym.max(initial=0)) + 1 - len(self.left)
+        if more > 0:
+            self.left, self.right = np.pad(self.left, (0, more)), np.pad(self.right, (0, more))
+        at = np.flatnonzero(self.left[sym[:-1]] & self.right[sym[1:]] & ~last[:-1])
+        code = sym[at].astype(np.int64) << 32 | sym[at + 1]
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        ok = self.codes[place] == code
+        return at[ok], self.rank[place[ok]]
+
+
+class Shard:
+    """Words as one array of symbols, with their lengths and counts."""
+
+    def __init__(self, sym: np.ndarray, many: np.ndarray, times: np.ndarray):
+        self.sym, self.many, self.times = sym, many, times
+
+    def _ends(self) -> np.ndarray:
+        last = np.zeros(len(self.sym), bool)
+        last[np.cumsum(self.many) - 1] = True
+        return last
+
+    def pairs(self) -> pa.Table:
+        """(a, b, n) of all pairs."""
+        at = np.flatnonzero(~self._ends())
+        n = np.repeat(self.times, self.many - 1)
+        rows = pa.table({"a": self.sym[at], "b": self.sym[at + 1], "n": n})
+        return rows.group_by(["a", "b"]).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
+
+    def merge(self, merges: list) -> "Shard":
+        """After `merges`, one after the other; without words of one symbol."""
+        if not merges or not len(self.sym):
+            return self
+        table, new = Pairs([m[:2] for m in merges]), np.array([m[2] for m in merges], dtype=np.int32)
+        sym, word = self.sym.copy(), np.repeat(np.arange(len(self.many)), self.many)
+        floor = np.full(len(self.many), -1, dtype=np.int64)  # last merge done on a word
+        live, last = np.arange(len(sym)), self._ends()
+        while len(live) > 1:
+            at, rank = table.find(sym[live], last)
+            on = word[live[at]]
+            ok = rank > floor[on]
+            at, rank, on = at[ok], rank[ok], on[ok]
+            if not len(at):
+                break
+            first = np.flatnonzero(np.diff(on, prepend=-1))
+            best = np.minimum.reduceat(rank, first)
+            floor[on[first]] = best
+            lowest = rank == np.repeat(best, np.diff(first, append=len(on)))
+            at, rank = at[lowest], rank[lowest]
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of one symbol: every other pair
+            take = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0
+            at, rank = at[take], rank[take]
+            sym[live[at]], sym[live[at + 1]] = new[rank], -1
+            touched = np.zeros(len(self.many), bool)
+            touched[on[first]] = True
+            live = live[touched[word[live]] & (sym[live] >= 0)]
+            last = np.diff(word[live], append=-1) != 0
+        many = np.bincount(word[sym >= 0], minlength=len(self.many))
+        return Shard(sym[sym >= 0], many, self.times).long()
+
+    def long(self) -> "Shard":
+        """Without words of one symbol."""
+        keep = self.many > 1
+        return Shard(self.sym[np.repeat(keep, self.many)], self.many[keep], self.times[keep])
+
+    def cuttings(self, table: Pairs) -> pa.Table:
+        """(part, n): what lies round the pairs; a part is a number that tells which
+        sides are open (1 left, 2 right) and the symbols."""
+        last = self._ends()
+        start = np.roll(last, 1)
+        keep = np.zeros(len(self.sym), bool)
+        at = table.find(self.sym, last)[0] if len(self.sym) > 1 else np.empty(0, dtype=np.int64)
+        keep[at] = keep[at + 1] = True
+        before, after = keep[:-1] & ~last[:-1], keep[1:] & ~last[:-1]
+        keep[1:] |= before
+        keep[:-1] |= after
+        begin = np.flatnonzero(keep & (start | ~np.roll(keep, 1)))
+        end = np.flatnonzero(keep & (last | ~np.roll(keep, -1))) + 1
+        size = end - begin + 1
+        head = np.cumsum(size) - size
+        parts = np.empty(int(size.sum()), dtype=np.int32)
+        parts[head] = ~start[begin] + 2 * ~last[end - 1]
+        inner = np.ones(len(parts), bool)
+        inner[head] = False
+        parts[inner] = self.sym[keep]
+        offsets = np.append(head, len(parts)) * 4
+        part = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(parts)])
+        n = self.times[np.searchsorted(np.cumsum(self.many), begin, side="right")]
+        rows = pa.table({"part": part, "n": n}).group_by("part").aggregate([("n", "sum")])
+        return pa.table({"part": rows["part"].cast(pa.binary()), "n": rows["n_sum"]})
+
+    def row(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"sym": [self.sym.astype("<i4").tobytes()], "many": [self.many.astype("<i4").tobytes()],
+                                           "times": [self.times.astype("<i8").tobytes()]})
+
+
+_SHARD_ROWS = "sym binary, many binary, times binary"
+
+
+def _shards(types: DataFrame, letters: np.ndarray | None) -> DataFrame:
+    """Rows of shards of (word, n): a word's code points or, with `letters`, the
+    code point that stands for each of its bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            words = batch.column("word")
+            if letters is None:
+                sym = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype="<i4")
+                many = pc.utf8_length(words)
+            else:
+                sym = letters[np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), dtype=np.uint8)]
+                many = pc.binary_length(words)
+            held.append((sym, many.to_numpy(zero_copy_only=False).astype(np.int32),
+                         batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)))
+            if sum(len(h[2]) for h in held) >= SHARD_WORDS:
+                yield Shard(*map(np.concatenate, zip(*held))).long().row()
+                held = []
+        if held:
+            yield Shard(*map(np.concatenate, zip(*held))).long().row()
+
+    return types.mapInArrow(pack, _SHARD_ROWS)
 
 
 class Learner:
-    def __init__(self, types: DataFrame, min_count: int, merges_per_round: int):
+    def __init__(self, types: DataFrame, letters: np.ndarray | None, min_count: int, merges_per_round: int):
         self.spark = types.sparkSession
-        ensure_checkpoint_dir(self.spark)
-        types = types.checkpoint(eager=True)
-        n_words = types.count()
-        letters = [r[0] for r in types.select(F.explode("syms")).distinct().collect()]  # bounded by the alphabet
-        self.symbols = sorted(letters)
-        self.number = {s: i for i, s in enumerate(self.symbols)}
-        self.min_count, self.per_round = min_count, merges_per_round
-        n_shards = max(min(self.spark.sparkContext.defaultParallelism, -(-n_words // 1000)), -(-n_words // SHARD_WORDS))
-        self.n_shards = n_shards
-        self.stored = _shards(types, self.number, n_shards).checkpoint(eager=True).persist()
+        self.folder = f"{ensure_checkpoint_dir(self.spark)}/bpe-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
         self.merges: list[tuple[int, int, int]] = []  # (a, b, new)
         self.counts: list[int] = []
         self.based = 0
+        slots = self.spark.sparkContext.defaultParallelism
+        types = types.where("length(word) > 0").repartition(slots)  # a file each, whatever the counting left
+        self.stored = self._store(_shards(types, letters))
+        found = self._run(lambda s: pa.table({"c": np.unique(s.sym)}), "c int").distinct().collect()  # bounded by the alphabet
+        points = sorted(r[0] for r in found)
+        self.symbols = [chr(c) for c in points]
+        self.number = {s: i for i, s in enumerate(self.symbols)}
+        self.stored = self._store(self._run(lambda s: Shard(np.searchsorted(points, s.sym).astype(np.int32), s.many, s.times).row(), _SHARD_ROWS))
+        self.min_count, self.asking = min_count, max(1, merges_per_round)
         self.pool: dict = {}
         self.heap: list = []
         self.bound: tuple | None = None
 
     # ------------------------------------------------------------ shard jobs
 
+    def _store(self, df: DataFrame) -> DataFrame:
+        """`df` as a table of the shared folder; the tables before it go."""
+        path = f"{self.folder}-{len(self.paths)}"
+        df.write.parquet(path)
+        self._drop()
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _drop(self) -> None:
+        for p in self.paths[-1:]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _run(self, work, schema: str) -> DataFrame:
-        """`work(shard)` -> rows, on every shard after all merges so far."""
-        merges = list(self.merges[self.based:])
-        based = self.based
-        shared = self.spark.sparkContext.broadcast(merges)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [f.split()[0] for f in schema.split(", ")]
-            for pdf in batches:
-                for sid, base, blob in zip(pdf["sid"], pdf["base"], pdf["blob"]):
-                    todo = [(0, 0, 0)] * based + shared.value
-                    rows = list(work(_shard(sid, blob, int(base), todo), sid))
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names)
-        return self.stored.mapInPandas(run, schema)
-
-    def _summed(self, work) -> list[tuple[int, int, int]]:
-        """(a, b, n) rows of all shards, added up per pair: by a shuffle where
-        there are many shards, else a handful of rows each come straight back."""
-        rows = self._run(work, "a int, b int, n long")
-        if self.n_shards > FEW_SHARDS:
-            return [tuple(r) for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect()]
-        total: dict = defaultdict(int)
-        for a, b, n in rows.collect():
-            total[a, b] += n
-        return [(a, b, n) for (a, b), n in total.items() if n]
+        """The tables or batches that `work(shard)` gives, on every shard after all merges so far."""
+        shared = self.spark.sparkContext.broadcast(self.merges[self.based:])
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in zip(*(batch.column(c) for c in ("sym", "many", "times"))):
+                    arrays = [np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(row, ("<i4", "<i4", "<i8"))]
+                    out = work(Shard(*arrays).merge(shared.value))
+                    yield from out.select(names).to_batches() if isinstance(out, pa.Table) else [out]
+        return self.stored.mapInArrow(run, schema)
 
     def _rebase(self) -> None:
         """Stored rows with all merges applied."""
-        now = len(self.merges)
-        rows = self._run(lambda s, sid: [(sid, now, pickle.dumps((s.words, s.times)))], _SHARD_ROWS)
-        old, self.stored = self.stored, rows.checkpoint(eager=True).persist()
-        old.unpersist()
-        self.based = now
+        self.stored = self._store(self._run(Shard.row, _SHARD_ROWS))
+        self.based = len(self.merges)
+
+    def _pair_counts(self) -> DataFrame:
+        rows = self._run(Shard.pairs, "a int, b int, n long")
+        return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     # ------------------------------------------------------------------ pool
 
@@ -237,8 +313,7 @@ class Learner:
         symbol alone has more at the last count): a histogram of counts gives
         the last count, one of left symbols at that count the last symbol."""
         least = self.min_count
-        pairs = self._run(lambda s, _: [(a, b, n) for (a, b), n in s.pairs.items()], "a int, b int, n long") \
-            .groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).checkpoint(eager=True)
+        pairs = self._pair_counts().where(F.col("n") >= least).checkpoint(eager=True)
         level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 64)).cast("long")  # some thousands
         total, last = 0, None
         for r in sorted(pairs.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -266,6 +341,15 @@ class Learner:
         self.heap = [(*self._key(p, n), p) for p, n in self.pool.items()]
         heapq.heapify(self.heap)
 
+    def _trim(self) -> None:
+        """The best POOL pairs stay, once new ones have made the pool twice as large."""
+        if len(self.pool) > 2 * POOL or len(self.heap) > 8 * POOL:
+            keys = sorted((*self._key(p, n), p) for p, n in self.pool.items())
+            if len(keys) > POOL:
+                self.bound = keys[POOL - 1][:2]
+            self.heap = [k for k in keys if self.bound is None or k[:2] <= self.bound]  # sorted: a heap
+            self.pool = {k[3]: -k[0] for k in self.heap}
+
     def _pop(self) -> tuple | None:
         while self.heap:
             n, _, _, p = heapq.heappop(self.heap)
@@ -307,86 +391,56 @@ class Learner:
 
     def _recount(self, symbol: int) -> None:
         """Exact counts of the pairs that hold a symbol."""
-        rows = self._summed(lambda s, _: [(a, b, n) for (a, b), n in s.pairs.items() if a == symbol or b == symbol])
+        rows = self._pair_counts().where((F.col("a") == symbol) | (F.col("b") == symbol)).collect()  # twice the symbols at most
         for p in [p for p in self.pool if symbol in p]:
             del self.pool[p]
         for a, b, n in rows:
             self._put((a, b), n)
 
-    def _frequent(self, want: int) -> None:
-        """Merges pairs that sequential BPE would take one after the other."""
-        top = self._top(min(self.per_round, want) + 1)
-        used: set = set()
-        end = len(top)
-        for i, p in enumerate(top):
-            if p[0] == p[1] or used & set(p) or self.symbols[p[0]] + self.symbols[p[1]] in self.number:
-                end = i
+    def _fetch(self) -> tuple[set, Cuttings]:
+        """The next pairs to follow, as many as FETCH allows, and their cuttings."""
+        while True:
+            ask = self._top(self.asking)
+            table = Pairs(ask)
+            parts = self._run(lambda s: s.cuttings(table), "part binary, n long").groupBy("part").agg(F.sum("n").alias("n"))
+            rows = (parts.limit(2 * FETCH + 1) if len(ask) > 1 else parts).toArrow()
+            if rows.num_rows <= 2 * FETCH or len(ask) == 1:
                 break
-            used |= set(p)
-        floor = self.pool[top[min(end, len(top) - 1)]]
-        batch = [p for p in top[:end] if self.pool[p] > floor][:want] or top[:1]
-        todo = [(p, self.pool[p]) for p in batch]
-        # Shards are brought up to date by _run; the batch itself is done here.
-        steps = []
-        again = []
-        for p, n in todo:
-            new, old = self._symbol(p)
-            steps.append((*p, new))
-            again += [new] if old else []
-
-        rows = self._summed(lambda shard, sid: _changes(sid, shard, steps))
-        fresh = {m[2] for m in steps}
-        for p, n in todo:
-            self._record(p, n)
-        for *p, n in rows:
-            p = tuple(p)
-            if p in self.pool:
-                self._put(p, self.pool[p] + n)
-            elif n > 0 and fresh & set(p):
-                self._put(p, n)
-        for p in batch:
-            self.pool.pop(p, None)
-        for s in again:
-            self._recount(s)
-
-    def _rare(self, want: int) -> None:
-        """Follows the merges on the words that hold one of the next pairs."""
-        ask = self._top(FETCH_PAIRS)
-        quota = -(-FETCH // self.n_shards)
-        rows = self._run(lambda s, _: _words_of(s, ask, quota), "word array<int>, n long").toPandas()  # FETCH rows or so
-        whole = min(-n - 1 for n in rows["n"].tolist() if n < 0)  # pairs of which every shard sent all words
-        asked = set(ask[:whole])
-        sent = rows[rows["n"] > 0]
-        local = Shard([list(map(int, w)) for w in sent["word"]], sent["n"].tolist())
+            self.asking = max(1, len(ask) // 4)
+        self.asking = int(min(max(len(ask) * min(FETCH / max(rows.num_rows, 1), 2), 1), POOL))
+        words = []
+        for part in rows["part"].to_pylist():
+            side, *word = np.frombuffer(part, dtype="<i4").tolist()
+            words.append([_LEFT] * (side & 1) + word + [_RIGHT] * (side >> 1))
+        return set(ask), Cuttings(words, rows["n"].to_pylist())
+
+    def _round(self, want: int) -> None:
+        """Follows the merges as far as the cuttings of the next pairs tell them."""
+        asked, local = self._fetch()
         while want:
             p = self._pop()
             if p is None:
                 return
             n = self.pool[p]
-            if p not in asked:
+            if p not in asked or not local.whole(*p):
                 heapq.heappush(self.heap, (*self._key(p, n), p))
                 return
-            change: dict = defaultdict(int)
             old = self._record(p, n)
             new = self.merges[-1][2]
-            local.merge(*self.merges[-1], change)
+            change = local.merge(*self.merges[-1])
             want -= 1
-            if old:
-                for q, m in change.items():
-                    if q in self.pool:
-                        self._put(q, self.pool[q] + m)
-                self._recount(new)  # shards apply the merges so far first
-                return
             for q, m in change.items():
                 if q in self.pool:
                     self._put(q, self.pool[q] + m)
-                elif m > 0 and new in q:
-                    asked.add(q)  # all its words hold (or held) p
+                elif m > 0 and new in q and not old:
+                    asked.add(q)  # all its occurrences are in the cuttings
                     self._put(q, m)
+            if old:
+                self._recount(new)  # shards apply the merges so far first
+                return
 
     def learn(self, n_merges: int) -> list[tuple[str, str, int]]:
         self._fill()
-        pause = 0
         while len(self.merges) < n_merges:
             top = self._top(1)
             if not top or (self.bound is not None and self._key(top[0], self.pool[top[0]])[:2] > self.bound):
@@ -396,16 +450,9 @@ class Learner:
                 if not self.pool:
                     break
                 continue
-            want = n_merges - len(self.merges)
-            before = len(self.merges)
-            if pause:
-                self._frequent(want)
-                pause -= 1
-            else:
-                self._rare(want)
-                if len(self.merges) - before < LITTLE:
-                    pause = PAUSE
+            self._round(n_merges - len(self.merges))
+            self._trim()
             if len(self.merges) - self.based >= REBASE:
                 self._rebase()
-        self.stored.unpersist()
+        self._drop()
         return [(self.symbols[a], self.symbols[b], n) for (a, b, _), n in zip(self.merges, self.counts)]

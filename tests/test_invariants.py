@@ -212,6 +212,22 @@ def test_bpe_to_the_last_merge(spark, monkeypatch, pool, fetch):
     assert got == brute
 
 
+def test_bpe_rounds_take_many_merges(spark, monkeypatch):
+    """Many distinct words whose frequent pairs share symbols: a round follows the
+    merges round all pairs asked for, and the result is that of one at a time."""
+    from tessera.operators import bpe_learner as L
+    monkeypatch.setattr(L, "FETCH", 2000)
+    rounds = []
+    follow = L.Learner._round
+    monkeypatch.setattr(L.Learner, "_round", lambda self, want: (rounds.append(want), follow(self, want)))
+    rng = random.Random(3)
+    words = Counter("".join(rng.choice("aabbcdeefgh") for _ in range(rng.randint(3, 11))) for _ in range(1500))
+    wc = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = [(r["left"], r["right"], r["n"]) for r in bpe.bpe_train(wc, 120).orderBy("rank").collect()]
+    assert got == _bpe_brute(words, 120)
+    assert len(rounds) <= 24
+
+
 def test_bpe_encoder_takes_the_lowest_rank_first():
     rng = random.Random(2)
     for _ in range(200):
