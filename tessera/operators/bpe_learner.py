@@ -18,8 +18,8 @@ merges; no worker keeps anything between them:
 The cuttings of a word do not overlap, so what a merge changes is counted once.
 
 The driver holds a pool: exact global counts of the pairs that rank above a
-bound (POOL of them at most, taken by a histogram of counts).  A pair outside
-the pool can only lose occurrences, so it cannot come first as long as the best
+bound (POOL of them at most, taken by a histogram of counts; trimmed when new ones
+have made it twice as large, at the end of a round).  A pair outside the pool can only lose occurrences, so it cannot come first as long as the best
 pair of the pool ranks above the bound; else the pool is filled anew.  A merge
 whose result is a symbol that was there before can raise old pairs: it ends its
 round, and their counts are asked for again.
