@@ -142,45 +142,48 @@ class Codec:
 
     def _learn(self, unseen: list[str]) -> dict[str, bytes]:
         """Ids of pre-tokens, all in one call of the model."""
-        out, rest, raws = {}, [], [p.encode() for p in unseen]
-        for p, raw in zip(unseen, raws):
-            ids = self.whole.get(raw)
-            if ids is None:
-                rest.append((p, raw))
-            else:
-                out[p] = ids
-        found = self.sp.encode([raw.decode("latin-1").translate(self.table) for _, raw in rest], num_threads=1) if rest else []
+        raws = [p.encode() for p in unseen]
+        out = {p: x for p, x in zip(unseen, map(self.whole.get, raws)) if x is not None}
+        rest = [p for p in unseen if p not in out]
+        found = self.sp.encode([p.encode().decode("latin-1").translate(self.table) for p in rest], num_threads=1) if rest else []
         packed = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4").tobytes()
         at = 0
-        for (p, _), ids in zip(rest, found):
-            out[p] = packed[at:at + 4 * len(ids)]
-            at += 4 * len(ids)
+        for p, n in zip(rest, map(len, found)):
+            out[p] = packed[at:at + 4 * n]
+            at += 4 * n
         return out
 
     def encode(self, texts: list) -> list[bytes]:
+        """Each distinct pre-token of the texts is looked up once; one Arrow take
+        lays the ids of all pre-tokens one after the other."""
         cache = self.cache
         split = [self.find(t) if t else [] for t in texts]
-        parts = [list(map(cache.get, pre)) for pre in split]
-        open_ = [i for i, x in enumerate(parts) if None in x]
-        new = self._learn(list({p for i in open_ for p, x in zip(split[i], parts[i]) if x is None}))
-        for i in open_:
-            parts[i] = [new[p] if x is None else x for p, x in zip(split[i], parts[i])]
+        many = np.array([len(x) for x in split], dtype=np.int64)
+        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        del split
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(cache.get, own))
+        new = self._learn([p for p, x in zip(own, ids) if x is None])
+        ids = [new[p] if x is None else x for p, x in zip(own, ids)]
         cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
         if len(cache) > CACHED:  # the older half goes
             for p in list(itertools.islice(cache, len(cache) - CACHED // 2)):
                 del cache[p]
-        return [b"".join(x) for x in parts]
+        return _cut(pa.array(ids, pa.large_binary()).take(coded.indices), many)
 
     def decode(self, ids: list) -> list[bytes]:
-        """All texts' bytes lie one after the other in the pieces taken."""
         many = np.array([len(x) // 4 if x else 0 for x in ids], dtype=np.int64)
-        taken = self.pieces.take(pa.array(np.frombuffer(b"".join([x for x in ids if x]), dtype="<u4").astype(np.int32)))
-        if not len(taken):
-            return [b""] * len(ids)
-        _, offsets, data = taken.buffers()
-        cut = np.frombuffer(offsets, dtype=np.int64)[np.concatenate([[0], np.cumsum(many)])].tolist()
-        data = memoryview(data)
-        return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
+        return _cut(self.pieces.take(pa.array(np.frombuffer(b"".join([x for x in ids if x]), dtype="<u4").astype(np.int32))), many)
+
+
+def _cut(taken: pa.Array, many: np.ndarray) -> list[bytes]:
+    """Rows of so many of the values each, whose bytes lie one after the other."""
+    if not len(taken):
+        return [b""] * len(many)
+    _, offsets, data = taken.buffers()
+    cut = np.frombuffer(offsets, dtype=np.int64)[np.concatenate([[0], np.cumsum(many)])].tolist()
+    data = memoryview(data)
+    return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
 
 
 def _codec(model: bytes, pattern: str) -> Codec:

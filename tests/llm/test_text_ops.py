@@ -51,6 +51,26 @@ def test_byte_bpe_equals_tiktoken(spark, docs, nothing, ranks):
     assert encode_documents(nothing, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_looks_up_each_pre_token_once():
+    """A slab's repeated pre-tokens cost one look-up in the cache of a worker."""
+    from tessera.llm import byte_bpe
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    codec = byte_bpe.Codec(byte_bpe.serialise([bytes([b]) for b in range(256)]), P.PATTERN)
+    codec.cache = Counted()
+    texts = ["one two three" + " one two three" * 500, None, "", "two four"]
+    ids = codec.encode(texts)
+    assert [np.frombuffer(x, "<u4").astype(np.uint8).tobytes().decode() for x in ids] == [t or "" for t in texts]
+    assert codec.decode(ids) == [(t or "").encode() for t in texts] and codec.encode([None, ""]) == [b"", b""]
+    assert Counted.asked <= 6
+
+
 # --- operator 6 -------------------------------------------------------------
 
 def greedy(word, pieces):
@@ -281,6 +301,19 @@ def test_hmm_rounds_run_over_all_texts(spark, monkeypatch):
     assert one > mixed + 0.2
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """No worker is handed much more than BATCH_BYTES at once, however many rows a task has."""
+    import pyarrow as pa
+
+    def sizes(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 100000) AS text")
+    got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 300 and max(r.size for r in got) < 5 << 20
+
+
 def test_a_worker_keeps_one_operators_cache():
     """What the codec keeps goes when another operator's task comes to the worker."""
     import weakref
