@@ -38,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_IDS, scratch, stored, with_ids
+from tessera.llm.common import BROADCAST_IDS, scratch, stored, with_ids, without_ids
 from tessera.operators.ordering import with_row_index
 
 WORDS = 5
@@ -92,15 +92,18 @@ def _prefix_rows(sets: DataFrame) -> DataFrame:
 def _by_rarity(docs: DataFrame, sets: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
     """Prefix rows under the order by rarity, of sets (at, n, prefix by hash)."""
     first = sets.select("at", F.col("prefix")[0].alias("token"))
-    common = first.groupBy("token").count().where(F.col("count") > frequent / 2).select("token")
-    touched = _sets(docs, first.join(common, "token", "left_semi").select("at"), size)
+    common = stored(first.groupBy("token").count().where(F.col("count") > frequent / 2).select("token"))
+    touched = _sets(docs, with_ids(first, common, "token").select("at"), size)
     counts = stored(touched.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > frequent))
-    again = stored(_prefix_rows(sets).join(counts, "token", "left_semi").select("at").distinct())
-    tokens = _sets(docs, again, size).select("at", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = tokens.join(counts, "token", "left").groupBy("at", "n").agg(
-        F.array_sort(F.collect_set(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "token"))).alias("ranked"))  # one line's tokens
-    new = ranked.select("at", "n", F.slice(F.col("ranked.token"), 1, _prefix(F.col("n"), percent)).alias("prefix"))
-    return _prefix_rows(sets.join(again, "at", "left_anti").unionByName(new))
+    again = stored(with_ids(_prefix_rows(sets), counts.select("token"), "token").select("at").distinct())
+    whole = with_ids(touched, again, "at").unionByName(_sets(docs, again.join(touched, "at", "left_anti"), size))
+    side = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts
+    often = whole.select("at", F.explode("tokens").alias("token")).join(side, "token").groupBy("at").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("count").alias("c"), "token")))["token"].alias("often"))  # one line's tokens
+    n = F.size("tokens")
+    new = whole.join(often, "at").select("at", n.alias("n"), F.slice(
+        F.concat(F.array_except("tokens", "often"), "often"), 1, _prefix(n, percent)).alias("prefix"))
+    return _prefix_rows(without_ids(sets, again, "at").unionByName(new))
 
 
 def _need(percent: int, x: str, y: str) -> str:
@@ -158,9 +161,10 @@ def _gone(docs: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
             lines = stored(lines.select("at", "k1", "k2", F.size("tokens").alias("n"),
                                         F.slice("tokens", 1, _prefix(F.size("tokens"), percent)).alias("prefix"))).where("n > 0")
             first = stored(lines.groupBy("k1", "k2").agg(F.min("at").alias("at")))
-            copies = early.keep(stored(lines.select("at", "k1", "k2").join(first.withColumnRenamed("at", "first"), ["k1", "k2"]).where(
-                "at <> first").select("at")))
-            sets = early.keep(stored(lines.join(first, ["k1", "k2", "at"]).select("at", "n", "prefix")))
+            is_first = F.col("at") == F.col("first")
+            classed = early.keep(stored(lines.join(first.withColumnRenamed("at", "first"), ["k1", "k2"]).select(
+                "at", F.when(is_first, F.col("n")).alias("n"), F.when(is_first, F.col("prefix")).alias("prefix"))))
+            copies, sets = classed.where("n IS NULL").select("at"), classed.where("n IS NOT NULL")
         with scratch(docs.sparkSession) as middle:
             rows = _by_rarity(docs, sets, size, percent, frequent)
             by_token = Window.partitionBy("token")

@@ -120,6 +120,24 @@ def test_line_dedup(spark, frequent):
         assert out[i] == (left, sum(1 for j, _ in want if j == i))
 
 
+def test_line_dedup_makes_no_set_twice_for_the_order(spark, monkeypatch):
+    """Lines whose tokens were counted are not read and cut again to be ordered by them."""
+    from tessera.llm import line_dedup as L
+    made, own = [], L._sets
+
+    def sets(docs, at, size):
+        out = own(docs, at, size)
+        made.append({r["at"] for r in out.select("at").collect()})
+        return out
+
+    monkeypatch.setattr(L, "_sets", sets)
+    pool = near_texts(random.Random(2), 60, 25)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(pool)], "doc_id long, text string")
+    got = {(r.id, r.line) for r in L.duplicate_lines(df, frequent=2).collect()}
+    assert got == brute_lines(enumerate(pool))
+    assert made[0] and not made[0] & made[1]
+
+
 def test_line_dedup_edges(docs, nothing):
     from tessera.llm.line_dedup import dedup_lines
     out = dedup_lines(docs.withColumnRenamed("n_tokens", "line")).collect()
