@@ -31,7 +31,7 @@ from tessera.llm.common import held
 from tessera.llm.wordhash import slabs
 
 CACHED = 300_000  # pre-tokens kept by a worker
-SLAB = 1 << 20    # characters that are split at once
+SLAB = 1 << 18    # characters that are split at once
 LONGEST_CACHED = 64
 
 
