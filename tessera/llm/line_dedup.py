@@ -2,8 +2,9 @@
 operations only.
 
 A line (text between \\n) is the set of its distinct 5-word shingles, words
-`[^\\x20\\x09-\\x0D]+` after lower-casing, compared as 64-bit hashes; lines
-of fewer than 5 words are left alone.  Two lines match when the Jaccard
+`[^\\x20\\x09-\\x0D]+` after lower-casing, compared as 64-bit hashes (every
+word is hashed once, a shingle from the hashes of its words); lines of fewer
+than 5 words are left alone.  Two lines match when the Jaccard
 similarity of their sets is at least 0.8.  Lines are ordered by (document id,
 line number); a line that matches any earlier one is removed, whether that one
 stays or not.
@@ -48,11 +49,11 @@ LINE_BITS = 26  # of the number of a line in its text, in the one number that st
 _OWN = "line_dedup_"  # begins the names of columns that are added to a caller's
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Distinct hashes of the runs of `size` words, sorted; none if there are
-    fewer words."""
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-    return F.when(F.size(words) >= size, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(hashes: Column, size: int) -> Column:
+    """Distinct hashes of the runs of `size` words, sorted, from the hashes of
+    the words; none if there are fewer words."""
+    each = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+    return F.when(F.size(hashes) >= size, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -65,23 +66,27 @@ def _at() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, text) of all lines; other white space is a blank."""
-    text, rare = F.lower("text"), "\t\x0b\x0c\r"
-    odd = reduce(lambda x, y: x | y, [F.instr("text", c) > 0 for c in rare])
-    text = F.when(odd, F.translate(text, rare, " " * len(rare))).otherwise(text)
-    return docs.select("id", text.alias("text")).select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    """(id, line, text) of all lines."""
+    return docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    """The words of a line in lower case; white space other than blanks is a blank."""
+    low, rare = F.lower(line), "\t\x0b\x0c\r"
+    odd = reduce(lambda x, y: x | y, [line.contains(c) for c in rare])
+    return F.array_remove(F.split(F.when(odd, F.translate(low, rare, " " * len(rare))).otherwise(low), " "), "")
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _sets(docs: DataFrame, at: DataFrame, size: int) -> DataFrame:
     """(at, tokens) of the lines in `at`."""
     at = stored(at.distinct())
     lines = _lines(with_ids(docs, at.select(F.shiftright("at", LINE_BITS).alias("id")), "id")).select(_at().alias("at"), "text")
-    lines = with_ids(lines, at, "at").select("at", _words(F.col("text")).alias("words"))
-    return stored(lines.select("at", _shingles(F.col("words"), size).alias("tokens")))
+    lines = with_ids(lines, at, "at").select("at", _hashes(_words(F.col("text"))).alias("hashes"))
+    return stored(lines.select("at", _shingles(F.col("hashes"), size).alias("tokens")))
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -154,7 +159,8 @@ def _gone(docs: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
     """(id, line) of the lines to remove of numbered texts (id, text)."""
     lines = _lines(docs).select(_at().alias("at"), _words(F.col("text")).alias("words"))
     lines = lines.select("at", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"),
-                         _shingles(F.col("words"), size).alias("tokens"))
+                         _hashes(F.col("words")).alias("hashes"))
+    lines = lines.select("at", "k1", "k2", _shingles(F.col("hashes"), size).alias("tokens"))
     with scratch(docs.sparkSession) as kept:
         with scratch(docs.sparkSession) as early:
             # Short lines are filtered out behind the table: before it, their test would split every line twice.

@@ -98,6 +98,18 @@ def test_ngram_join_edges(docs, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_line_dedup_hashes_each_word_once(spark, monkeypatch):
+    """Shingles come from the hashes of the words, not from slices of the words."""
+    from tessera.llm import line_dedup as L
+    plans, plain = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df))[1])
+    rows = [(1, "One two\tthree  four five six\nx"), (2, "one two three four FIVE\x0bsix"), (3, "one two three four five seven eight"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.id, r.line) for r in L.duplicate_lines(df).collect()] == [(2, 0)]
+    made = [p for p in plans if "xxhash64" in p and "transform" in p]
+    assert made and not any("xxhash64(slice(" in p for p in made)
+
+
 def brute_lines(rows):
     """(id, line) that match an earlier line."""
     lines = [(i, k, shingles(x)) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n")) if len(WORD.findall(x)) >= 5]
