@@ -21,16 +21,15 @@ import itertools
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import held
 from tessera.llm.wordhash import slabs
 
-CACHED = 300_000  # pre-tokens kept by a worker
+CACHED = 200_000  # pre-tokens kept by a worker: those that are no token themselves
 SLAB = 1 << 18    # characters that are split at once
 LONGEST_CACHED = 64
 
@@ -138,37 +137,44 @@ class Codec:
         pieces = [bytes(byte_of[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
         self.pieces = pa.array(pieces, pa.large_binary())
         self.whole = {p: struct.pack("<I", i) for i, p in enumerate(pieces)}
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # used since the older ones were set aside
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, unseen: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, all in one call of the model."""
-        raws = [p.encode() for p in unseen]
-        out = {p: x for p, x in zip(unseen, map(self.whole.get, raws)) if x is not None}
-        rest = [p for p in unseen if p not in out]
-        found = self.sp.encode([p.encode().decode("latin-1").translate(self.table) for p in rest], num_threads=1) if rest else []
+        """Ids of pre-tokens that are no tokens, all in one call of the model."""
+        found = self.sp.encode([p.encode().decode("latin-1").translate(self.table) for p in unseen], num_threads=1) if unseen else []
         packed = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4").tobytes()
-        at = 0
-        for p, n in zip(rest, map(len, found)):
+        out, at = {}, 0
+        for p, n in zip(unseen, map(len, found)):
             out[p] = packed[at:at + 4 * n]
             at += 4 * n
         return out
 
+    def _keep(self, used: dict[str, bytes]) -> None:
+        """What is in use stays: of the rest, what was not used again goes first."""
+        self.cache.update((p, x) for p, x in used.items() if len(p) <= LONGEST_CACHED)
+        if len(self.cache) > CACHED // 2:
+            self.older, self.cache = dict(itertools.islice(self.cache.items(), CACHED // 2)), {}
+
     def encode(self, texts: list) -> list[bytes]:
         """Each distinct pre-token of the texts is looked up once; one Arrow take
         lays the ids of all pre-tokens one after the other."""
-        cache = self.cache
         split = [self.find(t) if t else [] for t in texts]
         many = np.array([len(x) for x in split], dtype=np.int64)
         coded = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
         del split
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(cache.get, own))
-        new = self._learn([p for p, x in zip(own, ids) if x is None])
-        ids = [new[p] if x is None else x for p, x in zip(own, ids)]
-        cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
-        if len(cache) > CACHED:  # the older half goes
-            for p in list(itertools.islice(cache, len(cache) - CACHED // 2)):
-                del cache[p]
+        ids = [self.whole.get(p.encode()) for p in own]
+        rest = [p for p, x in zip(own, ids) if x is None]
+        known = [self.cache.get(p) for p in rest]
+        again = {p: self.older.get(p) for p, x in zip(rest, known) if x is None}
+        again |= self._learn([p for p, x in again.items() if x is None])
+        if again:
+            rest = iter([again[p] if x is None else x for p, x in zip(rest, known)])
+            self._keep(again)
+        else:
+            rest = iter(known)
+        ids = [next(rest) if x is None else x for x in ids]
         return _cut(pa.array(ids, pa.large_binary()).take(coded.indices), many)
 
     def decode(self, ids: list) -> list[bytes]:
@@ -190,32 +196,37 @@ def _codec(model: bytes, pattern: str) -> Codec:
     return held(("byte_bpe", model, pattern), lambda: Codec(model, pattern))
 
 
-def codec_columns(spark: SparkSession, path: str, pattern: str):
-    """(encode, decode): functions of a column.  encode gives a text's ids as
-    little-endian unsigned 32-bit integers, decode the bytes of such ids.  The
-    serialised model is broadcast; its size is that of the vocabulary file."""
-    model = spark.sparkContext.broadcast(serialise(read_ranks(path)))
+def _encoded(codec: Codec, texts: list) -> list[bytes]:
+    return [x for lo, hi in slabs(texts, SLAB) for x in codec.encode(texts[lo:hi])]
+
 
-    @F.pandas_udf(T.BinaryType())
-    def encode(text: pd.Series) -> pd.Series:
-        codec, texts = _codec(model.value, pattern), text.tolist()
-        return pd.Series([x for lo, hi in slabs(texts, SLAB) for x in codec.encode(texts[lo:hi])], dtype=object)
+def _decoded(codec: Codec, rows: list) -> list[bytes]:
+    return [x for lo, hi in slabs(rows, 4 * SLAB) for x in codec.decode(rows[lo:hi])]
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(ids: pd.Series) -> pd.Series:
-        codec, rows = _codec(model.value, pattern), ids.tolist()
-        return pd.Series([x for lo, hi in slabs(rows, 4 * SLAB) for x in codec.decode(rows[lo:hi])], dtype=object)
 
-    return encode, decode
+def _model(spark: SparkSession, path: str):
+    """The serialised model, broadcast; its size is that of the vocabulary file."""
+    return spark.sparkContext.broadcast(serialise(read_ranks(path)))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: the id, `ids` (binary, see codec_columns),
-    `n_tokens` and `decoded` (binary)."""
-    encode, decode = codec_columns(docs.sparkSession, path, pattern)
-    encoded = docs.select(id_col, encode(F.col(text_col)).alias("ids"))
-    return encoded.select(id_col, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"),
-                          decode(F.col("ids")).alias("decoded"))
+    """One row per row of `docs`: the id, `ids` (binary, little-endian unsigned
+    32-bit integers), `n_tokens` and `decoded` (binary).  A text is encoded once and
+    its ids decoded in the same batch: of two chained column functions Spark runs
+    the first for each of its uses."""
+    model = _model(docs.sparkSession, path)
+    id_type = docs.schema[id_col].dataType
+
+    def batches(it):
+        codec = _codec(model.value, pattern)
+        for b in it:
+            ids = _encoded(codec, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(_decoded(codec, ids), pa.binary())],
+                                             names=[id_col, "ids", "decoded"])
+
+    kind = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return docs.select(id_col, text_col).mapInArrow(batches, kind).select(
+        id_col, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

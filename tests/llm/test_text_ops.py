@@ -71,6 +71,27 @@ def test_byte_bpe_looks_up_each_pre_token_once():
     assert Counted.asked <= 6
 
 
+def test_byte_bpe_encodes_a_text_once(spark, docs):
+    """Ids and their decoding come from one encoding."""
+    from tessera.llm.byte_bpe import encode_documents
+    out = encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("encode(text") <= 1
+
+
+def test_byte_bpe_keeps_pre_tokens_in_use(monkeypatch):
+    """A pre-token that every slab holds is encoded once, however many others pass by."""
+    from tessera.llm import byte_bpe
+    monkeypatch.setattr(byte_bpe, "CACHED", 8)
+    codec = byte_bpe.Codec(byte_bpe.serialise([bytes([b]) for b in range(256)]), P.PATTERN)
+    learned, plain = [], codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda unseen: (learned.extend(unseen), plain(unseen))[1])
+    for i in range(40):
+        text = f" often more{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        assert codec.decode(codec.encode([text])) == [text.encode()]
+    assert learned.count(" often") == 1 and len(codec.cache) + len(codec.older) <= 8
+
+
 # --- operator 6 -------------------------------------------------------------
 
 def greedy(word, pieces):
