@@ -29,6 +29,7 @@ those of other words are joined by word, each text's words summed first.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -99,20 +100,30 @@ class Vocabulary:
         self.log_class = np.log10(class_n + 0.5 * (class_v + 1))
 
     def start(self) -> None:
-        symbol, first = self.symbol, self.end + 1
-
-        class Symbols(dict):
-            def __missing__(self, w: bytes) -> int:
-                return first + word_class(w)
-
-        self.symbols = Symbols(symbol)
+        """Arrays over the broadcast words; a last element stands for all others."""
+        self.index = {w: i for i, w in enumerate(self.log_count)}
+        first = self.end + 1
+        self.symbol_of = np.array([i if i < self.end else first + word_class(w) for w, i in self.index.items()] + [0], np.int32)
+        self.row_log = np.array([*self.log_count.values(), 0.0])
+        self.row_inner = self.row_log.copy()  # of the words within their classes
+        self.row_inner[:self.end] = 0
+        self.row_inner[self.end:-1] -= self.log_class[self.symbol_of[self.end:-1] - first]
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, others, symbols): the words' places in the arrays (-1: not there),
+        the places of those that are not there, the symbols and the end."""
+        rows = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
+        out = np.empty(len(words) + 1, dtype=np.int32)
+        out[:-1] = self.symbol_of[rows]
+        out[-1] = self.end
+        others = np.flatnonzero(rows < 0)
+        if len(others):
+            out[others] = [self.end + 1 + word_class(words[i]) for i in others.tolist()]
+        return rows, others, out
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """A text's symbols and its end."""
-        out = np.empty(len(words) + 1, dtype=np.int32)
-        out[:-1] = np.fromiter(map(self.symbols.__getitem__, words), np.int32, len(words))
-        out[-1] = self.end
-        return out
+        return self.look_up(words)[2]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -218,7 +229,7 @@ def initial(vocab: Vocabulary, states: int, seed: int = 8) -> Parameters:
 
 def _started(shared):
     v = shared.value
-    if not hasattr(v, "symbols"):
+    if not hasattr(v, "index"):
         v.start()
     return v
 
@@ -305,31 +316,24 @@ def score(docs: DataFrame, counts: DataFrame, vocab, params: Parameters, id_col:
 
     def batches(it):
         v, p = _started(vocab), model.value
-        known, first = v.log_count, v.end + 1
-        end = float(np.log10(v.end_count + 0.5))
+        end, first = float(np.log10(v.end_count + 0.5)), v.end + 1
         for b in it:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            seqs = [v.encode(tokens(t)) for t in texts]
-            like = np.zeros(len(seqs))
-            for rows in groups(np.array([len(s) for s in seqs])):
-                like[rows] = Lockstep([seqs[i] for i in rows]).forward(p.start, p.move, p.emit, False)[0]
-            n_known, base, inner, rare, times = [], [], [], [], []
-            for i, t in enumerate(texts):  # one text's words at a time
+            keys, seqs, n_known, base, inner, rare, times = b.column(0), [], [], [], [], [], []
+            for t in b.column(1).to_pylist():  # one text's words at a time, each looked up once
                 ws = tokens(t)
-                logs = list(map(known.get, ws))
+                rows, others, symbols = v.look_up(ws)
                 other: dict[bytes, int] = {}
-                if None in logs:
-                    for w, x in zip(ws, logs):
-                        if x is None:
-                            other[w] = other.get(w, 0) + 1
-                    logs = [x for x in logs if x is not None]
-                cls = seqs[i][seqs[i] >= first]  # words within classes: those of the table, then the others
-                in_table = sum(known[w] for w in ws if w in known and w not in v.symbol) if len(cls) else 0.0
-                inner.append(like[i] + in_table - float(v.log_class[cls - first].sum()))
-                base.append(sum(logs) + end)
-                n_known.append(len(logs) + (v.end_count > 0))
+                for i in others.tolist():
+                    other[ws[i]] = other.get(ws[i], 0) + 1
+                seqs.append(symbols.astype(v.packed))
+                base.append(float(v.row_log[rows].sum()) + end)
+                inner.append(float(v.row_inner[rows].sum() - v.log_class[symbols[others] - first].sum()))
+                n_known.append(len(rows) - len(others) + (v.end_count > 0))
                 rare.append(list(other))
                 times.append(list(other.values()))
+            inner = np.array(inner)
+            for some in groups(np.array([len(s) for s in seqs])):
+                inner[some] += Lockstep([seqs[i] for i in some]).forward(p.start, p.move, p.emit, False)[0]
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array([len(s) for s in seqs], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
                  pa.array(inner, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],

@@ -306,6 +306,24 @@ def test_hmm_is_a_distribution_and_learns(spark, monkeypatch):
         before = like
 
 
+def test_hmm_looks_up_each_word_once():
+    """Scoring takes a word's symbol and counts from one look-up, with the values of the two dictionaries."""
+    from tessera.llm import hmm
+    words = [f"w{i}".encode() for i in range(30)]
+    vocab = hmm.Vocabulary(words, list(range(40, 10, -1)), 5, 1000, 40, np.arange(hmm.CLASSES) + 1.0, np.full(hmm.CLASSES, 2.0))
+    vocab.symbol = {w: i for i, w in enumerate(words[:10])}
+    vocab.end = 10
+    vocab.start()
+    text = [b"w3", b"w29", b"new", b"w3", b"w10", b"other"]
+    rows, others, symbols = vocab.look_up(text)
+    want = [vocab.symbol[w] if w in vocab.symbol else 11 + hmm.word_class(w) for w in text]
+    assert symbols.tolist() == [*want, 10] and vocab.encode(text).tolist() == [*want, 10]
+    assert others.tolist() == [2, 5] and [rows[i] for i in (0, 1, 3, 4)] == [3, 29, 3, 10]
+    assert np.isclose(vocab.row_log[rows].sum(), sum(vocab.log_count[w] for w in text if w in vocab.log_count))
+    inner = sum(vocab.log_count[w] - vocab.log_class[hmm.word_class(w)] for w in (b"w29", b"w10"))
+    assert np.isclose(vocab.row_inner[rows].sum(), inner)
+
+
 def test_hmm_rounds_run_over_all_texts(spark, monkeypatch):
     """Every round of Baum-Welch gets all training texts, and the states come apart."""
     from tessera.llm import hmm
