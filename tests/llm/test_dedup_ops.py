@@ -89,6 +89,71 @@ def test_ngram_join_compares_no_connected_blocks(spark, monkeypatch):
     assert set(want.values()) == {0, 100} and sum(dealt) <= 3
 
 
+def test_ngram_join_reads_nothing_for_chance_pairs(spark, monkeypatch):
+    """Texts that share a passage with each other text, far from enough to link, are
+    no candidates: only the near copy is looked at."""
+    from tessera.llm import ngram_join as J
+    passage = {(i, j): " ".join(f"p{i}x{j}x{k}" for k in range(30)) for i in range(12) for j in range(i)}
+    rows = [(i, " ".join(passage[max(i, j), min(i, j)] for j in range(12) if j != i)) for i in range(12)]
+    rows.append((100, rows[3][1].replace("p3x1x7", "other")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    looked_at, plain = [], J._verified
+
+    def spy(source, pairs, *rest):
+        looked_at.extend((r.a, r.b) for r in pairs.collect())
+        return plain(source, pairs, *rest)
+    monkeypatch.setattr(J, "_verified", spy)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()}
+    assert got == components({i: shingles(t) for i, t in rows}) and got[100] == 3
+    assert looked_at == [(3, 100)]
+
+
+def test_ngram_join_deals_no_chance_buckets(spark, monkeypatch):
+    """Texts made of the same frequent lines share large tokens, but too few to
+    link: they are not dealt into blocks."""
+    from tessera.llm import ngram_join as J
+    monkeypatch.setattr(J, "LARGE", 8)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rng = random.Random(5)
+    lines = [" ".join(f"l{i}x{k}" for k in range(30)) for i in range(40)]
+    rows = [(i, "\n".join(rng.sample(lines, 12))) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    large, dealt, live, plain = [], [], J._live, J._large_links
+
+    def all_large(named, *rest):
+        large.append(named.select("id").distinct().count())
+        return live(named, *rest)
+
+    def spy(open_, *rest):
+        dealt.append(open_.count())
+        return plain(open_, *rest)
+    monkeypatch.setattr(J, "_live", all_large)
+    monkeypatch.setattr(J, "_large_links", spy)
+    assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == components({i: shingles(t) for i, t in rows})
+    assert sum(large) > 40 and sum(dealt) == 0
+
+
+@pytest.mark.parametrize("large", [64, 6, 1])
+def test_ngram_join_sizes(spark, monkeypatch, large):
+    """Links between texts of sizes as unlike as a link allows, through buckets of any size."""
+    from tessera.llm import ngram_join as J
+    monkeypatch.setattr(J, "LARGE", large)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rng = random.Random(large)
+    base = [[f"b{b}x{k}" for k in range(n)] for b, n in enumerate((9, 24, 60, 110))]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        lo, cut = rng.randint(0, 2), rng.randint(0, len(w) // 4)
+        w = w[lo:len(w) - cut] + [f"own{i}x{k}" for k in range(rng.choice((0, 0, 1, len(w) // 9)))]
+        if rng.random() < 0.2:
+            w[rng.randrange(len(w))] = "other"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()}
+    assert got == components({i: shingles(t) for i, t in rows})
+
+
 def test_ngram_join_edges(docs, nothing):
     from tessera.llm.ngram_join import near_duplicates
     rows = near_duplicates(docs).collect()
