@@ -154,6 +154,28 @@ def test_ngram_join_sizes(spark, monkeypatch, large):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    """The shuffle files of a table go once it is written."""
+    import time
+
+    from tessera.llm.common import stored
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles().iterator()
+        out = set()
+        while found.hasNext():
+            out.add(found.next().getName())
+        return {x for x in out if x.startswith("shuffle_") and x.endswith(".data")}
+    before = files()
+    out = stored(spark.range(2000).repartition(3, "id").groupBy("id").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 2000 and out.groupBy("count").count().collect()[0][1] == 2000
+
+
 def test_ngram_join_edges(docs, nothing):
     from tessera.llm.ngram_join import near_duplicates
     rows = near_duplicates(docs).collect()
